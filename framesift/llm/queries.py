@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framesift.llm.common import read_table
 
@@ -15,12 +16,29 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op3_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.warc import archive_pages
+
+    records = archive_pages(read_table(spark, sf_dir, "pages"))
+    return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op4_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framesift.llm.sharding import sharded
 
     return sharded(read_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.chat import fold_events, read_back, render
+
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
+    events = rows.select("conv_id", F.monotonically_increasing_id().alias("message_id"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    return read_back(render(fold_events(events)))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framesift.llm.exact_dedup import exact_duplicates
 
@@ -29,14 +47,40 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_seekable_warc": op3_seekable_warc,
     "op4_feistel_sharding": op4_feistel_sharding,
+    "op7_chat_format": op7_chat_format,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN revisit THEN first END AS refers_to
+FROM (SELECT *, payload_bytes >= 100 AND page_id <> first AS revisit FROM f)
+"""
+
+OP7_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+e AS (
+  SELECT *, regexp_replace(text, '([<\[])(\\*)(\|(?:turn|end|im_start|im_end|endoftext)\|>|/?s>|/?INST\]|</?SYS>>)', '\1\2\\\3', 'g') AS body FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(role) + length(body) + 17)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_seekable_warc": OP3_SQL, "op7_chat_format": OP7_SQL, "op9_exact_dedup": OP9_SQL}
