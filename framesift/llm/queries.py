@@ -16,6 +16,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.mixing import mixed
+
+    return mixed(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
 def op3_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framesift.llm.warc import archive_pages
 
@@ -47,6 +53,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_entropy_mix": op2_entropy_mix,
     "op3_seekable_warc": op3_seekable_warc,
     "op4_feistel_sharding": op4_feistel_sharding,
     "op7_chat_format": op7_chat_format,
