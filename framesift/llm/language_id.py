@@ -150,9 +150,6 @@ def fit(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col:
     return model
 
 
-PREDICTED = "row long, lang_pred string, score double"
-
-
 class _Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.pieces = model, vocabulary(model.path)
@@ -177,22 +174,25 @@ class _Scorer:
         return self.model.languages[best], float(odds[best] / odds.sum())
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns keep of each row of docs, lang_pred and score (the probability of that language among those learned).
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns keep of each row of docs, then the language and the score (its probability among the languages learned).
 
     Only the text is looked at, all of it. A text that is null or has no letter is `und` with score 0, as is any text
-    if no language was learned. Nothing is shuffled; an empty table gives an empty result.
+    if no language was learned. names must not clash with keep. Nothing is shuffled; an empty table gives an empty
+    result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    schema = source.drop("_text").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    schema = kept.withColumn(names[0], F.lit("")).withColumn(names[1], F.lit(0.0)).schema
+    # the text comes first: by place, it can't clash with a kept column
+    source = docs.select(F.col(f"`{text_col}`").cast("string").alias("_0"), *[F.col(f"`{c}`").alias(f"_{i + 1}") for i, c in enumerate(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(sent.value)
         for batch in batches:
-            found = [scorer.predict(x.as_py()) for x in batch.column("_text")]
-            columns = [batch.column(k) for k in batch.schema.names if k != "_text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[k for k in batch.schema.names if k != "_text"] + ["lang_pred", "score"])
+            found = [scorer.predict(x.as_py()) for x in batch.column(0)]
+            languages, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], languages, scores], names=[*keep, *names])
 
     return source.mapInArrow(run, schema)
 

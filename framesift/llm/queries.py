@@ -35,6 +35,19 @@ def op4_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(read_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.near_dedup import Rule, near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), Rule(words=3, percent=85))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.decontaminate import contaminated
+
+    found = contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shared", "n_item", "containment")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framesift.llm.chat import fold_events, read_back, render
 
@@ -67,15 +80,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_entropy_mix": op2_entropy_mix,
     "op3_seekable_warc": op3_seekable_warc,
     "op4_feistel_sharding": op4_feistel_sharding,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op6_decontamination": op6_decontamination,
     "op7_chat_format": op7_chat_format,
     "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "pipeline": pipeline,
 }
 
 OP3_SQL = """
@@ -86,6 +108,37 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN revisit THEN 'revisit'
 FROM (SELECT *, payload_bytes >= 100 AND page_id <> first AS revisit FROM f)
 """
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')) END) AS shingle FROM w
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id,
+       d.doc_id <= coalesce(c.least, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
+"""
+
+OP6_SQL = r"""
+WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM t),
+s AS (
+  SELECT DISTINCT kind, id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w
+),
+n AS (SELECT id, count(*) AS n_item FROM s WHERE kind = 1 GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
+FROM s d JOIN s i ON d.kind = 0 AND i.kind = 1 AND d.shingle = i.shingle JOIN n ON n.id = i.id
+GROUP BY d.id, i.id, n_item HAVING count(*) * 100 >= n_item * 80
+"""
+
 OP7_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, role, text FROM conversations
@@ -108,4 +161,4 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLES: dict[str, str] = {"op3_seekable_warc": OP3_SQL, "op7_chat_format": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op5_near_duplicates": OP5_SQL, "op6_decontamination": OP6_SQL, "op3_seekable_warc": OP3_SQL, "op7_chat_format": OP7_SQL, "op9_exact_dedup": OP9_SQL}
