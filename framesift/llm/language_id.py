@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import frozen
+from framesift.llm.common import frozen, shuffle_partitions
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Longer words are cut, so that products stay above the least double.
 LONGEST = 24
 #: Labelled documents of a language that the fit takes, about (chosen by hash).
-SAMPLE_DOCS = 2000
+SAMPLE_DOCS = 400
 ROUNDS, SMOOTHING = 3, 0.05
 #: Words whose scores a task keeps.
 KEPT = 200_000
@@ -59,15 +59,29 @@ def edges(word: str, pieces: dict[str, int], longest: int) -> list[list[tuple[in
     return out
 
 
-def forward(lattice: list[list[tuple[int, int]]], probs: np.ndarray) -> list[np.ndarray]:
-    """For each place, the summed probability of all cuts up to it, by language. probs: pieces x languages."""
-    alpha = [np.ones(probs.shape[1])]
-    for here in lattice[1:]:
-        total = 0
-        for start, n in here:
-            total = total + alpha[start] * probs[n]
-        alpha.append(total)
-    return alpha
+def forward(words: list[str], probs: np.ndarray, pieces: dict[str, int], longest: int) -> np.ndarray:
+    """The probability of each word in each language, summed over all its segmentations. probs: pieces x languages.
+
+    Words of one length are worked through together, place by place.
+    """
+    out = np.empty((len(words), probs.shape[1]))
+    by_length: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        by_length.setdefault(len(w), []).append(i)
+    padded = np.vstack([probs, np.zeros(probs.shape[1])])
+    nothing, get = len(probs), pieces.get
+    for length, at in by_length.items():
+        marked = ["▁" + words[i] for i in at]
+        alpha = [np.ones((len(at), probs.shape[1]))]
+        for end in range(1, length + 2):
+            total = np.zeros_like(alpha[0])
+            for start in range(max(0, end - longest), end):
+                # a single character is always a piece, number 0 if the vocabulary is without it
+                numbers = [get(m[start:end], nothing) for m in marked] if end - start > 1 else [get(m[start:end], 0) for m in marked]
+                total += alpha[start] * padded[numbers]
+            alpha.append(total)
+        out[at] = alpha[-1]
+    return out
 
 
 def expected_counts(word: str, language: int, probs: np.ndarray, pieces: dict[str, int], longest: int) -> list[tuple[int, float]]:
@@ -125,7 +139,8 @@ def fit(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col:
             yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["lang", "word", "n"])
 
     counted = sample.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counted = frozen(counted.repartition("word"))
+    # a number given keeps the few words that there are spread over the cluster
+    counted = frozen(counted.repartition(shuffle_partitions(spark), "word"))
     model = Model.start(languages, vocabulary_path)
     for _ in range(ROUNDS):
         sent = spark.sparkContext.broadcast(model)
@@ -151,27 +166,39 @@ def fit(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col:
 
 
 class _Scorer:
+    """Scores texts by their words; keeps the scores of words that came up."""
+
     def __init__(self, model: Model) -> None:
         self.model, self.pieces = model, vocabulary(model.path)
         self.longest = max(map(len, self.pieces))
-        self.known: dict[str, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        if (x := self.known.get(word)) is None:
-            x = self.known[word] = np.log(np.maximum(forward(edges(word, self.pieces, self.longest), self.model.probs)[-1], 1e-300))
-        return x
+        self.known: dict[str, int] = {}
+        self.scores = np.empty((0, len(model.languages)))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text or "")
-        if not self.model.languages or not any(c.isalpha() for w in words for c in w):
-            return UNKNOWN, 0.0
+    def learn(self, words: set[str]) -> None:
         if len(self.known) > KEPT:
-            self.known.clear()
-        counts = Counter(words)
-        total = np.array(list(counts.values()), float) @ np.array([self.word(w) for w in counts])
-        odds = np.exp(total - total.max())
-        best = int(total.argmax())
-        return self.model.languages[best], float(odds[best] / odds.sum())
+            self.known, self.scores = {}, self.scores[:0]
+        new = [w for w in words if w not in self.known]
+        if new:
+            logs = np.log(np.maximum(forward(new, self.model.probs, self.pieces, self.longest), 1e-300))
+            self.known.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
+            self.scores = np.vstack([self.scores, logs])
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        return [x for i in range(0, len(texts), 256) for x in self._some(texts[i : i + 256])]
+
+    def _some(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        split = [words_of(t or "") for t in texts]
+        if not self.model.languages:
+            split = [[] for _ in split]
+        self.learn({w for ws in split for w in ws})
+        for words in split:
+            if not any(c.isalpha() for w in words for c in w):
+                yield UNKNOWN, 0.0
+                continue
+            total = self.scores[list(map(self.known.__getitem__, words))].sum(axis=0)
+            odds = np.exp(total - total.max())
+            best = int(total.argmax())
+            yield self.model.languages[best], float(odds[best] / odds.sum())
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -190,7 +217,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(sent.value)
         for batch in batches:
-            found = [scorer.predict(x.as_py()) for x in batch.column(0)]
+            found = scorer.predict(batch.column(0).to_pylist())
             languages, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], languages, scores], names=[*keep, *names])
 
