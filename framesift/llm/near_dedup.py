@@ -28,6 +28,8 @@ BANDS = BINS // BAND_ROWS
 SHARED_BANDS = 3
 #: Members of a star that one task compares with its centre, and of a bucket that are compared with one another.
 STAR_TASK, BLOCK = 256, 256
+#: Up to so many ids are sent to all tasks (about 16 MB); beyond that they are shuffled.
+BROADCAST_ROWS = 500_000
 KEPT = 200_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -135,13 +137,19 @@ def sketched(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SKETCHED)
 
 
+def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text of the documents in ids (id). Other texts aren't moved as long as the ids, counted, are few enough to be sent to all tasks."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pairs (a, b) whose texts are linked, by their full shingle sets. A hot centre's pairs are dealt over several tasks."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     degrees = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR_TASK).alias("parts"))
-    dealt = frozen(pairs.join(degrees, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "b", "part"))
-    centres = dealt.select("a", "part").distinct().join(texts, F.col("a") == F.col("doc_id")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
-    members = dealt.join(texts, F.col("b") == F.col("doc_id")).select("a", "part", "b", "text")
+    dealt = pairs.join(degrees, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "part", "b")
+    wanted = dealt.select("a", "part", F.lit(None).cast("long").alias("b")).distinct().unionByName(dealt).withColumn("id", F.coalesce("b", "a"))
+    wanted = frozen(wanted)
+    texts = _texts(docs, frozen(wanted.select("id").distinct()), id_col, text_col)
     percent, width = rule.percent, rule.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +172,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule, id_col: str = "doc_
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    together = centres.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    together = wanted.join(texts, "id").select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
     return together.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -193,33 +201,51 @@ def _sized(rule: Rule):  # noqa: ANN202
     return F.least("n", "m") * 100 >= F.greatest("n", "m") * rule.percent
 
 
-def _unresolved(buckets: DataFrame, centres: DataFrame, labels: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of buckets that lie in different components, share several bands and aren't ruled out by size."""
-    members = buckets.join(centres.filter("members > 2").select("bucket", "members"), "bucket").join(labels, F.col("rep") == F.col("node"), "left")
-    members = frozen(members.select("bucket", "members", "rep", "n", F.coalesce("component", "rep").alias("component")))
-    several = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    split = members.join(several, "bucket").join(sets.select("rep", "bands"), "rep")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+def hidden_links(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b) between components within buckets, which the stars can't show.
+
+    The members of a bucket with several components are compared in blocks, each pair of blocks by a task: pairs that
+    share some bands, in the first bucket that they share, on their full sets. Only links are put out, not candidates.
+    """
+    held = members.filter("members > 2").join(labels, F.col("rep") == F.col("node"), "left")
+    held = frozen(held.select("bucket", "band", "members", "rep", "n", F.coalesce("component", "rep").alias("component")))
+    several = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+    split = held.join(several, "bucket").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    split = split.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # each block meets itself and every other one
-    dealt = split.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    percent = rule.percent
-
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        bands, reps = np.stack(frame["bands"].to_numpy()), frame["rep"].to_numpy()
-        parts, n, own = frame["component"].to_numpy(), frame["n"].to_numpy(), frame["own"].to_numpy()
-        across = frame["i"].iloc[0] != frame["j"].iloc[0]
-        out = []
-        for x in range(len(reps)):
-            shared = (bands[x] == bands).sum(axis=1)
-            fits = (shared >= SHARED_BANDS) & (parts != parts[x]) & (reps > reps[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent)
+    dealt = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = frozen(dealt.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("rep").alias("id"), "n", "component"))
+    ids = frozen(dealt.select("id").distinct())
+    known = _texts(docs, ids, id_col, text_col).join(sets.select(F.col("rep").alias("id"), "bands"), "id")
+    percent, width = rule.percent, rule.words
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        bands, ids, n = np.stack(frame["bands"].to_numpy()), frame["id"].to_numpy(), frame["n"].to_numpy()
+        parts, own, texts = frame["component"].to_numpy().copy(), frame["own"].to_numpy(), frame["text"].to_numpy()
+        band, across = frame["band"].iloc[0], frame["i"].iloc[0] != frame["j"].iloc[0]
+        maker, hashes, out = Sketcher(width), {}, []
+
+        def of(k: int) -> np.ndarray:
+            if k not in hashes:
+                hashes[k] = maker.hashes(texts[k] or "")
+            return hashes[k]
+
+        for x in range(len(ids)):
+            same = bands == bands[x]
+            fits = (same.sum(axis=1) >= SHARED_BANDS) & (same.argmax(axis=1) == band) & (parts != parts[x]) & (ids > ids[x])
+            fits &= np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent
             if across:
                 fits &= own != own[x]
-            out.extend((reps[x], y) for y in reps[fits])
+            for y in np.flatnonzero(fits):
+                if parts[y] == parts[x]:
+                    continue
+                both = len(np.intersect1d(of(x), of(y), assume_unique=True))
+                if 100 * both >= percent * (len(of(x)) + len(of(y)) - both):
+                    out.append((ids[x], ids[y]))
+                    parts[parts == parts[y]] = parts[x]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.select("bucket", "i", "j", "rep", "n", "component", "own", "bands").groupBy("bucket", "i", "j").applyInPandas(pairs, "a long, b long").distinct()
+    return dealt.join(known, "id").groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,35 +253,31 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
 
     component_id is the smallest id that links lead to; kept is whether that is the row's own. Null and empty texts
     have no shingle and no link, a text of fewer words than a shingle is one shingle. Rows that repeat an id count as
-    one document with the links of all; null ids are linked with nothing and not kept apart (kept). Other columns of
-    docs are ignored; an empty table gives an empty result.
+    one document with the links of all; null ids are linked with nothing and kept. Other columns of docs are ignored;
+    an empty table gives an empty result.
     """
     rows = stored(sketched(docs, rule, id_col, text_col), "sketches")
     some = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = frozen(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
-    sets = some.join(reps, ["set_a", "set_b"]).filter("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["rep", "bands"])
-    sets = stored(sets, "sets")
-    buckets = sets.select("rep", "n", F.explode("bands").alias("bucket"))
-    centres = frozen(buckets.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1"))
-    stars = (
-        buckets.join(centres.select("bucket", F.col("centre.rep").alias("a"), F.col("centre.n").alias("m")), "bucket")
-        .filter((F.col("rep") != F.col("a")) & _sized(rule))
-        .select("a", F.col("rep").alias("b"))
-        .distinct()
-    )
-    stars = frozen(stars)
+    # equal sets are one from here on, whatever the number of their copies
+    least = some.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("s"))
+    sets = stored(least.select("set_a", "set_b", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), F.col("s.bands").alias("bands")), "sets")
+    buckets = sets.select("rep", "n", F.posexplode("bands").alias("band", "bucket"))
+    centres = buckets.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    members = stored(buckets.join(frozen(centres), "bucket").select("bucket", "band", "rep", "n", "members", F.col("centre.rep").alias("a"), F.col("centre.n").alias("m")), "members")
+    stars = frozen(members.filter((F.col("rep") != F.col("a")) & _sized(rule)).select("a", F.col("rep").alias("b")).distinct())
     links = frozen(confirmed(stars, docs, rule, id_col, text_col))
-    # rows that repeat an id tie their sets together
     labels = frozen(components(links))
-    rest = frozen(_unresolved(buckets, centres, labels, sets, rule).join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = confirmed(rest, docs, rule, id_col, text_col)
-        labels = frozen(components(links.unionByName(more)))
-    tied = some.join(reps, ["set_a", "set_b"]).filter("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("far")).filter("rep <> far")
-    if not tied.isEmpty():
-        ties = some.join(reps, ["set_a", "set_b"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-        labels = frozen(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b").unionByName(ties)))
+    hidden = frozen(hidden_links(members, labels, sets, docs, rule, id_col, text_col))
+    if not hidden.isEmpty():
+        labels = frozen(components(links.unionByName(hidden)))
+    reps = sets.select("set_a", "set_b", "rep")
+    # rows that repeat an id tie their sets together
+    own = some.join(reps, ["set_a", "set_b"]).select("doc_id", "rep")
+    several = own.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
+    ties = frozen(own.join(several, "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct())
+    if not ties.isEmpty():
+        linked = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
+        labels = frozen(components(linked.unionByName(ties)))
     out = rows.join(reps, ["set_a", "set_b"], "left").join(labels, F.coalesce("rep", "doc_id") == F.col("node"), "left")
-    linked = F.col("n_shingles") > 0
-    component = F.when(linked, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
