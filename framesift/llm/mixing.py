@@ -2,9 +2,10 @@
 
 Each source has a target number of words. Among all document rates that meet it, those closest in entropy to one
 copy each are an exponential tilt: a document of size s in source k is taken min(cap, exp(t_k * s / mean_k)) times.
-The tilts solve a convex dual, one equation for each source, by Newton steps kept within a bracket. Documents of
-one source and size have one rate, so a step works on counts by source and size. The rates become whole copies by
-error diffusion along the documents of a source in order of size, which leaves less than one document's words.
+The tilts solve a convex dual, one equation for each source, by Newton steps kept within a bracket, for all sources
+in parallel. Documents of one source and size have one rate, so the steps work on counts. The rates become whole
+copies by error diffusion along the documents of a source in order of size, which leaves less than one document's
+words.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framesift.llm.common import WORD, frozen, numbered
@@ -20,7 +23,7 @@ from framesift.llm.common import WORD, frozen, numbered
 #: Rates are whole multiples of 1 / UNIT, so that their running sums are exact and reruns agree.
 UNIT = 1 << 20
 STEPS, TOLERANCE = 80, 1e-7
-#: Passes that move single documents of each source to come nearer to its target.
+#: Single documents of each source that are moved to come nearer to its target.
 REPAIRS = 4
 
 
@@ -52,42 +55,77 @@ def source_targets(sources: DataFrame, mix: Mix) -> DataFrame:
     return ranked.select("key", "words", F.least("most", F.col("weight") * level).alias("target"))
 
 
-def _rate(tilt: Column, size: Column, mean: Column, cap: int) -> Column:
-    return F.least(F.lit(float(cap)), F.exp(tilt * size / mean))
+def rates(tilt: float, size: np.ndarray, mean: float, cap: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.where(size > 0, np.minimum(cap, np.exp(tilt * size / mean)), 0.0)
 
 
-def solve_tilts(bins: DataFrame, sources: DataFrame, mix: Mix) -> DataFrame:
-    """Adds `tilt` to sources (key, words, n, target): the root of sum(n * size * rate) = target over bins (key, size, n)."""
-    mean = F.greatest(F.lit(1e-9), F.col("words") / F.col("n"))
-    log_cap = math.log(mix.cap)
-    state = frozen(
-        sources.withColumn("mean", mean)
-        # at `high` a document of one word is taken cap times, at `low` hardly
-        .withColumn("high", log_cap * F.col("mean"))
-        .withColumn("low", -60.0 * F.col("mean"))
-        .withColumn("tilt", F.when(F.col("target") >= F.col("words") * mix.cap * (1 - 1e-9), F.col("high")).when(F.col("words") > 0, F.ln(F.col("target") / F.col("words"))).otherwise(0.0))
-        .withColumn("done", (F.col("words") == 0) | (F.col("target") >= F.col("words") * mix.cap * (1 - 1e-9)))
-    )
+def solve_tilt(size: np.ndarray, n: np.ndarray, target: float, cap: int) -> float:
+    """The root of sum(n * size * rate) = target: Newton steps, or halvings where a step would leave the bracket."""
+    words = float((size * n).sum())
+    mean = words / n.sum() if words else 1.0
+    # at `high` a document of one word is taken cap times, at `low` hardly
+    low, high = -60.0 * mean, math.log(cap) * mean
+    if words == 0 or target >= words * cap * (1 - 1e-9):
+        return high
+    tilt = math.log(target / words) if target > 0 else low
     for _ in range(STEPS):
-        rate = _rate(F.col("tilt"), F.col("size"), F.col("mean"), mix.cap)
-        taken = F.col("n") * F.col("size") * rate
-        slope = F.when(rate < mix.cap, taken * F.col("size") / F.col("mean")).otherwise(0.0)
-        sums = bins.filter("size > 0").join(state.filter(~F.col("done")).select("key", "tilt", "mean"), "key").groupBy("key").agg(F.sum(taken).alias("taken"), F.sum(slope).alias("slope"))
-        gap = F.col("taken") - F.col("target")
-        state = state.join(sums, "key", "left")
-        state = state.withColumn("high", F.when(gap > 0, F.col("tilt")).otherwise(F.col("high"))).withColumn("low", F.when(gap <= 0, F.col("tilt")).otherwise(F.col("low")))
-        newton = F.col("tilt") - gap / F.nullif(F.col("slope"), F.lit(0.0))
-        inside = newton.isNotNull() & (newton > F.col("low")) & (newton < F.col("high"))
-        met = F.col("done") | (F.abs(gap) <= TOLERANCE * F.col("target")) | (F.col("high") - F.col("low") <= 1e-12 * F.abs(F.col("high")))
-        state = frozen(
-            state.withColumn("met", F.coalesce(met, F.lit(True)))
-            .withColumn("tilt", F.when(F.col("met"), F.col("tilt")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2))
-            .withColumn("done", F.col("met"))
-            .drop("taken", "slope", "met")
-        )
-        if state.filter(~F.col("done")).isEmpty():
+        rate = rates(tilt, size, mean, cap)
+        taken = n * size * rate
+        gap = float(taken.sum()) - target
+        if abs(gap) <= TOLERANCE * target or high - low <= 1e-12 * abs(high):
             break
-    return state.select("key", "words", "target", "mean", "tilt")
+        low, high = (low, tilt) if gap > 0 else (tilt, high)
+        slope = float((taken * size / mean)[rate < cap].sum())
+        step = tilt - gap / slope if slope > 0 else low
+        tilt = step if low < step < high else (low + high) / 2
+    return tilt
+
+
+def solve_units(bins: DataFrame, mix: Mix) -> DataFrame:
+    """key, size, unit, base of bins (key, size, n, target).
+
+    unit is the rate in whole multiples of 1 / UNIT, base what all larger documents of the source have together.
+    Sources are solved in parallel, each on its counts by size; those are as many as there are sizes, however many
+    documents a source has.
+    """
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("size", ascending=False)
+        size, n = frame["size"].to_numpy(float), frame["n"].to_numpy(float)
+        mean = float((size * n).sum()) / n.sum() or 1.0
+        rate = rates(solve_tilt(size, n, float(frame["target"].iloc[0]), mix.cap), size, mean, mix.cap)
+        unit = np.minimum(mix.cap * UNIT, np.rint(rate * UNIT)).astype(np.int64)
+        before = np.concatenate([[0], np.cumsum(unit * frame["n"].to_numpy(np.int64))[:-1]])
+        return pd.DataFrame({"key": frame["key"], "size": frame["size"], "unit": unit, "base": before + UNIT // 2})
+
+    return bins.groupBy("key").applyInPandas(solve, "key string, size long, unit long, base long")
+
+
+def repairs(taken: DataFrame, mix: Mix) -> DataFrame:
+    """place, move (+1 or -1) of single documents that bring their source nearer to its target, REPAIRS of a source at most.
+
+    One document of each size and number of copies stands for its like, so that a source's share is small.
+    """
+    kinds = taken.groupBy("key", "size", "copies").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"), F.first("target").alias("target"))
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        size, copies = frame["size"].to_numpy(), frame["copies"].to_numpy()
+        gap = float(frame["target"].iloc[0]) - float((size * copies * frame["n"].to_numpy()).sum())
+        free, out = size > 0, []
+        for _ in range(REPAIRS):
+            up = gap > 0
+            fits = free & (size < 2 * abs(gap)) & (copies < mix.cap if up else copies > 0)
+            if not fits.any():
+                break
+            # the nearest size; of equally near ones the first place
+            best = min(np.flatnonzero(fits), key=lambda i: (abs(size[i] - abs(gap)), frame["place"].iloc[i]))
+            free[best] = False
+            out.append((int(frame["place"].iloc[best]), 1 if up else -1))
+            gap -= size[best] if up else -size[best]
+        return pd.DataFrame(out, columns=["place", "move"], dtype="int64")
+
+    return kinds.groupBy("key").applyInPandas(choose, "place long, move long")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mix: Mix = Mix(), row_col: str | None = None) -> DataFrame:
@@ -102,45 +140,20 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     key = F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1"))
     rows = frozen(docs.select(*own, F.col(id_col).alias("doc_id"), key.alias("key"), word_count(F.col(text_col)).alias("size")))
     bins = frozen(rows.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")))
-    totals = bins.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("n"))
-    sources = source_targets(totals.select("key", "words"), mix).join(totals.select("key", "n"), "key")
-    tilts = frozen(solve_tilts(bins, sources, mix))
-
-    order = [F.col("key"), (-F.col("size")).alias("falling"), F.xxhash64("doc_id").alias("shuffled"), F.col("doc_id")]
-    placed = numbered(rows.withColumn("falling", order[1]).withColumn("shuffled", order[2]), [F.col("key"), F.col("falling"), F.col("shuffled"), F.col("doc_id")], "place")
-    placed = frozen(placed.drop("falling", "shuffled"))
-    # a bin's places start at its first; before it stand all larger documents of its source
+    sources = frozen(source_targets(bins.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("words")), mix))
+    units = solve_units(bins.join(sources, "key"), mix)
+
+    # numbered by source, from the largest document to the smallest, in a shuffled order among equals
+    order = [F.col("key"), F.col("falling"), F.col("shuffled"), F.col("doc_id")]
+    placed = numbered(rows.withColumn("falling", -F.col("size")).withColumn("shuffled", F.xxhash64("doc_id")), order, "place").drop("falling", "shuffled")
+    placed = frozen(placed)
     starts = placed.groupBy("key", "size").agg(F.min("place").alias("start"))
-    rate = F.when(F.col("size") > 0, _rate(F.col("tilt"), F.col("size"), F.col("mean"), mix.cap)).otherwise(0.0)
-    unit = F.least(F.lit(mix.cap * UNIT), F.round(rate * UNIT)).cast("long")
-    rated = bins.join(starts, ["key", "size"]).join(tilts, "key").withColumn("unit", unit)
-    before = Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
-    rated = rated.withColumn("base", F.coalesce(F.sum(F.col("unit") * F.col("n")).over(before), F.lit(0)) + UNIT // 2)
+    rated = units.join(starts, ["key", "size"]).join(sources, "key")
     passed = F.col("base") + (F.col("place") - F.col("start")) * F.col("unit")
     copies = F.floor((passed + F.col("unit")) / UNIT) - F.floor(passed / UNIT)
     columns = [*(["row"] if row_col else []), "doc_id", "key", "size", "place"]
-    taken = frozen(
-        placed.join(rated.select("key", "size", "start", "unit", "base", "words", "target"), ["key", "size"]).select(*columns, "words", "target", (F.col("unit") / UNIT).alias("rate"), copies.cast("long").alias("copies"))
-    )
-    moves = _repairs(taken, mix)
+    taken = frozen(placed.join(rated, ["key", "size"]).select(*columns, "words", "target", (F.col("unit") / UNIT).alias("rate"), copies.cast("long").alias("copies")))
     copies = F.col("copies") + F.coalesce("move", F.lit(0))
-    return taken.join(moves, "place", "left").select(
+    return taken.join(repairs(taken, mix), "place", "left").select(
         *([F.col("row").alias(row_col)] if row_col else []), "doc_id", "size", F.col("words").alias("source_size"), "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "rate"
     )
-
-
-def _repairs(taken: DataFrame, mix: Mix) -> DataFrame:
-    """place, move (+1 or -1) of single documents that bring their source nearer to its target: one of a source in each pass."""
-    left = frozen(taken.groupBy("key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")))
-    moves = None
-    for _ in range(REPAIRS):
-        candidates = taken.join(left, "key")
-        if moves is not None:
-            candidates = candidates.join(moves.select("place"), "place", "left_anti")
-        up = F.col("gap") > 0
-        fits = (F.col("size") > 0) & (F.col("size") < 2 * F.abs("gap")) & F.when(up, F.col("copies") < mix.cap).otherwise(F.col("copies") > 0)
-        best = candidates.filter(fits).groupBy("key").agg(F.min(F.struct(F.abs(F.col("size") - F.abs("gap")).alias("miss"), "place", F.when(up, F.col("size")).otherwise(-F.col("size")).alias("change"))).alias("best"))
-        step = frozen(best.select("key", "best.place", F.signum("best.change").cast("long").alias("move"), "best.change"))
-        moves = step.select("place", "move") if moves is None else moves.unionByName(step.select("place", "move"))
-        left = frozen(left.join(step.select("key", "change"), "key", "left").select("key", (F.col("gap") - F.coalesce("change", F.lit(0))).alias("gap")))
-    return moves
