@@ -100,6 +100,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
+#: Letters of the assign pattern in either case, spelled out: other engines fold more letters than these.
+EITHER_CASE = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "(password|passwd|secret|token|api_?key)")
+OP1_SQL = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+k(kind, rank, base, least, pattern) AS (VALUES
+  ('assign', 1, true, 6, '{EITHER_CASE}["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  ('access', 2, true, 20, 'AKIA[A-Z0-9]+'),
+  ('hex', 3, true, 24, '[0-9a-f]{{24,}}'),
+  ('web_token', 4, false, 1, 'eyJ[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}'),
+  ('mixed', 5, false, 32, '[A-Za-z0-9+/_-]{{32,}}')),
+m AS (
+  SELECT *, regexp_extract_all(t, pattern) AS hits, CASE kind WHEN 'assign' THEN regexp_extract_all(t, pattern, 2) ELSE regexp_extract_all(t, pattern) END AS found, string_split_regex(t, pattern) AS gaps FROM d, k
+),
+p AS (
+  SELECT doc_id, source, kind, rank, base, least, found[i] AS value, length(hits[i]) AS n,
+    list_sum(list_transform(gaps[:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[:i - 1], lambda x: length(x))), 0)::BIGINT AS start
+  FROM m, unnest(range(1, len(hits) + 1)) u(i)
+),
+s AS (SELECT * FROM p WHERE length(value) >= least AND (kind <> 'mixed' OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')))),
+o AS (SELECT value, count(DISTINCT source) < 3 AS live FROM s GROUP BY value),
+j AS (SELECT *, kind || ':' || start || ':' || (start + n) AS span FROM s JOIN o USING (value)),
+a AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(span, ',' ORDER BY start, rank) FILTER (base) AS base_spans, string_agg(span, ',' ORDER BY start, rank) FILTER (base OR live) AS spans,
+    count(*) FILTER (base AND live) AS n_live, count(*) FILTER (base AND NOT live) AS n_copied, count(*) FILTER (NOT base AND live) AS n_added
+  FROM j GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_spans, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(n_added, 0) AS n_added
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
 OP3_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
@@ -161,4 +193,11 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLES: dict[str, str] = {"op5_near_duplicates": OP5_SQL, "op6_decontamination": OP6_SQL, "op3_seekable_warc": OP3_SQL, "op7_chat_format": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {
+    "op1_secret_scan": OP1_SQL,
+    "op3_seekable_warc": OP3_SQL,
+    "op5_near_duplicates": OP5_SQL,
+    "op6_decontamination": OP6_SQL,
+    "op7_chat_format": OP7_SQL,
+    "op9_exact_dedup": OP9_SQL,
+}
