@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from framesift.functions.text import point_label
 
-__all__ = ["VectorAssembler", "percent_coordinates", "point_labels", "principal_plane", "mock_embedding"]
-
 
 def principal_plane(rows: DataFrame, key: str = "path", embedding: str = "embedding", k: int = 2) -> DataFrame:
     """key, x, y: the first principal components of the centred embeddings."""

@@ -75,6 +75,13 @@ def enabled_substeps(step: str, chosen: Iterable[str] | None = None, disabled: C
     return [s for s in known if s in chosen]
 
 
+def default_substeps(step: str, settings: dict[str, bool]) -> list[str]:
+    """Substeps that are on by default, after a step's own toggles: a toggle that is off takes its substep away."""
+    toggles = {"manual_review": "review_decisions", "coverage": "coverage_scan", "check_pairing": "check_pairing", "check_corrupt": "check_corrupt_files", "check_caption_length": "check_caption_quality", "check_resolution_gate": "check_resolution", "cache": "write_cache_info", "write_edits": "apply_edits"}
+    off = {sub for toggle, sub in toggles.items() if not settings.get(toggle, toggle != "cache")}
+    return enabled_substeps(step, disabled=off)
+
+
 def validate(selected: Sequence[str], configured: Sequence[str], satisfied: Collection[str], substeps: dict[str, list[str]] | None = None, invalidated: Collection[str] = (), has_dataset: bool = True) -> None:
     """Raises a SelectionError unless the selected steps can run."""
     if unknown := [s for s in selected if s not in configured]:

@@ -124,6 +124,8 @@ def test_step_rules():
     assert steps.invalidated_by_force(["audit"], names) == ["audit", "bucket_check", "export"]
     assert steps.invalidated_by_force(["audit"], ["import", "export"]) == ["audit", "export"]
     assert steps.in_order(["export", "import", "own"], names) == ["import", "export", "own"]
+    assert steps.default_substeps("bucket_check", {}) == ["assign"] and steps.default_substeps("bucket_check", {"cache": True}) == ["assign", "write_cache_info"]
+    assert steps.default_substeps("quality_gate", {"manual_review": False}) == ["score_images", "write_survivors"]
     steps.validate(["quality_gate"], names, {"import"})
     for bad in (lambda: steps.validate(["quality_gate"], names, set()), lambda: steps.validate([], names, set()), lambda: steps.validate(["x"], names, set()), lambda: steps.validate(["quality_gate"], names, {"import"}, invalidated=["import"]), lambda: steps.validate(["export"], names, {"import"}, {"export": ["copy"]}), lambda: steps.enabled_substeps("export", ["nope"])):
         with pytest.raises(steps.SelectionError):
