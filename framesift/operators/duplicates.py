@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framesift.operators.order import kept
+
 #: Bands narrower than this put too many hashes together to be of use.
 LEAST_BAND_BITS = 8
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that the cluster names, in tests in a temporary one."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='framesift-')}")
-    return df.checkpoint()
-
-
 def near_dup_pairs(hashes: DataFrame, distance: int = 3) -> DataFrame:
     """a, b, dist of all pairs of (ord, h) with a before b and at most `distance` bits between them.
 
@@ -52,13 +44,13 @@ def near_dup_pairs(hashes: DataFrame, distance: int = 3) -> DataFrame:
 
 def components(pairs: DataFrame) -> DataFrame:
     """node, component: the smallest node that pairs (a, b) lead to. Labels spread and are shortened until none changes."""
-    edges = _kept(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _kept(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
+    edges = kept(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = kept(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
     while True:
         spread = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         moved = labels.join(spread, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
         short = moved.join(moved.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
-        after = _kept(short.select("node", F.least("component", F.coalesce("root", "component")).alias("component"), "was"))
+        after = kept(short.select("node", F.least("component", F.coalesce("root", "component")).alias("component"), "was"))
         changed = after.filter("component <> was").isEmpty()
         labels = after.select("node", "component")
         if changed:

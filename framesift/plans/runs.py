@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions import pixels, text
 from framesift.operators import audit, buckets, captions, duplicates, export, outliers, quality_gate, upscale
+from framesift.operators.order import scan_order
 from framesift.plans.config import Project
 from framesift.plans.steps import BY_NAME, SelectionError, checked, enabled_substeps, in_order, invalidated_by_force, validate
 from framesift.sources import files
@@ -125,11 +126,8 @@ class Run:
         return quality_gate.gate_counts(stored).first().asDict()
 
     def _curate(self) -> dict:
-        from pyspark.sql import Window
-
-        rows = self.images("quality_gate")
-        # the place of an image in the scan orders pairs; sorted by path parts
-        numbered = self.store("curate_order", rows.withColumn("ord", F.row_number().over(Window.orderBy(files.path_order(F.col("rel")))).cast("long")))
+        # the place of an image in the scan, sorted by path parts, orders the pairs
+        numbered = self.store("curate_order", scan_order(self.images("quality_gate"), [files.path_order(F.col("rel"))]))
         pairs = self.store("curate_pairs", duplicates.near_dup_pairs(numbered.filter("phash IS NOT NULL").select("ord", F.col("phash").alias("h")), self.project.of("curate").max_distance))
         dropped = duplicates.greedy_drop(pairs, numbered.select("ord", "blur")) if not pairs.isEmpty() else self.spark.createDataFrame([], "ord long")
         kept = self.store("curate", numbered.join(dropped, "ord", "left_anti").drop("ord"))
