@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesift.llm import decontaminate, language_id, mixing, near_dedup, sharding
-from framesift.llm.common import read_table, stored
+from framesift.llm.common import bounded, frozen, read_table, stored
 
 #: Documents whose best language is less probable than this among those learned are rejected, as are those without letters.
 LEAST_SCORE = 0.5
@@ -33,7 +33,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """One row of each group of near duplicates stays: five words, similarity 0.8. Rows are told apart by their number, so repeated and null ids do no harm."""
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     kept = near_dedup.near_duplicates(numbered, near_dedup.Rule(words=5, percent=80), id_col="_row").filter("kept").select(F.col("doc_id").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*_columns(docs))
+    return numbered.join(bounded(frozen(kept)), "_row", "left_semi").select(*_columns(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, or up to three times."""
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     taken = mixing.mixed(numbered, row_col="_row").filter("copies > 0").select("_row", "copies")
-    return numbered.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*_columns(docs))
+    return numbered.join(bounded(frozen(taken)), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*_columns(docs))
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

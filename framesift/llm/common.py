@@ -8,7 +8,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A word: a run without ASCII white space. Java, Python and RE2 read it alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,5 +71,10 @@ def numbered(df: DataFrame, keys: Sequence[Column], name: str = "row_number") ->
     )
 
 
-def same_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
-    return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+#: Up to so many rows of numbers (about 16 MB) are sent to all tasks; more are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its rows, counted, are few enough. df should be frozen, or cheap to count."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

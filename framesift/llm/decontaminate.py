@@ -12,12 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import frozen
+from framesift.llm.common import bounded, frozen
 
 WORDS = r"[\p{L}\p{N}]+"
 SHINGLE, PERCENT = 5, 80
-#: A table of up to so many rows of numbers is broadcast (about 32 bytes a row in memory); a larger one is shuffled.
-BROADCAST_ROWS = 500_000
 
 
 def _over_words(text: Column, each) -> Column:  # noqa: ANN001
@@ -39,11 +37,6 @@ def shingles(text: Column) -> Column:
     return F.array_distinct(_over_words(text, lambda ws, w, i: F.concat_ws(" ", w, *[F.get(ws, i + j) for j in range(1, SHINGLE)])))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if its rows, counted, are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def item_sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """item_id, size_class, hash: the smallest hashes of each item of (item_id, hashes)."""
     n = F.size("hashes")
@@ -67,12 +60,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sketch = frozen(item_sketches(items, percent).select("hash").distinct())
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
     probes = rows.select("row_key", F.explode(shingle_hashes(F.col("text"))).alias("hash"))
-    candidates = frozen(probes.join(_small(sketch), "hash").select("row_key").distinct())
+    candidates = frozen(probes.join(bounded(sketch), "hash").select("row_key").distinct())
     # candidates only are compared in full
     whole = items.select("item", "item_id", F.size("shingles").cast("long").alias("n_item"), F.explode("shingles").alias("shingle"))
-    found = rows.join(_small(candidates), "row_key", "left_semi").select("doc_id", "row_key", F.explode(shingles(F.col("text"))).alias("shingle")).distinct()
+    found = rows.join(bounded(candidates), "row_key", "left_semi").select("doc_id", "row_key", F.explode(shingles(F.col("text"))).alias("shingle")).distinct()
     return (
-        found.join(_small(whole), "shingle")
+        found.join(bounded(whole), "shingle")
         .groupBy("doc_id", "row_key", "item", "item_id", "n_item")
         .agg(F.count(F.lit(1)).alias("n_shared"))
         .filter(F.col("n_shared") * 100 >= F.col("n_item") * percent)
@@ -84,4 +77,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """The rows of docs, all columns, that hold no benchmark item."""
     bad = frozen(contaminated(docs, benchmark, id_col, text_col, percent=percent).select(F.col("row_key").alias("_bad")).distinct())
     key = F.xxhash64(F.col(id_col), F.col(text_col))
-    return docs.join(_small(bad), key == F.col("_bad"), "left_anti")
+    return docs.join(bounded(bad), key == F.col("_bad"), "left_anti")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import frozen, stored
+from framesift.llm.common import bounded, frozen, stored
 
 #: 128 bins in bands of 4: a pair at the threshold 0.85 is missed with probability 6e-11, at 0.80 with 5e-8.
 BIN_BITS, BAND_ROWS = 7, 4
@@ -28,8 +28,6 @@ BANDS = BINS // BAND_ROWS
 SHARED_BANDS = 3
 #: Members of a star that one task compares with its centre, and of a bucket that are compared with one another.
 STAR_TASK, BLOCK = 256, 256
-#: Up to so many ids are sent to all tasks (about 16 MB); beyond that they are shuffled.
-BROADCAST_ROWS = 500_000
 KEPT = 200_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -140,7 +138,7 @@ def sketched(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str
 def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text of the documents in ids (id). Other texts aren't moved as long as the ids, counted, are few enough to be sent to all tasks."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
+    return texts.join(bounded(ids), "id", "left_semi")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,25 +202,34 @@ def _sized(rule: Rule):  # noqa: ANN202
 def hidden_links(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b) between components within buckets, which the stars can't show.
 
-    The members of a bucket with several components are compared in blocks, each pair of blocks by a task: pairs that
-    share some bands, in the first bucket that they share, on their full sets. Only links are put out, not candidates.
+    The largest component of a bucket is its core. Members outside of it are compared with the core and with one
+    another, in blocks, each pair of blocks by a task: pairs that share some bands, in the first bucket that they share,
+    on their full sets. Only links are put out, not candidates.
     """
     held = members.filter("members > 2").join(labels, F.col("rep") == F.col("node"), "left")
-    held = frozen(held.select("bucket", "band", "members", "rep", "n", F.coalesce("component", "rep").alias("component")))
-    several = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    split = held.join(several, "bucket").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    split = split.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # each block meets itself and every other one
-    dealt = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = frozen(dealt.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("rep").alias("id"), "n", "component"))
+    held = frozen(held.select("bucket", "band", "rep", "n", F.coalesce("component", "rep").alias("component")))
+    sizes = held.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
+    cores = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("core"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    split = held.join(cores, "bucket").select("bucket", "band", "rep", "n", "component", (F.col("component") == F.col("core.component")).alias("inside"), blocks(F.col("core.c")).alias("core_blocks"), blocks(F.col("all") - F.col("core.c")).alias("out_blocks"))
+    split = split.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("inside"), F.col("core_blocks")).otherwise(F.col("out_blocks"))).cast("int"))
+    each = lambda n, pair: F.transform(F.sequence(F.lit(0), n - 1), pair)
+    pair = lambda with_core, i, j: F.struct(F.lit(with_core).alias("with_core"), i.alias("i"), j.alias("j"))
+    own = F.col("own")
+    meets_core = F.when(F.col("inside"), each(F.col("out_blocks"), lambda j: pair(True, own, j))).otherwise(each(F.col("core_blocks"), lambda i: pair(True, i, own)))
+    meets_others = F.when(~F.col("inside"), each(F.col("out_blocks"), lambda o: pair(False, F.least(own, o), F.greatest(own, o))))
+    meetings = F.when(F.col("inside"), meets_core).otherwise(F.concat(meets_core, meets_others))
+    dealt = frozen(split.withColumn("meeting", F.explode(meetings)).select("bucket", "band", "meeting.*", "inside", "own", F.col("rep").alias("id"), "n", "component"))
     ids = frozen(dealt.select("id").distinct())
     known = _texts(docs, ids, id_col, text_col).join(sets.select(F.col("rep").alias("id"), "bands"), "id")
     percent, width = rule.percent, rule.words
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         bands, ids, n = np.stack(frame["bands"].to_numpy()), frame["id"].to_numpy(), frame["n"].to_numpy()
-        parts, own, texts = frame["component"].to_numpy().copy(), frame["own"].to_numpy(), frame["text"].to_numpy()
-        band, across = frame["band"].iloc[0], frame["i"].iloc[0] != frame["j"].iloc[0]
+        parts, texts, band = frame["component"].to_numpy().copy(), frame["text"].to_numpy(), frame["band"].iloc[0]
+        # sides that meet each other but not their own
+        across = frame["with_core"].iloc[0] or frame["i"].iloc[0] != frame["j"].iloc[0]
+        own = (frame["inside"] if frame["with_core"].iloc[0] else frame["own"]).to_numpy()
         maker, hashes, out = Sketcher(width), {}, []
 
         def of(k: int) -> np.ndarray:
@@ -245,7 +252,7 @@ def hidden_links(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: D
                     parts[parts == parts[y]] = parts[x]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.join(known, "id").groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return dealt.join(known, "id").groupBy("bucket", "with_core", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
