@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words without visual content, prepositions, filler terms, boilerplate patterns and limits.
+# Words without visual content, prepositions, filler terms, boilerplate patterns, the head of a brief, and limits.
 STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "behind", "beside", "by", "for", "from", "in", "into", "is", "it", "its", "of", "on", "or", "over", "that", "the", "their", "there", "this", "to", "under", "up", "with", "within"]
 PREPOSITIONS = ["about", "above", "across", "against", "along", "amid", "among", "around", "at", "atop", "before", "behind", "below", "beneath", "beside", "between", "beyond", "by", "down", "during", "for", "from", "in", "inside", "into", "near", "of", "off", "on", "onto", "outside", "over", "past", "through", "to", "toward", "under", "underneath", "up", "upon", "with", "within", "without"]
 FILLER = ["some kind of", "a type of", "a sort of", "various", "several objects", "an object", "a scene", "something", "unidentified", "unknown", "detailed", "beautiful", "realistic", "high quality", "stunning", "intricate", "etc"]
@@ -19,6 +19,7 @@ BOILERPLATE = [
     r"^(a (photo|photograph|image|picture) (of|showing|depicting|featuring)[,:]?\s*)",
     r"\s*\(?(generated|ai.?generated|stock photo|getty images?|shutterstock)[^.]*\.?\s*$",
 ]
+DOMAIN_BRIEF = "Domain context for this dataset — authoritative, and it outranks your own assumptions about what things are:\n{domain_brief}\n\n"
 MIN_WORDS, MAX_CHARS, MAX_PHRASES, MAX_PHRASE_WORDS, MAX_LABEL_WORDS = 20, 600, 3, 8, 6
 QUOTES = "\"'“”‘’"
 #: Unicode white space, with the separators that Python counts too.
@@ -281,9 +282,8 @@ def fill_template(template: Column, values: dict[str, Column]) -> Column:
 
 def with_brief(prompt: Column, brief: Column) -> Column:
     """A prompt behind the project's domain brief, if it has one."""
-    head = "Domain context for this dataset — authoritative, and it outranks your own assumptions about what things are:\n"
     text = trimmed(F.coalesce(brief, F.lit("")))
-    return F.when(F.length(text) > 0, F.concat(F.lit(head), text, F.lit("\n\n"), prompt)).otherwise(prompt)
+    return F.when(F.length(text) > 0, F.concat(fill_template(F.lit(DOMAIN_BRIEF), {"domain_brief": text}), prompt)).otherwise(prompt)
 
 
 def annotation_lines(labels: Column, places: Column) -> Column:
