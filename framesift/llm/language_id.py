@@ -26,8 +26,8 @@ LONGEST = 24
 #: Labelled documents of a language that the fit takes, about (chosen by hash).
 SAMPLE_DOCS = 400
 ROUNDS, SMOOTHING = 3, 0.05
-#: Words whose scores a task keeps.
-KEPT = 200_000
+#: Words whose scores a task keeps, and rows that it works on at a time.
+KEPT, ROWS = 100_000, 256
 UNKNOWN = "und"
 
 
@@ -184,9 +184,9 @@ class _Scorer:
             self.scores = np.vstack([self.scores, logs])
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        return [x for i in range(0, len(texts), 256) for x in self._some(texts[i : i + 256])]
+        return list(self._each(texts))
 
-    def _some(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+    def _each(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         split = [words_of(t or "") for t in texts]
         if not self.model.languages:
             split = [[] for _ in split]
@@ -217,9 +217,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(sent.value)
         for batch in batches:
-            found = scorer.predict(batch.column(0).to_pylist())
-            languages, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], languages, scores], names=[*keep, *names])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                found = scorer.predict(part.column(0).to_pylist())
+                languages, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], languages, scores], names=[*keep, *names])
 
     return source.mapInArrow(run, schema)
 

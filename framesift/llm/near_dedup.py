@@ -24,7 +24,7 @@ from framesift.llm.common import bounded, frozen, stored
 BIN_BITS, BAND_ROWS = 7, 4
 BINS = 1 << BIN_BITS
 BANDS = BINS // BAND_ROWS
-#: Pairs at the threshold share at least so many bands but for 3e-8 of them.
+#: Pairs at the threshold share at least so many bands but for 3e-8 of them at 0.85, and 1e-5 at 0.80.
 SHARED_BANDS = 3
 #: Members of a star that one task compares with its centre, and of a bucket that are compared with one another.
 STAR_TASK, BLOCK = 256, 256
