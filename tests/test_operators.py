@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions import geometry as g
 from framesift.operators import audit, buckets, captions, duplicates, export, ledger, outliers, quality_gate, upscale
+from framesift.operators.order import scan_order
 from framesift.plans import config, steps
 
 
@@ -40,6 +41,13 @@ def test_greedy_drop_follows_pair_order(spark):
     assert sorted(r.ord for r in out.collect()) == sorted(gone)
 
 
+def test_scan_order(spark):
+    rows = spark.createDataFrame([(f"d{i % 7}/f{i:03d}",) for i in range(200)], "rel string").repartition(5)
+    got = {r.rel: r.ord for r in scan_order(rows, [F.split("rel", "/")]).collect()}
+    assert got == {rel: i for i, rel in enumerate(sorted(got, key=lambda x: x.split("/")))}
+    assert scan_order(rows.limit(0), [F.col("rel")]).count() == 0
+
+
 def test_buckets(spark):
     rows = spark.createDataFrame([(1, 64, 64, "square_a.png"), (2, 32, 32, "square_b.png"), (3, 96, 64, "wide.png"), (4, 0, 5, "bad.png")], "id int, w int, h int, path string")
     assigned = buckets.assign_buckets(rows, [(512, 512), (768, 512)])
