@@ -1,7 +1,8 @@
 """A corpus from raw documents to shards, in five stages.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame. docs has
-to be a stored table, as run() makes it, so that a row's number is the same each time the table is read.
+to be a table of Parquet files, as run() makes it: rows are told apart by their file and place, so repeated and null ids
+do no harm. Extra columns, whatever their names, are handed on.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesift.llm import decontaminate, language_id, mixing, near_dedup, sharding
-from framesift.llm.common import bounded, frozen, read_table, stored
+from framesift.llm.common import bounded, fresh, frozen, read_table, stored, with_row_id
 
 #: Documents whose best language is less probable than this among those learned are rejected, as are those without letters.
 LEAST_SCORE = 0.5
@@ -25,15 +26,17 @@ def _columns(docs: DataFrame) -> list:
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those of no language that the labelled ones show."""
     model = language_id.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    found = language_id.predict(docs, model, keep=tuple(docs.columns), names=("_lang_pred", "_score"))
-    return found.filter((F.col("_lang_pred") != language_id.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*_columns(docs))
+    lang, score = fresh(docs, "_lang_pred"), fresh(docs, "_score")
+    found = language_id.predict(docs, model, keep=tuple(docs.columns), names=(lang, score))
+    return found.filter((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*_columns(docs))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates stays: five words, similarity 0.8. Rows are told apart by their number, so repeated and null ids do no harm."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    kept = near_dedup.near_duplicates(numbered, near_dedup.Rule(words=5, percent=80), id_col="_row").filter("kept").select(F.col("doc_id").alias("_row"))
-    return numbered.join(bounded(frozen(kept)), "_row", "left_semi").select(*_columns(docs))
+    """One row of each group of near duplicates stays: five words, similarity 0.8."""
+    row = fresh(docs, "_row")
+    numbered = with_row_id(docs, row)
+    kept = near_dedup.near_duplicates(numbered, near_dedup.Rule(words=5, percent=80), id_col=row).filter("kept").select(F.col("doc_id").alias(row))
+    return numbered.join(bounded(frozen(kept)), row, "left_semi").select(*_columns(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +46,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, or up to three times."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    taken = mixing.mixed(numbered, row_col="_row").filter("copies > 0").select("_row", "copies")
-    return numbered.join(bounded(frozen(taken)), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*_columns(docs))
+    row, copies, copy = fresh(docs, "_row"), fresh(docs, "_copies"), fresh(docs, "_copy")
+    numbered = with_row_id(docs, row)
+    taken = mixing.mixed(numbered, row_col=row).filter("copies > 0").select(row, F.col("copies").alias(copies))
+    return numbered.join(bounded(frozen(taken)), row).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*_columns(docs))
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,6 +71,31 @@ def numbered(df: DataFrame, keys: Sequence[Column], name: str = "row_number") ->
     )
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as it takes to clash with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: A row's number within its file takes the low bits of its number in the table.
+FILE_ROW_BITS = 36
+
+
+def with_row_id(table: DataFrame, name: str) -> DataFrame:
+    """table with a number of its own for each row, the same however often and in whatever splits it is read.
+
+    Splits depend on the cores that are there, so numbers by partition would change when an executor is lost between
+    two reads. Here the files, by path, and the rows within them count. table has to come from Parquet files.
+    """
+    file, at, number = fresh(table, "_file"), fresh(table, "_at"), fresh(table, "_number")
+    paths = table.select(F.col("_metadata.file_path").alias(file)).distinct()
+    files = frozen(numbered(paths, [F.col(file)], number))
+    placed = table.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+    return placed.join(bounded(files), file).withColumn(name, F.shiftleft(number, FILE_ROW_BITS) + F.col(at)).drop(file, at, number)
+
+
 #: Up to so many rows of numbers (about 16 MB) are sent to all tasks; more are shuffled.
 BROADCAST_ROWS = 500_000
 

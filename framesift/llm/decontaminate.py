@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import bounded, frozen
+from framesift.llm.common import bounded, fresh, frozen
 
 WORDS = r"[\p{L}\p{N}]+"
 SHINGLE, PERCENT = 5, 80
@@ -75,6 +75,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark item."""
-    bad = frozen(contaminated(docs, benchmark, id_col, text_col, percent=percent).select(F.col("row_key").alias("_bad")).distinct())
+    bad = fresh(docs, "_bad")
+    found = frozen(contaminated(docs, benchmark, id_col, text_col, percent=percent).select(F.col("row_key").alias(bad)).distinct())
     key = F.xxhash64(F.col(id_col), F.col(text_col))
-    return docs.join(bounded(bad), key == F.col("_bad"), "left_anti")
+    return docs.join(bounded(found), key == F.col(bad), "left_anti")

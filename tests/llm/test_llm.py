@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from framesift.llm import chat, decontaminate, exact_dedup, language_id, mixing, near_dedup, secrets, sharding, token_counts, warc
+from framesift.llm import chat, common, decontaminate, exact_dedup, language_id, mixing, near_dedup, secrets, sharding, token_counts, warc
 
 TOKENS = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row long, name string, bands string, key string"
@@ -425,6 +425,39 @@ def test_language_id(spark):
 # pipeline
 
 
+def test_row_ids(spark, tmp_path):
+    """Row numbers hold when the splits change, as they do when executors are lost."""
+    path = str(tmp_path / "t")
+    spark.range(5000).selectExpr("id", "uuid() AS u", "1 AS _file").repartition(3).write.parquet(path)
+    rows = common.with_row_id(spark.read.parquet(path), "_row")
+    before = {r.id: r._row for r in rows.collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        assert {r.id: r._row for r in rows.select("id", "_row").collect()} == before
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(set(before.values())) == 5000 and rows.columns == ["id", "u", "_file", "_row"]
+    assert common.with_row_id(spark.read.parquet(path).filter("id < 0"), "_row").count() == 0
+
+
+def test_stages_hand_on_extra_columns(spark, words, tmp_path):
+    import corpus_pipeline as p
+
+    extra = ["_row", "copies", "_copies", "_copy", "_bad", "_lang_pred", "_score", "_file", "row", "key", "bands"]
+    rows = spark.createDataFrame([(i, " ".join(words[i * 9 : i * 9 + 40]), "en", "s", i) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    for i, name in enumerate(extra):
+        rows = rows.withColumn(name, F.col("doc_id") * 100 + i)
+    path = str(tmp_path / "documents.parquet")
+    rows.write.parquet(path)
+    spark.createDataFrame([(0, "nothing of this is there at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in p.STAGES[:-1]:
+        kept = spark.read.parquet(path)
+        got = stage(spark, kept, str(tmp_path))
+        assert got.columns == rows.columns
+        assert got.collect() and all(r[name] == r.doc_id * 100 + i for r in got.collect() for i, name in enumerate(extra))
+        assert stage(spark, kept.filter("doc_id < 0"), str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, words, tmp_path):
     import corpus_pipeline as p
 
