@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from framesift.llm import decontaminate, language_id, mixing, near_dedup, sharding
 from framesift.llm.common import bounded, fresh, frozen, read_table, stored, with_row_id
 
-#: Documents whose best language is less probable than this among those learned are rejected, as are those without letters.
+#: Documents that are less probably than this of a language learned, against writing in none of them, are rejected, as are those without letters.
 LEAST_SCORE = 0.5
 SHARDS = 40
 
@@ -26,9 +26,9 @@ def _columns(docs: DataFrame) -> list:
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those of no language that the labelled ones show."""
     model = language_id.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    lang, score = fresh(docs, "_lang_pred"), fresh(docs, "_score")
-    found = language_id.predict(docs, model, keep=tuple(docs.columns), names=(lang, score))
-    return found.filter((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*_columns(docs))
+    lang, score, learned = fresh(docs, "_lang_pred"), fresh(docs, "_score"), fresh(docs, "_learned")
+    found = language_id.predict(docs, model, keep=tuple(docs.columns), names=(lang, score, learned))
+    return found.filter((F.col(lang) != language_id.UNKNOWN) & (F.col(learned) >= LEAST_SCORE)).select(*_columns(docs))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ ROUNDS, SMOOTHING = 3, 0.05
 #: Words whose scores a task keeps, and rows that it works on at a time.
 KEPT, ROWS = 100_000, 256
 UNKNOWN = "und"
+#: How likely a text of no learned language is beforehand, to one of a given learned language; matters for short texts only.
+OUTSIDE_PRIOR = 0.01
 
 
 @lru_cache(maxsize=2)
@@ -107,6 +109,24 @@ class Model:
     def __init__(self, languages: list[str], probs: np.ndarray, path: str) -> None:
         self.languages, self.probs, self.path = languages, probs, path
 
+    def outside(self) -> np.ndarray:
+        """Piece probabilities of writing in no learned language: half of it any piece of the vocabulary, half single letters.
+
+        Letters are as frequent as in the learned languages on average, so that their letters in another order, or in
+        the words of another language, are better explained here than there.
+        """
+        pieces = vocabulary(self.path)
+        letters: dict[int, float] = {}
+        means = self.probs.mean(axis=1)
+        for piece, n in pieces.items():
+            for c in piece:
+                at = pieces.get(c, 0)
+                letters[at] = letters.get(at, 0.0) + means[n]
+        out, total = np.full(len(means), 0.5 / len(means)), sum(letters.values())
+        for at, share in letters.items():
+            out[at] += 0.5 * share / total
+        return out
+
     @staticmethod
     def start(languages: list[str], path: str) -> Model:
         n = len(vocabulary(path)) + 1
@@ -172,45 +192,49 @@ class _Scorer:
         self.model, self.pieces = model, vocabulary(model.path)
         self.longest = max(map(len, self.pieces))
         self.known: dict[str, int] = {}
-        self.scores = np.empty((0, len(model.languages)))
+        # the last column is the alternative to all languages learned
+        self.probs = np.column_stack([model.probs, model.outside()]) if model.languages else model.probs
+        self.scores = np.empty((0, self.probs.shape[1]))
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > KEPT:
             self.known, self.scores = {}, self.scores[:0]
         new = [w for w in words if w not in self.known]
         if new:
-            logs = np.log(np.maximum(forward(new, self.model.probs, self.pieces, self.longest), 1e-300))
+            logs = np.log(np.maximum(forward(new, self.probs, self.pieces, self.longest), 1e-300))
             self.known.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
             self.scores = np.vstack([self.scores, logs])
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         return list(self._each(texts))
 
-    def _each(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+    def _each(self, texts: list[str | None]) -> Iterator[tuple[str, float, float]]:
         split = [words_of(t or "") for t in texts]
         if not self.model.languages:
             split = [[] for _ in split]
         self.learn({w for ws in split for w in ws})
         for words in split:
             if not any(c.isalpha() for w in words for c in w):
-                yield UNKNOWN, 0.0
+                yield UNKNOWN, 0.0, 0.0
                 continue
-            total = self.scores[list(map(self.known.__getitem__, words))].sum(axis=0)
-            odds = np.exp(total - total.max())
-            best = int(total.argmax())
-            yield self.model.languages[best], float(odds[best] / odds.sum())
+            *total, outside = self.scores[list(map(self.known.__getitem__, words))].sum(axis=0)
+            odds = np.exp(np.array(total) - max(total))
+            best = int(odds.argmax())
+            against = OUTSIDE_PRIOR * np.exp(min(outside - total[best], 700.0))
+            yield self.model.languages[best], float(odds[best] / odds.sum()), float(odds.sum() / (odds.sum() + against))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Columns keep of each row of docs, then the language and the score (its probability among the languages learned).
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("lang_pred", "score", "learned")) -> DataFrame:
+    """Columns keep of each row of docs, then the language, the score (its probability among the languages learned) and
+    the probability that the text is of a language learned at all, against Model.outside().
 
-    Only the text is looked at, all of it. A text that is null or has no letter is `und` with score 0, as is any text
+    Only the text is looked at, all of it. A text that is null or has no letter is `und` with 0 and 0, as is any text
     if no language was learned. names must not clash with keep. Nothing is shuffled; an empty table gives an empty
     result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
-    schema = kept.withColumn(names[0], F.lit("")).withColumn(names[1], F.lit(0.0)).schema
+    schema = kept.withColumn(names[0], F.lit("")).withColumn(names[1], F.lit(0.0)).withColumn(names[2], F.lit(0.0)).schema
     # the text comes first: by place, it can't clash with a kept column
     source = docs.select(F.col(f"`{text_col}`").cast("string").alias("_0"), *[F.col(f"`{c}`").alias(f"_{i + 1}") for i, c in enumerate(keep)])
 
@@ -220,8 +244,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 found = scorer.predict(part.column(0).to_pylist())
-                languages, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], languages, scores], names=[*keep, *names])
+                added = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *added], names=[*keep, *names])
 
     return source.mapInArrow(run, schema)
 

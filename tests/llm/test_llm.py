@@ -425,6 +425,22 @@ def test_language_id(spark):
 # pipeline
 
 
+@pytest.mark.parametrize("learned", [("aa",), ("aa", "bb")])
+def test_unlearned_languages_go(spark, learned):
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    sounds = {"aa": ["ka", "ro", "mi", "tal"], "bb": ["sch", "eit", "ung", "ver"], "cc": ["eux", "oi", "que", "ment"]}
+    say = lambda lang, n: " ".join("".join(rng.choice(sounds[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    gibberish = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    clean = [(say(lang, rng.randint(20, 90)), lang) for lang in learned for _ in range(100)]
+    clean += [(say(lang, n), None) for lang in learned for n in (2, 3, 5, 400) for _ in range(5)]
+    strange = [(say("cc", n), None) for n in (20, 60, 400)] + [(gibberish(n), None) for n in (10, 60, 400)] + [("Все люди рождаются свободными и равными", None), ("人人生而自由在尊严和权利上一律平等", None)]
+    texts, langs = zip(*clean, *strange, strict=True)
+    kept = p.identified(spark, docs(spark, texts, langs=langs), "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(len(clean)))
+
+
 def test_row_ids(spark, tmp_path):
     """Row numbers hold when the splits change, as they do when executors are lost."""
     path = str(tmp_path / "t")
