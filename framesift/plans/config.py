@@ -69,12 +69,18 @@ class BucketCheck:
             raise ValueError("bucket_check: buckets must be pairs of positive sizes")
 
 
+@dataclass(frozen=True)
+class Export:
+    #: Whether images that have a caption of this run only, and no caption file, are exported too.
+    new_captions: bool = False
+
+
 @dataclass(frozen=True)
 class Nothing:
     """Settings of a step that has none."""
 
 
-KINDS: dict[str, type] = {"quality_gate": QualityGate, "curate": Curate, "upscale": Upscale, "caption": Caption, "vae_gate": VaeGate, "audit": Audit, "bucket_check": BucketCheck}
+KINDS: dict[str, type] = {"quality_gate": QualityGate, "curate": Curate, "upscale": Upscale, "caption": Caption, "vae_gate": VaeGate, "audit": Audit, "bucket_check": BucketCheck, "export": Export}
 
 
 @dataclass(frozen=True)

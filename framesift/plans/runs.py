@@ -143,6 +143,16 @@ class Run:
     def _captions(self) -> DataFrame:
         return files.read_captions(self.spark, self.project.input_dir).select("stem", "text")
 
+    def _final_captions(self) -> DataFrame:
+        """stem, text as the caption step left them, else as the files have them."""
+        found = self._captions()
+        if "caption" not in self.state.satisfied() or not Path(self.folder("caption")).exists():
+            return found
+        last = self.spark.read.parquet(self.folder("caption")).filter("text IS NOT NULL").select("stem", F.col("text").alias("last"))
+        how = "full_outer" if self.project.of("export").new_captions else "left"
+        # two images can share a stem, and so a caption
+        return found.join(last.groupBy("stem").agg(F.min("last").alias("last")), "stem", how).select("stem", F.coalesce("last", "text").alias("text"))
+
     def _caption(self) -> dict:
         c = self.project.of("caption")
         images = self.images("quality_gate", "curate").withColumn("stem", audit.rel_stem(F.col("rel")))
@@ -196,19 +206,23 @@ class Run:
     def _export(self) -> dict:
         target = f"{self.project.output}_export"
         digests = lambda rows: rows.select(audit.rel_stem(F.col("rel")).alias("stem"), F.sha1("content").alias("digest"))
-        texts = lambda root: files.read_captions(self.spark, root).select("stem", F.sha1(F.col("text").cast("binary")).alias("digest"))
+        texts = lambda rows: rows.select("stem", F.sha1(F.col("text").cast("binary")).alias("digest"))
+        captioned = self._final_captions()
         kept = self.images("import", "quality_gate", "curate", "vae_gate")
         source = files.scan_images(self.spark, self.project.input_dir).join(kept.select("path"), "path", "left_semi")
         none = self.spark.createDataFrame([], "stem string, digest string")
         there = Path(target).exists()
-        diff = export.export_diff(digests(source), texts(self.project.input_dir), digests(files.scan_images(self.spark, target)) if there else none, texts(target) if there else none)
+        diff = export.export_diff(digests(source), texts(captioned), digests(files.scan_images(self.spark, target)) if there else none, texts(files.read_captions(self.spark, target)) if there else none)
         stored = self.store("export_diff", diff)
         report = export.export_counts(stored).first().asDict()
         answers = self.hooks.decide("export", stored)
         if answers is not None:
             chosen = export.to_copy(stored, answers.filter("decision = 'exclude'").select(F.col("path").alias("stem")))
-            rows = source.withColumn("stem", audit.rel_stem(F.col("rel"))).join(chosen.select("stem"), "stem", "left_semi")
-            report["copied"] = files.copy_files(rows.select("rel", "content"), f"file://{Path(target).absolute()}").filter("copied").count()
+            pictures = source.select(audit.rel_stem(F.col("rel")).alias("stem"), "rel", "content")
+            sidecars = captioned.select("stem", F.concat("stem", F.lit(".txt")).alias("rel"), F.col("text").cast("binary").alias("content"))
+            rows = pictures.unionByName(sidecars).join(chosen.select("stem"), "stem", "left_semi")
+            written = files.copy_files(rows, f"file://{Path(target).absolute()}", overwrite=True).filter("copied")
+            report["copied"] = written.select(audit.rel_stem(F.col("rel"))).distinct().count()
         return report
 
     # a run

@@ -101,8 +101,8 @@ def write_report(report: DataFrame, folder: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(folder)
 
 
-def copy_files(rows: DataFrame, target: str) -> DataFrame:
-    """Writes content of (rel, content) below target, whatever file system that is on; rel, copied. A file that is there stays."""
+def copy_files(rows: DataFrame, target: str, overwrite: bool = False) -> DataFrame:
+    """Writes content of (rel, content) below target, whatever file system that is on; rel, copied. A file that is there stays unless overwrite is set."""
     import pyarrow as pa
     from pyarrow import fs
 
@@ -112,7 +112,7 @@ def copy_files(rows: DataFrame, target: str) -> DataFrame:
             done = []
             for rel, content in zip(batch.column("rel"), batch.column("content"), strict=True):
                 at = f"{root}/{rel.as_py()}"
-                fresh = store.get_file_info(at).type == fs.FileType.NotFound
+                fresh = overwrite or store.get_file_info(at).type == fs.FileType.NotFound
                 if fresh:
                     store.create_dir(at.rpartition("/")[0], recursive=True)
                     with store.open_output_stream(f"{at}.part", compression=None) as out:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions import pixels
 from framesift.operators.ledger import ENTRY
-from framesift.plans.config import BucketCheck, Project, QualityGate
+from framesift.plans.config import BucketCheck, Export, Project, QualityGate
 from framesift.operators.quality_gate import Scorer
 from framesift.plans.runs import Hooks, Run, outcome
 from framesift.sources import files
@@ -97,6 +97,37 @@ def test_whole_run(spark, folder, tmp_path):
     assert outcome({"skipped": ["a"]}) == ("completed", "") and outcome({})[0] == "skipped" and outcome(None)[0] == "completed"
 
 
+def test_export_copies_captions_and_changes(spark, tmp_path, make_png):
+    rng = np.random.default_rng(4)
+    root, target = tmp_path / "in", tmp_path / "out_export"
+    (root / "sub").mkdir(parents=True)
+    images = [make_png(rng.integers(0, 255, (40, 40, 3)).tolist()) for _ in range(5)]
+    for name, content in zip(("same", "picture", "sub/words", "new"), images, strict=False):
+        (root / f"{name}.png").write_bytes(content)
+    for name in ("same", "picture", "sub/words"):
+        (root / f"{name}.txt").write_text(f"a caption of {name}")
+    settings = {"quality_gate": QualityGate(scorers=(Scorer("min_side", "lt", 20.0),)), "export": Export(new_captions=True)}
+    project = Project("t", str(root), str(tmp_path / "out"), settings=settings)
+    hooks = Hooks(
+        decide=lambda step, rows: rows.select(F.col("stem").alias("path"), F.lit("exclude").alias("decision")).limit(0) if step == "export" else None,
+        caption=lambda rows: rows.select("stem", F.lit("a caption of this run").alias("made")),
+    )
+    steps = ["import", "quality_gate", "curate", "caption", "export"]
+    first = Run(spark, project, hooks).run(steps)["export"]
+    assert first == {"added": 4, "modified": 0, "unchanged": 0, "orphaned": 0, "copied": 4}
+    texts = lambda: {str(p.relative_to(target))[:-4]: p.read_text() for p in target.rglob("*.txt")}
+    made = texts()["new"]
+    assert "caption of this run" in made.lower()
+    assert texts() == {"same": "a caption of same", "picture": "a caption of picture", "sub/words": "a caption of sub/words", "new": made}
+    (root / "picture.png").write_bytes(images[4])
+    (root / "sub/words.txt").write_text("other words")
+    second = Run(spark, project, hooks).run(steps, force=True)["export"]
+    assert second == {"added": 0, "modified": 2, "unchanged": 2, "orphaned": 0, "copied": 2}
+    assert (target / "picture.png").read_bytes() == images[4] and texts()["sub/words"] == "other words"
+    third = Run(spark, project, hooks).run(["export"], force=True)["export"]
+    assert third == {"added": 0, "modified": 0, "unchanged": 4, "orphaned": 0, "copied": 0}
+
+
 def test_records(spark, tmp_path):
     (tmp_path / "l.json").write_text('{"version": 1, "entries": {"/a": {"verdict": "wrong", "caption_at_verdict": "c"}, "/b": {"verdict": "odd"}}}')
     (tmp_path / "bad.json").write_text("[1, 2]")
