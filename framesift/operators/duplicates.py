@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,12 +14,12 @@ from framesift.operators.order import kept
 LEAST_BAND_BITS = 8
 
 
-def near_dup_pairs(hashes: DataFrame, distance: int = 3) -> DataFrame:
-    """a, b, dist of all pairs of (ord, h) with a before b and at most `distance` bits between them.
+def close_hashes(hashes: DataFrame, distance: int = 3) -> DataFrame:
+    """x, y of all pairs of different hashes h with x < y and at most `distance` bits between them, each once.
 
     Two hashes that close agree on one of distance + 1 bands, so pairs meet by an equi-join on bands of the distinct
-    hashes; equal hashes are joined on the hash itself. Where bands would be too narrow, distinct hashes are split
-    into blocks that meet each other, each pair of blocks once.
+    hashes. Where bands would be too narrow, distinct hashes are split into blocks that meet each other, each pair of
+    blocks once.
     """
     distinct = hashes.select("h").distinct()
     bands = distance + 1
@@ -34,7 +36,15 @@ def near_dup_pairs(hashes: DataFrame, distance: int = 3) -> DataFrame:
         left = own.select(F.col("h").alias("x"), F.col("own").alias("i"), F.explode(every).alias("j"))
         right = own.select(F.col("h").alias("y"), F.col("own").alias("j"), F.explode(every).alias("i"))
         met = left.join(right, ["i", "j"])
-    close = met.filter((F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance)).select("x", "y").distinct()
+    return met.filter((F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance)).select("x", "y").distinct()
+
+
+def near_dup_pairs(hashes: DataFrame, distance: int = 3) -> DataFrame:
+    """a, b, dist of all pairs of (ord, h) with a before b and at most `distance` bits between them.
+
+    Copies of one hash make a row for each two of them; greedy_drop_hashes and pair_count do without these rows.
+    """
+    close = close_hashes(hashes, distance)
     rows = hashes.select("ord", "h")
     first, second = rows.select(F.col("ord").alias("o1"), F.col("h").alias("x")), rows.select(F.col("ord").alias("o2"), F.col("h").alias("y"))
     across = close.join(first, "x").join(second, "y").select("o1", "o2", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("int").alias("dist"))
@@ -57,26 +67,88 @@ def components(pairs: DataFrame) -> DataFrame:
             return labels
 
 
+def pair_count(hashes: DataFrame, close: DataFrame) -> int:
+    """The number of rows of near_dup_pairs, from the number of copies of each hash."""
+    sizes = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    same = sizes.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0]
+    first, second = sizes.select(F.col("h").alias("x"), F.col("n").alias("nx")), sizes.select(F.col("h").alias("y"), F.col("n").alias("ny"))
+    across = close.join(first, "x").join(second, "y").agg(F.sum(F.col("nx") * F.col("ny"))).first()[0]
+    return (same or 0) + (across or 0)
+
+
 def greedy_drop(pairs: DataFrame, blur: DataFrame) -> DataFrame:
     """ord of the images to drop: pairs in order of (a, b); one with a side that is dropped already is passed over, else the blurrier side goes, a if both are alike.
 
     blur has ord and blur (higher is sharper). The order matters within a component only, so components are gone
     through in parallel.
     """
-    groups = components(pairs)
-    sharp = blur.select("ord", "blur")
-    rows = (
-        pairs.join(groups.withColumnRenamed("node", "a"), "a")
-        .join(sharp.select(F.col("ord").alias("a"), F.col("blur").alias("blur_a")), "a")
-        .join(sharp.select(F.col("ord").alias("b"), F.col("blur").alias("blur_b")), "b")
-        .select("component", "a", "b", "blur_a", "blur_b")
-    )
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        gone: set[int] = set()
-        for row in frame.sort_values(["a", "b"]).itertuples(index=False):
-            if row.a not in gone and row.b not in gone:
-                gone.add(row.a if row.blur_a <= row.blur_b else row.b)
-        return pd.DataFrame({"ord": sorted(gone)}, dtype="int64")
-
-    return rows.groupBy("component").applyInPandas(walk, "ord long")
+    known = blur.select("ord")
+    close = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
+    close = close.join(known.withColumnRenamed("ord", "x"), "x", "left_semi").join(known.withColumnRenamed("ord", "y"), "y", "left_semi")
+    return _dropped(blur.select("ord", F.col("ord").alias("h"), "blur"), close)
+
+
+def greedy_drop_hashes(hashes: DataFrame, close: DataFrame) -> DataFrame:
+    """As greedy_drop on all pairs of (ord, h, blur), from the pairs of different hashes (close_hashes) alone."""
+    return _dropped(hashes.filter("h IS NOT NULL").select("ord", "h", "blur"), close)
+
+
+def _dropped(members: DataFrame, close: DataFrame) -> DataFrame:
+    """Images of one hash have the same pairs, so hashes are what is joined, and pairs of images are never made.
+
+    Where each image of a component is paired with each other one, as copies of one hash are, the walk leaves the last
+    of the sharpest, which is an aggregate. Other components are walked through in a task each, which holds a row for
+    each image and one for each pair of different hashes.
+    """
+    close = kept(close.select("x", "y"))
+    groups = kept(components(close.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("h"), "component"))
+    placed = kept(members.join(groups, "h", "left").select(F.coalesce("component", "h").alias("component"), "h", "ord", (F.col("blur").cast("double") + F.lit(0.0)).alias("blur")))
+    links = close.join(groups.withColumnRenamed("h", "x"), "x").select("component", "x", "y")
+    shape = groups.groupBy("component").agg(F.count(F.lit(1)).alias("k")).join(links.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "component")
+    partial = shape.filter("m < k * (k - 1) div 2").select("component", F.lit(True).alias("partial"))
+    unsure = F.max(F.col("blur").isNull() | F.isnan("blur"))
+    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), unsure.alias("unsure"), F.max(F.struct("blur", "ord")).alias("best")).filter("n > 1")
+    sizes = kept(sizes.join(partial, "component", "left").select("component", F.col("best.ord").alias("best"), (F.col("unsure") | F.coalesce("partial", F.lit(False))).alias("walked")))
+    alike = placed.join(sizes.filter("NOT walked"), "component").filter("ord <> best").select(F.col("ord").cast("long").alias("ord"))
+    walked = sizes.filter("walked").select("component")
+    left, right = placed.join(walked, "component", "left_semi"), links.join(walked, "component", "left_semi")
+    return alike.unionByName(left.groupBy("component").cogroup(right.groupBy("component")).applyInPandas(_walk, "ord long"))
+
+
+def _walk(images: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """The greedy walk of one component: each image in order, against the images after it that are still there."""
+    images = images.sort_values("ord")
+    places: dict[int, list[int]] = {}
+    ords, hashes, blurs = images["ord"].tolist(), images["h"].tolist(), images["blur"].tolist()
+    for i, h in enumerate(hashes):
+        places.setdefault(h, []).append(i)
+    near: dict[int, list[int]] = {h: [h] for h in places}
+    for x, y in zip(links["x"].tolist(), links["y"].tolist(), strict=True):
+        near[x].append(y)
+        near[y].append(x)
+    # the next image of each hash: all before it are behind the walk or gone
+    at, gone = dict.fromkeys(places, 0), [False] * len(ords)
+
+    def head(h: int, after: int) -> int | None:
+        mine, i = places[h], at[h]
+        while i < len(mine) and (mine[i] <= after or gone[mine[i]]):
+            i += 1
+        at[h] = i
+        return mine[i] if i < len(mine) else None
+
+    for a, h in enumerate(hashes):
+        if gone[a]:
+            continue
+        heads = [(b, g) for g in near[h] if (b := head(g, a)) is not None]
+        heapq.heapify(heads)
+        while heads:
+            b, g = heads[0]
+            if blurs[a] <= blurs[b]:
+                gone[a] = True
+                break
+            gone[b] = True
+            if (b := head(g, a)) is None:
+                heapq.heappop(heads)
+            else:
+                heapq.heapreplace(heads, (b, g))
+    return pd.DataFrame({"ord": [o for o, g in zip(ords, gone, strict=True) if g]}, dtype="int64")

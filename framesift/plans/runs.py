@@ -128,10 +128,12 @@ class Run:
     def _curate(self) -> dict:
         # the place of an image in the scan, sorted by path parts, orders the pairs
         numbered = self.store("curate_order", scan_order(self.images("quality_gate"), [files.path_order(F.col("rel"))]))
-        pairs = self.store("curate_pairs", duplicates.near_dup_pairs(numbered.filter("phash IS NOT NULL").select("ord", F.col("phash").alias("h")), self.project.of("curate").max_distance))
-        dropped = duplicates.greedy_drop(pairs, numbered.select("ord", "blur")) if not pairs.isEmpty() else self.spark.createDataFrame([], "ord long")
+        hashes = numbered.filter("phash IS NOT NULL").select("ord", F.col("phash").alias("h"), "blur")
+        # pairs of different hashes; which images have them is in curate_order
+        close = self.store("curate_close", duplicates.close_hashes(hashes, self.project.of("curate").max_distance))
+        dropped = duplicates.greedy_drop_hashes(hashes, close)
         kept = self.store("curate", numbered.join(dropped, "ord", "left_anti").drop("ord"))
-        return {"duplicate_pairs": pairs.count(), "images": kept.count()}
+        return {"duplicate_pairs": duplicates.pair_count(hashes, close), "images": kept.count()}
 
     def _upscale(self) -> dict:
         c = self.project.of("upscale")

@@ -217,7 +217,7 @@ def near_dup_pairs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def greedy_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashes = _hashes(spark, sf_dir)
-    return duplicates.greedy_drop(duplicates.near_dup_pairs(hashes, 3), hashes)
+    return duplicates.greedy_drop_hashes(hashes, duplicates.close_hashes(hashes, 3))
 
 
 PLAN_SQL = f"""{IMAGES_SQL}, plan AS (SELECT *, least(w, h) AS min_side, regexp_matches(lower(path), '\\.jpe?g$') AS is_jpeg, regexp_matches(lower(path), '\\.jpe?g$') AND least(w, h) >= 700 AS needs_pre_downscale,

@@ -41,6 +41,38 @@ def test_greedy_drop_follows_pair_order(spark):
     assert sorted(r.ord for r in out.collect()) == sorted(gone)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_greedy_drop_of_hashes(spark, seed):
+    """Classes of copies, cliques and chains of near hashes, ties and missing sharpness, against the walk over all pairs."""
+    rng = random.Random(seed)
+    base = [rng.getrandbits(63) for _ in range(12)]
+    hashes = [rng.choice(base) ^ sum(1 << b for b in set(rng.choices(range(8), k=rng.choice((0, 0, 0, 1, 2, 4))))) for _ in range(150)]
+    blurs = [rng.choice((None, float("nan"))) if rng.random() < 0.03 else float(rng.randint(0, 4)) for _ in hashes]
+    less = lambda x, y: x is not None and y is not None and x <= y
+    gone: set[int] = set()
+    close = [(a, b) for a, b in itertools.combinations(range(150), 2) if (hashes[a] ^ hashes[b]).bit_count() <= 3]
+    for a, b in close:
+        if a not in gone and b not in gone:
+            gone.add(a if less(blurs[a], blurs[b]) else b)
+    rows = spark.createDataFrame(list(zip(range(150), hashes, blurs, strict=True)), "ord long, h long, blur double").repartition(3)
+    found = duplicates.close_hashes(rows, 3)
+    assert sorted(r.ord for r in duplicates.greedy_drop_hashes(rows, found).collect()) == sorted(gone)
+    assert duplicates.pair_count(rows, found) == len(close)
+    assert duplicates.greedy_drop_hashes(rows.limit(0), found.limit(0)).count() == 0 == duplicates.pair_count(rows.limit(0), found.limit(0))
+
+
+def test_greedy_drop_with_a_common_hash(spark):
+    """A third of the images share a hash, a third a chain of near ones: over 2e10 pairs, which are never made."""
+    n, kind = 300_000, F.col("ord") % 3
+    h = F.when(kind == 0, 0).when(kind == 1, F.element_at(F.array(*[F.lit(x << 40) for x in (1, 7, 63)]), (F.col("ord") % 9 / 3).cast("int") + 1)).otherwise(F.xxhash64("ord"))
+    rows = spark.range(n).withColumnRenamed("id", "ord").select("ord", h.cast("long").alias("h"), (F.col("ord") % 7).cast("double").alias("blur"))
+    close = duplicates.close_hashes(rows, 3)
+    kept = rows.join(duplicates.greedy_drop_hashes(rows, close), "ord", "left_anti")
+    counts = {r.kind: r.n for r in kept.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert duplicates.pair_count(rows, close) > 1e10
+    assert counts[2] == n // 3 and 1 <= counts.get(0, 0) + counts.get(1, 0) <= 2
+
+
 def test_scan_order(spark):
     rows = spark.createDataFrame([(f"d{i % 7}/f{i:03d}",) for i in range(200)], "rel string").repartition(5)
     got = {r.rel: r.ord for r in scan_order(rows, [F.split("rel", "/")]).collect()}
