@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is computed within goes to Python in batches of so many rows at most, so that memory doesn't follow the length of texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -87,8 +101,15 @@ def with_row_id(table: DataFrame, name: str) -> DataFrame:
     """table with a number of its own for each row, the same however often and in whatever splits it is read.
 
     Splits depend on the cores that are there, so numbers by partition would change when an executor is lost between
-    two reads. Here the files, by path, and the rows within them count. table has to come from Parquet files.
+    two reads. Here the files, by path, and the rows within them count. A table that doesn't come straight from Parquet
+    files is frozen first, and its rows count by partition.
     """
+    try:
+        if "_metadata" in map(str.lower, table.columns):
+            raise AnalysisException("a column of this name hides the file's")
+        table.select("_metadata.row_index")
+    except AnalysisException:
+        return frozen(table).withColumn(name, F.monotonically_increasing_id())
     file, at, number = fresh(table, "_file"), fresh(table, "_at"), fresh(table, "_number")
     paths = table.select(F.col("_metadata.file_path").alias(file)).distinct()
     files = frozen(numbered(paths, [F.col(file)], number))

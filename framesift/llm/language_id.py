@@ -8,6 +8,7 @@ probabilities (forward and backward passes). Pieces never cross words, so a text
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import frozen, shuffle_partitions
+from framesift.llm.common import arrow_batches, frozen, shuffle_partitions, stored
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Longer words are cut, so that products stay above the least double.
@@ -26,8 +27,8 @@ LONGEST = 24
 #: Labelled documents of a language that the fit takes, about (chosen by hash).
 SAMPLE_DOCS = 400
 ROUNDS, SMOOTHING = 3, 0.05
-#: Words whose scores a task keeps, and rows that it works on at a time.
-KEPT, ROWS = 100_000, 256
+#: Words whose scores a worker keeps, words that are scored at a time (two such runs have to fit), and texts that Python gets at a time.
+KEPT, RUN, BATCH = 100_000, 30_000, 500
 UNKNOWN = "und"
 #: How likely a text of no learned language is beforehand, to one of a given learned language; matters for short texts only.
 OUTSIDE_PRIOR = 0.01
@@ -108,6 +109,8 @@ class Model:
 
     def __init__(self, languages: list[str], probs: np.ndarray, path: str) -> None:
         self.languages, self.probs, self.path = languages, probs, path
+        #: Tells models apart within a worker.
+        self.name = uuid.uuid4().hex
 
     def outside(self) -> np.ndarray:
         """Piece probabilities of writing in no learned language: half of it any piece of the vocabulary, half single letters.
@@ -186,7 +189,7 @@ def fit(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col:
 
 
 class _Scorer:
-    """Scores texts by their words; keeps the scores of words that came up."""
+    """Scores texts by their words; keeps the scores of words that came up, up to a bound."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.pieces = model, vocabulary(model.path)
@@ -194,43 +197,76 @@ class _Scorer:
         self.known: dict[str, int] = {}
         # the last column is the alternative to all languages learned
         self.probs = np.column_stack([model.probs, model.outside()]) if model.languages else model.probs
-        self.scores = np.empty((0, self.probs.shape[1]))
+        self.scores = np.empty((KEPT, self.probs.shape[1]))
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > KEPT:
-            self.known, self.scores = {}, self.scores[:0]
         new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > KEPT:
+            self.known, new = {}, list(words)
         if new:
-            logs = np.log(np.maximum(forward(new, self.probs, self.pieces, self.longest), 1e-300))
-            self.known.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
-            self.scores = np.vstack([self.scores, logs])
+            at = len(self.known)
+            self.scores[at : at + len(new)] = np.log(np.maximum(forward(new, self.probs, self.pieces, self.longest), 1e-300))
+            self.known.update(zip(new, range(at, at + len(new)), strict=True))
+
+    def totals(self, texts: list[str | None]) -> tuple[np.ndarray, list[bool]]:
+        """The log likelihood of each text, and whether it has a letter. Runs of words are scored together, those of a long text one after the other."""
+        sums, letters = np.zeros((len(texts), self.probs.shape[1])), []
+        waiting: list[tuple[int, list[str]]] = []
+        n = 0
+
+        def score() -> None:
+            self.learn(set().union(*(words for _, words in waiting)))
+            for i, words in waiting:
+                sums[i] += self.scores[list(map(self.known.__getitem__, words))].sum(axis=0)
+            waiting.clear()
+
+        for i, text in enumerate(texts):
+            words = words_of(text or "")
+            letters.append(any(c.isalpha() for w in words for c in w))
+            for at in range(0, len(words), RUN):
+                waiting.append((i, words[at : at + RUN]))
+                n += len(waiting[-1][1])
+                if n >= RUN:
+                    score()
+                    n = 0
+        if waiting:
+            score()
+        return sums, letters
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         return list(self._each(texts))
 
     def _each(self, texts: list[str | None]) -> Iterator[tuple[str, float, float]]:
-        split = [words_of(t or "") for t in texts]
         if not self.model.languages:
-            split = [[] for _ in split]
-        self.learn({w for ws in split for w in ws})
-        for words in split:
-            if not any(c.isalpha() for w in words for c in w):
+            yield from [(UNKNOWN, 0.0, 0.0)] * len(texts)
+            return
+        for (*total, outside), has_letter in zip(*self.totals(texts), strict=True):
+            if not has_letter:
                 yield UNKNOWN, 0.0, 0.0
                 continue
-            *total, outside = self.scores[list(map(self.known.__getitem__, words))].sum(axis=0)
             odds = np.exp(np.array(total) - max(total))
             best = int(odds.argmax())
             against = OUTSIDE_PRIOR * np.exp(min(outside - total[best], 700.0))
             yield self.model.languages[best], float(odds[best] / odds.sum()), float(odds.sum() / (odds.sum() + against))
 
 
+_latest: list[_Scorer] = []
+
+
+def _scorer(model: Model) -> _Scorer:
+    """A scorer for the model, the same for all tasks that a worker runs one after the other, so that each worker learns a word once."""
+    if not _latest or _latest[0].model.name != model.name:
+        _latest[:] = [_Scorer(model)]
+    return _latest[0]
+
+
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("lang_pred", "score", "learned")) -> DataFrame:
     """Columns keep of each row of docs, then the language, the score (its probability among the languages learned) and
     the probability that the text is of a language learned at all, against Model.outside().
 
     Only the text is looked at, all of it. A text that is null or has no letter is `und` with 0 and 0, as is any text
-    if no language was learned. names must not clash with keep. Nothing is shuffled; an empty table gives an empty
-    result.
+    if no language was learned. names must not clash with keep. Nothing is shuffled; the result is written to the shared
+    folder, so keep should be ids rather than texts. An empty table gives an empty result, repeated rows each have a row.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
@@ -239,15 +275,14 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     source = docs.select(F.col(f"`{text_col}`").cast("string").alias("_0"), *[F.col(f"`{c}`").alias(f"_{i + 1}") for i, c in enumerate(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(sent.value)
+        scorer = _scorer(sent.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                found = scorer.predict(part.column(0).to_pylist())
-                added = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *added], names=[*keep, *names])
+            found = scorer.predict(batch.column(0).to_pylist())
+            added = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *added], names=[*keep, *names])
 
-    return source.mapInArrow(run, schema)
+    with arrow_batches(docs.sparkSession, BATCH):
+        return stored(source.mapInArrow(run, schema), "languages")
 
 
 def identify(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

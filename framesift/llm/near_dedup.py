@@ -2,13 +2,15 @@
 
 A text's distinct word shingles are hashed once; the hash's first bits choose a bin, the rest compete to be the
 bin's least. A bin without a hash borrows from the first one with a hash in an order of its own. Bands of bins make
-buckets. Equal sets are merged first; then each bucket proposes a star of edges from its smallest member, not all
-pairs, and every edge is confirmed on the full sets. Buckets whose members still lie in several components are gone
-through again in blocks, where only pairs that share several bands are proposed, so that no star hides a link.
+buckets. Texts of the same words are merged first; then each bucket proposes a star of edges from its smallest member,
+not all pairs, and every edge is confirmed on the full sets. All members of the buckets of one centre make a group:
+where a group still lies in several components, its members are compared across these in blocks, by counts of common
+shingles, so that no star hides a link.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,16 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import bounded, frozen, stored
+from framesift.llm.common import arrow_batches, bounded, frozen, stored
 
 #: 128 bins in bands of 4: a pair at the threshold 0.85 is missed with probability 6e-11, at 0.80 with 5e-8.
 BIN_BITS, BAND_ROWS = 7, 4
 BINS = 1 << BIN_BITS
 BANDS = BINS // BAND_ROWS
-#: Pairs at the threshold share at least so many bands but for 3e-8 of them at 0.85, and 1e-5 at 0.80.
-SHARED_BANDS = 3
-#: Members of a star that one task compares with its centre, and of a bucket that are compared with one another.
-STAR_TASK, BLOCK = 256, 256
+#: Members of a star that one task compares with its centre; members, and shingles of members, of a block.
+STAR_TASK, BLOCK, BLOCK_SHINGLES = 256, 512, 400_000
+#: Shingles whose occurrences are multiplied at a time, and texts that Python gets at a time.
+COLUMNS, BATCH = 4096, 1000
 KEPT = 200_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -71,11 +73,10 @@ class Sketcher:
         self.edges = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BIN_BITS)
         self.band_keys = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
-    def hashes(self, text: str) -> np.ndarray:
+    def hashes(self, words: list[bytes]) -> np.ndarray:
         """Sorted distinct hashes of the shingles."""
         import xxhash
 
-        words = words_of(text)
         if not words:
             return np.empty(0, np.uint64)
         known = self.known
@@ -110,27 +111,39 @@ class Sketcher:
         return out
 
 
-SKETCHED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+def exact_size(words: list[bytes], width: int) -> int:
+    """The number of distinct shingles, on the words themselves: runs of words are named by equal neighbours, step by step."""
+    if len(words) <= width:
+        return min(1, len(words))
+    numbers: dict[bytes, int] = {}
+    own = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
+    names, n = own, len(words) - width + 1
+    for i in range(1, width):
+        names = names[:-1] * len(numbers) + own[i:]
+        if i + 1 < width and len(numbers) ** (i + 2) >= 1 << 62:
+            names = np.unique(names, return_inverse=True)[1].astype(np.int64)
+    return len(np.unique(names[:n]))
+
+
+SKETCHED = "doc_id long, n_shingles long, words_sha binary, bands array<long>"
 
 
 def sketched(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Size of the shingle set, its 128-bit digest and the bucket of each band, for each row of docs."""
+    """Size of the shingle set, SHA-256 of the words and the bucket of each band, for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         maker = Sketcher(rule.words)
         for batch in batches:
             sizes, digests, bands = [], [], []
             for text in batch.column("text"):
-                hashes = maker.hashes(text.as_py() or "")
-                sizes.append(len(hashes))
-                digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                words = words_of(text.as_py() or "")
+                hashes = maker.hashes(words)
+                sizes.append(exact_size(words, rule.words))
+                digests.append(hashlib.sha256(b" ".join(words)).digest())
                 bands.append(maker.bands(maker.sketch(hashes)).view(np.int64) if len(hashes) else np.empty(0, np.int64))
-            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands) if bands else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), lists], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc_id", "n_shingles", "words_sha", "bands"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SKETCHED)
 
@@ -199,19 +212,64 @@ def _sized(rule: Rule):  # noqa: ANN202
     return F.least("n", "m") * 100 >= F.greatest("n", "m") * rule.percent
 
 
-def hidden_links(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links (a, b) between components within buckets, which the stars can't show.
+def _profiles(docs: DataFrame, ids: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """id, hashes of all shingles of the documents in ids."""
 
-    The largest component of a bucket is its core. Members outside of it are compared with the core and with one
-    another, in blocks, each pair of blocks by a task: pairs that share some bands, in the first bucket that they share,
-    on their full sets. Only links are put out, not candidates.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker = Sketcher(rule.words)
+        for batch in batches:
+            found = [maker.hashes(words_of(t.as_py() or "")).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "hashes"])
+
+    return _texts(docs, ids, id_col, text_col).mapInArrow(run, "id long, hashes array<long>")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each of left shares with each of right: products of occurrence tables, of hashes on both sides only."""
+    both = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    places = []
+    for side in (left, right):
+        owner = np.repeat(np.arange(len(side)), [len(x) for x in side])
+        flat = np.concatenate(side)
+        at = np.searchsorted(both, flat)
+        held = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == flat) if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(at[held], kind="stable")
+        places.append((owner[held][order], at[held][order]))
+    for start in range(0, len(both), COLUMNS):
+        tables = []
+        for side, (owner, at) in zip((left, right), places, strict=True):
+            a, b = np.searchsorted(at, [start, start + COLUMNS])
+            table = np.zeros((len(side), min(COLUMNS, len(both) - start)), np.float32)
+            table[owner[a:b], at[a:b] - start] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def _joining(pairs: np.ndarray, parts: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the pairs that join parts not yet joined."""
+    parts, out = parts.copy(), []
+    while len(pairs := pairs[parts[pairs[:, 0]] != parts[pairs[:, 1]]]):
+        x, y = pairs[0]
+        out.append((x, y))
+        parts[parts == parts[y]] = parts[x]
+    return out
+
+
+def hidden_links(members: DataFrame, labels: DataFrame, docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b) between components within groups (centre, rep, n), which the stars can't show.
+
+    The largest component of a group is its core. Members outside of it are compared with the core and with one
+    another, in blocks, each pair of blocks by a task. All pairs are compared, however many bands they share; what
+    is put out is a few links that join the same components, not candidates.
     """
-    held = members.filter("members > 2").join(labels, F.col("rep") == F.col("node"), "left")
-    held = frozen(held.select("bucket", "band", "rep", "n", F.coalesce("component", "rep").alias("component")))
-    sizes = held.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-    cores = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("core"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    split = held.join(cores, "bucket").select("bucket", "band", "rep", "n", "component", (F.col("component") == F.col("core.component")).alias("inside"), blocks(F.col("core.c")).alias("core_blocks"), blocks(F.col("all") - F.col("core.c")).alias("out_blocks"))
+    held = frozen(members.join(labels, F.col("rep") == F.col("node"), "left").select("centre", "rep", "n", F.coalesce("component", "rep").alias("component")))
+    sizes = held.groupBy("centre", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    cores = sizes.groupBy("centre").agg(F.max(F.struct("c", "component", "s")).alias("core"), F.sum("c").alias("all"), F.sum("s").alias("shingles"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    cores = frozen(cores.select("centre", F.col("core.component").alias("core"), blocks(F.col("core.c"), F.col("core.s")).alias("core_blocks"), blocks(F.col("all") - F.col("core.c"), F.col("shingles") - F.col("core.s")).alias("out_blocks")))
+    split = held.join(bounded(cores), "centre").withColumn("inside", F.col("component") == F.col("core"))
     split = split.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("inside"), F.col("core_blocks")).otherwise(F.col("out_blocks"))).cast("int"))
     each = lambda n, pair: F.transform(F.sequence(F.lit(0), n - 1), pair)
     pair = lambda with_core, i, j: F.struct(F.lit(with_core).alias("with_core"), i.alias("i"), j.alias("j"))
@@ -219,40 +277,30 @@ def hidden_links(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: D
     meets_core = F.when(F.col("inside"), each(F.col("out_blocks"), lambda j: pair(True, own, j))).otherwise(each(F.col("core_blocks"), lambda i: pair(True, i, own)))
     meets_others = F.when(~F.col("inside"), each(F.col("out_blocks"), lambda o: pair(False, F.least(own, o), F.greatest(own, o))))
     meetings = F.when(F.col("inside"), meets_core).otherwise(F.concat(meets_core, meets_others))
-    dealt = frozen(split.withColumn("meeting", F.explode(meetings)).select("bucket", "band", "meeting.*", "inside", "own", F.col("rep").alias("id"), "n", "component"))
-    ids = frozen(dealt.select("id").distinct())
-    known = _texts(docs, ids, id_col, text_col).join(sets.select(F.col("rep").alias("id"), "bands"), "id")
-    percent, width = rule.percent, rule.words
+    dealt = frozen(split.withColumn("meeting", F.explode(meetings)).select("centre", "meeting.*", "inside", "own", F.col("rep").alias("id"), "component"))
+    with arrow_batches(docs.sparkSession, BATCH):
+        known = stored(_profiles(docs, frozen(dealt.select("id").distinct()), rule, id_col, text_col), "profiles")
+    percent = rule.percent
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        bands, ids, n = np.stack(frame["bands"].to_numpy()), frame["id"].to_numpy(), frame["n"].to_numpy()
-        parts, texts, band = frame["component"].to_numpy().copy(), frame["text"].to_numpy(), frame["band"].iloc[0]
         # sides that meet each other but not their own
-        across = frame["with_core"].iloc[0] or frame["i"].iloc[0] != frame["j"].iloc[0]
         own = (frame["inside"] if frame["with_core"].iloc[0] else frame["own"]).to_numpy()
-        maker, hashes, out = Sketcher(width), {}, []
-
-        def of(k: int) -> np.ndarray:
-            if k not in hashes:
-                hashes[k] = maker.hashes(texts[k] or "")
-            return hashes[k]
-
-        for x in range(len(ids)):
-            same = bands == bands[x]
-            fits = (same.sum(axis=1) >= SHARED_BANDS) & (same.argmax(axis=1) == band) & (parts != parts[x]) & (ids > ids[x])
-            fits &= np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent
-            if across:
-                fits &= own != own[x]
-            for y in np.flatnonzero(fits):
-                if parts[y] == parts[x]:
-                    continue
-                both = len(np.intersect1d(of(x), of(y), assume_unique=True))
-                if 100 * both >= percent * (len(of(x)) + len(of(y)) - both):
-                    out.append((ids[x], ids[y]))
-                    parts[parts == parts[y]] = parts[x]
+        across = frame["with_core"].iloc[0] or frame["i"].iloc[0] != frame["j"].iloc[0]
+        first = np.flatnonzero(own == own[0]) if across else np.arange(len(frame))
+        second = np.flatnonzero(own != own[0]) if across else first
+        out: list[tuple[int, int]] = []
+        if len(first) and len(second):
+            hashes, ids = list(frame["hashes"]), frame["id"].to_numpy()
+            n = np.array([len(x) for x in hashes])
+            parts = np.unique(frame["component"].to_numpy(), return_inverse=True)[1]
+            both = common_counts([hashes[x] for x in first], [hashes[y] for y in second])
+            linked = 100 * both.astype(np.int64) >= percent * (n[first][:, None] + n[second][None, :] - both.astype(np.int64))
+            linked &= parts[first][:, None] != parts[second][None, :]
+            at = np.argwhere(linked)
+            out = [(ids[x], ids[y]) for x, y in _joining(np.column_stack([first[at[:, 0]], second[at[:, 1]]]), parts)]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.join(known, "id").groupBy("bucket", "with_core", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return dealt.join(known, "id").groupBy("centre", "with_core", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,31 +308,35 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
 
     component_id is the smallest id that links lead to; kept is whether that is the row's own. Null and empty texts
     have no shingle and no link, a text of fewer words than a shingle is one shingle. Rows that repeat an id count as
-    one document with the links of all; null ids are linked with nothing and kept. Other columns of docs are ignored;
-    an empty table gives an empty result.
+    one document with the links of all; null ids are linked with nothing and kept. Ids are whole numbers. Other columns
+    of docs are ignored; an empty table gives an empty result.
     """
-    rows = stored(sketched(docs, rule, id_col, text_col), "sketches")
+    with arrow_batches(docs.sparkSession, BATCH):
+        rows = stored(sketched(docs, rule, id_col, text_col), "sketches")
     some = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    # equal sets are one from here on, whatever the number of their copies
-    least = some.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("s"))
-    sets = stored(least.select("set_a", "set_b", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), F.col("s.bands").alias("bands")), "sets")
+    # texts of the same words are one from here on, whatever the number of their copies
+    reps = frozen(some.groupBy("words_sha").agg(F.min("doc_id").alias("rep")))
+    sets = some.join(reps.withColumn("doc_id", F.col("rep")), ["words_sha", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands")
     buckets = sets.select("rep", "n", F.posexplode("bands").alias("band", "bucket"))
-    centres = buckets.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = stored(buckets.join(frozen(centres), "bucket").select("bucket", "band", "rep", "n", "members", F.col("centre.rep").alias("a"), F.col("centre.n").alias("m")), "members")
-    stars = frozen(members.filter((F.col("rep") != F.col("a")) & _sized(rule)).select("a", F.col("rep").alias("b")).distinct())
+    centres = frozen(buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre < last").select("bucket", "centre"))
+    # buckets of one centre are one group; the centre is a member
+    members = stored(buckets.join(bounded(centres), "bucket").select("centre", "rep", "n").distinct(), "members")
+    middle = members.filter("rep = centre").select("centre", F.col("n").alias("m")).distinct()
+    stars = frozen(members.filter("rep <> centre").join(bounded(frozen(middle)), "centre").filter(_sized(rule)).select(F.col("centre").alias("a"), F.col("rep").alias("b")))
     links = frozen(confirmed(stars, docs, rule, id_col, text_col))
     labels = frozen(components(links))
-    hidden = frozen(hidden_links(members, labels, sets, docs, rule, id_col, text_col))
+    # what the hashes of the shingles show is confirmed on the shingles, as the stars are
+    hidden = frozen(hidden_links(members, labels, docs, rule, id_col, text_col))
     if not hidden.isEmpty():
-        labels = frozen(components(links.unionByName(hidden)))
-    reps = sets.select("set_a", "set_b", "rep")
-    # rows that repeat an id tie their sets together
-    own = some.join(reps, ["set_a", "set_b"]).select("doc_id", "rep")
-    several = own.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
-    ties = frozen(own.join(several, "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct())
-    if not ties.isEmpty():
-        linked = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
-        labels = frozen(components(linked.unionByName(ties)))
-    out = rows.join(reps, ["set_a", "set_b"], "left").join(labels, F.coalesce("rep", "doc_id") == F.col("node"), "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
+        labels = frozen(components(links.unionByName(confirmed(hidden, docs, rule, id_col, text_col))))
+    # rows that repeat an id tie their texts together
+    twice = frozen(some.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("doc_id"))
+    if not twice.isEmpty():
+        own = some.join(bounded(twice), "doc_id", "left_semi").select("doc_id", "words_sha").join(reps, "words_sha").select("doc_id", "rep")
+        low = own.groupBy("doc_id").agg(F.min("rep").alias("low"))
+        ties = own.join(low, "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
+        labels = frozen(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b").unionByName(ties)))
+    named = reps.join(labels, F.col("rep") == F.col("node"), "left").select("words_sha", F.coalesce("component", "rep").alias("component"))
+    out = rows.join(named, "words_sha", "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
