@@ -25,18 +25,21 @@ def _columns(docs: DataFrame) -> list:
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those of no language that the labelled ones show."""
+    row = fresh(docs, "_row")
+    numbered = with_row_id(docs, row)
     model = language_id.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    lang, score, learned = fresh(docs, "_lang_pred"), fresh(docs, "_score"), fresh(docs, "_learned")
-    found = language_id.predict(docs, model, keep=tuple(docs.columns), names=(lang, score, learned))
-    return found.filter((F.col(lang) != language_id.UNKNOWN) & (F.col(learned) >= LEAST_SCORE)).select(*_columns(docs))
+    # only numbers and texts go to Python, and only numbers come back
+    found = language_id.predict(numbered.select(F.col(row).alias("row"), "text"), model, keep=("row",))
+    rejected = found.filter((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("learned") < LEAST_SCORE)).select(F.col("row").alias(row))
+    return numbered.join(bounded(frozen(rejected)), row, "left_anti").select(*_columns(docs))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates stays: five words, similarity 0.8."""
     row = fresh(docs, "_row")
     numbered = with_row_id(docs, row)
-    kept = near_dedup.near_duplicates(numbered, near_dedup.Rule(words=5, percent=80), id_col=row).filter("kept").select(F.col("doc_id").alias(row))
-    return numbered.join(bounded(frozen(kept)), row, "left_semi").select(*_columns(docs))
+    dropped = near_dedup.near_duplicates(numbered, near_dedup.Rule(words=5, percent=80), id_col=row).filter("NOT kept").select(F.col("doc_id").alias(row))
+    return numbered.join(bounded(frozen(dropped)), row, "left_anti").select(*_columns(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
