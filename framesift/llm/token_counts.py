@@ -1,16 +1,22 @@
 """Token counts by a compiled tokenizer.
 
-A byte-level BPE file is compiled into a boundary transducer over character classes, which cuts a text into pieces,
-and an emission table, which says how many tokens a finished piece puts out (worked out by the merges when a piece
-first comes up, then kept). Where text turns to white space the transducer is in one known state whatever came
-before, so a chunk of a text is summed up as an open head, a count and an open tail. Such summaries compose
-associatively: chunks are counted on their own and composed as in a prefix scan, two by two.
+A byte-level BPE file is compiled into two deterministic transducers, one after the other. The first cuts a text into
+pieces; it looks at the classes of neighbouring characters only. The second reads a piece byte by byte, and each of its
+transitions says how many tokens it adds to the count. It is built state by state as texts ask for it: a state is the
+longest end of what was read that some token begins with, with the last token and the count at each place in it. That
+is all that what follows can depend on.
+
+Where the class of characters changes, the first transducer is mostly in one known state whatever came before. So a
+chunk of a text is a map of states: what stands before its first such place goes to whatever state comes in, then
+follows a fixed count, and a fixed state goes out, named by what stands after the last such place. Such maps compose
+associatively. The chunks of long texts are rows of their own, mapped in parallel and composed two by two, level by
+level, as in a parallel prefix scan.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,12 +24,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a chunk, and pieces whose counts a task keeps.
-CHUNK, KEPT = 1 << 16, 200_000
+from framesift.llm.common import frozen
+
+#: Characters of a chunk, pieces whose counts and transducer states that a worker keeps.
+CHUNK, KEPT, KEPT_STATES = 1 << 16, 200_000, 100_000
+#: Pieces of more bytes are counted by the transducer each time; their counts aren't kept.
+KEPT_BYTES = 64
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
+BYTES = 256
 #: Code points with the Unicode property White_Space.
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -42,20 +53,108 @@ def _classes() -> np.ndarray:
     return table
 
 
-def _byte_letters() -> list[str]:
-    """The printable stand-in of each byte in byte-level vocabularies: itself where it prints, else the next free code point from 256."""
+def _byte_of_letter() -> dict[str, int]:
+    """The byte that each printable stand-in of byte-level vocabularies means: itself where it prints, else the next free code point from 256."""
     prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
     free = iter(range(256, 512))
-    return [chr(b) if b in prints else chr(next(free)) for b in range(256)]
+    return {chr(b) if b in prints else chr(next(free)): b for b in range(BYTES)}
+
+
+class State:
+    """A state of the merge transducer. end: the longest end of what was read that some token begins with; lasts, counts: the last token and the count,
+    relative to now, at each place from the start of end; next: transitions known so far, by byte, with the tokens they add."""
+
+    __slots__ = ("end", "lasts", "counts", "next")
+
+    def __init__(self, end: bytes, lasts: tuple[int | None, ...], counts: tuple[int, ...]) -> None:
+        self.end, self.lasts, self.counts = end, lasts, counts
+        self.next: dict[int, tuple[State, int]] = {}
 
 
-class Summary(NamedTuple):
-    """A stretch of text: what stands before its first synchronising place, the tokens up to its last, what stands after. Without such a place all is head."""
+class MergeTransducer:
+    """Counts the tokens of a piece as merges in order of rank make them.
+
+    Tokens are numbered by rank, single bytes first. A sequence of tokens is what the merges make of its bytes if
+    each two neighbours are, so a prefix has one last token: the one that goes with the last token before it.
+    """
+
+    def __init__(self, merges: list[tuple[bytes, bytes]]) -> None:
+        self.ids: dict[bytes, int] = {bytes([b]): b for b in range(BYTES)}
+        self.halves: list[tuple[int, int]] = [(b, b) for b in range(BYTES)]
+        self.pairs: dict[tuple[int, int], int] = {}
+        for left, right in merges:
+            if left + right in self.ids:
+                raise ValueError("several merges make one token")
+            both = self.ids[left], self.ids[right]
+            self.pairs[both] = self.ids[left + right] = len(self.halves)
+            self.halves.append(both)
+        self.prefixes = {t[:i] for t in self.ids for i in range(1, len(t) + 1)}
+        self.reached: dict[int, bool] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.start = State(b"", (None,), (0,))
+        self.states: dict[tuple, State] = {}
+
+    def neighbours(self, a: int, b: int, limit: int = 1 << 60) -> bool:
+        """Whether merges leave a before b: none over the seam, of rank below limit, comes before those that make a and b."""
+        while True:
+            if self.pairs.get((a, b), limit) < limit:
+                return False
+            if max(a, b) < BYTES:
+                return True
+            # undo the later one; of one merge the left is done first
+            if a > b:
+                limit, a = a, self.halves[a][1]
+            else:
+                limit, b = b + 1, self.halves[b][0]
+
+    def made(self, token: int) -> bool:
+        """Whether merges make the token of its own bytes."""
+        if token < BYTES:
+            return True
+        if token not in self.reached:
+            left, right = self.halves[token]
+            self.reached[token] = self.made(left) and self.made(right) and self.neighbours(left, right, token)
+        return self.reached[token]
+
+    def _step(self, state: State, byte: int) -> tuple[State, int]:
+        read = state.end + bytes([byte])
+        for k in range(len(read)):
+            token = self.ids.get(read[k:])
+            if token is None or not self.made(token):
+                continue
+            last = state.lasts[k]
+            if last is None or self.neighbours(last, token):
+                break
+        added = state.counts[k] + 1
+        from_ = next(k for k in range(len(read)) if read[k:] in self.prefixes)
+        key = read[from_:], (*state.lasts[from_:], token), (*(c - added for c in state.counts[from_:]), 0)
+        if (to := self.states.get(key)) is None:
+            to = self.states[key] = State(*key)
+        return to, added
+
+    def count(self, piece: bytes) -> int:
+        if len(self.states) > KEPT_STATES:
+            self.clear()
+        state, total = self.start, 0
+        for byte in piece:
+            found = state.next.get(byte)
+            if found is None:
+                found = state.next[byte] = self._step(state, byte)
+            state, added = found
+            total += added
+        return total
+
+
+class StateMap(NamedTuple):
+    """What a stretch of text does to the state before it: head goes on from there, count tokens follow, tail names the state after it.
+    Without a place where the state is known, all is head, and the state after it is the one before it with the head read."""
 
     head: str
     count: int
     tail: str
-    synchronised: bool
+    known: bool
 
 
 class CompiledTokenizer:
@@ -69,36 +168,14 @@ class CompiledTokenizer:
         odd = [t for t in spec["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
         if not plain or model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or odd or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
             raise ValueError(f"{path} isn't a plain byte-level BPE tokenizer")
+        letters = _byte_of_letter()
+        raw = lambda token: bytes(letters[c] for c in token)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.ranks = {pair: i for i, pair in enumerate(merges)}
+        self.merges = MergeTransducer([(raw(a), raw(b)) for a, b in merges])
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.letters = _byte_letters()
         self.emits: dict[str, int] = {}
         self.classes = _classes()
 
-    def merged(self, piece: str) -> int:
-        """Tokens of one piece: the earliest merge first, of equal ones the leftmost, on a linked list with a heap."""
-        parts: list[str | None] = [self.letters[b] for b in piece.encode()]
-        n, ranks = len(parts), self.ranks
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
-        heapq.heapify(heap)
-        left = n
-        while heap:
-            _, i, x, y = heapq.heappop(heap)
-            j = after[i] if i < n else n
-            if j >= n or parts[i] != x or parts[j] != y:
-                continue
-            parts[i], parts[j] = x + y, None
-            left -= 1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (r := ranks.get((parts[a], parts[b]))) is not None:
-                    heapq.heappush(heap, (r, a, parts[a], parts[b]))
-        return left
-
     def _typed(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         return points, self.classes[points]
@@ -129,7 +206,7 @@ class CompiledTokenizer:
         return np.flatnonzero(start)
 
     def count(self, text: str) -> int:
-        """Tokens of a text that is whole, or stands between synchronising places."""
+        """Tokens of a text that is whole, or stands between places where the state is known."""
         if not text:
             return 0
         at = self.starts(text).tolist()
@@ -143,45 +220,60 @@ class CompiledTokenizer:
                 if x is None:
                     piece = pieces[i]
                     if (x := emits.get(piece)) is None:
-                        x = emits[piece] = self.merged(piece)
+                        raw = piece.encode()
+                        x = self.merges.count(raw)
+                        if len(raw) <= KEPT_BYTES:
+                            emits[piece] = x
                     found[i] = x
         return sum(found)
 
-    def summary(self, chunk: str) -> Summary:
+    def map_of(self, chunk: str) -> StateMap:
+        """The state is known where the class changes, but for what follows white space, and for a letter after another sign, which may be 's and the like."""
         _, kind = self._typed(chunk)
-        is_space = kind == SPACE
-        places = np.flatnonzero(is_space[1:] & ~is_space[:-1]) + 1
+        before, after = kind[:-1], kind[1:]
+        places = np.flatnonzero((before != after) & (before != SPACE) & ~((before == OTHER) & (after == LETTER))) + 1
         if not len(places):
-            return Summary(chunk, 0, "", False)
+            return StateMap(chunk, 0, "", False)
         first, last = int(places[0]), int(places[-1])
-        return Summary(chunk[:first], self.count(chunk[first:last]), chunk[last:], True)
+        return StateMap(chunk[:first], self.count(chunk[first:last]), chunk[last:], True)
+
+    def compose(self, a: StateMap, b: StateMap) -> StateMap:
+        """a, then b. Between them is either a stretch with known states on both sides, or what has none yet."""
+        if not a.known:
+            return self._apart(a.head + b.head, b) if b.known else self.map_of(a.head + b.head)
+        if not b.known:
+            inner = self.map_of(a.tail + b.head)
+            return StateMap(a.head, a.count + self.count(inner.head) + inner.count, inner.tail, True) if inner.known else StateMap(a.head, a.count, inner.head, True)
+        return StateMap(a.head, a.count + self.count(a.tail + b.head) + b.count, b.tail, True)
+
+    def _apart(self, head: str, b: StateMap) -> StateMap:
+        """A map whose head may have known states within."""
+        inner = self.map_of(head)
+        return StateMap(inner.head, inner.count + self.count(inner.tail) + b.count, b.tail, True) if inner.known else StateMap(head, b.count, b.tail, True)
+
+    def total(self, whole: StateMap) -> int:
+        """Tokens of a text that the map is of, with nothing before it."""
+        return self.count(whole.head) + whole.count + self.count(whole.tail)
 
-    def compose(self, a: Summary, b: Summary) -> Summary:
-        if a.synchronised and b.synchronised:
-            return Summary(a.head, a.count + self.count(a.tail + b.head) + b.count, b.tail, True)
-        if a.synchronised:
-            return Summary(a.head, a.count, a.tail + b.head, True)
-        return Summary(a.head + b.head, b.count, b.tail, b.synchronised)
+    def tokens(self, text: str, chunk: int = CHUNK) -> int:
+        """Tokens of a whole text; a special string in it is one token."""
+        if not any(s in text for s in self.specials):
+            return self._chunked(text, chunk)
+        parts = re.split(special_pattern(self.specials), text)
+        return len(parts) - 1 + sum(self._chunked(part, chunk) for part in parts)
 
-    def count_chunked(self, text: str, chunk: int = CHUNK) -> int:
+    def _chunked(self, text: str, chunk: int) -> int:
         if len(text) <= chunk:
             return self.count(text)
-        parts = [self.summary(text[i : i + chunk]) for i in range(0, len(text), chunk)]
-        while len(parts) > 1:
-            parts = [self.compose(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        return self.count(parts[0].head) + parts[0].count + self.count(parts[0].tail)
+        maps = [self.map_of(text[i : i + chunk]) for i in range(0, len(text), chunk)]
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return self.total(maps[0])
 
-    def tokens(self, text: str, chunk: int = CHUNK) -> int:
-        """Tokens of a whole text; a special string in it is one token."""
-        special = [s for s in self.specials if s in text]
-        if not special:
-            return self.count_chunked(text, chunk)
-        # the leftmost, of several there the longest
-        total, at = 0, 0
-        while found := [(i, -len(s)) for s in special if (i := text.find(s, at)) >= 0]:
-            i, length = min(found)
-            total, at = total + self.count_chunked(text[at:i], chunk) + 1, i - length
-        return total + self.count_chunked(text[at:], chunk)
+
+def special_pattern(specials: list[str]) -> str:
+    """Matches special strings, of several at a place the longest. Java and Python read it alike."""
+    return "|".join(re.sub(r"([^\w])", r"\\\1", s) for s in sorted(specials, key=len, reverse=True))
 
 
 @lru_cache(maxsize=2)
@@ -190,22 +282,79 @@ def compiled(path: str) -> CompiledTokenizer:
     return CompiledTokenizer(path)
 
 
-COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+MAPS = "row long, part int, level int, place long, head string, n long, tail string, known boolean"
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _composed(maps: DataFrame, tokenizer: str, levels: int) -> DataFrame:
+    """row, n_tokens of the rows that maps (MAPS) of chunks are of: neighbours are composed two by two, in as many levels as the longest text needs."""
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = compiled(tokenizer)
+        for batch in batches:
+            out = []
+            for maps_ in batch.column("maps"):
+                both = [StateMap(m["head"], m["n"], m["tail"], m["known"]) for m in maps_.as_py()]
+                out.append(machine.compose(*both) if len(both) > 1 else both[0])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("part"), pa.array([0] * len(out), pa.int32()), batch.column("place"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.bool_()), strict=True))], names=[x.split()[0] for x in MAPS.split(", ")])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = compiled(tokenizer)
+        for batch in batches:
+            n = [machine.total(StateMap(*(x.as_py() for x in m))) for m in zip(*(batch.column(c) for c in ("head", "n", "tail", "known")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64())], names=["row", "n"])
+
+    for _ in range(levels):
+        pairs = maps.groupBy("row", "part", F.floor(F.col("place") / 2).alias("place")).agg(F.array_sort(F.collect_list(F.struct("place", "head", "n", "tail", "known"))).alias("maps"))
+        maps = frozen(pairs.mapInArrow(compose, MAPS))
+    return maps.mapInArrow(finish, "row long, n long").groupBy("row").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).select("row", (F.col("n") + F.col("parts") - 1).alias("n_tokens"))
+
+
+def _long_counts(rows: DataFrame, tokenizer: str, specials: list[str], chunk: int) -> DataFrame:
+    """row, n_tokens of rows (row, text), by the chunks of the texts."""
+
+    def chunks(part: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(part) - 1) / chunk).cast("int")))
+        return F.transform(places, lambda i: F.substring(part, i * chunk + 1, F.lit(chunk)))
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = compiled(tokenizer)
+        for batch in batches:
+            maps = [machine.map_of(c.as_py()) for c in batch.column("chunk")]
+            n = len(maps)
+            columns = zip(*maps, strict=True) if maps else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("part"), pa.array([0] * n, pa.int32()), batch.column("place"), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.bool_()), strict=True))], names=[x.split()[0] for x in MAPS.split(", ")])
+
+    parts = F.split("text", special_pattern(specials), -1) if specials else F.array("text")
+    dealt = rows.select("row", F.posexplode(parts).alias("part", "piece")).select("row", "part", F.posexplode(chunks(F.col("piece"))).alias("place", "chunk"))
+    # the chunks of one text go to several tasks
+    dealt = dealt.withColumn("place", F.col("place").cast("long")).repartition("row", "part", "place")
+    maps = frozen(dealt.mapInArrow(summarise, MAPS))
+    most = maps.agg(F.max("place")).first()[0]
+    return _composed(maps, tokenizer, int(most or 0).bit_length())
+
+
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """A row for each row of docs: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
-    tokenizer: path of a byte-level BPE file, readable on all executors. A null text is empty and has no token;
-    repeated rows each have a row, an empty table gives an empty result. Nothing is shuffled.
+    tokenizer: path of a byte-level BPE file, readable on all executors. A null text is empty and has no token; ids are
+    of any type; repeated rows each have a row, an empty table gives an empty result, other columns are ignored. Only
+    texts of more than chunk characters are shuffled, by chunk.
     """
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    is_long = F.length("text") > chunk
+    long = frozen(texts.filter(is_long).withColumn("row", F.monotonically_increasing_id()))
+    n_bytes = F.octet_length("text").cast("long").alias("n_bytes")
+    short = texts.filter(~is_long).select("doc_id", "text", n_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(tokenizer)
         for batch in batches:
-            texts = (x.as_py() or "" for x in batch.column("text"))
-            sizes = [(len(t.encode()), machine.tokens(t)) for t in texts]
-            n_bytes, n_tokens = (pa.array([s[i] for s in sizes], pa.int64()) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_bytes, n_tokens, pa.array([s[1] > limit for s in sizes])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, COUNTS)
+            n = pa.array([machine.tokens(t.as_py()) for t in batch.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n], names=["doc_id", "n_bytes", "n_tokens"])
+
+    schema = short.select("doc_id", "n_bytes").withColumn("n_tokens", F.lit(0).cast("long")).schema
+    counted = short.mapInArrow(run, schema)
+    if not long.isEmpty():
+        specials = compiled(tokenizer).specials
+        counted = counted.unionByName(long.select("row", "doc_id", n_bytes).join(_long_counts(long.select("row", "text"), tokenizer, specials, chunk), "row").select("doc_id", "n_bytes", "n_tokens"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
