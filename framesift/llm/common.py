@@ -121,6 +121,6 @@ def with_row_id(table: DataFrame, name: str) -> DataFrame:
 BROADCAST_ROWS = 500_000
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if its rows, counted, are few enough. df should be frozen, or cheap to count."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, to be broadcast if its rows, counted, are few enough: BROADCAST_ROWS if not said. df should be frozen, or cheap to count."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df

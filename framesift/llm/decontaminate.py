@@ -1,9 +1,9 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-A benchmark item's sketch is its smallest shingle hashes. Items are partitioned by their number of shingles, as the
-sketch's length depends on it: a document that holds the share t of n distinct shingles misses n - ceil(t * n) at
-most, so one hash more than that always meets the document, however long that is. Whoever meets a sketch is
-compared with the item exactly, on the shingles themselves. Shingles are five words, words letters and digits in
+A benchmark item's sketch is its smallest shingle hashes, a bottom-k MinHash. Items are partitioned by their number of
+shingles, as the sketch's length depends on it: a document that holds the share t of n distinct shingles misses n - ceil(t * n) at
+most, so one hash more than that always meets the document, however long that is. A document that meets an
+item's sketch is compared with that item exactly, on the shingles themselves. Shingles are five words, words letters and digits in
 lower case; a text of fewer words is one shingle as a whole, and without words it has none and meets nothing.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import bounded, fresh, frozen
+from framesift.llm.common import BROADCAST_ROWS, bounded, fresh, frozen
 
 WORDS = r"[\p{L}\p{N}]+"
 SHINGLE, PERCENT = 5, 80
@@ -38,13 +38,28 @@ def shingles(text: Column) -> Column:
 
 
 def item_sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """item_id, size_class, hash: the smallest hashes of each item of (item_id, hashes)."""
+    """item, size_class, hash: the smallest hashes of each item of (item, hashes)."""
     n = F.size("hashes")
     # the longest item of a class, one less than a power of two, sets the sketch's length for the class
     largest = F.pow(F.lit(2), F.floor(F.log2(n)) + 1).cast("int") - 1
     length = (largest - F.ceil(largest * percent / 100) + 1).cast("int")
     least = F.slice(F.array_sort("hashes"), F.lit(1), F.greatest(F.lit(1), length))
-    return items.filter(n > 0).select("item_id", F.floor(F.log2(n)).cast("int").alias("size_class"), F.explode(least).alias("hash"))
+    return items.filter(n > 0).select("item", F.floor(F.log2(n)).cast("int").alias("size_class"), F.explode(least).alias("hash"))
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    """SHA-256 of id and text together."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
+    return F.unhex(F.sha2(F.concat(part(F.col(id_col)), F.lit("\x00"), part(F.col(text_col))).cast("binary"), 256))
+
+
+def candidates(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """row_key, item, n_met of each text of rows (row_key, text) and item whose sketch it meets: each size class is probed with sketches of its own length.
+
+    An item's sketch is met by every text that holds enough of it, so this leaves nothing out; most texts meet none.
+    """
+    probes = rows.select("row_key", F.explode(F.array_distinct(shingle_hashes(F.col("text")))).alias("hash"))
+    return probes.join(bounded(sketches), "hash").groupBy("row_key", "item", "size_class").agg(F.count(F.lit(1)).alias("n_met"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -57,15 +72,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     text = F.col(item_text_col)
     items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_col).alias("item_id"), shingles(text).alias("shingles"), F.array_distinct(shingle_hashes(text)).alias("hashes"))
     items = frozen(items)
-    sketch = frozen(item_sketches(items, percent).select("hash").distinct())
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
-    probes = rows.select("row_key", F.explode(shingle_hashes(F.col("text"))).alias("hash"))
-    candidates = frozen(probes.join(bounded(sketch), "hash").select("row_key").distinct())
-    # candidates only are compared in full
+    rows = docs.select(F.col(id_col).alias("doc_id"), _key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
+    met = frozen(candidates(rows.select("row_key", "text"), frozen(item_sketches(items, percent))).select("row_key", "item"))
+    # candidates only are compared in full, and with those items only that they met
     whole = items.select("item", "item_id", F.size("shingles").cast("long").alias("n_item"), F.explode("shingles").alias("shingle"))
-    found = rows.join(bounded(candidates), "row_key", "left_semi").select("doc_id", "row_key", F.explode(shingles(F.col("text"))).alias("shingle")).distinct()
+    held = rows.join(bounded(met.select("row_key").distinct()), "row_key", "left_semi").select("doc_id", "row_key", F.explode(shingles(F.col("text"))).alias("shingle"))
     return (
-        found.join(bounded(whole), "shingle")
+        held.join(bounded(whole, BROADCAST_ROWS // 4), "shingle")
+        .distinct()
+        .join(bounded(met), ["row_key", "item"], "left_semi")
         .groupBy("doc_id", "row_key", "item", "item_id", "n_item")
         .agg(F.count(F.lit(1)).alias("n_shared"))
         .filter(F.col("n_shared") * 100 >= F.col("n_item") * percent)
@@ -74,8 +89,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, that hold no benchmark item."""
+    """The rows of docs, all columns, that hold no benchmark item.
+
+    Rows that repeat id and text go or stay together. A null or empty text holds nothing and stays; without items all
+    rows stay, an empty table gives an empty result. Columns may have any names.
+    """
     bad = fresh(docs, "_bad")
     found = frozen(contaminated(docs, benchmark, id_col, text_col, percent=percent).select(F.col("row_key").alias(bad)).distinct())
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    return docs.join(bounded(found), key == F.col(bad), "left_anti")
+    return docs.join(bounded(found), _key(id_col, text_col) == F.col(bad), "left_anti")
