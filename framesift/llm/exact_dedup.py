@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framesift.llm.common import frozen
+from framesift.llm.common import bounded, frozen
 
 #: Bytes of a block.
 BLOCK_BYTES = 4096
@@ -83,8 +83,9 @@ def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 F.coalesce(F.max(F.when(right, F.col("name"))), F.lit(-1)).alias("r"),
             )
         )
-        names = pairs.groupBy("l", "r").agg(F.min("number").alias("name"))
-        rest = pairs.join(names, ["l", "r"]).select("row", "n_blocks", "pos", "number", "name")
+        # pairs that come once are named by their own number; of the others, one row for each is all that is joined
+        names = frozen(pairs.groupBy("l", "r").agg(F.min("number").alias("name"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+        rest = pairs.join(bounded(names), ["l", "r"], "left").select("row", "n_blocks", "pos", "number", F.coalesce("name", "number").alias("name"))
     heads = named.filter("n_blocks > 1 AND pos = 0").select("row", "id", "sha")
     return done.unionByName(rest.select("row", "n_blocks", "name").join(heads, "row").select("row", "id", "n_blocks", "name", "sha"))
 
@@ -96,11 +97,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of rows that repeat that id, one. An empty table gives an empty result; other columns of docs are ignored.
     """
     names = frozen(name_documents(docs, id_col, text_col))
-    groups = names.groupBy("n_blocks", "name").agg(F.max(F.struct("id", "row")).alias("last"), F.count(F.lit(1)).alias("group_size"))
-    return names.join(groups, ["n_blocks", "name"]).select(
+    # one row for each text that comes more than once, computed before it is joined, so that no task gets all copies of a text
+    groups = frozen(names.groupBy("n_blocks", "name").agg(F.max(F.struct("id", "row")).alias("last"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    return names.join(bounded(groups), ["n_blocks", "name"], "left").select(
         F.col("id").alias("doc_id"),
-        F.col("last.id").alias("keep_id"),
-        "group_size",
-        (F.col("row") == F.col("last.row")).alias("kept"),
+        F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("last.id")).alias("keep_id"),
+        F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),
+        F.when(F.col("size").isNull(), True).otherwise(F.col("row") == F.col("last.row")).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
