@@ -17,10 +17,10 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm.common import shared_dir, stored
+from framesift.llm.common import bounded, frozen, shared_dir, stored
 
 #: Raw bytes after which a frame, and a bundle, is closed.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 25
@@ -165,7 +165,8 @@ READ = "record_id string, record_type string, payload_bytes long, payload_digest
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """All records of a folder's bundles: record_id, record_type, payload_bytes, payload_digest, refers_to and their places.
 
-    Size and digest are those of the full payload: measured for responses, for revisits as their record states them.
+    Size and digest are those of the full payload: measured for responses, for revisits as their record states them. A
+    folder without bundles gives an empty result.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,11 +209,41 @@ def read_record(folder: str, bundle: str, frame: int, offset: int) -> dict:
     return next(records(data[offset:]))
 
 
+def _holds(condition: Column, what: str) -> Column:
+    """A filter that keeps all rows, and ends the job if the condition fails for one."""
+    return F.assert_true(F.coalesce(condition, F.lit(False)), F.lit(what)).isNull()
+
+
+def resolved(index: DataFrame, found: DataFrame) -> DataFrame:
+    """The records found, each by its place in the index, revisits with size and digest of the response that they refer to.
+
+    A place where the index's record isn't, or a revisit whose response has another payload or is missing, ends the job.
+    """
+    places = ["bundle", "frame", "offset"]
+    wanted = found.filter("refers_to IS NOT NULL").groupBy("refers_to", "payload_digest").agg(F.count(F.lit(1)).alias("n"))
+    # a response is one row here, however many revisits it has
+    own = F.struct("payload_bytes", "payload_digest").alias("of")
+    firsts = found.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to"), "payload_digest", own).distinct().join(wanted.drop("n"), ["refers_to", "payload_digest"], "left_semi")
+    read = found.join(bounded(frozen(firsts)), ["refers_to", "payload_digest"], "left")
+    read = read.filter(_holds(F.col("refers_to").isNull() | (F.col("of.payload_bytes") == F.col("payload_bytes")), "a revisit's response is missing or has another payload"))
+    full = lambda name: F.coalesce(F.col("of")[name], F.col(name)).alias(name)
+    read = read.select(*places, F.col("record_id").alias("read_id"), "record_type", full("payload_bytes"), full("payload_digest"), "refers_to")
+    return (
+        index.join(read, places, "left")
+        .filter(_holds(F.col("record_type").isNotNull() & F.col("record_id").eqNullSafe(F.col("read_id")), "a record isn't where the index says"))
+        .select("record_id", "record_type", "payload_bytes", "payload_digest", "refers_to", *places)
+    )
+
+
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes pages as archives and reads them back: read_archives() of what write_archives() wrote. An empty table gives an empty result."""
+    """Writes pages as archives and reads them back, by the index: resolved() of what write_archives() wrote.
+
+    A row for each row of pages, repeated ones too; null html is an empty payload, null ids stay null. An empty table
+    gives an empty result; other columns are ignored.
+    """
     spark = pages.sparkSession
-    folder, _ = write_archives(pages, id_col, url_col, html_col)
+    folder, index = write_archives(pages, id_col, url_col, html_col)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], READ)
-    return read_archives(spark, folder)
+    return resolved(index, stored(read_archives(spark, folder), "warc-records"))
