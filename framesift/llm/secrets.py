@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Patterns find candidates in each text; their values are hashed, and the hashes are counted by distinct repositories
-and distinct owners over the whole corpus. A value that many owners have is a copied example; one that few have
-looks live. Candidates of the loose kinds (long mixed tokens, web tokens) count as findings only if they look live.
+and distinct owners over the whole corpus. A value that several owners have, or very many repositories, is a copied
+example; one that few have looks live. Candidates of the loose kinds (long mixed tokens, web tokens) count as findings only if they look live.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import frozen
+from framesift.llm.common import bounded, frozen
 
 
 @dataclass(frozen=True)
@@ -37,8 +37,8 @@ LOOSE = (
     Kind("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Kind("mixed", r"[A-Za-z0-9+/_-]{32,}", 0, 32, (r"[0-9]", r"[a-z]", r"[A-Z]")),
 )
-#: Values of this many owners or more are copied examples.
-COPIED_OWNERS = 3
+#: Values of this many owners or more, or of this many repositories, are copied examples.
+COPIED_OWNERS, COPIED_REPOS = 3, 50
 #: Matches whose places are summed up together; longer lists are summed in two steps.
 RUN = 256
 
@@ -92,13 +92,27 @@ def _joined(spans: Column, kinds: list[str]) -> Column:
     return F.array_join(F.transform(F.array_sort(keyed), lambda s: s["text"]), ",")
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def _frequency(each: DataFrame, copied_owners: int, copied_repos: int) -> DataFrame:
+    """hash, n_owners, n_repos, live of (hash, owner, repo). One row for each hash, owner and repository first, so that a value in a third of the corpus is merged before it is dealt out."""
+    return (
+        each.groupBy("hash", "owner", "repo")
+        .agg(F.lit(1).alias("one"))
+        .groupBy("hash", "owner")
+        .agg(F.count("repo").alias("repos"))
+        .groupBy("hash")
+        .agg(F.count("owner").alias("n_owners"), F.sum("repos").alias("n_repos"))
+        .withColumn("live", (F.col("n_owners") < copied_owners) & (F.col("n_repos") < copied_repos))
+    )
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
     """A row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, n_added.
 
     base_sha256 covers the spans of the base kinds; spans lists these and the loose candidates that look live. A
-    value looks live if fewer than copied_owners owners have it; n_live and n_copied count base spans either way.
-    A null text is empty and has no span; null owners together count as no owner. An empty table gives an empty
-    result; repeated rows each keep a row and count as one repository. Other columns of docs are ignored.
+    value looks live if fewer than copied_owners owners and fewer than copied_repos repositories have it; n_live and
+    n_copied count base spans either way. A null text is empty and has no span; null owners and null repositories count
+    as none. An empty table gives an empty result; repeated rows each keep a row and count as one repository. Other
+    columns of docs are ignored.
     """
     kinds = [k.name for k in (*BASE, *LOOSE)]
     text = F.coalesce(F.col("_text"), F.lit(""))
@@ -109,16 +123,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = frozen(found.select("row", "id", "repo", "owner", hashed("base").alias("base"), hashed("loose").alias("loose")))
 
     each = found.filter((F.size("base") > 0) | (F.size("loose") > 0)).select("row", "repo", "owner", F.explode(F.concat("base", "loose")).alias("s"))
-    # one row per hash, owner and repository first, so that a value in a third of the corpus is merged before it is dealt out
-    owners = (
-        each.groupBy(F.col("s.hash").alias("hash"), "owner", "repo")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("hash", "owner")
-        .agg(F.count("repo").alias("repos"))
-        .groupBy("hash")
-        .agg(F.count("owner").alias("n_owners"), F.sum("repos").alias("n_repos"))
-    )
-    judged = each.select("row", "s.*").join(owners, "hash").withColumn("live", F.col("n_owners") < copied_owners)
+    # the copied values alone are joined: they are few beside their uses
+    copied = frozen(_frequency(each.select(F.col("s.hash").alias("hash"), "owner", "repo"), copied_owners, copied_repos).filter(~F.col("live")).select("hash", F.lit(False).alias("live")))
+    judged = each.select("row", "s.*").join(bounded(copied), "hash", "left").withColumn("live", F.coalesce("live", F.lit(True)))
     base_kind = F.col("kind").isin([k.name for k in BASE])
     verdicts = judged.groupBy("row").agg(
         F.count(F.when(base_kind & F.col("live"), 1)).alias("n_live"),
@@ -139,17 +146,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def ownership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """A row for each candidate value: its hash, n_owners, n_repos and whether it looks live. Null and empty texts have none."""
+def ownership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
+    """A row for each candidate value: its hash, n_owners, n_repos and whether it looks live.
+
+    Null and empty texts have no value; null owners and repositories count as none, repeated rows as one repository.
+    An empty table gives an empty result; other columns of docs are ignored.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     values = F.transform(F.concat(*[_found(text, k) for k in (*BASE, *LOOSE)]), lambda s: F.sha2(s["value"], 256))
-    each = docs.select(F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.explode(values).alias("hash"))
-    return (
-        each.groupBy("hash", "owner", "repo")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("hash", "owner")
-        .agg(F.count("repo").alias("repos"))
-        .groupBy("hash")
-        .agg(F.count("owner").alias("n_owners"), F.sum("repos").alias("n_repos"))
-        .withColumn("live", F.col("n_owners") < copied_owners)
-    )
+    return _frequency(docs.select(F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.explode(values).alias("hash")), copied_owners, copied_repos)
