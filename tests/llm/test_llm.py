@@ -111,6 +111,13 @@ def test_secrets(spark):
         kinds = Counter(s.split(":")[0] for s in want)
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == (kinds["assign"], kinds["access"], kinds["hex"])
         assert got[i].n_live + got[i].n_copied == len(want) and len(spans) == len(want) + got[i].n_added
+    # one owner with very many repositories is a copied example; null owners and repositories count as none
+    many = docs(spark, ["token=sharedvalue"] * 60 + ["token=onlymine1"], sources=["s"] * 60 + [None])
+    assert sorted((r.n_owners, r.n_repos, r.live) for r in secrets.ownership(many).collect()) == [(0, 1, True), (1, 60, False)]
+    assert {(r.n_live, r.n_copied) for r in secrets.scan_secrets(many).filter("doc_id < 60").collect()} == {(0, 1)}
+    twice = secrets.scan_secrets(docs(spark, ["secret: abcdef1"]).union(docs(spark, ["secret: abcdef1"])))
+    assert [(r.n_live, r.n_copied) for r in twice.collect()] == [(1, 0)] * 2
+    assert secrets.scan_secrets(docs(spark, ["secret: abcdef1"]).withColumn("doc_id", F.lit(None).cast("long"))).first().n_live == 1
     shared = {"s0": 1, "s1": 2, "s2": 3}
     owners = secrets.ownership(docs(spark, ["token=sharedvalue"] * 9 + ["token=onlymine1"])).collect()
     assert sorted((r.n_owners, r.n_repos, r.live) for r in owners) == [(1, 1, True), (len(shared), 9, False)]
@@ -151,14 +158,17 @@ def test_mixing(spark):
         assert abs(taken[k] - targets[k]) <= max(2, 0.02 * targets[k]), (k, taken[k], targets[k])
     again = {r.doc_id: r.taken for r in mixing.mixed(rows.repartition(7)).collect()}
     assert again == {i: r.taken for i, r in got.items()}
+    repeated = mixing.mixed(docs(spark, ["a b", "w " * 100_000, None], sources=["s", "s", None]).union(docs(spark, ["a b"], sources=["s"]))).collect()
+    assert sorted((r.doc_id, r.size, r.source_size) for r in repeated) == [(0, 2, 100_004), (0, 2, 100_004), (1, 100_000, 100_004), (2, 0, 0)]
     assert mixing.mixed(rows.limit(0)).count() == 0
     # larger documents are tilted more, and the rates meet the target
-    import numpy as np
-
-    size, n = np.array([5.0, 10.0, 40.0]), np.array([10.0, 10.0, 2.0])
-    for target in (100.0, 230.0, 400.0, 689.0):
-        rate = mixing.rates(mixing.solve_tilt(size, n, target, 3), size, float((size * n).sum() / n.sum()), 3)
-        assert (rate * size * n).sum() == pytest.approx(target, rel=1e-6)
+    size, n, targets = [5, 10, 40], [10, 10, 2], (100.0, 230.0, 400.0, 689.0)
+    words = sum(a * b for a, b in zip(size, n, strict=True))
+    bins = spark.createDataFrame([(str(t), a, b) for t in targets for a, b in zip(size, n, strict=True)], "key string, size long, n long")
+    solved = mixing.solve_tilts(bins, spark.createDataFrame([(str(t), words, sum(n), t) for t in targets], "key string, words long, documents long, target double"), mixing.Mix())
+    rated = bins.join(solved, "key").withColumn("rate", mixing.rate_units(mixing.Mix()) / mixing.UNIT)
+    for t in targets:
+        assert sum(r.rate * r.size * r.n for r in rated.filter(F.col("key") == str(t)).collect()) == pytest.approx(t, rel=1e-6)
 
 
 # WARC
@@ -181,6 +191,14 @@ def test_warc(spark, tmp_path):
         found = warc.read_record(folder, r.bundle, r.frame, r.offset)
         assert found["fields"]["WARC-Record-ID"] == f"<urn:page:{r.record_id or ''}>"
     assert warc.archive_pages(df.limit(0)).count() == 0
+    whole = warc.archive_pages(df).collect()
+    read = lambda rs: sorted((str(r.record_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in rs)
+    assert read(whole) == read(got)
+    # an index that is off, or a revisit without its response, ends the job
+    records = warc.read_archives(spark, folder)
+    for wrong, held in ((index.withColumn("record_id", F.lit("0")), records), (index, records.filter("record_id <> '2' OR record_id IS NULL")), (index, records.withColumn("payload_bytes", F.when(F.col("record_type") == "revisit", 1).otherwise(F.col("payload_bytes"))))):
+        with pytest.raises(Exception, match="index says|revisit's response"):
+            warc.resolved(wrong, held).collect()
     bundle = warc.Bundle()
     places = [bundle.add(b"x" * 100_000) for _ in range(5)]
     data = bundle.to_bytes()
@@ -346,6 +364,22 @@ def test_chat_events(spark):
     assert got == [(1, 0, "user", "hello"), (1, 1, "assistant", "Bye"), (1, 6, "user", ""), (2, 0, "assistant", "v2!")]
 
 
+def test_chat_event_log(spark):
+    """A log made from messages folds into them, by way of deltas, edits and regenerations."""
+    rng = random.Random(17)
+    rows = [(conv, turn, rng.choice(["user", "assistant", "odd\\n\nrole", None]), rng.choice([None, "", "x", "<|end|>\n" * rng.randint(1, 3), "é😀 " * rng.randint(1, 9)])) for conv in range(60) for turn in range(rng.randint(1, 9))]
+    rows += [(99, 1, "assistant", "b"), (99, 1, "assistant", "b"), (None, 1, "user", "x"), (100, 0, "user", "long " * 50_000), (100, None, "user", "before")]
+    messages = spark.createDataFrame(rows, "conv_id long, seq long, role string, text string").repartition(3)
+    log = chat.as_events(messages)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    folded = chat.fold_events(log.repartition(5))
+    key = lambda r: (str(r[0]), r[1], r[2], r[3])
+    want = sorted(((c, 16 * (-1 if s is None else s), r or "", t or "") for c, s, r, t in rows), key=key)
+    assert sorted(((r.conv_id, r.seq, r.role, r.text) for r in folded.collect()), key=key) == want
+    assert {r.conv_id: r.turns_sha256 for r in chat.read_back(chat.render(folded)).collect()} == {r.conv_id: r.turns_sha256 for r in chat.read_back(chat.render(messages)).collect()}
+    assert chat.fold_events(log.limit(0)).count() == 0 and chat.as_events(messages.limit(0)).count() == 0
+
+
 # tokens
 
 
@@ -367,6 +401,38 @@ def test_token_counts(spark):
     for i, t in enumerate(texts[-12:], 1):
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len(t.encode()), want[i - 13], want[i - 13] > 100)
     assert token_counts.token_counts(rows.limit(0), path).count() == 0
+    # texts over the length of a chunk are rows by chunk, composed level by level; ids of any type, repeated rows
+    long = [*texts[-30:], "word's " * 20_000, "x1" * 40_000, "<|endoftext|>" * 3, "漢" * 3_000 + "<|endoftext|>" + "é " * 900, *texts[:40]]
+    counts = [len(library.encode(t, add_special_tokens=False).ids) for t in long]
+    for chunk in (7, 4_096):
+        table = spark.createDataFrame([(f"id{i}", t) for i, t in enumerate(long)] + [("id0", long[0])], "name string, text string").repartition(3)
+        found = token_counts.token_counts(table, path, limit=100, id_col="name", chunk=chunk).collect()
+        assert len(found) == len(long) + 1
+        assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in found} == {f"id{i}": (len(t.encode()), n, n > 100) for i, (t, n) in enumerate(zip(long, counts, strict=True))}
+    assert token_counts.token_counts(docs(spark, ["y " * 40_000]), path).first().n_tokens == len(library.encode("y " * 40_000).ids)
+
+
+def test_merge_transducer():
+    """Counts by transitions equal merges done one by one, in order of rank and from the left."""
+    rng = random.Random(4)
+    for _ in range(20):
+        tokens, merges = [b"a", b"b", b"c"], []
+        while len(merges) < 25:
+            a, b = rng.choice(tokens), rng.choice(tokens)
+            if a + b not in tokens and len(a + b) < 9:
+                merges.append((a, b))
+                tokens.append(a + b)
+        machine = token_counts.MergeTransducer(merges)
+        for _ in range(200):
+            raw = bytes(rng.choice(b"abcd") for _ in range(rng.randint(0, 25)))
+            parts = [bytes([x]) for x in raw]
+            for a, b in merges:
+                i = 0
+                while i + 1 < len(parts):
+                    if (parts[i], parts[i + 1]) == (a, b):
+                        parts[i : i + 2] = [a + b]
+                    i += 1
+            assert machine.count(raw) == len(parts)
 
 
 # languages
