@@ -156,8 +156,9 @@ def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataF
 
 def confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pairs (a, b) whose texts are linked, by their full shingle sets. A hot centre's pairs are dealt over several tasks."""
-    degrees = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR_TASK).alias("parts"))
-    dealt = pairs.join(degrees, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "part", "b")
+    # computed on their own, and hot centres alone, so that no task gets all pairs of one
+    hot = frozen(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR_TASK).alias("parts")).filter("parts > 1"))
+    dealt = pairs.join(bounded(hot), "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))).select("a", "part", "b")
     wanted = dealt.select("a", "part", F.lit(None).cast("long").alias("b")).distinct().unionByName(dealt).withColumn("id", F.coalesce("b", "a"))
     wanted = frozen(wanted)
     texts = _texts(docs, frozen(wanted.select("id").distinct()), id_col, text_col)
