@@ -35,6 +35,17 @@ def badge(status: Column, outcome: Column, report_there: Column) -> Column:
     return F.when((state == "done") & F.coalesce(ran, F.lit(False)) & ~report_there, "stale").when((state == "done") & F.coalesce(outcome == "skipped", F.lit(False)), "skipped").otherwise(state)
 
 
+def unfinished(steps: DataFrame) -> DataFrame:
+    """Steps that are needed and not done."""
+    return steps.filter(~F.col("optional") & (F.col("badge") != "done"))
+
+
+def progress(events: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Adds number and high to events: the place within key by order, and the highest value up to there, which never falls."""
+    w = Window.partitionBy(key).orderBy(order)
+    return events.withColumn("number", F.row_number().over(w)).withColumn("high", F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def project_status(steps: DataFrame, key: str = "project") -> DataFrame:
     """key, status from (key, optional, badge, live): running, failed, completed or draft."""
     live = F.max(F.when(F.col("live").isin("queued", "running", "waiting_input", "starting"), 2).when(F.col("live") == "failed", 1).otherwise(0))

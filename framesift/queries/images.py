@@ -209,9 +209,14 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.near_dup_pairs(_hashes(spark, sf_dir), 3)
 
 
-@query(f"WITH {HASHES_SQL}, wide AS (SELECT * FROM hashes WHERE ord % 5 = 0), {PAIRS_SQL.format(20).replace('hashes', 'wide')} SELECT a, b, dist FROM pairs")
+@query(f"WITH {HASHES_SQL}, {PAIRS_SQL.format(20)} SELECT a, b, dist FROM pairs")
 def near_dup_pairs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.near_dup_pairs(_hashes(spark, sf_dir).filter("ord % 5 = 0"), 20)
+    return duplicates.near_dup_pairs(_hashes(spark, sf_dir), 20)
+
+
+@query(f"WITH {HASHES_SQL}, {PAIRS_SQL.format(8)} SELECT a, b, dist FROM pairs")
+def near_dup_pairs_eight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.near_dup_pairs(_hashes(spark, sf_dir), 8)
 
 
 @query()

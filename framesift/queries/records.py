@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framesift.operators import audit, captions, export, ledger, run_state
+from framesift.functions import planning, text
+from framesift.operators import audit, captions, export, ledger, regions, run_state
 from framesift.plans import steps
 from framesift.queries import query, table
 from framesift.queries.samples import IMAGES_SQL, LEDGER_SQL, images, records
@@ -40,11 +41,14 @@ def last_by_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.last_by_stem(images(spark, sf_dir).withColumnRenamed("path", "rel"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, length(regexp_replace(coalesce(text[:turn * 3], ''), '^\\s+|\\s+$', '', 'g')) AS a, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS b FROM conversations)
-SELECT conv_id, turn, CASE WHEN a = 0 THEN 'empty' WHEN a < 5 THEN 'short' WHEN a > 600 THEN 'long' ELSE 'ok' END AS cut, CASE WHEN b = 0 THEN 'empty' WHEN b < 5 THEN 'short' WHEN b > 600 THEN 'long' ELSE 'ok' END AS whole FROM t""")
+#: A text without white space at its ends.
+TRIMMED = "regexp_replace(coalesce({}, ''), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, length({TRIMMED.format('text')}) AS n FROM conversations)
+SELECT conv_id, turn, CASE WHEN n = 0 THEN 'empty' WHEN n < 5 THEN 'short' WHEN n > 600 THEN 'long' ELSE 'ok' END AS class FROM t""")
 def caption_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = F.substring("text", F.lit(1), (F.col("turn") * 3).cast("int"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", audit.caption_class(cut).alias("cut"), audit.caption_class(F.col("text")).alias("whole"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", audit.caption_class(F.col("text")).alias("class"))
 
 
 @query(f"WITH {IMAGES_SQL} SELECT id FROM images WHERE id % 19 <> 0 AND least(w, h) < 1024")
@@ -52,7 +56,7 @@ def undersized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.undersized(images(spark, sf_dir).withColumn("corrupt", F.col("id") % 19 == 0), 1024).select("id")
 
 
-@query(f"""WITH {IMAGES_SQL}, c AS (SELECT length(trim(text[:doc_id % 9])) AS n FROM documents),
+@query(f"""WITH {IMAGES_SQL}, c AS (SELECT length({TRIMMED.format('text')}) AS n FROM documents),
 a AS (SELECT count_if(l.doc_id IS NULL)::BIGINT AS orphan_images, count_if(d.doc_id IS NULL)::BIGINT AS orphan_captions, count_if(l.doc_id = d.doc_id)::BIGINT AS paired
       FROM (SELECT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id),
 b AS (SELECT count_if(n = 0)::BIGINT AS empty, count_if(n > 0 AND n < 5)::BIGINT AS short, count_if(n > 600)::BIGINT AS long FROM c),
@@ -61,13 +65,12 @@ SELECT *, orphan_images + orphan_captions + corrupt + empty + undersized AS issu
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pairs = audit.pairing(docs.select(F.col("doc_id").alias("stem")), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("stem")))
-    texts = docs.select(F.substring("text", F.lit(1), (F.col("doc_id") % 9).cast("int")).alias("text"))
-    return audit.audit_summary(pairs, texts, images(spark, sf_dir).withColumn("corrupt", F.col("id") % 19 == 0), 1024)
+    return audit.audit_summary(pairs, docs.select("text"), images(spark, sf_dir).withColumn("corrupt", F.col("id") % 19 == 0), 1024)
 
 
 EXPORT_SQL = """f AS (SELECT doc_id, text FROM documents),
-s AS (SELECT doc_id AS stem, sha1(text) AS si, sha1(text[:50]) AS sc FROM f WHERE doc_id % 7 <> 0),
-t AS (SELECT doc_id AS stem, sha1(CASE WHEN doc_id % 5 = 1 THEN text || 'x' ELSE text END) AS ti, CASE WHEN doc_id % 9 <> 4 THEN sha1(CASE WHEN doc_id % 11 = 2 THEN text[:50] || 'y' ELSE text[:50] END) END AS tc FROM f WHERE doc_id % 8 <> 0),
+s AS (SELECT doc_id AS stem, sha1(text) AS si, sha1(text) AS sc FROM f WHERE doc_id % 7 <> 0),
+t AS (SELECT doc_id AS stem, sha1(CASE WHEN doc_id % 5 = 1 THEN text || 'x' ELSE text END) AS ti, CASE WHEN doc_id % 9 <> 4 THEN sha1(CASE WHEN doc_id % 11 = 2 THEN text || 'y' ELSE text END) END AS tc FROM f WHERE doc_id % 8 <> 0),
 k AS (SELECT coalesce(s.stem, t.stem) AS stem, CASE WHEN si IS NULL THEN 'orphaned' WHEN ti IS NULL THEN 'added' WHEN si = ti THEN 'unchanged' ELSE 'modified' END AS image_status,
   CASE WHEN sc IS NULL THEN 'orphaned' WHEN tc IS NULL THEN 'added' WHEN sc = tc THEN 'unchanged' ELSE 'modified' END AS caption_status FROM s FULL JOIN t ON s.stem = t.stem),
 d AS (SELECT *, CASE WHEN image_status IN ('added', 'orphaned') THEN image_status WHEN image_status = 'unchanged' AND caption_status = 'unchanged' THEN 'unchanged' ELSE 'modified' END AS status FROM k)"""
@@ -76,14 +79,13 @@ d AS (SELECT *, CASE WHEN image_status IN ('added', 'orphaned') THEN image_statu
 def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, k = table(spark, sf_dir, "documents"), F.col("doc_id")
     digest = lambda x: F.sha1(x.cast("binary")).alias("digest")
-    head = F.substring("text", 1, 50)
     source = docs.filter(k % 7 != 0)
     target = docs.filter(k % 8 != 0)
     return export.export_diff(
         source.select(k.alias("stem"), digest(F.col("text"))),
-        source.select(k.alias("stem"), digest(head)),
+        source.select(k.alias("stem"), digest(F.col("text"))),
         target.select(k.alias("stem"), digest(F.when(k % 5 == 1, F.concat("text", F.lit("x"))).otherwise(F.col("text")))),
-        target.filter(k % 9 != 4).select(k.alias("stem"), digest(F.when(k % 11 == 2, F.concat(head, F.lit("y"))).otherwise(head))),
+        target.filter(k % 9 != 4).select(k.alias("stem"), digest(F.when(k % 11 == 2, F.concat("text", F.lit("y"))).otherwise(F.col("text")))),
     )
 
 
@@ -112,8 +114,11 @@ def file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of the records upon a ledger of the first."""
     rows = records(spark, sf_dir)
-    return ledger.upsert(rows.filter("seq < 0"), rows)
+    half = (rows.agg(F.max("seq")).first()[0] or 0) // 2
+    first = ledger.upsert(rows.limit(0), rows.filter(F.col("seq") <= half))
+    return ledger.upsert(first, rows.filter(F.col("seq") > half))
 
 
 @query(f"WITH {LEDGER_SQL} SELECT * FROM ledger")
@@ -161,21 +166,21 @@ def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.verdict_counts(_matched(spark, sf_dir))
 
 
-@query("""SELECT doc_id AS path, CASE WHEN quality = 1 THEN 'correct' ELSE 'wrong' END AS verdict, CASE WHEN doc_id % 4 = 1 THEN 'after ' || doc_id ELSE text[:40] END AS caption, doc_id % 4 = 1 AS resolved
+@query("""SELECT doc_id AS path, CASE WHEN quality = 1 THEN 'correct' ELSE 'wrong' END AS verdict, CASE WHEN doc_id % 4 = 1 THEN 'after ' || doc_id ELSE text END AS caption, doc_id % 4 = 1 AS resolved
 FROM documents JOIN labels USING (doc_id) WHERE doc_id % 3 <> 0""")
 def verifier_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, k = table(spark, sf_dir, "documents"), F.col("doc_id")
     verdict = F.when(k % 3 == 0, "no verdict").when(F.col("quality") == 1, "correct").otherwise("wrong")
     results = table(spark, sf_dir, "labels").select(k.alias("path"), verdict.alias("verdict"))
     applied = docs.filter(k % 4 == 1).select(k.alias("path"), F.concat(F.lit("after "), k.cast("string")).alias("after"))
-    return ledger.record_results(docs.select(k.alias("path"), F.substring("text", 1, 40).alias("caption")), results, applied)
+    return ledger.record_results(docs.select(k.alias("path"), F.col("text").alias("caption")), results, applied)
 
 
-@query(f"""WITH {LEDGER_SQL}, c AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 <> 0 THEN text[:20] END AS caption, coalesce(quality = 0, false) AS flagged FROM documents LEFT JOIN labels USING (doc_id))
+@query(f"""WITH {LEDGER_SQL}, c AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 <> 0 THEN text END AS caption, coalesce(quality = 0, false) AS flagged FROM documents LEFT JOIN labels USING (doc_id))
 SELECT id FROM c WHERE caption IS NULL OR flagged""")
 def pending_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    rows = rows.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 4 != 0, F.substring("text", 1, 20)).alias("caption"), (F.col("quality") == 0).alias("flagged"))
+    rows = rows.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 4 != 0, F.col("text")).alias("caption"), (F.col("quality") == 0).alias("flagged"))
     return captions.pending(rows).select("id")
 
 
@@ -187,16 +192,18 @@ def caption_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(k.alias("id"), captions.caption_action(k % 2 == 0, skipped, labels, k % 5 == 0).alias("action"))
 
 
-@query("""WITH e AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '/other/' || doc_id WHEN 1 THEN '/data/region__' || doc_id ELSE '/data/' || doc_id END AS path, CASE doc_id % 6 WHEN 3 THEN ' ' WHEN 4 THEN ' ' || text[:9] ELSE 'new' END AS text, trim(' ' || text[:9]) AS old FROM documents),
-c AS (SELECT path, CASE WHEN doc_id % 6 <> 2 THEN old END AS before, trim(text) AS after FROM e),
-r AS (SELECT *, CASE WHEN path NOT LIKE '/data/%' THEN 'outside_root' WHEN path LIKE '/data/region\\_\\_%' ESCAPE '\\' THEN 'region_artifact' WHEN before IS NULL THEN 'missing' WHEN after = '' THEN 'empty' END AS reason FROM c)
+@query(f"""WITH e AS (SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN '/other/' WHEN 6 THEN '/data/../' WHEN 5 THEN '/data/x/../' WHEN 1 THEN '/data/region__' WHEN 7 THEN '/data/region__' ELSE '/data/' END || doc_id AS path,
+  CASE doc_id % 6 WHEN 3 THEN ' ' WHEN 4 THEN ' ' || text ELSE 'new' END AS text, {TRIMMED.format('text')} AS old FROM documents),
+c AS (SELECT doc_id, path, CASE WHEN doc_id % 6 <> 2 THEN old END AS before, {TRIMMED.format('text')} AS after FROM e),
+r AS (SELECT *, CASE WHEN doc_id % 6 = 0 THEN 'outside_root' WHEN doc_id % 6 = 1 THEN 'region_artifact' WHEN before IS NULL THEN 'missing' WHEN after = '' THEN 'empty' END AS reason FROM c)
 SELECT path, reason, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN before = after THEN 'unchanged' ELSE 'applied' END AS outcome FROM r""")
 def caption_edit_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, k = table(spark, sf_dir, "documents"), F.col("doc_id")
-    path = F.concat(F.when(k % 6 == 0, "/other/").when(k % 6 == 1, "/data/region__").otherwise("/data/"), k.cast("string")).alias("path")
-    old = F.concat(F.lit(" "), F.substring("text", 1, 9))
+    number = k.cast("string")
+    path = F.concat(F.when(k % 12 == 0, "/other/").when(k % 12 == 6, "/data/../").when(k % 12 == 5, "/data/x/../").when(k % 6 == 1, "/data/region__").otherwise("/data/"), number).alias("path")
+    old, there = F.concat(F.lit(" "), "text"), F.concat(F.when(k % 6 == 1, "/data/region__").otherwise("/data/"), number).alias("path")
     edits = docs.select(path, F.when(k % 6 == 3, " ").when(k % 6 == 4, old).otherwise("new").alias("text"))
-    return captions.classify_edits(edits, docs.filter(k % 6 != 2).select(path, old.alias("caption")), "/data").select("path", "reason", "outcome")
+    return captions.classify_edits(edits, docs.filter(k % 6 != 2).select(there, old.alias("caption")), "/data").select("path", "reason", "outcome")
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 8")
@@ -206,9 +213,9 @@ def last_n_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, event_id, lag(event_type) OVER w AS previous, round(max(value) OVER (w ROWS UNBOUNDED PRECEDING), 6) AS high, row_number() OVER w AS number FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
 def running_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    high = F.max("value").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, sf_dir, "events").select("user_id", "event_id", F.lag("event_type").over(w).alias("previous"), F.round(high, 6).alias("high"), F.row_number().over(w).alias("number"))
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = run_state.progress(table(spark, sf_dir, "events").withColumn("previous", before), "user_id", "event_id", "value")
+    return rows.select("user_id", "event_id", "previous", F.round("high", 6).alias("high"), "number")
 
 
 @query("""WITH p AS (SELECT l_orderkey AS shard, l_linenumber, l_returnflag AS variant, l_quantity::BIGINT AS bytes, l_partkey FROM lineitem),
@@ -278,7 +285,7 @@ def project_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BADGE_SQL} SELECT id FROM b WHERE NOT optional AND badge <> 'done'")
 def unfinished_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _badges(spark, sf_dir).filter("NOT optional AND badge <> 'done'").select("id")
+    return run_state.unfinished(_badges(spark, sf_dir)).select("id")
 
 
 STEPS_SQL = "d(ord, step) AS (VALUES " + ", ".join(f"({s.order}, '{s.name}')" for s in steps.STEPS) + ")"
@@ -293,10 +300,10 @@ def force_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_state.force_invalidated(rows).select("project", "ord", "step")
 
 
-@query(f"WITH {STEPS_SQL} SELECT ord, step FROM d WHERE step IN ('audit', 'import', 'upscale')")
+@query(f"WITH {STEPS_SQL} SELECT (row_number() OVER (ORDER BY ord))::INT - 1 AS place, step FROM d WHERE step IN ('audit', 'import', 'upscale')")
 def select_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = spark.createDataFrame([("audit",), ("upscale",), ("import",)], "step string")
-    return steps.step_table(spark).join(F.broadcast(chosen), "step", "left_semi").select("ord", "step")
+    chosen = steps.in_order(["audit", "upscale", "import", "audit"], [s.name for s in steps.checked()])
+    return spark.createDataFrame(list(enumerate(chosen)), "place int, step string")
 
 
 @query(f"WITH {EDGES_SQL} SELECT step, prerequisite FROM e WHERE step IN ('audit', 'caption', 'upscale', 'curate') AND prerequisite NOT IN ('audit', 'caption', 'upscale', 'curate', 'import')")
@@ -311,9 +318,35 @@ def migrate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_state.migrate_ids(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("step")), renames)
 
 
-@query("""SELECT event_id AS id, json_extract(props, '$.k')::BIGINT / 100.0 AS x1, event_type AS label FROM events""")
+@query("""SELECT event_id AS id, json_extract(props, '$.k')::BIGINT / 100.0 AS x1, event_type AS label FROM events WHERE event_id % 9 <> 4""")
 def boxes_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("double") / 100
     made = F.array(F.struct(k.alias("x1"), F.lit(0.1).alias("y1"), F.lit(0.9).alias("x2"), F.lit(0.5).alias("y2"), F.col("event_type").alias("label")))
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.to_json(made).alias("json"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 9 == 4, F.concat(F.lit("[{"), "event_type")).otherwise(F.to_json(made)).alias("json"))
     return captions.parse_boxes(rows).select("id", F.explode("boxes").alias("b")).select("id", "b.x1", "b.label")
+
+
+@query("""SELECT event_type AS stage, count(*) AS n FROM events WHERE user_id % 3 <> 0 GROUP BY 1 UNION ALL SELECT 'compose', count(*) FROM events""")
+def pass_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    took = F.when(F.col("user_id") % 3 != 0, F.array(F.lit("compose"), "event_type")).otherwise(F.array(F.lit("compose")))
+    return captions.pass_tally(table(spark, sf_dir, "events").select(took.alias("passes")))
+
+
+@query("""WITH r AS (SELECT 'set/img' || user_id AS stem, event_id AS seq, user_id % 4 AS there, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events)
+SELECT stem, seq, (there + place)::INT AS number, 'set/region__' || split_part(stem, '/', 2) || '__' || CASE WHEN there + place < 10 THEN '0' ELSE '' END || (there + place) AS crop FROM r""")
+def region_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user = F.col("user_id")
+    stem = F.concat(F.lit("set/img"), user.cast("string")).alias("stem")
+    events = table(spark, sf_dir, "events")
+    crops = events.select(user).distinct().select(stem, F.explode(F.when(user % 4 > 0, F.sequence(F.lit(1).cast("long"), user % 4))).alias("n"))
+    return regions.numbered_regions(events.select(stem, F.col("event_id").alias("seq")), crops).select("stem", "seq", "number", "crop")
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'deep ' || p_name || ' "x"' WHEN 2 THEN 'last' END AS found,
+  CASE p_partkey % 5 WHEN 0 THEN 'ViT-B-16' WHEN 1 THEN 'ViT-B-32' WHEN 2 THEN 'ViT-B-32' ELSE p_brand END AS model FROM part""")
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, name = F.col("p_partkey"), F.col("p_name")
+    deep = F.to_json(F.struct(F.lit(1).alias("n"), F.lit("").alias("none"), F.array(F.struct(F.concat(F.lit("deep "), name, F.lit(' "x"')).alias("text"))).alias("list")))
+    answer = F.when(k % 4 == 0, F.to_json(F.struct(name.alias("caption"), F.lit("other").alias("more")))).when(k % 4 == 1, deep).when(k % 4 == 2, '[[], {"a": {}}, 3, null, "last"]').otherwise('{"a": [1, {"b": ""}]}')
+    model = F.when(k % 5 == 0, "openai/clip-vit-base-patch16").when(k % 5 == 1, "openai/clip-vit-base-patch32").when(k % 5 == 2, "").otherwise(F.col("p_brand"))
+    return table(spark, sf_dir, "part").select(k.alias("id"), text.first_string(answer).alias("found"), planning.canonical_model(model).alias("model"))

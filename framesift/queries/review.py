@@ -53,10 +53,10 @@ def library_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.library_search(rows, "12").select("id")
 
 
-@query("""SELECT name FROM (SELECT c_name AS name, CASE WHEN c_custkey % 4 > 0 THEN c_nationkey END AS mtime FROM customer) ORDER BY coalesce(mtime, 0) DESC, name LIMIT 25""")
+@query("""SELECT name FROM (SELECT c_name AS name, CASE WHEN c_custkey % 4 > 0 THEN c_nationkey END AS mtime FROM customer) ORDER BY coalesce(mtime, 0) DESC, name""")
 def library_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 4 > 0, F.col("c_nationkey")).alias("mtime"))
-    return review.library_sorted(rows).select("name").limit(25)
+    return review.library_sorted(rows).select("name")
 
 
 @query("""SELECT o_orderpriority AS step, o_orderstatus AS field, CASE WHEN o_orderpriority LIKE '1%' AND o_orderstatus = 'F' THEN 'seed' ELSE 'own ' || o_orderkey END AS value FROM orders""")

@@ -173,10 +173,10 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions(spark, sf_dir).select("id", t.with_brief(prompt, F.col("kind")).alias("prompt"))
 
 
-@query(f"WITH {CAPTIONS_SQL} SELECT id, CASE id % 3 WHEN 0 THEN true WHEN 1 THEN len({content_sql('caption')}) >= 4 ELSE false END AS enough FROM captions WHERE trim(caption) <> ''")
+@query(f"WITH {CAPTIONS_SQL} SELECT id, CASE id % 3 WHEN 0 THEN true WHEN 1 THEN len({content_sql('caption')}) >= 4 ELSE false END AS enough FROM captions")
 def annotations_suffice(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = F.when(F.col("id") % 3 == 0, F.array("label", "kind")).when(F.col("id") % 3 == 1, F.array(F.lit(" "), F.col("caption"))).otherwise(F.array().cast("array<string>"))
-    return captions(spark, sf_dir).filter("trim(caption) <> ''").select("id", t.annotations_suffice(labels).alias("enough"))
+    return captions(spark, sf_dir).select("id", t.annotations_suffice(labels).alias("enough"))
 
 
 @query()
