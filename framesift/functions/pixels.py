@@ -6,6 +6,8 @@ libraries (reflected borders, population statistics); results agree with them in
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -186,3 +188,58 @@ def reconstruction_loss(pairs: DataFrame, cutoff: float = 0.25) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.string(), pa.float64(), pa.float64(), pa.string()])], names=["path", "hf_loss", "ssim", "error"])
 
     return pairs.select("path", "w", "h", "channels", "data", "rebuilt").mapInArrow(run, "path string, hf_loss double, ssim double, error string")
+
+
+def png_bytes(image: np.ndarray) -> bytes:
+    """BGR or gray pixels as a PNG file."""
+    rgb = image[:, :, 2::-1] if image.shape[2] >= 3 else np.repeat(image[:, :, :1], 3, axis=2)
+    h, w = rgb.shape[:2]
+    rows = np.concatenate([np.zeros((h, 1), np.uint8), np.ascontiguousarray(rgb, np.uint8).reshape(h, w * 3)], axis=1)
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows.tobytes())) + part(b"IEND", b"")
+
+
+def resampled(image: np.ndarray, h: int, w: int) -> np.ndarray:
+    """All channels of an image, by Lanczos."""
+    return np.stack([resized(image[:, :, c].astype(float), h, w) for c in range(image.shape[2])], axis=2).astype(np.uint8)
+
+
+def region_crops(regions: DataFrame) -> DataFrame:
+    """rel, content (PNG), error of regions (crop, left, top, right, bottom, w, h, channels, data); bounds as crop_bounds gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                try:
+                    cut = pixels(r["data"], r["h"], r["w"], r["channels"])[r["top"] : r["bottom"], r["left"] : r["right"]]
+                    rows.append((f"{r['crop']}.png", png_bytes(cut), None))
+                except Exception as e:  # as above
+                    rows.append((f"{r['crop']}.png", None, str(e)[:200]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.binary(), pa.string()))], names=["rel", "content", "error"])
+
+    return regions.select("crop", "left", "top", "right", "bottom", "w", "h", "channels", "data").mapInArrow(run, "rel string, content binary, error string")
+
+
+def upscaled(images: DataFrame, target: int) -> DataFrame:
+    """path, content (PNG), ssim, error of images (path, divisor, w, h, channels, data), brought by Lanczos to a short side of target.
+
+    An image with a divisor is shrunk by it first, so that what compression left goes, and brought to its own short side
+    at least. ssim is its likeness to the original.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                try:
+                    before = image = pixels(r["data"], r["h"], r["w"], r["channels"])
+                    if r["divisor"]:
+                        image = resampled(image, max(1, r["h"] // r["divisor"]), max(1, r["w"] // r["divisor"]))
+                    after = resampled(image, *upscaled_size(r["h"], r["w"], max(target, min(r["h"], r["w"])) if r["divisor"] else target))
+                    rows.append((r["path"], png_bytes(after), hallucination(gray(before), gray(after)), None))
+                except Exception as e:  # as above
+                    rows.append((r["path"], None, None, str(e)[:200]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.binary(), pa.float64(), pa.string()))], names=["path", "content", "ssim", "error"])
+
+    return images.select("path", "divisor", "w", "h", "channels", "data").mapInArrow(run, "path string, content binary, ssim double, error string")

@@ -10,6 +10,12 @@ EMBEDDING_LADDER = [(16, "ViT-B-32"), (24, "facebook/dinov2-base"), (32, "Qwen/Q
 EMBEDDING_LARGEST = "Qwen/Qwen3-VL-Embedding-8B"
 RENDER_LADDER = [(0, "stable-diffusion-v1-5/stable-diffusion-v1-5"), (16, "stabilityai/stable-diffusion-xl-base-1.0")]
 RENDER_LARGEST = "black-forest-labs/FLUX.2-klein-base-9B"
+MODEL_ALIASES = {
+    "openai/clip-vit-base-patch32": "ViT-B-32",
+    "openai/clip-vit-base-patch16": "ViT-B-16",
+    "openai/clip-vit-large-patch14": "ViT-L-14",
+    "openai/clip-vit-large-patch14-336": "ViT-L-14-336",
+}
 QUANT_DIVISOR = {"none": 1.0, "8bit": 1.9, "4bit": 3.6}
 OVERHEAD, TOTAL_SHARE, FREE_MARGIN, RESIDENT_SHARE = 1.15, 0.85, 1.0, 0.75
 UNKNOWN_PARAMS, UNKNOWN_TEXT = 3.0, 1.0
@@ -29,6 +35,12 @@ def embedding_model(gb: Column) -> Column:
     return ladder(gb, EMBEDDING_LADDER, EMBEDDING_LARGEST)
 
 
+def canonical_model(model: Column) -> Column:
+    """The id that a model is listed under; none means the smallest, unknown ids stay."""
+    known = F.create_map(*[F.lit(x) for pair in MODEL_ALIASES.items() for x in pair])
+    return F.when(F.coalesce(F.length(model), F.lit(0)) == 0, EMBEDDING_LADDER[0][1]).otherwise(F.coalesce(F.try_element_at(known, model), model))
+
+
 def render_model(gb: Column) -> Column:
     return ladder(gb, RENDER_LADDER, RENDER_LARGEST)
 

@@ -231,6 +231,14 @@ def compose_classic_caption(caption: Column, labels: Column, token: Column) -> C
     return strip_boilerplate(bound(whole, lambda t: F.when(F.length(t) > 0, with_token(t, token)).otherwise(t)))
 
 
+def first_string(json: Column) -> Column:
+    """The first text in a model's answer in JSON, however deep, keys and empty texts aside; null if there is none."""
+    token = F.lit(r'"((?:[^"\\]|\\.)*)"(\s*:)?')
+    texts, keys = F.regexp_extract_all(json, token, F.lit(1)), F.regexp_extract_all(json, token, F.lit(2))
+    values = F.filter(F.arrays_zip(texts.alias("text"), keys.alias("key")), lambda t: (F.length(t["key"]) == 0) & (F.length(t["text"]) > 0))
+    return F.get_json_object(F.concat(F.lit('["'), F.get(values, F.lit(0))["text"], F.lit('"]')), "$[0]")
+
+
 def initials(name: Column) -> Column:
     """Two capitals for a name: of its first two parts, or its first two letters; ?? if it has none."""
     parts = F.filter(F.split(F.translate(name, "- ", "__"), "_"), lambda p: F.length(p) > 0)

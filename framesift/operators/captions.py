@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framesift.functions.text import length_ok, token_present
+from framesift.functions.text import length_ok, token_present, trimmed
 
 ARTIFACT_PREFIX = "region__"
+#: A spot check counts rows by so many bits of their hash, on the driver.
+SLOT_BITS = 14
 
 
 def is_artifact(path: Column, prefix: str = ARTIFACT_PREFIX) -> Column:
@@ -35,18 +37,30 @@ def caption_action(has_caption: Column, skipped: Column, labels: Column, overwri
     return F.when(skip & has_caption & ~overwrite, "keep").when(skip | (F.coalesce(F.size(labels), F.lit(0)) <= 0), "caption_plain").otherwise("caption_regions")
 
 
+def resolved_path(path: Column) -> Column:
+    """A path without empty parts, `.` and `..`, as the file system would follow it."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda done, p: F.when(p == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p))))
+    return F.concat(F.when(F.startswith(path, F.lit("/")), "/").otherwise(""), F.array_join(walked, "/"))
+
+
 def classify_edits(edits: DataFrame, current: DataFrame, root: str, prefix: str = ARTIFACT_PREFIX) -> DataFrame:
-    """path, outcome, reason, before, after of edits (path, text): rejected with a reason, unchanged, or applied."""
-    rows = edits.join(current.select("path", F.col("caption").alias("before")), "path", "left")
-    after = F.trim(F.coalesce("text", F.lit("")))
+    """path, place, outcome, reason, before, after of edits (path, text): rejected with a reason, unchanged, or applied.
+
+    place is the path resolved; it decides what is inside of root and which image is meant. current has (path, caption),
+    a null caption for an image without.
+    """
+    known = current.select(F.col("path").alias("place"), F.coalesce("caption", F.lit("")).alias("before"))
+    rows = edits.withColumn("place", resolved_path(F.col("path"))).join(known, "place", "left")
+    after = trimmed(F.coalesce("text", F.lit("")))
     reason = (
-        F.when(~F.startswith(F.col("path"), F.lit(root.rstrip("/") + "/")), "outside_root")
-        .when(is_artifact(F.col("path"), prefix), "region_artifact")
+        F.when(~F.startswith(F.col("place"), F.lit(root.rstrip("/") + "/")), "outside_root")
+        .when(is_artifact(F.col("place"), prefix), "region_artifact")
         .when(F.col("before").isNull(), "missing")
         .when(F.length(after) == 0, "empty")
     )
-    outcome = F.when(F.col("reason").isNotNull(), "rejected").when(F.col("after") == F.trim("before"), "unchanged").otherwise("applied")
-    return rows.withColumn("after", after).withColumn("reason", reason).withColumn("outcome", outcome).select("path", "outcome", "reason", "before", "after")
+    outcome = F.when(F.col("reason").isNotNull(), "rejected").when(F.col("after") == trimmed(F.col("before")), "unchanged").otherwise("applied")
+    return rows.withColumn("after", after).withColumn("reason", reason).withColumn("outcome", outcome).select("path", "place", "outcome", "reason", "before", "after")
 
 
 def caption_checks(captions: DataFrame, token: str | None, style_mode: bool = False) -> DataFrame:
@@ -56,9 +70,24 @@ def caption_checks(captions: DataFrame, token: str | None, style_mode: bool = Fa
 
 
 def spot_check(rows: DataFrame, share: float, seed: int = 0, key: str = "path") -> DataFrame:
-    """A sample of max(1, int(n * share)) rows, the same for the same seed."""
-    n = rows.count()
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(max(1, int(n * share))) if n else rows
+    """A sample of max(1, int(n * share)) rows, the same for the same seed: those of the least hashes.
+
+    Hashes fall into slots; whole slots are taken or not by a filter, and only the slot at the border is sorted.
+    """
+    placed = rows.withColumn("_slot", F.shiftright(F.xxhash64(key, F.lit(seed)), 64 - SLOT_BITS))
+    sizes = sorted((r["_slot"], r["count"]) for r in placed.groupBy("_slot").count().collect())
+    left = max(1, int(sum(n for _, n in sizes) * share))
+    for slot, n in sizes:
+        if n > left:
+            border = placed.filter(F.col("_slot") == slot).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(left)
+            return placed.filter(F.col("_slot") < slot).unionByName(border).drop("_slot")
+        left -= n
+    return rows
+
+
+def pass_tally(images: DataFrame) -> DataFrame:
+    """stage, n: how often each stage ran, over images with an array of the stages that each took (passes)."""
+    return images.select(F.explode("passes").alias("stage")).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
 
 
 def last_n(rows: DataFrame, n: int, key: str, order: str) -> DataFrame:

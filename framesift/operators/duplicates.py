@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,22 +11,26 @@ from pyspark.sql import functions as F
 
 from framesift.operators.order import kept
 
-#: Bands narrower than this put too many hashes together to be of use.
-LEAST_BAND_BITS = 8
+#: Keys narrower than this put too many hashes together to be of use.
+LEAST_KEY_BITS, LEAST_PAIR_BITS = 8, 10
 
 
 def close_hashes(hashes: DataFrame, distance: int = 3) -> DataFrame:
     """x, y of all pairs of different hashes h with x < y and at most `distance` bits between them, each once.
 
-    Two hashes that close agree on one of distance + 1 bands, so pairs meet by an equi-join on bands of the distinct
-    hashes. Where bands would be too narrow, distinct hashes are split into blocks that meet each other, each pair of
-    blocks once.
+    Two hashes that close agree on one of distance + 1 bands, or on two of distance + 2, so pairs meet by an equi-join on
+    bands, or pairs of bands, of the distinct hashes. Where these would be too narrow, distinct hashes are split into
+    blocks that meet each other, each pair of blocks once.
     """
     distinct = hashes.select("h").distinct()
-    bands = distance + 1
-    if 64 // bands >= LEAST_BAND_BITS:
-        width = 64 // bands
-        keys = F.array(*[F.struct(F.lit(i).alias("band"), (F.shiftrightunsigned("h", i * width).bitwiseAND(F.lit((1 << width) - 1)) if i < bands - 1 else F.shiftrightunsigned("h", i * width)).alias("value")) for i in range(bands)])
+    single = 64 // (distance + 1) >= LEAST_KEY_BITS
+    bands = distance + 1 if single else distance + 2
+    width = 64 // bands
+    if single or 2 * width >= LEAST_PAIR_BITS:
+        part = [F.shiftrightunsigned("h", i * width).bitwiseAND(F.lit((1 << width) - 1)) if i < bands - 1 else F.shiftrightunsigned("h", i * width) for i in range(bands)]
+        chosen = [(i,) for i in range(bands)] if single else list(itertools.combinations(range(bands), 2))
+        value = lambda own: part[own[0]] if single else F.shiftleft(part[own[0]], 32).bitwiseXOR(part[own[1]])
+        keys = F.array(*[F.struct(F.lit(n).alias("band"), value(own).alias("value")) for n, own in enumerate(chosen)])
         sides = distinct.select("h", F.explode(keys).alias("k")).select("h", "k.band", "k.value")
         left, right = sides.select(F.col("h").alias("x"), "band", "value"), sides.select(F.col("h").alias("y"), "band", "value")
         met = left.join(right, ["band", "value"])

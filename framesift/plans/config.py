@@ -21,6 +21,12 @@ class QualityGate:
     manual_review: bool = True
 
 
+@dataclass(frozen=True)
+class Import:
+    #: Whether images and caption files are copied to the output's `dataset` folder too; files that are there stay.
+    copy: bool = False
+
+
 @dataclass(frozen=True)
 class Curate:
     max_distance: int = 3
@@ -32,6 +38,8 @@ class Upscale:
     highlight: int = 1536
     generative: bool = True
     least_ssim: float = 0.60
+    #: Whether planned images are upscaled, by the caller's model or, if none is generative, by Lanczos; else there is a plan only.
+    run: bool = False
 
 
 @dataclass(frozen=True)
@@ -41,6 +49,12 @@ class Caption:
     overwrite: bool = False
 
 
+@dataclass(frozen=True)
+class VerifyCaptions:
+    #: Whether reviewers' new texts are written to the caption files; what was there is kept in `caption_backup`.
+    write_edits: bool = False
+
+
 @dataclass(frozen=True)
 class VaeGate:
     sigma: float = 2.0
@@ -72,7 +86,7 @@ class BucketCheck:
 @dataclass(frozen=True)
 class Export:
     #: Whether images that have a caption of this run only, and no caption file, are exported too.
-    new_captions: bool = False
+    new_captions: bool = True
 
 
 @dataclass(frozen=True)
@@ -80,7 +94,7 @@ class Nothing:
     """Settings of a step that has none."""
 
 
-KINDS: dict[str, type] = {"quality_gate": QualityGate, "curate": Curate, "upscale": Upscale, "caption": Caption, "vae_gate": VaeGate, "audit": Audit, "bucket_check": BucketCheck, "export": Export}
+KINDS: dict[str, type] = {"import": Import, "verify_captions": VerifyCaptions, "quality_gate": QualityGate, "curate": Curate, "upscale": Upscale, "caption": Caption, "vae_gate": VaeGate, "audit": Audit, "bucket_check": BucketCheck, "export": Export}
 
 
 @dataclass(frozen=True)
@@ -159,6 +173,26 @@ def names(root: str) -> list[str]:
     return sorted(yaml.safe_load((p / "index.yaml").read_text())["name"] for p in folders)
 
 
+#: Kinds of caption prompts, and the name of the built-in one.
+PROMPT_KINDS, DEFAULT_PROMPT = ("content", "style"), "Default"
+
+
+def prompts(root: str, kind: str, default: str) -> list[tuple[str, str]]:
+    """(name, text) of the prompts of a kind in a prompt library, by name; the built-in one has the text given. Files that can't be read, or that would hide it, are left out."""
+    if kind not in PROMPT_KINDS:
+        raise ValueError(f"{kind!r} is no kind of prompt")
+    found = [(DEFAULT_PROMPT, default)]
+    for file in sorted(Path(root).glob(f"{kind}__*.yaml")):
+        try:
+            saved = yaml.safe_load(file.read_text())
+            name, own, text = str(saved["name"]), saved["kind"], str(saved["text"])
+        except (OSError, ValueError, KeyError, TypeError, yaml.YAMLError):
+            continue
+        if own == kind and name.strip().lower() != DEFAULT_PROMPT.lower():
+            found.append((name, text))
+    return sorted(found, key=lambda p: p[0].lower())
+
+
 def _plain(value: Any) -> Any:
     if isinstance(value, dict):
         return {k: _plain(v) for k, v in value.items()}

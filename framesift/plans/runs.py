@@ -10,27 +10,33 @@ import json
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesift.functions import pixels, text
-from framesift.operators import audit, buckets, captions, duplicates, export, outliers, quality_gate, upscale
+from framesift.functions.geometry import downscale_divisor
+from framesift.operators import audit, buckets, captions, coverage, duplicates, export, outliers, quality_gate, upscale
 from framesift.operators.order import scan_order
 from framesift.plans.config import Project
 from framesift.plans.steps import BY_NAME, SelectionError, checked, enabled_substeps, in_order, invalidated_by_force, validate
-from framesift.sources import files
+from framesift.sources import files, store
 
 
 @dataclass
 class Hooks:
-    """What a caller may plug in. decide(step, rows) gives reviewers' answers, (path, decision); caption and rebuild are models on columns."""
+    """What a caller may plug in. decide(step, rows) gives reviewers' answers, (path, decision), for captions with a new text if they give one.
+
+    caption, rebuild, upscale and embed are models on columns: upscale gives (path, content, ssim, error) of (path, divisor, w, h, channels,
+    data), embed gives (path, embedding) of images.
+    """
 
     decide: Callable[[str, DataFrame], DataFrame | None] = lambda step, rows: None
     caption: Callable[[DataFrame], DataFrame] | None = None
     rebuild: Callable[[DataFrame], DataFrame] | None = None
+    upscale: Callable[[DataFrame], DataFrame] | None = None
+    embed: Callable[[DataFrame], DataFrame] | None = None
     before: Callable[[str], None] = lambda step: None
     after: Callable[[str, dict], None] = lambda step, report: None
     cancelled: Callable[[], bool] = lambda: False
@@ -44,23 +50,21 @@ class CancelledError(RuntimeError):
 class State:
     """What is done, kept as JSON beside the results; small, and on the driver."""
 
-    path: Path
+    spark: SparkSession
+    path: str
     steps: dict[str, dict[str, Any]] = field(default_factory=dict)
 
     @classmethod
-    def read(cls, output: str) -> State:
-        path = Path(output) / "state.json"
+    def read(cls, spark: SparkSession, output: str) -> State:
+        path = f"{output}/state.json"
         try:
-            return cls(path, json.loads(path.read_text())["steps"])
-        except (OSError, ValueError, KeyError):
-            return cls(path)
+            return cls(spark, path, json.loads(store.read_text(spark, path) or "")["steps"])
+        except (ValueError, KeyError, TypeError):
+            return cls(spark, path)
 
     def mark(self, step: str, status: str, **more: Any) -> None:
         self.steps[step] = {"status": status, "completed_at": time.strftime("%Y-%m-%dT%H:%M:%S"), **more}
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        fresh = self.path.with_suffix(".new")
-        fresh.write_text(json.dumps({"steps": self.steps}, indent=2))
-        fresh.replace(self.path)
+        store.write_text(self.spark, self.path, json.dumps({"steps": self.steps}, indent=2))
 
     def satisfied(self) -> set[str]:
         return {s for s, r in self.steps.items() if r["status"] in ("done", "skipped")}
@@ -85,7 +89,7 @@ def skip_reason(state: State, step: str, force: bool) -> str | None:
 class Run:
     def __init__(self, spark: SparkSession, project: Project, hooks: Hooks | None = None) -> None:
         self.spark, self.project, self.hooks = spark, project, hooks or Hooks()
-        self.state = State.read(project.output)
+        self.state = State.read(spark, project.output)
         checked()
 
     # tables between the steps
@@ -97,10 +101,13 @@ class Run:
         rows.write.mode("overwrite").parquet(self.folder(step))
         return self.spark.read.parquet(self.folder(step))
 
+    def report_path(self, step: str) -> str:
+        return f"{self.project.output}/reports/{step}.json"
+
     def images(self, *steps: str) -> DataFrame:
         """Images that the last of these steps that has run lets through."""
         for step in reversed(steps):
-            if step in self.state.satisfied() and Path(self.folder(step)).exists():
+            if step in self.state.satisfied() and store.exists(self.spark, self.folder(step)):
                 return self.spark.read.parquet(self.folder(step))
         raise SelectionError(f"none of {', '.join(steps)} has run")
 
@@ -110,7 +117,12 @@ class Run:
         rows = files.scan_images(self.spark, self.project.input_dir, case_sensitive=True)
         known = files.decoded(self.spark, self.project.input_dir).select("rel", "w", "h", "corrupt")
         stored = self.store("import", rows.drop("content").join(known, "rel", "left"))
-        return {"images": stored.count()}
+        report = {"images": stored.count()}
+        if self.project.of("import").copy:
+            sidecars = files.read_captions(self.spark, self.project.input_dir).select("rel", F.col("text").cast("binary").alias("content"))
+            written = files.copy_files(rows.select("rel", "content").unionByName(sidecars), store.uri(f"{self.project.output}/dataset"))
+            report["copied"] = written.filter("copied").count()
+        return report
 
     def _quality_gate(self) -> dict:
         images = self.images("import")
@@ -133,14 +145,36 @@ class Run:
         close = self.store("curate_close", duplicates.close_hashes(hashes, self.project.of("curate").max_distance))
         dropped = duplicates.greedy_drop_hashes(hashes, close)
         kept = self.store("curate", numbered.join(dropped, "ord", "left_anti").drop("ord"))
-        return {"duplicate_pairs": duplicates.pair_count(hashes, close), "images": kept.count()}
+        report = {"duplicate_pairs": duplicates.pair_count(hashes, close), "images": kept.count()}
+        if self.hooks.embed is not None:
+            pictures = files.decoded(self.spark, self.project.input_dir).filter("NOT corrupt").join(kept.select("path"), "path", "left_semi")
+            plane = self.store("curate_coverage", coverage.percent_coordinates(coverage.principal_plane(self.hooks.embed(pictures), "path")))
+            report["coverage"] = plane.count()
+        return report
 
     def _upscale(self) -> dict:
         c = self.project.of("upscale")
         plan = upscale.guard_collisions(upscale.upscale_plan(self.images("import", "quality_gate", "curate"), c.target, c.highlight, c.generative))
         answers = self.hooks.decide("upscale", plan)
         stored = self.store("upscale", upscale.review(plan, answers) if answers is not None else plan)
-        return {r["planned_action"]: r["count"] for r in stored.groupBy("planned_action").count().collect()} or {"skipped": True, "reason": "no images"}
+        report: dict[str, Any] = {r["planned_action"]: r["count"] for r in stored.groupBy("planned_action").count().collect()}
+        if not report:
+            return {"skipped": True, "reason": "no images"}
+        model = self.hooks.upscale or (None if c.generative else lambda rows: pixels.upscaled(rows, c.target))
+        if c.run and model is not None:
+            report["outcomes"] = self._upscaled(stored.filter("planned_action <> 'pass_through'"), model, c.least_ssim)
+        return report
+
+    def _upscaled(self, jobs: DataFrame, model: Callable[[DataFrame], DataFrame], least_ssim: float) -> dict:
+        """Runs the model on planned images; what is like its original goes to the `upscaled` folder. Failures keep the original."""
+        pictures = files.decoded(self.spark, self.project.input_dir).filter("NOT corrupt").select("path", "channels", "data")
+        rows = jobs.join(pictures, "path").withColumn("divisor", F.when(F.col("needs_pre_downscale"), downscale_divisor(F.col("min_side"))))
+        # content is large: it is written once, and read again only where it is wanted
+        made = self.store("upscale_made", upscale.outcomes(model(rows), least_ssim))
+        wanted = made.filter("outcome = 'upscaled'").join(jobs.select("path", "rel", "dest"), "path")
+        name = F.concat(F.regexp_extract("rel", "^(.*/)?", 0), F.substring_index("dest", "/", -1))
+        files.copy_files(wanted.select(name.alias("rel"), "content"), store.uri(f"{self.project.output}/upscaled"), overwrite=True).count()
+        return {r["outcome"]: r["count"] for r in made.groupBy("outcome").count().collect()}
 
     def _captions(self) -> DataFrame:
         return files.read_captions(self.spark, self.project.input_dir).select("stem", "text")
@@ -148,7 +182,7 @@ class Run:
     def _final_captions(self) -> DataFrame:
         """stem, text as the caption step left them, else as the files have them."""
         found = self._captions()
-        if "caption" not in self.state.satisfied() or not Path(self.folder("caption")).exists():
+        if "caption" not in self.state.satisfied() or not store.exists(self.spark, self.folder("caption")):
             return found
         last = self.spark.read.parquet(self.folder("caption")).filter("text IS NOT NULL").select("stem", F.col("text").alias("last"))
         how = "full_outer" if self.project.of("export").new_captions else "left"
@@ -175,7 +209,12 @@ class Run:
         if answers is None:
             return {"skipped": True, "reason": "no verdicts"}
         stored = self.store("verify_captions", answers)
-        return {r["decision"]: r["count"] for r in stored.groupBy("decision").count().collect()}
+        report: dict[str, Any] = {r["decision"]: r["count"] for r in stored.groupBy("decision").count().collect()}
+        if self.project.of("verify_captions").write_edits and "text" in stored.columns:
+            edits = stored.filter("text IS NOT NULL").select("path", "text")
+            judged = self.store("caption_edits", files.apply_caption_edits(self.spark, edits, self.project.input_dir, f"{self.project.output}/caption_backup"))
+            report["edits"] = {r["outcome"]: r["count"] for r in judged.groupBy("outcome").count().collect()}
+        return report
 
     def _vae_gate(self) -> dict:
         c = self.project.of("vae_gate")
@@ -192,7 +231,7 @@ class Run:
 
     def _audit(self) -> dict:
         images = self.images("import", "quality_gate", "curate", "vae_gate").withColumn("stem", audit.rel_stem(F.col("rel")))
-        texts = self._captions()
+        texts = self._final_captions()
         return audit.audit_summary(audit.pairing(images, texts), texts, images, self.project.of("audit").min_resolution).first().asDict()
 
     def _bucket_check(self) -> dict:
@@ -213,7 +252,7 @@ class Run:
         kept = self.images("import", "quality_gate", "curate", "vae_gate")
         source = files.scan_images(self.spark, self.project.input_dir).join(kept.select("path"), "path", "left_semi")
         none = self.spark.createDataFrame([], "stem string, digest string")
-        there = Path(target).exists()
+        there = store.exists(self.spark, target)
         diff = export.export_diff(digests(source), texts(captioned), digests(files.scan_images(self.spark, target)) if there else none, texts(files.read_captions(self.spark, target)) if there else none)
         stored = self.store("export_diff", diff)
         report = export.export_counts(stored).first().asDict()
@@ -223,7 +262,7 @@ class Run:
             pictures = source.select(audit.rel_stem(F.col("rel")).alias("stem"), "rel", "content")
             sidecars = captioned.select("stem", F.concat("stem", F.lit(".txt")).alias("rel"), F.col("text").cast("binary").alias("content"))
             rows = pictures.unionByName(sidecars).join(chosen.select("stem"), "stem", "left_semi")
-            written = files.copy_files(rows, f"file://{Path(target).absolute()}", overwrite=True).filter("copied")
+            written = files.copy_files(rows, store.uri(target), overwrite=True).filter("copied")
             report["copied"] = written.select(audit.rel_stem(F.col("rel"))).distinct().count()
         return report
 
@@ -234,9 +273,10 @@ class Run:
         configured = list(self.project.steps)
         chosen = in_order(selected if selected is not None else configured, configured)
         undone = invalidated_by_force(chosen, configured) if force else []
-        validate(chosen, configured, self.state.satisfied(), substeps, undone, Path(self.folder("import")).exists())
+        validate(chosen, configured, self.state.satisfied(), substeps, undone, store.exists(self.spark, self.folder("import")))
         for step in undone:
             self.state.steps.pop(step, None)
+            store.delete(self.spark, self.report_path(step))
         reports: dict[str, dict] = {}
         for step in chosen:
             if self.hooks.cancelled():
@@ -252,9 +292,7 @@ class Run:
                 raise
             how, why = outcome(report)
             self.state.mark(step, "done", outcome=how, reason=why, substeps={s: "done" for s in enabled_substeps(step, (substeps or {}).get(step))})
-            place = Path(self.project.output) / "reports" / f"{step}.json"
-            place.parent.mkdir(parents=True, exist_ok=True)
-            place.write_text(json.dumps(report, indent=2, default=str))
+            store.write_text(self.spark, self.report_path(step), json.dumps(report, indent=2, default=str))
             self.hooks.after(step, report)
             reports[step] = report
         return reports

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesift.functions.text import trimmed
+from framesift.operators import audit, captions
+from framesift.operators.order import kept
+from framesift.sources.store import uri
 
 #: Suffixes of images.
 EXTENSIONS = ["jpg", "jpeg", "png", "webp", "bmp", "tiff", "tif"]
@@ -96,13 +99,44 @@ def write_captions(captions: DataFrame, folder: str) -> None:
     captions.select("rel", "text").write.mode("overwrite").json(folder)
 
 
+def write_caption_files(captions: DataFrame, target: str) -> DataFrame:
+    """A .txt file for each of (rel, text), in place of what is there, each moved into place when whole; rel, copied."""
+    return copy_files(captions.select("rel", F.col("text").cast("binary").alias("content")), target, overwrite=True)
+
+
+def apply_caption_edits(spark: SparkSession, edits: DataFrame, root: str, backup: str | None = None) -> DataFrame:
+    """Writes applied edits (path, text) to the caption files of root; path, outcome, reason, before, after of each, as classify_edits() gives them.
+
+    The texts stay as typed, but for white space at the ends. A caption is kept in backup before its first change.
+    """
+    images = scan_images(spark, root).filter(F.col("rel").isNotNull()).select("path", audit.rel_stem(F.col("rel")).alias("stem"))
+    before = images.join(read_captions(spark, root).select("stem", F.col("text").alias("caption")), "stem", "left")
+    # nothing is read again once files change
+    judged = kept(captions.classify_edits(edits, before.select("path", "caption"), root))
+    changed = kept(judged.filter("outcome = 'applied'").join(before.select(F.col("path").alias("place"), "stem", "caption"), "place").select(F.concat("stem", F.lit(".txt")).alias("rel"), "after", "caption"))
+    if backup is not None:
+        old = changed.filter(F.col("caption").isNotNull()).select("rel", F.col("caption").cast("binary").alias("content"))
+        copy_files(old, uri(backup)).count()
+    write_caption_files(changed.select("rel", F.col("after").alias("text")), uri(root)).count()
+    return judged.drop("place")
+
+
+def write_sidecars(sidecars: DataFrame, target: str) -> DataFrame:
+    """Writes (rel, text) below target; a null text deletes the file. rel, copied."""
+    return copy_files(sidecars.select("rel", F.col("text").cast("binary").alias("content")), target, overwrite=True)
+
+
 def write_report(report: DataFrame, folder: str) -> None:
     """A report of one row as JSON."""
     report.coalesce(1).write.mode("overwrite").json(folder)
 
 
 def copy_files(rows: DataFrame, target: str, overwrite: bool = False) -> DataFrame:
-    """Writes content of (rel, content) below target, whatever file system that is on; rel, copied. A file that is there stays unless overwrite is set."""
+    """Writes content of (rel, content) below target, whatever file system that is on; rel, copied.
+
+    A file that is there stays unless overwrite is set; then null content deletes it. Lazy, as all of Spark: the files are written
+    when the result is counted or stored. A task that runs again writes the same files.
+    """
     import pyarrow as pa
     from pyarrow import fs
 
@@ -113,7 +147,10 @@ def copy_files(rows: DataFrame, target: str, overwrite: bool = False) -> DataFra
             for rel, content in zip(batch.column("rel"), batch.column("content"), strict=True):
                 at = f"{root}/{rel.as_py()}"
                 fresh = overwrite or store.get_file_info(at).type == fs.FileType.NotFound
-                if fresh:
+                if fresh and content.as_py() is None:
+                    if store.get_file_info(at).type != fs.FileType.NotFound:
+                        store.delete_file(at)
+                elif fresh:
                     store.create_dir(at.rpartition("/")[0], recursive=True)
                     with store.open_output_stream(f"{at}.part", compression=None) as out:
                         out.write(content.as_py())
