@@ -8,12 +8,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framesift.functions import pixels
+from framesift.functions import geometry, pixels
+from framesift.operators import regions
+from framesift.operators.coverage import mock_embedding
 from framesift.operators.ledger import ENTRY
-from framesift.plans.config import BucketCheck, Export, Project, QualityGate
+from framesift.plans.config import BucketCheck, Export, Import, Project, QualityGate, Upscale, VerifyCaptions, prompts
 from framesift.operators.quality_gate import Scorer
 from framesift.plans.runs import Hooks, Run, outcome
-from framesift.sources import files
+from framesift.sources import files, store
 from framesift.streaming import ingest
 
 
@@ -87,13 +89,16 @@ def test_whole_run(spark, folder, tmp_path):
     assert reports["verify_captions"]["skipped"] is True
     assert reports["vae_gate"]["flagged"] == 0 and reports["vae_gate"]["successful"] == 2
     assert sum(reports["bucket_check"]["buckets"].values()) == 2 and reports["bucket_check"]["cache_info"]
-    assert reports["export"]["added"] == 1 and reports["export"]["copied"] == 1
-    assert json.loads((tmp_path / "out/reports/export.json").read_text())["copied"] == 1
+    # both images are captioned after the run, one of them by it
+    assert reports["export"]["added"] == 2 and reports["export"]["copied"] == 2
+    assert json.loads((tmp_path / "out/reports/export.json").read_text())["copied"] == 2
+    assert reports["audit"]["orphan_images"] == 0
     again = Run(spark, project, hooks).run(["import", "quality_gate", "audit"])
     assert all(r["reason"] == "already_done" for r in again.values())
     forced = Run(spark, project, hooks)
     forced.run(["audit"], force=True)
     assert "bucket_check" not in forced.state.steps and "curate" in forced.state.steps
+    assert not (tmp_path / "out/reports/bucket_check.json").exists() and (tmp_path / "out/reports/audit.json").exists()
     assert outcome({"skipped": ["a"]}) == ("completed", "") and outcome({})[0] == "skipped" and outcome(None)[0] == "completed"
 
 
@@ -128,6 +133,77 @@ def test_export_copies_captions_and_changes(spark, tmp_path, make_png):
     assert third == {"added": 0, "modified": 0, "unchanged": 4, "orphaned": 0, "copied": 0}
 
 
+def test_run_copies_upscales_and_edits(spark, folder, tmp_path):
+    import shutil
+
+    root = tmp_path / "in"
+    shutil.copytree(folder, root)
+    settings = {"import": Import(copy=True), "quality_gate": QualityGate(scorers=(Scorer("min_side", "lt", 20.0),)), "upscale": Upscale(target=96, highlight=40, generative=False, run=True, least_ssim=0.0), "verify_captions": VerifyCaptions(write_edits=True)}
+    project = Project("t", str(root), f"file://{tmp_path}/out", settings=settings)
+
+    def decide(step, rows):
+        if step == "verify_captions":
+            at = F.concat(F.lit(f"{root}/"), F.col("rel"))
+            return rows.select(at.alias("path"), F.lit("wrong").alias("decision"), F.when(F.col("rel") == "copy.png", "  edited \u00a0").when(F.col("rel") == "flat.png", " ").alias("text"))
+        return None
+
+    hooks = Hooks(decide=decide, embed=lambda rows: rows.select("path", mock_embedding(F.col("path")).alias("embedding")))
+    run = Run(spark, project, hooks)
+    reports = run.run(["import", "quality_gate", "curate", "upscale", "caption", "verify_captions"])
+    assert reports["import"] == {"images": 5, "copied": 8}
+    assert (tmp_path / "out/dataset/sub dir/wide.png").read_bytes() == (root / "sub dir/wide.png").read_bytes()
+    assert reports["curate"]["coverage"] == reports["curate"]["images"] and spark.read.parquet(run.folder("curate_coverage")).columns == ["path", "x", "y", "x_pct", "y_pct"]
+    assert reports["upscale"]["outcomes"] == {"upscaled": reports["upscale"]["upscale"]}
+    sizes = {r.rel: (r.w, r.h) for r in files.decoded(spark, f"{tmp_path}/out/upscaled").collect()}
+    assert sizes["sub dir/wide.png"] == (192, 96)
+    assert reports["verify_captions"]["edits"] == {"applied": 1, "rejected": 1}
+    assert (root / "copy.txt").read_text() == "edited" and (tmp_path / "out/caption_backup/copy.txt").read_text() == "The same square again"
+    files.apply_caption_edits(spark, spark.createDataFrame([(f"{root}/sub dir/../copy.png", "again"), (f"{root}/../x.png", "out"), (f"{root}/none.png", "x"), (f"{root}/flat.png", "new")], "path string, text string"), str(root), str(tmp_path / "out/caption_backup"))
+    assert (root / "copy.txt").read_text() == "again" and (root / "flat.txt").read_text() == "new" and not (root / "none.txt").exists()
+    # the first caption is the one that is kept
+    assert (tmp_path / "out/caption_backup/copy.txt").read_text() == "The same square again" and not (tmp_path / "out/caption_backup/flat.txt").exists()
+
+
+def test_region_files(spark, folder, tmp_path):
+    crops = spark.createDataFrame([("sub dir/wide",), ("sub dir/wide",)], "stem string")
+    boxes = spark.createDataFrame([("sub dir/wide", 5, 0.25, 0.0, 0.75, 0.5, "a red  box"), ("sub dir/wide", 7, 0.0, 0.0, 0.0, 0.0, ""), ("a", 1, 0.5, 0.5, 1.0, 1.0, "corner")], "stem string, seq int, x1 double, y1 double, x2 double, y2 double, label string")
+    named = regions.numbered_regions(boxes, crops)
+    assert {(r.stem, r.seq): r.crop for r in named.collect()} == {("sub dir/wide", 5): "sub dir/region__wide__03", ("sub dir/wide", 7): "sub dir/region__wide__04", ("a", 1): "region__a__01"}
+    pictures = files.decoded(spark, folder).filter("NOT corrupt").withColumn("stem", F.regexp_replace("rel", r"\.png$", ""))
+    at = geometry.crop_bounds(*(F.col(c) for c in ("x1", "y1", "x2", "y2")), F.col("w"), F.col("h"))
+    made = pixels.region_crops(named.join(pictures, "stem").withColumn("at", at).select("crop", "at.*", "w", "h", "channels", "data"))
+    target = tmp_path / "regions"
+    assert files.copy_files(made.filter("error IS NULL"), str(target.absolute().as_uri())).filter("copied").count() == 3
+    read = {r.rel: r for r in files.decoded(spark, str(target)).collect()}
+    assert {k: (r.w, r.h) for k, r in read.items()} == {"sub dir/region__wide__03.png": (32, 16), "sub dir/region__wide__04.png": (1, 1), "region__a__01.png": (24, 24)}
+    whole = next(r for r in pictures.collect() if r.stem == "sub dir/wide")
+    cut = np.frombuffer(whole.data, np.uint8).reshape(32, 64, 3)[:16, 16:48]
+    assert np.array_equal(np.frombuffer(read["sub dir/region__wide__03.png"].data, np.uint8).reshape(16, 32, 3), cut)
+    texts = {r.rel: r.text for r in regions.region_captions(named, "sks").collect()}
+    assert set(texts) == {"sub dir/region__wide__03.txt", "region__a__01.txt"} and texts["region__a__01.txt"].lower().startswith("sks")
+    struct = "stem string, boxes array<struct<x1:double,y1:double,x2:double,y2:double,label:string>>"
+    side = regions.sidecars(spark.createDataFrame([("sub dir/wide", [(0.1, 0.2, 0.3, 0.4, "b")]), ("a", [])], struct))
+    (target / "region__a__boxes.json").write_text("[]")
+    assert files.write_sidecars(side, target.absolute().as_uri()).count() == 2
+    assert json.loads((target / "sub dir/region__wide__boxes.json").read_text())[0]["label"] == "b" and not (target / "region__a__boxes.json").exists()
+
+
+def test_small_files(spark, tmp_path):
+    path = f"file://{tmp_path}/deep/state.json"
+    assert store.read_text(spark, path) is None and not store.exists(spark, path)
+    store.write_text(spark, path, "é1")
+    store.write_text(spark, path, "é2")
+    assert store.read_text(spark, path) == "é2" and (tmp_path / "deep/state.json").read_text() == "é2"
+    store.delete(spark, path)
+    (tmp_path / "deep/state.json.new").write_text("left over")
+    assert store.read_text(spark, path) == "left over"
+    for name, text in (("content__b", "name: b\nkind: content\ntext: say b"), ("content__a", "name: A\nkind: content\ntext: say a"), ("content__default", "name: default\nkind: content\ntext: hides"), ("content__bad", "[1"), ("content__odd", "name: s\nkind: style\ntext: other")):
+        (tmp_path / f"{name}.yaml").write_text(text)
+    assert prompts(str(tmp_path), "content", "built in") == [("A", "say a"), ("b", "say b"), ("Default", "built in")]
+    with pytest.raises(ValueError):
+        prompts(str(tmp_path), "other", "")
+
+
 def test_records(spark, tmp_path):
     (tmp_path / "l.json").write_text('{"version": 1, "entries": {"/a": {"verdict": "wrong", "caption_at_verdict": "c"}, "/b": {"verdict": "odd"}}}')
     (tmp_path / "bad.json").write_text("[1, 2]")

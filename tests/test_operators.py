@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from framesift.functions import geometry as g
-from framesift.operators import audit, buckets, captions, duplicates, export, ledger, outliers, quality_gate, upscale
+from framesift.functions import planning
+from framesift.operators import audit, buckets, captions, coverage, duplicates, export, ledger, outliers, quality_gate, upscale
 from framesift.operators.order import scan_order
 from framesift.plans import config, steps
 
@@ -18,7 +19,7 @@ def flip(h: int, *bits: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-@pytest.mark.parametrize("distance", [0, 3, 7, 12])
+@pytest.mark.parametrize("distance", [0, 3, 7, 8, 10, 12])
 def test_near_duplicates_against_all_pairs(spark, distance):
     rng = random.Random(distance)
     base = [rng.getrandbits(64) for _ in range(12)]
@@ -184,3 +185,49 @@ def test_projects(tmp_path):
             config.folder_name(bad)
     with pytest.raises(ValueError):
         config.BucketCheck(buckets=())
+
+
+def test_spot_check_takes_the_least_hashes(spark):
+    rows = spark.range(5000).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"))
+    for share, seed in ((0.05, 3), (0.2, 0), (1.0, 1), (0.0, 2)):
+        want = rows.orderBy(F.xxhash64("path", F.lit(seed)), "path").limit(max(1, int(5000 * share)))
+        assert {r.path for r in captions.spot_check(rows, share, seed).collect()} == {r.path for r in want.collect()}
+    assert captions.spot_check(rows.limit(0), 0.5).count() == 0 and captions.spot_check(rows.limit(1).unionByName(rows.limit(1)), 0.5).count() == 1
+
+
+def test_caption_edits(spark):
+    known = spark.createDataFrame([("/d/a.png", "old"), ("/d/s/b.png", None)], "path string, caption string")
+    said = [("/d/a.png", " old\u2003"), ("/d/x/../a.png", "new"), ("/d/../d/a.png", ""), ("/d/../e/a.png", "x"), ("/dd/a.png", "x"), ("/d/./s//b.png", "b"), ("/d/c.png", "c"), ("/d/region__a__01.png", "r")]
+    got = {r.path: (r.outcome, r.reason) for r in captions.classify_edits(spark.createDataFrame(said, "path string, text string"), known, "/d").collect()}
+    assert got == {
+        "/d/a.png": ("unchanged", None), "/d/x/../a.png": ("applied", None), "/d/../d/a.png": ("rejected", "empty"), "/d/../e/a.png": ("rejected", "outside_root"), "/dd/a.png": ("rejected", "outside_root"),
+        "/d/./s//b.png": ("applied", None), "/d/c.png": ("rejected", "missing"), "/d/region__a__01.png": ("rejected", "region_artifact"),
+    }
+
+
+def test_caption_classes(spark):
+    texts = [None, "", " \u3000", "abcd", " abcde ", "x" * 600, "x" * 601, "abc \n"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    assert [r.k for r in rows.orderBy("i").select(audit.caption_class(F.col("text")).alias("k")).collect()] == ["empty", "empty", "empty", "short", "ok", "ok", "long", "short"]
+
+
+def test_seeds_and_mock_embeddings(spark):
+    import zlib
+
+    paths = ["a/b.png", "é.jpg", ""]
+    rows = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, seed long")
+    got = {r.path: r for r in rows.select("path", planning.preview_seed(F.col("path"), F.col("seed")).alias("seed"), coverage.mock_embedding(F.col("path"), 3).alias("v")).collect()}
+    for i, p in enumerate(paths):
+        assert got[p].seed == (zlib.crc32(p.encode()) + i) % 2**31
+        assert got[p].v == pytest.approx([zlib.crc32(f"{p}#{k}".encode()) % 2001 / 1000 - 1 for k in range(3)], abs=1e-6)
+
+
+def test_verdict_rates(spark, tmp_path):
+    from framesift.streaming.ingest import verdict_rates
+
+    at = lambda m: f"2024-01-01 00:{m:02d}:00"
+    rows = spark.createDataFrame([(at(1), "wrong"), (at(4), "wrong"), (at(9), "correct"), (at(12), "wrong")], "t string, verdict string")
+    rows.select(F.to_timestamp("t").alias("ts"), "verdict").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, verdict string").parquet(str(tmp_path / "in"))
+    verdict_rates(stream).writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
+    assert {(r.start.minute, r.verdict): r.n for r in spark.table("rates").collect()} == {(0, "wrong"): 2, (0, "correct"): 1, (10, "wrong"): 1}
