@@ -320,6 +320,17 @@ def test_decontamination(spark, words):
     rows = docs(spark, texts)
     got = {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontaminate.contaminated(rows, bench).collect()}
     assert got == want and len(want) > 30
+    # the same id and text twice is one document to find and two rows to drop; the benchmark may have columns of any name
+    twice = docs(spark, [items[5] + " and more", "clean words here", None]).unionByName(docs(spark, [items[5] + " and more"]))
+    odd = bench.withColumn("doc_id", F.lit(0)).withColumn("hash", F.lit(1)).withColumn("row_key", F.lit("x"))
+    assert [(r.doc_id, r.n_item) for r in decontaminate.contaminated(twice, odd.filter("item_id = 5")).collect()] == [(0, 26)]
+    assert sorted(r.doc_id for r in decontaminate.decontaminated(twice, odd).collect()) == [1, 2]
+    many = common.BROADCAST_ROWS
+    common.BROADCAST_ROWS = decontaminate.BROADCAST_ROWS = 0  # all joins by shuffle
+    try:
+        assert {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontaminate.contaminated(rows, bench).collect()} == want
+    finally:
+        common.BROADCAST_ROWS = decontaminate.BROADCAST_ROWS = many
     clean = {r.doc_id for r in decontaminate.decontaminated(rows, bench).collect()}
     assert clean == set(range(len(texts))) - {d for d, *_ in want}
     assert decontaminate.contaminated(rows.limit(0), bench).count() == 0 and decontaminate.contaminated(rows, bench.limit(0)).count() == 0
@@ -483,6 +494,21 @@ def test_language_id(spark):
     held = [i for i in range(300) if got[i].held_out]
     assert sum(got[i].lang_pred == langs[i] for i in held) >= 0.97 * len(held)
     assert [got[300 + k].lang_pred for k in range(3)] == ["und"] * 3 and got[303].lang_pred in sounds
+    # repeated rows each have a row; a text of more words than are scored at a time is the product of all of them
+    model = language_id.fit(rows, path)
+    many = [say("aa", 5), say("bb", 70_000) + " " + " ".join(f"k{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6]}" for i in range(600)), None]
+    table = docs(spark, many).union(docs(spark, many))
+    found = sorted((r.doc_id, r.lang_pred, r.score) for r in language_id.predict(table, model).collect())
+    assert [f[:2] for f in found] == [(0, "aa"), (0, "aa"), (1, "bb"), (1, "bb"), (2, "und"), (2, "und")] and found[0] == found[1] and found[2] == found[3]
+    scorer = language_id._Scorer(model)
+    whole = scorer.totals(many[:2])[0]
+    kept, language_id.KEPT, language_id.RUN = (language_id.KEPT, language_id.RUN), 40, 15
+    try:
+        import numpy as np
+
+        assert np.allclose(language_id._Scorer(model).totals(many[:1] * 3)[0], whole[[0, 0, 0]])
+    finally:
+        language_id.KEPT, language_id.RUN = kept
     unlabelled = language_id.identify(docs(spark, ["abc"], langs=[None]), path).first()
     assert (unlabelled.lang_pred, unlabelled.score) == ("und", 0.0)
     assert language_id.identify(rows.limit(0), path).count() == 0
@@ -548,7 +574,8 @@ def test_pipeline(spark, words, tmp_path):
     base = [" ".join(rng.choice(words) for _ in range(rng.randint(30, 90))) for _ in range(60)]
     texts = base + [base[0], base[1] + " " + words[0], base[2] + " " + bench, None, "...", ""]
     rows = docs(spark, texts).select("doc_id", "text", "lang", "source", "n_chars")
-    rows.union(rows.filter("doc_id = 5")).write.parquet(str(tmp_path / "documents.parquet"))
+    odd = spark.createDataFrame([(None, " ".join(rng.choice(words) for _ in range(40_000)), "en", "s0", 0), (None, None, None, None, None)], rows.schema)
+    rows.union(rows.filter("doc_id = 5")).union(odd).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     kept = spark.read.parquet(str(tmp_path / "documents.parquet"))
     columns, seen = kept.columns, {}
@@ -559,10 +586,46 @@ def test_pipeline(spark, words, tmp_path):
         if name != "sharding":
             assert kept.columns == columns
         seen[name] = [r.doc_id for r in kept.collect()]
+    # the long text without an id stays to the mix, the null one goes at once
+    assert seen["language_id"].count(None) == seen["near_dedup"].count(None) == seen["decontamination"].count(None) == 1
+    assert seen["sharding"].count(None) == seen["mixing"].count(None) <= 3 and len(seen["sharding"]) == p.run(spark, str(tmp_path)).count()
+    seen = {name: [i for i in ids if i is not None] for name, ids in seen.items()}
     assert sorted(seen["language_id"]) == sorted([*range(63), 5])
     after = set(seen["near_dedup"])
     assert len(seen["near_dedup"]) == 61 and after >= set(range(2, 60)) and len(after & {0, 60}) == len(after & {1, 61}) == 1
     assert set(seen["decontamination"]) == after - {62}
     assert set(seen["mixing"]) <= after - {62} and max(Counter(seen["mixing"]).values()) <= 3
     assert sorted(seen["sharding"]) == sorted(seen["mixing"])
-    assert p.run(spark, str(tmp_path)).count() == len(seen["mixing"])
+
+
+def test_near_duplicates_recall(spark, words):
+    """Pairs just linked, by size of their sets: all but a few in 1,000 share a bucket."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    maker = near_dedup.Sketcher(3)
+    for low, high in ((7, 16), (16, 128), (128, 2000)):
+        met = 0
+        for _ in range(1000):
+            n = int(rng.integers(low, high))
+            apart = next(d for d in range(n, -1, -1) if 100 * (n - d) >= 85 * (n + d))
+            sets = rng.choice(1 << 62, n + apart, replace=False).astype(np.uint64)
+            one, two = near_dedup.mix(sets[:n]), near_dedup.mix(sets[apart:])
+            a, b = (maker.bands(maker.sketch(np.sort(x))) for x in (one, two))
+            met += bool((a == b).any())
+        assert met >= 998, (low, met)
+
+
+def test_near_duplicates_by_shuffle(spark, words):
+    """As with all small sides sent to all tasks."""
+    rng = random.Random(3)
+    base = [rng.choice(words) for _ in range(60)]
+    texts = [" ".join(base[:k]) for k in (40, 41, 42, 60)] * 3 + [" ".join(words[k : k + 30]) for k in range(0, 90, 30)] + [None, ""]
+    rows = docs(spark, texts)
+    want, _ = brute_components(texts, near_dedup.Rule())
+    many, common.BROADCAST_ROWS = common.BROADCAST_ROWS, 0
+    try:
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(rows).collect()}
+    finally:
+        common.BROADCAST_ROWS = many
+    assert [got[i] for i in range(len(texts))] == want
