@@ -1,8 +1,9 @@
 """A corpus from raw documents to shards, in five stages.
 
-Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame. docs has
-to be a table of Parquet files, as run() makes it: rows are told apart by their file and place, so repeated and null ids
-do no harm. Extra columns, whatever their names, are handed on.
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame. Rows are
+told apart by their file and place, or, if docs doesn't come from Parquet files, by a number of their own: repeated rows
+count each for itself, and null and repeated ids do no harm. Extra columns, whatever their names, are handed on. Texts are
+read whole, however long. An empty table gives an empty result. What stages do with null and empty texts they say below.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def _columns(docs: DataFrame) -> list:
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those of no language that the labelled ones show."""
+    """Rejects documents without letters, null and empty ones too, and those of no language that the labelled ones show; without labelled ones all go."""
     row = fresh(docs, "_row")
     numbered = with_row_id(docs, row)
     model = language_id.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -35,7 +36,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates stays: five words, similarity 0.8."""
+    """One row of each group of near duplicates stays, the first: five words, similarity 0.8. Texts without words, null ones too, are no duplicates and stay."""
     row = fresh(docs, "_row")
     numbered = with_row_id(docs, row)
     dropped = near_dedup.near_duplicates(numbered, near_dedup.Rule(words=5, percent=80), id_col=row).filter("NOT kept").select(F.col("doc_id").alias(row))
@@ -43,12 +44,12 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold four fifths of a benchmark item's five-word shingles go."""
+    """Documents that hold four fifths of a benchmark item's five-word shingles go. Null and empty texts hold nothing and stay; without items all stay."""
     return decontaminate.decontaminated(docs, read_table(spark, sf_dir, "benchmark")).select(*_columns(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, or up to three times."""
+    """Each document as often as the mix takes it: not at all, or up to three times. Texts without words, null ones too, are not taken; null sources are one."""
     row, copies, copy = fresh(docs, "_row"), fresh(docs, "_copies"), fresh(docs, "_copy")
     numbered = with_row_id(docs, row)
     taken = mixing.mixed(numbered, row_col=row).filter("copies > 0").select(row, F.col("copies").alias(copies))
@@ -56,7 +57,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of each row."""
+    """The shard and slot of each row, with size and checksum of its text (null: empty) instead of the columns of documents."""
     return sharding.sharded(docs, SHARDS)
 
 
