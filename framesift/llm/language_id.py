@@ -30,6 +30,8 @@ ROUNDS, SMOOTHING = 3, 0.05
 #: Words whose scores a worker keeps, words that are scored at a time (two such runs have to fit), and texts that Python gets at a time.
 KEPT, RUN, BATCH = 100_000, 30_000, 500
 UNKNOWN = "und"
+#: Bits of a code point, and words whose segmentations are summed together.
+POINT_BITS, TOGETHER = 21, 8192
 #: How likely a text of no learned language is beforehand, to one of a given learned language; matters for short texts only.
 OUTSIDE_PRIOR = 0.01
 
@@ -47,7 +49,7 @@ def vocabulary(path: str) -> dict[str, int]:
 
 def words_of(text: str) -> list[str]:
     found = WORDS.findall(text.lower())
-    return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)] if any(len(w) > LONGEST for w in found) else found
+    return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)] if max(map(len, found), default=0) > LONGEST else found
 
 
 def edges(word: str, pieces: dict[str, int], longest: int) -> list[list[tuple[int, int]]]:
@@ -62,29 +64,75 @@ def edges(word: str, pieces: dict[str, int], longest: int) -> list[list[tuple[in
     return out
 
 
-def forward(words: list[str], probs: np.ndarray, pieces: dict[str, int], longest: int) -> np.ndarray:
-    """The probability of each word in each language, summed over all its segmentations. probs: pieces x languages.
+class Trie:
+    """The pieces as transitions between nodes, in arrays, so that many places are followed at once."""
 
-    Words of one length are worked through together, place by place.
-    """
-    out = np.empty((len(words), probs.shape[1]))
-    by_length: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(i)
-    padded = np.vstack([probs, np.zeros(probs.shape[1])])
-    nothing, get = len(probs), pieces.get
-    for length, at in by_length.items():
-        marked = ["▁" + words[i] for i in at]
-        alpha = [np.ones((len(at), probs.shape[1]))]
-        for end in range(1, length + 2):
-            total = np.zeros_like(alpha[0])
-            for start in range(max(0, end - longest), end):
-                # a single character is always a piece, number 0 if the vocabulary is without it
-                numbers = [get(m[start:end], nothing) for m in marked] if end - start > 1 else [get(m[start:end], 0) for m in marked]
-                total += alpha[start] * padded[numbers]
-            alpha.append(total)
-        out[at] = alpha[-1]
-    return out
+    def __init__(self, pieces: dict[str, int]) -> None:
+        children: dict[int, int] = {}
+        number: list[int] = [-1]
+        for piece, n in pieces.items():
+            node = 0
+            for c in piece:
+                key = node << POINT_BITS | ord(c)
+                if (node := children.get(key, -1)) < 0:
+                    node = children[key] = len(number)
+                    number.append(-1)
+            number[node] = n
+        self.number = np.array(number)
+        self.keys = np.array(sorted(children), np.int64)
+        self.to = np.array([children[k] for k in self.keys.tolist()], np.int64)
+
+    def step(self, nodes: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where code points lead from nodes, and whether they lead anywhere."""
+        keys = nodes << POINT_BITS | points
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.to[at], self.keys[at] == keys
+
+
+def forward(words: list[str], probs: np.ndarray, pieces: dict[str, int], longest: int, trie: Trie | None = None) -> np.ndarray:
+    """The probability of each word in each language, summed over all its segmentations. probs: pieces x languages."""
+    trie = trie or Trie(pieces)
+    parts = [_forward(words[i : i + TOGETHER], probs, longest, trie) for i in range(0, len(words), TOGETHER)]
+    return np.concatenate(parts) if parts else np.empty((0, probs.shape[1]))
+
+
+def _forward(words: list[str], probs: np.ndarray, longest: int, trie: Trie) -> np.ndarray:
+    """Words are worked through together: first the pieces that begin at each place, then the sums, by the place where pieces end."""
+    n, marked = len(words), ["▁" + w for w in words]
+    lengths = np.array([len(m) for m in marked])
+    points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    word = np.repeat(np.arange(n), lengths)
+    left = np.repeat(lengths + first, lengths) - np.arange(len(points))
+    at, nodes = np.arange(len(points)), np.zeros(len(points), np.int64)
+    starts, ends, numbers = [], [], []
+    for size in range(1, longest + 1):
+        nodes, there = trie.step(nodes, points[at + size - 1])
+        number = np.where(there, trie.number[nodes], -1)
+        if size == 1:
+            number[number < 0] = 0  # a single character is always a piece, number 0 if the vocabulary is without it
+        held = number >= 0
+        # a word of so many characters has one place more
+        starts.append(at[held] + word[at[held]])
+        ends.append(starts[-1] + size)
+        numbers.append(number[held])
+        on = there & (left[at] > size)
+        at, nodes = at[on], nodes[on]
+        if not len(at):
+            break
+    begin = first + np.arange(n)
+    start, end, number = (np.concatenate(x) for x in (starts, ends, numbers))
+    place = end - begin[np.searchsorted(begin, end, side="right") - 1]
+    order = np.lexsort((end, place))
+    start, end, number, place = start[order], end[order], number[order], place[order]
+    alpha = np.zeros((len(points) + n, probs.shape[1]))
+    alpha[begin] = 1.0
+    bounds = np.searchsorted(place, np.arange(1, int(lengths.max()) + 2))
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        here = end[low:high]
+        heads = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
+        alpha[here[heads]] = np.add.reduceat(alpha[start[low:high]] * probs[number[low:high]], heads, axis=0)
+    return alpha[begin + lengths]
 
 
 def expected_counts(word: str, language: int, probs: np.ndarray, pieces: dict[str, int], longest: int) -> list[tuple[int, float]]:
@@ -193,7 +241,7 @@ class _Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.pieces = model, vocabulary(model.path)
-        self.longest = max(map(len, self.pieces))
+        self.longest, self.trie = max(map(len, self.pieces)), Trie(self.pieces)
         self.known: dict[str, int] = {}
         # the last column is the alternative to all languages learned
         self.probs = np.column_stack([model.probs, model.outside()]) if model.languages else model.probs
@@ -205,7 +253,7 @@ class _Scorer:
             self.known, new = {}, list(words)
         if new:
             at = len(self.known)
-            self.scores[at : at + len(new)] = np.log(np.maximum(forward(new, self.probs, self.pieces, self.longest), 1e-300))
+            self.scores[at : at + len(new)] = np.log(np.maximum(forward(new, self.probs, self.pieces, self.longest, self.trie), 1e-300))
             self.known.update(zip(new, range(at, at + len(new)), strict=True))
 
     def totals(self, texts: list[str | None]) -> tuple[np.ndarray, list[bool]]:
@@ -222,7 +270,7 @@ class _Scorer:
 
         for i, text in enumerate(texts):
             words = words_of(text or "")
-            letters.append(any(c.isalpha() for w in words for c in w))
+            letters.append(bool(words) and (words[0].isalpha() or any(c.isalpha() for w in words for c in w)))
             for at in range(0, len(words), RUN):
                 waiting.append((i, words[at : at + RUN]))
                 n += len(waiting[-1][1])

@@ -47,6 +47,12 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(LOWER).split()
 
 
+def numbered_words(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each word, and the words by their numbers."""
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    return np.array(list(map(numbers.__getitem__, words)), np.int64), list(numbers)
+
+
 def shingle_set(text: str, width: int) -> set[tuple[bytes, ...]]:
     words = words_of(text)
     if len(words) < width:
@@ -75,24 +81,29 @@ class Sketcher:
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
         """Sorted distinct hashes of the shingles."""
+        return self.hashes_of(*numbered_words(words))
+
+    def hashes_of(self, own: np.ndarray, distinct: list[bytes]) -> np.ndarray:
+        """As hashes(), of words by their numbers."""
         import xxhash
 
-        if not words:
+        if not distinct:
             return np.empty(0, np.uint64)
         known = self.known
         if len(known) > KEPT:
             known.clear()
-        numbers = [known.get(w) for w in words]
-        if None in numbers:
-            for i, x in enumerate(numbers):
+        found = list(map(known.get, distinct))
+        if None in found:
+            for i, x in enumerate(found):
                 if x is None:
-                    numbers[i] = known[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-        h = np.array(numbers, np.uint64)
+                    found[i] = known[distinct[i]] = xxhash.xxh3_64_intdigest(distinct[i])
+        h = np.array(found, np.uint64)[own]
         n = max(1, len(h) - self.width + 1)
         out = np.full(n, 0x5851F42D4C957F2D, np.uint64)
         for i in range(min(self.width, len(h))):
             out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-        return np.unique(out)
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
     def sketch(self, hashes: np.ndarray) -> np.ndarray:
         """The least hash of each bin, empty bins filled."""
@@ -111,18 +122,17 @@ class Sketcher:
         return out
 
 
-def exact_size(words: list[bytes], width: int) -> int:
-    """The number of distinct shingles, on the words themselves: runs of words are named by equal neighbours, step by step."""
-    if len(words) <= width:
-        return min(1, len(words))
-    numbers: dict[bytes, int] = {}
-    own = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
-    names, n = own, len(words) - width + 1
+def exact_size(own: np.ndarray, n_distinct: int, width: int) -> int:
+    """The number of distinct shingles of numbered words, not of hashes: runs of words are named by equal neighbours, step by step."""
+    if len(own) <= width:
+        return min(1, len(own))
+    names = own
     for i in range(1, width):
-        names = names[:-1] * len(numbers) + own[i:]
-        if i + 1 < width and len(numbers) ** (i + 2) >= 1 << 62:
+        names = names[:-1] * n_distinct + own[i:]
+        if i + 1 < width and n_distinct ** (i + 2) >= 1 << 62:
             names = np.unique(names, return_inverse=True)[1].astype(np.int64)
-    return len(np.unique(names[:n]))
+    names = np.sort(names)
+    return 1 + int(np.count_nonzero(names[1:] != names[:-1]))
 
 
 SKETCHED = "doc_id long, n_shingles long, words_sha binary, bands array<long>"
@@ -137,8 +147,9 @@ def sketched(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str
             sizes, digests, bands = [], [], []
             for text in batch.column("text"):
                 words = words_of(text.as_py() or "")
-                hashes = maker.hashes(words)
-                sizes.append(exact_size(words, rule.words))
+                own, distinct = numbered_words(words)
+                hashes = maker.hashes_of(own, distinct)
+                sizes.append(exact_size(own, len(distinct), rule.words))
                 digests.append(hashlib.sha256(b" ".join(words)).digest())
                 bands.append(maker.bands(maker.sketch(hashes)).view(np.int64) if len(hashes) else np.empty(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
