@@ -27,7 +27,7 @@ BIN_BITS, BAND_ROWS = 7, 4
 BINS = 1 << BIN_BITS
 BANDS = BINS // BAND_ROWS
 #: Members of a star that one task compares with its centre; members, and shingles of members, of a block.
-STAR_TASK, BLOCK, BLOCK_SHINGLES = 256, 512, 400_000
+STAR_TASK, BLOCK, BLOCK_SHINGLES = 256, 256, 200_000
 #: Shingles whose occurrences are multiplied at a time, and texts that Python gets at a time.
 COLUMNS, BATCH = 4096, 1000
 KEPT = 200_000
