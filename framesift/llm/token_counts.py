@@ -61,8 +61,8 @@ def _byte_of_letter() -> dict[str, int]:
 
 
 class State:
-    """A state of the merge transducer. end: the longest end of what was read that some token begins with; lasts, counts: the last token and the count,
-    relative to now, at each place from the start of end; next: transitions known so far, by byte, with the tokens they add."""
+    """A state of the merge transducer. end: the longest end of what was read that some token begins with; lasts, counts: the last token, and the count
+    from the start of end on, at each place in it; next: transitions known so far, by byte, with the tokens they add."""
 
     __slots__ = ("end", "lasts", "counts", "next")
 
@@ -90,11 +90,14 @@ class MergeTransducer:
             self.halves.append(both)
         self.prefixes = {t[:i] for t in self.ids for i in range(1, len(t) + 1)}
         self.reached: dict[int, bool] = {}
+        #: Tokens that end where a prefix does, with their sizes; as many as there are prefixes at most.
+        self.ending: dict[bytes, list[tuple[int, int]]] = {}
         self.clear()
 
     def clear(self) -> None:
         self.start = State(b"", (None,), (0,))
         self.states: dict[tuple, State] = {}
+        self.beside: dict[int, bool] = {}
 
     def neighbours(self, a: int, b: int, limit: int = 1 << 60) -> bool:
         """Whether merges leave a before b: none over the seam, of rank below limit, comes before those that make a and b."""
@@ -119,23 +122,41 @@ class MergeTransducer:
         return self.reached[token]
 
     def _step(self, state: State, byte: int) -> tuple[State, int]:
-        read = state.end + bytes([byte])
-        for k in range(len(read)):
-            token = self.ids.get(read[k:])
-            if token is None or not self.made(token):
-                continue
-            last = state.lasts[k]
-            if last is None or self.neighbours(last, token):
+        read, lasts, counts = state.end + bytes((byte,)), state.lasts, state.counts
+        prefixes, ids, beside = self.prefixes, self.ids, self.beside
+        begin = 0
+        while (end := read[begin:] if begin else read) not in prefixes:
+            begin += 1
+        if (ending := self.ending.get(end)) is None:
+            tokens = ((size, ids.get(end[-size:])) for size in range(len(end), 0, -1))
+            ending = self.ending[end] = [(size, token) for size, token in tokens if token is not None and self.made(token)]
+        # of the tokens that end here, the longest first, the one that goes with the token before it
+        n = len(read)
+        for size, token in ending:
+            k = n - size
+            last = lasts[k]
+            if last is None:
                 break
-        added = state.counts[k] + 1
-        from_ = next(k for k in range(len(read)) if read[k:] in self.prefixes)
-        key = read[from_:], (*state.lasts[from_:], token), (*(c - added for c in state.counts[from_:]), 0)
+            if (fits := beside.get(both := last << 32 | token)) is None:
+                fits = beside[both] = self.neighbours(last, token)
+            if fits:
+                break
+        count = counts[k] + 1
+        added = count - counts[-1]
+        if begin:
+            base = counts[begin]
+            key = end, (*lasts[begin:], token), tuple([c - base for c in counts[begin:]] + [count - base])
+        else:
+            key = end, (*lasts, token), (*counts, count)
         if (to := self.states.get(key)) is None:
             to = self.states[key] = State(*key)
         return to, added
 
     def count(self, piece: bytes) -> int:
-        if len(self.states) > KEPT_STATES:
+        token = self.ids.get(piece)
+        if token is not None and self.made(token):
+            return 1
+        if max(len(self.states), len(self.beside) // 4) > KEPT_STATES:
             self.clear()
         state, total = self.start, 0
         for byte in piece:
