@@ -37,11 +37,11 @@ def frozen(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """As frozen(), as a compressed table of its own in the shared folder."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """As frozen(), as a compressed table of its own in the shared folder; options are those of the Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

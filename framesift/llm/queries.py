@@ -79,6 +79,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from framesift.llm.token_alignment import token_alignment
+
+    return token_alignment(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.line_dedup import deduplicated_lines
+
+    found = deduplicated_lines(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.structure_repair import damage, repair, with_lost
+
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, _ = repair(damage(rows))
+    return with_lost(report, rows)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_structure_repair": op13_structure_repair,
     "pipeline": pipeline,
 }
 
@@ -192,6 +218,83 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM d),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+),
+c AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id <> keeper) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (keeper IS NULL OR doc_id = keeper), '')) AS kept_sha256
+FROM k LEFT JOIN c USING (key) GROUP BY doc_id
+"""
+
+#: A walk over the turns keeps the best edits that lead to each state, by cost, then audit, with the conversation that they make.
+_STEP = "CASE WHEN c{s}.cost < 1000000 THEN {{'cost': c{s}.cost + {cost}, 'audit': c{s}.audit || '{edit}', 'said': {said}}} ELSE c{s} END"
+_NONE = "{'cost': 1000000, 'audit': '', 'said': []::VARCHAR[]}"
+
+
+def _step(s: int, cost: str, edit: str, said: str) -> str:
+    return _STEP.format(s=s, cost=cost, edit=edit, said=said)
+
+
+def _turn_sql(to: int) -> str:
+    """The ways to a state with a turn."""
+    name, letter = {1: ("", "s"), 2: ("user", "u"), 3: ("assistant", "a")}.get(to, ("", ""))
+    ways = [f"CASE WHEN true THEN {_step(to, '3', 'D', f'c{to}.said')} END"]
+    for s in {1: (0,), 2: (0, 1, 3), 3: (2,)}.get(to, ()):
+        ways.append(f"CASE WHEN fault < 2 AND left(role, 1) = '{letter}' THEN {_step(s, 'fault', 'K', f'list_append(c{s}.said, role || chr(58) || text)')} END")
+        if name:
+            ways.append(f"CASE WHEN fault < 2 THEN {_step(s, '2 + fault', 'R', f'list_append(c{s}.said, {chr(39)}{name}:{chr(39)} || text)')} END")
+    return f"list_min(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))"
+
+
+def _inserts_sql(to: int) -> str:
+    """The ways to a state by a turn inserted last, or none."""
+    name = {2: "user", 3: "assistant"}.get(to)
+    ways = [f"c{to}"] + [_step(s, "2", "I", f"list_append(c{s}.said, '{name}:')") for s in {2: (0, 1, 3), 3: (2,)}.get(to, ())]
+    return f"list_min([{', '.join(ways)}])"
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE bits AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crcs
+),
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
+h AS (
+  SELECT o.*, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(place, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(crcs[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS hit FROM o, bits
+),
+d AS (
+  SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, unnest(CASE hit WHEN 0 THEN []::INT[] WHEN 3 THEN [0, 1] ELSE [0] END) u(copy)
+),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM d),
+f AS (
+  SELECT *, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS time,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) AS seam FROM n
+),
+t AS (SELECT *, CASE WHEN last = '' THEN 2 WHEN time > 1 THEN 3 WHEN last NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault FROM f),
+w AS (
+  SELECT conv_id, 0 AS step, {{'cost': 0, 'audit': '', 'said': []::VARCHAR[]}} AS c0, {_NONE} AS c1,
+    {{'cost': 2, 'audit': 'I', 'said': ['user:']}} AS c2, {{'cost': 4, 'audit': 'II', 'said': ['user:', 'assistant:']}} AS c3 FROM (SELECT DISTINCT conv_id FROM t)
+  UNION ALL
+  SELECT conv_id, step, c0, c1, {_inserts_sql(2)} AS c2, {_inserts_sql(3)} AS c3 FROM (
+    SELECT conv_id, step, c0, c1, {_inserts_sql(2)} AS c2, {_inserts_sql(3)} AS c3 FROM (
+      SELECT w.conv_id, step + 1 AS step, {", ".join(f"{_turn_sql(s)} AS c{s}" for s in range(4))} FROM w JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND n = step + 1
+    )
+  )
+),
+e AS (SELECT conv_id, list_min([c0, c3]) AS best FROM w QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY step DESC) = 1),
+s AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 2) AS blank, count(*) FILTER (fault = 3) AS duplicate,
+    count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (seam NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_secret_scan": OP1_SQL,
     "op3_seekable_warc": OP3_SQL,
@@ -199,4 +302,6 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": OP6_SQL,
     "op7_chat_format": OP7_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op12_line_dedup": OP12_SQL,
+    "op13_structure_repair": OP13_SQL,
 }
