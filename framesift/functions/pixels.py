@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -152,25 +153,66 @@ def otsu(a: np.ndarray) -> float:
     return float(between.argmax()) if between.max() > 0 else float(a.mean() + a.std())
 
 
-METRICS = "path string, min_side long, blur double, noise double, phash long, error string"
+class Picture:
+    """An image that its scorers share: each form of it is made once, when the first scorer asks for it."""
 
+    def __init__(self, data: bytes, h: int, w: int, channels: int) -> None:
+        self.bgr = pixels(data, h, w, channels)
 
-def image_metrics(images: DataFrame) -> DataFrame:
-    """path, min_side, blur, noise, phash, error of each of (path, w, h, channels, data). A row that fails has an error and no values."""
+    @cached_property
+    def gray(self) -> np.ndarray:
+        return gray(self.bgr)
+
+
+Scoring = Callable[[Picture], float]
+
+
+def _jpeg(picture: Picture) -> float:
+    from framesift.functions.jpeg import artifact_score
+
+    return artifact_score(picture.bgr)
+
+
+#: Scorers that every image gets, and those that a caller may name; all are numbers.
+BASIC: dict[str, Scoring] = {"min_side": lambda p: min(p.bgr.shape[:2]), "blur": lambda p: blur_score(p.gray), "noise": lambda p: noise_score(p.gray)}
+NAMED: dict[str, Scoring] = {"jpeg": _jpeg}
+
+
+def image_metrics(images: DataFrame, more: Mapping[str, Scoring] | None = None) -> DataFrame:
+    """path, min_side, blur, noise, phash, a column for each of more, and error, of each of (path, w, h, channels, data).
+
+    All scorers of an image work on one decoded copy. A row that can't be read, or that a basic scorer fails on, has an error and no
+    values; where one of more fails, or gives no number, its value is null and the row's others stay. Names of more are
+    names of columns; they replace none of the basic ones.
+    """
+    extra = dict(more or {})
+    if clash := extra.keys() & {"path", "phash", "error", *BASIC}:
+        raise ValueError(f"scorers named {sorted(clash)} are there already")
+    names = ["path", *BASIC, "phash", *extra, "error"]
+    types = [pa.string(), pa.int64(), *[pa.float64()] * (len(BASIC) - 1), pa.int64(), *[pa.float64()] * len(extra), pa.string()]
+    kinds = ["string", "long", *["double"] * (len(BASIC) - 1), "long", *["double"] * len(extra), "string"]
+
+    def optional(score: Scoring, picture: Picture) -> float | None:
+        try:
+            value = float(score(picture))
+        except Exception:  # an optional scorer that fails gives no value
+            return None
+        return None if np.isnan(value) else value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for path, w, h, channels, data in zip(*(batch.column(c).to_pylist() for c in ("path", "w", "h", "channels", "data")), strict=True):
                 try:
-                    a = gray(pixels(data, h, w, channels))
-                    rows.append((path, min(w, h), blur_score(a), noise_score(a), perceptual_hash(a), None))
+                    picture = Picture(data, h, w, channels)
+                    basic = [score(picture) for score in BASIC.values()]
+                    rows.append((path, *basic, perceptual_hash(picture.gray), *(optional(score, picture) for score in extra.values()), None))
                 except Exception as e:  # a broken image is a row with an error, not a failed job
-                    rows.append((path, None, None, None, None, str(e)[:200]))
-            types = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[x.split()[0] for x in METRICS.split(", ")])
+                    rows.append((path, *[None] * (len(names) - 2), str(e)[:200]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
-    return images.select("path", "w", "h", "channels", "data").mapInArrow(run, METRICS)
+    schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))
+    return images.select("path", "w", "h", "channels", "data").mapInArrow(run, schema)
 
 
 def reconstruction_loss(pairs: DataFrame, cutoff: float = 0.25) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +44,14 @@ def undersized(images: DataFrame, required: int | None) -> DataFrame:
     return images.filter(~F.coalesce(F.col("corrupt"), F.lit(False)) & (F.least("w", "h") < required))
 
 
-def audit_summary(pairs: DataFrame, captions: DataFrame, images: DataFrame, required: int | None = None) -> DataFrame:
-    """One row: counts of each issue, the total and whether the audit passes. Short and long captions don't count against it."""
+def audit_summary(pairs: DataFrame, captions: DataFrame, images: DataFrame, required: int | None = None, off: Collection[str] = ()) -> DataFrame:
+    """One row: counts of each issue, the total and whether the audit passes. Short and long captions don't count against it; issues that are off are null and don't either."""
     a = pairs.agg(F.count_if(F.col("status") == "orphan_image").alias("orphan_images"), F.count_if(F.col("status") == "orphan_caption").alias("orphan_captions"), F.count_if(F.col("status") == "paired").alias("paired"))
     kind = caption_class(F.col("text"))
     b = captions.agg(F.count_if(kind == "empty").alias("empty"), F.count_if(kind == "short").alias("short"), F.count_if(kind == "long").alias("long"))
     bad, small = F.coalesce(F.col("corrupt"), F.lit(False)), F.least("w", "h") < (required or 0)
     c = images.agg(F.count_if(bad).alias("corrupt"), F.count_if(~bad & small).alias("undersized"))
-    total = F.col("orphan_images") + F.col("orphan_captions") + F.col("corrupt") + F.col("empty") + F.col("undersized")
-    return a.join(F.broadcast(b)).join(F.broadcast(c)).withColumn("issues", total).withColumn("passed", total == 0)
+    counts = a.join(F.broadcast(b)).join(F.broadcast(c)).withColumns({name: F.lit(None).cast("long") for name in off})
+    against = ("orphan_images", "orphan_captions", "corrupt", "empty", "undersized")
+    total = reduce(Column.__add__, [F.coalesce(F.col(name), F.lit(0)) for name in against])
+    return counts.withColumn("issues", total).withColumn("passed", total == 0)

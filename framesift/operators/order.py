@@ -17,6 +17,15 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that are sent to all tasks at most, about 16 MB of numbers.
+BROADCAST_ROWS = 500_000
+
+
+def counted(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, to be broadcast if its rows, counted, are few enough (BROADCAST_ROWS); else a join with it is a shuffle."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
+
+
 def scan_order(rows: DataFrame, keys: Sequence[Column], name: str = "ord") -> DataFrame:
     """Adds the place of each row (from 0) in the order of keys: sorted by range, then numbered within each range from where the one before ends."""
     spark = rows.sparkSession

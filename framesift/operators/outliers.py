@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framesift.operators.order import counted
+
 
 def hf_stats(scores: DataFrame, sigma: float = 2.0, by: list[str] | None = None) -> DataFrame:
     """successful, failed, mean, std (of the population), threshold; null threshold without scores. by: group columns."""
@@ -16,7 +18,7 @@ def hf_stats(scores: DataFrame, sigma: float = 2.0, by: list[str] | None = None)
 def hf_outliers(scores: DataFrame, sigma: float = 2.0, by: list[str] | None = None) -> DataFrame:
     """Adds threshold and outlier (above it, not equal); rows without a score aren't outliers. The statistics are one row for each group."""
     stats = hf_stats(scores, sigma, by).select(*(by or []), "threshold")
-    joined = scores.join(F.broadcast(stats), by) if by else scores.join(F.broadcast(stats))
+    joined = scores.join(counted(stats), by) if by else scores.join(F.broadcast(stats))
     return joined.withColumn("outlier", F.coalesce(F.col("hf_loss") > F.col("threshold"), F.lit(False)))
 
 

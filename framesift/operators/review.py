@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framesift.functions.text import trimmed
+from framesift.operators.order import counted
 
 
 def caption_descriptors(images: DataFrame, captions: DataFrame, verdicts: DataFrame, overwrite: bool = False) -> DataFrame:
@@ -59,7 +60,7 @@ def library_sorted(projects: DataFrame, by: str = "recent") -> DataFrame:
 
 def seeded_config(fields: DataFrame, seeds: DataFrame) -> DataFrame:
     """step, field, value: the app's setting where there is one, else the project's own."""
-    return fields.join(F.broadcast(seeds.filter("seed IS NOT NULL").select("step", "field", "seed")), ["step", "field"], "left").select("step", "field", F.coalesce("seed", "value").alias("value"))
+    return fields.join(counted(seeds.filter("seed IS NOT NULL").select("step", "field", "seed")), ["step", "field"], "left").select("step", "field", F.coalesce("seed", "value").alias("value"))
 
 
 def describe_skip(step: Column, reason: Column) -> Column:

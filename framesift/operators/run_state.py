@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framesift.operators.order import counted
+
 
 def latest(events: DataFrame, key: str = "step") -> DataFrame:
     """The last record of each key from (key, seq, status, reason); substeps (a map) add up, later ones win."""
@@ -71,5 +73,5 @@ def prerequisite_violations(selected: DataFrame, edges: DataFrame, satisfied: Da
 
 def migrate_ids(records: DataFrame, renames: DataFrame, key: str = "step") -> DataFrame:
     """Records under their new ids; those whose step is gone (null) are left out."""
-    joined = records.join(F.broadcast(renames.select(F.col("old").alias(key), F.col("new").alias("_new"), F.lit(True).alias("_known"))), key, "left")
+    joined = records.join(counted(renames.select(F.col("old").alias(key), F.col("new").alias("_new"), F.lit(True).alias("_known"))), key, "left")
     return joined.withColumn(key, F.when(F.col("_known"), F.col("_new")).otherwise(F.col(key))).filter(F.col(key).isNotNull()).drop("_new", "_known")

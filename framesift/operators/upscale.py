@@ -52,10 +52,10 @@ def guard_collisions(plan: DataFrame) -> DataFrame:
 
 
 def review(plan: DataFrame, decisions: DataFrame) -> DataFrame:
-    """A reviewer's `skip` lets an image pass through."""
-    said = plan.join(decisions.select("path", "decision"), "path", "left")
-    skip = F.coalesce(F.col("decision") == "skip", F.lit(False))
-    return said.withColumn("planned_action", F.when(skip, "pass_through").otherwise(F.col("planned_action"))).drop("decision")
+    """A reviewer's `skip` lets an image pass through. A column `decision` of the plan, an earlier gate's, stays as it is."""
+    said = plan.join(decisions.select("path", F.col("decision").alias("_said")), "path", "left")
+    skip = F.coalesce(F.col("_said") == "skip", F.lit(False))
+    return said.withColumn("planned_action", F.when(skip, "pass_through").otherwise(F.col("planned_action"))).drop("_said")
 
 
 def outcomes(candidates: DataFrame, least_ssim: float = LEAST_SSIM) -> DataFrame:

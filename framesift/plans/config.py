@@ -25,6 +25,8 @@ class QualityGate:
 class Import:
     #: Whether images and caption files are copied to the output's `dataset` folder too; files that are there stay.
     copy: bool = False
+    #: Whether all later steps work on that copy, so that the input is never changed.
+    work_on_copy: bool = False
 
 
 @dataclass(frozen=True)

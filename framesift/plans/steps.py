@@ -77,7 +77,7 @@ def enabled_substeps(step: str, chosen: Iterable[str] | None = None, disabled: C
 
 def default_substeps(step: str, settings: dict[str, bool]) -> list[str]:
     """Substeps that are on by default, after a step's own toggles: a toggle that is off takes its substep away."""
-    toggles = {"manual_review": "review_decisions", "coverage": "coverage_scan", "check_pairing": "check_pairing", "check_corrupt": "check_corrupt_files", "check_caption_length": "check_caption_quality", "check_resolution_gate": "check_resolution", "cache": "write_cache_info", "write_edits": "apply_edits"}
+    toggles = {"manual_review": "review_decisions", "coverage": "coverage_scan", "check_pairing": "check_pairing", "check_corrupt": "check_corrupt_files", "check_caption_length": "check_caption_quality", "check_resolution_gate": "check_resolution", "cache": "write_cache_info", "write_edits": "apply_edits", "run": "upscale"}
     off = {sub for toggle, sub in toggles.items() if not settings.get(toggle, toggle != "cache")}
     return enabled_substeps(step, disabled=off)
 

@@ -134,27 +134,37 @@ def write_report(report: DataFrame, folder: str) -> None:
 def copy_files(rows: DataFrame, target: str, overwrite: bool = False) -> DataFrame:
     """Writes content of (rel, content) below target, whatever file system that is on; rel, copied.
 
-    A file that is there stays unless overwrite is set; then null content deletes it. Lazy, as all of Spark: the files are written
-    when the result is counted or stored. A task that runs again writes the same files.
+    A file that is there stays unless overwrite is set; then null content deletes it. A rel that leads out of target, or
+    nowhere, is refused: nothing is written, and copied is false. Lazy, as all of Spark: the files are written when the
+    result is counted or stored. A task that runs again writes the same files, each attempt under a name of its own until the file is whole.
     """
+    import posixpath
+
     import pyarrow as pa
     from pyarrow import fs
+    from pyspark import TaskContext
 
     def run(batches):  # noqa: ANN001, ANN202
         store, root = fs.FileSystem.from_uri(target)
+        attempt = TaskContext.get().taskAttemptId()
         for batch in batches:
             done = []
             for rel, content in zip(batch.column("rel"), batch.column("content"), strict=True):
-                at = f"{root}/{rel.as_py()}"
+                inside = posixpath.normpath(rel.as_py() or ".")
+                if inside.startswith(("/", "../")) or inside in (".", ".."):
+                    done.append(False)
+                    continue
+                at = f"{root}/{inside}"
                 fresh = overwrite or store.get_file_info(at).type == fs.FileType.NotFound
                 if fresh and content.as_py() is None:
                     if store.get_file_info(at).type != fs.FileType.NotFound:
                         store.delete_file(at)
                 elif fresh:
                     store.create_dir(at.rpartition("/")[0], recursive=True)
-                    with store.open_output_stream(f"{at}.part", compression=None) as out:
+                    part = f"{at}.{attempt}.part"
+                    with store.open_output_stream(part, compression=None) as out:
                         out.write(content.as_py())
-                    store.move(f"{at}.part", at)
+                    store.move(part, at)
                 done.append(fresh)
             yield pa.RecordBatch.from_arrays([batch.column("rel"), pa.array(done)], names=["rel", "copied"])
 

@@ -71,7 +71,7 @@ def test_pixel_rules():
 
 
 def test_whole_run(spark, folder, tmp_path):
-    gate = QualityGate(scorers=(Scorer("min_side", "lt", 20.0), Scorer("blur", "lt", 1.0), Scorer("jpeg", "gt", 0.08, optional=True)))
+    gate = QualityGate(scorers=(Scorer("min_side", "lt", 20.0), Scorer("blur", "lt", 1.0), Scorer("jpeg", "gt", 0.9, optional=True)))
     project = Project("t", folder, str(tmp_path / "out"), settings={"quality_gate": gate, "bucket_check": BucketCheck(cache=True)})
 
     def decide(step, rows):
