@@ -25,10 +25,14 @@ from pyspark.sql import functions as F
 from framesift.llm.common import BROADCAST_ROWS, arrow_batches, bounded, frozen, stored
 from framesift.llm.token_counts import _byte_of_letter
 
+#: More than any token's number.
+TOKENS = 1 << 24
 #: Where a text is cut: a single blank between characters that are no white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Words and transitions that a worker keeps; characters that are encoded at once, and characters of texts that are worked on together.
-KEPT, KEPT_STEPS, RUN, TOGETHER = 150_000, 2_000_000, 50_000, 2_000_000
+KEPT, KEPT_STEPS, RUN, TOGETHER = 300_000, 2_000_000, 50_000, 2_000_000
+#: Id pairs of a group that is kept; larger ones are made anew.
+KEPT_PAIRS = 64
 #: Texts that Python gets at a time.
 BATCH = 500
 
@@ -74,8 +78,9 @@ class DanglingSuffix:
     def clear(self) -> None:
         self.states: list[tuple[bool, bytes]] = [(False, b"")]
         self.number: dict[tuple[bool, bytes], int] = {(False, b""): 0}
-        #: By state and token: the state that follows, or -1 where the bytes differ.
-        self.steps: dict[tuple[int, int], int] = {}
+        #: By state and token (state * TOKENS + token): the state that follows, or -1 where the bytes differ.
+        self.steps: dict[int, int] = {}
+        self.leads = [False]
 
     def _step(self, state: int, token: int) -> int:
         a_leads, left = self.states[state]
@@ -91,26 +96,28 @@ class DanglingSuffix:
         if to not in self.number:
             self.number[to] = len(self.states)
             self.states.append(to)
+            self.leads.append(to[0])
         return self.number[to]
 
     def groups(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]] | None:
         """How many tokens of a and of b there are up to the end of each group, or None if the bytes differ."""
         if len(self.steps) > KEPT_STEPS:
             self.clear()
-        steps, states = self.steps, self.states
+        steps, leads = self.steps, self.leads
         i = j = state = 0
+        n = len(a)
         a_ends, b_ends = [], []
         try:
-            while i < len(a) or state:
-                if states[state][0]:
+            while i < n or state:
+                if leads[state]:
                     token = b[j]
                     j += 1
                 else:
                     token = a[i]
                     i += 1
-                if (to := steps.get((state, token))) is None:
-                    to = steps[state, token] = self._step(state, token)
-                state = to
+                key = state * TOKENS + token
+                if (state := steps.get(key)) is None:
+                    state = steps[key] = self._step(*divmod(key, TOKENS))
                 if not state:
                     a_ends.append(i)
                     b_ends.append(j)
@@ -122,79 +129,111 @@ class DanglingSuffix:
 
 
 class Aligner:
-    """Aligns texts word by word; keeps what it found of a word, up to a bound."""
+    """Aligns texts word by word; keeps what it found of a word, up to a bound, and then of those that came more than once."""
 
     def __init__(self, byte_level: str, pieces: str) -> None:
         self.alphabet = Alphabet(byte_level, pieces)
         self.machine = DanglingSuffix(self.alphabet.a_bytes, self.alphabet.b_bytes)
         self.pieces = len(self.alphabet.b_bytes)
-        self.clear()
-
-    def clear(self) -> None:
+        self.names = [str(i) for i in range(max(len(self.alphabet.a_bytes), self.pieces))]
+        #: Text, links and id pairs of groups, by their tokens.
+        self.groups: dict[tuple, tuple[str, int, list[int], list[int]]] = {}
         self.known: dict[str, int] = {}
         self.texts: list[bytes] = []
-        #: n_a, n_b, n_groups, n_links of each word (n_a 0 if the sides differ), and where its links begin.
+        #: n_a, n_b, n_groups, n_links of each word (n_a 0 if the sides differ), where its links begin, and how often it came.
         self.counts = np.zeros((0, 4), np.int64)
         self.starts = np.zeros(1, np.int64)
         self.pairs = np.zeros(0, np.int64)
         self.times = np.zeros(0, np.int64)
-
-    def _word(self, a: list[int], b: list[int], a_ends: list[int], b_ends: list[int], out: list) -> None:
-        """Adds a word's groups to out: their text, counts, id pairs and how often each is linked."""
-        texts, links, i, j, n_links = [], [], 0, 0, 0
-        for i_end, j_end in zip(a_ends, b_ends, strict=True):
-            if i_end - i == 1 and j_end - j == 1:
-                links.append((a[i] * self.pieces + b[j], 1))
-                texts.append(f"{a[i]}|{b[j]}")
-                n_links += 1
-            else:
-                left, right = a[i:i_end], b[j:j_end]
-                texts.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-                n_links += len(left) * len(right)
-                # ids that come again in a group count as often as they come
-                ids_a, n_a = np.unique(left, return_counts=True)
-                ids_b, n_b = np.unique(right, return_counts=True)
-                links += zip(np.add.outer(ids_a * self.pieces, ids_b).ravel().tolist(), np.multiply.outer(n_a, n_b).ravel().tolist(), strict=True)
-            i, j = i_end, j_end
-        out.append((";".join(texts).encode(), (len(a), len(b), len(a_ends), n_links), links))
-
-    def _alone(self, word: str, out: list) -> None:
-        a, b = self.alphabet.encode_a(f" {word}"), self.alphabet.encode_b(word)
-        same = b"".join(map(self.alphabet.a_bytes.__getitem__, a)) == f" {word}".encode()
+        self.uses = np.zeros(0, np.int64)
+
+    def shrink(self) -> None:
+        """Forgets words that came once, and of the others the rarest, until half of what may be kept is free."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > KEPT // 2:
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: KEPT // 2]])
+        words = list(self.known)
+        self.known = {words[k]: i for i, k in enumerate(keep.tolist())}
+        self.texts = [self.texts[k] for k in keep.tolist()]
+        at, held = self._spans(keep)
+        self.pairs, self.times = self.pairs[at], self.times[at]
+        self.starts = np.concatenate([[0], np.cumsum(held)])
+        self.counts, self.uses = self.counts[keep], self.uses[keep] // 2
+
+    def _spans(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the links of words are, one word after the other, and how many each has."""
+        held = self.starts[numbers + 1] - self.starts[numbers]
+        return np.repeat(self.starts[numbers] - (np.cumsum(held) - held), held) + np.arange(int(held.sum())), held
+
+    def _group(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, int, list[int], list[int]]:
+        """A group's text, its number of links, its id pairs and how often each is linked. Ids that come again count as often as they come."""
+        text = f"{','.join([self.names[i] for i in a])}|{','.join([self.names[i] for i in b])}"
+        ids_a, n_a = np.unique(a, return_counts=True)
+        ids_b, n_b = np.unique(b, return_counts=True)
+        pairs = np.add.outer(ids_a * self.pieces, ids_b).ravel().tolist()
+        found = text, len(a) * len(b), pairs, np.multiply.outer(n_a, n_b).ravel().tolist()
+        if len(pairs) <= KEPT_PAIRS:
+            if len(self.groups) >= KEPT:
+                self.groups.clear()
+            self.groups[a, b] = found
+        return found
+
+    def _words(self, a: list[int], b: list[int], a_ends: list[int], b_ends: list[int], cuts: list[int], out: _Learned) -> None:
+        """Adds words to out: of the groups that end at a_ends and b_ends, each has those up to its cut."""
+        groups, i, j, first = self.groups, 0, 0, 0
+        for cut in cuts:
+            texts, n_links, held, a_from, b_from = [], 0, 0, i, j
+            for k in range(first, cut):
+                i_end, j_end = a_ends[k], b_ends[k]
+                key = tuple(a[i:i_end]), tuple(b[j:j_end])
+                text, n, pairs, times = groups.get(key) or self._group(*key)
+                texts.append(text)
+                n_links += n
+                held += len(pairs)
+                out.pairs += pairs
+                out.times += times
+                i, j = i_end, j_end
+            out.texts.append(";".join(texts).encode())
+            out.counts.append((i - a_from, j - b_from, cut - first, n_links))
+            out.held.append(held)
+            first = cut
+
+    def _spelt(self, text: str) -> tuple[list[int], list[int], list[int], list[int]] | None:
+        """Tokens of both sides, and where groups end, or None if either side doesn't spell the text."""
+        a, b = self.alphabet.encode_a(f" {text}"), self.alphabet.encode_b(text)
+        same = b"".join([self.alphabet.a_bytes[i] for i in a]) == f" {text}".encode()
         found = self.machine.groups(a, b) if same else None
+        return None if found is None else (a, b, *found)
+
+    def _alone(self, word: str, out: _Learned) -> None:
+        found = self._spelt(word)
         if found is None:
-            out.append((b"", (0, 0, 0, 0), []))
+            out.texts.append(b"")
+            out.counts.append((0, 0, 0, 0))
+            out.held.append(0)
         else:
-            self._word(a, b, *found, out)
+            self._words(*found, [len(found[2])], out)
 
-    def _together(self, words: list[str], out: list) -> None:
+    def _together(self, words: list[str], out: _Learned) -> None:
         """Words that neither begin nor end with white space are encoded as one text, and cut apart by their sizes."""
-        text = " ".join(words)
-        a, b = self.alphabet.encode_a(f" {text}"), self.alphabet.encode_b(text)
-        found = self.machine.groups(a, b) if b"".join(map(self.alphabet.a_bytes.__getitem__, a)) == f" {text}".encode() else None
+        found = self._spelt(" ".join(words))
         if found is None:
             for word in words:
                 self._alone(word, out)
             return
-        a_ends, b_ends = (np.array(x) for x in found)
+        a, _, a_ends, _ = found
         ends = np.cumsum([len(w.encode()) + 1 for w in words])
-        group_ends = np.searchsorted(np.cumsum(self.alphabet.a_sizes[a])[a_ends - 1], ends, side="right")
-        last = i = j = 0
-        for at in group_ends.tolist():
-            i_end, j_end = int(a_ends[at - 1]), int(b_ends[at - 1])
-            self._word(a[i:i_end], b[j:j_end], (a_ends[last:at] - i).tolist(), (b_ends[last:at] - j).tolist(), out)
-            last, i, j = at, i_end, j_end
+        cuts = np.searchsorted(np.cumsum(self.alphabet.a_sizes[a])[np.array(a_ends) - 1], ends, side="right")
+        self._words(*found, cuts.tolist(), out)
 
     def learn(self, words: list[str]) -> None:
         """Words that aren't known yet, each once."""
-        order, out, run, size = [], [], [], 0
-        odd = [w for w in words if not w or w[0].isspace() or w[-1].isspace()]
-        out_of = set(odd)
-        for word in odd:
+        odd = {w for w in words if not w or w[0].isspace() or w[-1].isspace()}
+        order, run, size, out = list(odd), [], 0, _Learned()
+        for word in order:
             self._alone(word, out)
-        order += odd
         for word in words:
-            if word in out_of:
+            if word in odd:
                 continue
             run.append(word)
             size += len(word)
@@ -206,51 +245,63 @@ class Aligner:
             self._together(run, out)
             order += run
         self.known.update(zip(order, range(len(self.known), len(self.known) + len(order)), strict=True))
-        self.texts += [x[0] for x in out]
-        self.counts = np.concatenate([self.counts, np.array([x[1] for x in out], np.int64).reshape(-1, 4)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x[2]) for x in out], dtype=np.int64)])
-        links = np.array([link for x in out for link in x[2]], np.int64).reshape(-1, 2)
-        self.pairs, self.times = np.concatenate([self.pairs, links[:, 0]]), np.concatenate([self.times, links[:, 1]])
+        self.texts += out.texts
+        self.counts = np.concatenate([self.counts, np.array(out.counts, np.int64).reshape(-1, 4)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(out.held, dtype=np.int64)])
+        self.pairs, self.times = np.concatenate([self.pairs, np.array(out.pairs, np.int64)]), np.concatenate([self.times, np.array(out.times, np.int64)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(order), np.int64)])
 
     def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], list[np.ndarray], list[np.ndarray]]:
         """Of each text: n_a, n_b, n_groups, n_links; the digest of its groups; its distinct id pairs (a * pieces + b, ascending); how often each is linked."""
         cut = [CUT.split(t) if t else [] for t in texts]
         new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > KEPT:
-            self.clear()
-            new = set().union(*cut)
+        if self.known and len(self.known) + len(new) > KEPT:
+            self.shrink()
+            new = set().union(*cut).difference(self.known)
         if new:
             self.learn(sorted(new))
         sizes = np.array([len(words) for words in cut])
-        numbers = np.fromiter((self.known[w] for words in cut for w in words), np.int64, int(sizes.sum()))
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        counts = np.zeros((len(texts), 4), np.int64)
-        np.add.at(counts, doc, self.counts[numbers])
+        ends = np.cumsum(sizes)
+        each = [self.known[w] for words in cut for w in words]
+        numbers, doc = np.array(each, np.int64), np.repeat(np.arange(len(texts)), sizes)
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
+        counts = np.stack([np.bincount(doc, self.counts[numbers, k], len(texts)) for k in range(4)], axis=1).astype(np.int64)
         # a text with one word that differs has no tokens
         bad = np.zeros(len(texts), bool)
         bad[doc[self.counts[numbers, 0] == 0]] = True
         counts[bad] = 0
-        ends = np.cumsum(sizes)
-        each = numbers.tolist()
-        digests = [hashlib.sha256(b";".join([self.texts[k] for k in each[end - size : end]])).hexdigest() if n else "" for end, size, n in zip(ends.tolist(), sizes.tolist(), counts[:, 0].tolist(), strict=True)]
-        pairs, times = self._links(doc[~bad[doc]], numbers[~bad[doc]], len(texts))
+        said = self.texts
+        digests = [hashlib.sha256(b";".join([said[k] for k in each[end - size : end]])).hexdigest() if n else "" for end, size, n in zip(ends.tolist(), sizes.tolist(), counts[:, 0].tolist(), strict=True)]
+        good = ~bad[doc]
+        pairs, times = self._links(doc[good], numbers[good], len(texts))
         return counts, digests, pairs, times
 
     def _links(self, doc: np.ndarray, numbers: np.ndarray, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
         span = len(self.known) + 1
         words, often = np.unique(doc * span + numbers, return_counts=True)
         doc, numbers = words // span, words % span
-        held = self.starts[numbers + 1] - self.starts[numbers]
-        total = int(held.sum())
-        at = np.repeat(self.starts[numbers] - (np.cumsum(held) - held), held) + np.arange(total)
+        at, held = self._spans(numbers)
         pairs, times, doc = self.pairs[at], self.times[at] * np.repeat(often, held), np.repeat(doc, held)
-        order = np.lexsort((pairs, doc))
-        pairs, times, doc = pairs[order], times[order], doc[order]
-        heads = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]) | (doc[1:] != doc[:-1])])) if total else np.zeros(0, np.int64)
-        pairs, doc = pairs[heads], doc[heads]
-        times = np.add.reduceat(times, heads) if total else times
-        cuts = np.searchsorted(doc, np.arange(1, n))
-        return np.split(pairs, cuts), np.split(times, cuts)
+        cuts = np.cumsum(np.bincount(doc, minlength=n))[:-1]
+        out_pairs, out_times = [], []
+        for own, many in zip(np.split(pairs, cuts), np.split(times, cuts), strict=True):
+            order = np.argsort(own)
+            own, many = own[order], many[order]
+            heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+            out_pairs.append(own[heads])
+            out_times.append(np.add.reduceat(many, heads) if len(own) else many)
+        return out_pairs, out_times
+
+
+class _Learned:
+    """What is found of words, one after the other: their groups' text, counts, number of links, and the links."""
+
+    def __init__(self) -> None:
+        self.texts: list[bytes] = []
+        self.counts: list[tuple[int, int, int, int]] = []
+        self.held: list[int] = []
+        self.pairs: list[int] = []
+        self.times: list[int] = []
 
 
 @lru_cache(maxsize=1)

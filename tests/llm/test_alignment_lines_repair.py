@@ -87,7 +87,7 @@ def test_alignment_equals_plain_version(spark, rows):
 def test_alignment_of_an_empty_table_and_with_small_caches(spark, monkeypatch):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert token_alignment.token_alignment(empty, BYTE_LEVEL, PIECES).collect() == []
-    for name, value in (("KEPT", 20), ("KEPT_STEPS", 10), ("RUN", 8)):
+    for name, value in (("KEPT", 20), ("KEPT_STEPS", 10), ("RUN", 8), ("KEPT_PAIRS", 2)):
         monkeypatch.setattr(token_alignment, name, value)
     machine = token_alignment.Aligner(BYTE_LEVEL, PIECES)
     for _ in range(2):
