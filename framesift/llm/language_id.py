@@ -7,6 +7,7 @@ probabilities (forward and backward passes). Pieces never cross words, so a text
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import Counter
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from framesift.llm.common import arrow_batches, frozen, shuffle_partitions, stored
 
 WORDS = re.compile(r"[^\W\d_]+")
-#: Longer words are cut, so that products stay above the least double.
-LONGEST = 24
+#: Longer words are summed in logarithms, as their products fall below the least double; those of more than KEPT_CHARS are scored each time they come.
+LONGEST, KEPT_CHARS = 24, 64
 #: Labelled documents of a language that the fit takes, about (chosen by hash).
 SAMPLE_DOCS = 400
 ROUNDS, SMOOTHING = 3, 0.05
@@ -48,20 +49,13 @@ def vocabulary(path: str) -> dict[str, int]:
 
 
 def words_of(text: str) -> list[str]:
-    found = WORDS.findall(text.lower())
-    return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)] if max(map(len, found), default=0) > LONGEST else found
+    return WORDS.findall(text.lower())
 
 
 def edges(word: str, pieces: dict[str, int], longest: int) -> list[list[tuple[int, int]]]:
     """For each end in '▁' + word: the starts and numbers of the pieces that end there."""
     marked = "▁" + word
-    out: list[list[tuple[int, int]]] = [[]]
-    for end in range(1, len(marked) + 1):
-        here = [(start, n) for start in range(max(0, end - longest), end) if (n := pieces.get(marked[start:end])) is not None]
-        if not any(start == end - 1 for start, _ in here):
-            here.append((end - 1, 0))
-        out.append(here)
-    return out
+    return [[], *(_ends(marked, end, pieces, longest) for end in range(1, len(marked) + 1))]
 
 
 class Trie:
@@ -135,9 +129,48 @@ def _forward(words: list[str], probs: np.ndarray, longest: int, trie: Trie) -> n
     return alpha[begin + lengths]
 
 
+def log_forward(words: list[str], probs: np.ndarray, pieces: dict[str, int], longest: int, trie: Trie | None = None) -> np.ndarray:
+    """The logarithms of forward(), for words of any length."""
+    out = np.empty((len(words), probs.shape[1]))
+    short = [i for i, w in enumerate(words) if len(w) <= LONGEST]
+    out[short] = np.log(np.maximum(forward([words[i] for i in short], probs, pieces, longest, trie), 1e-300))
+    logs = np.log(probs) if len(short) < len(words) else probs
+    for i, word in enumerate(words):
+        if len(word) > LONGEST:
+            out[i] = _long_forward(word, logs, pieces, longest)
+    return out
+
+
+def _ends(marked: str, end: int, pieces: dict[str, int], longest: int) -> list[tuple[int, int]]:
+    """Starts and numbers of the pieces of a marked word that end at a place; a single character is always one."""
+    here = [(start, n) for start in range(max(0, end - longest), end) if (n := pieces.get(marked[start:end])) is not None]
+    if not any(start == end - 1 for start, _ in here):
+        here.append((end - 1, 0))
+    return here
+
+
+def _long_forward(word: str, logs: np.ndarray, pieces: dict[str, int], longest: int) -> np.ndarray:
+    """A word of any length, place by place; only as many places are held as a piece can reach back."""
+    marked = "▁" + word
+    held = np.zeros((longest + 1, logs.shape[1]))
+    for end in range(1, len(marked) + 1):
+        starts, numbers = zip(*_ends(marked, end, pieces, longest), strict=True)
+        ways = held[[s % (longest + 1) for s in starts]] + logs[list(numbers)]
+        most = ways.max(axis=0)
+        held[end % (longest + 1)] = most + np.log(np.exp(ways - most).sum(axis=0))
+    return held[len(marked) % (longest + 1)]
+
+
+def _log_sum(values: list[float]) -> float:
+    most = max(values)
+    return most + math.log(sum(math.exp(v - most) for v in values))
+
+
 def expected_counts(word: str, language: int, probs: np.ndarray, pieces: dict[str, int], longest: int) -> list[tuple[int, float]]:
-    """Expected uses of each piece in a word, over all its segmentations."""
+    """Expected uses of each piece in a word, over all its segmentations. A long word is summed in logarithms."""
     lattice, p = edges(word, pieces, longest), probs[:, language]
+    if len(word) > LONGEST:
+        return _long_counts(lattice, np.log(p).tolist())
     alpha = [1.0]
     for here in lattice[1:]:
         alpha.append(sum(alpha[start] * p[n] for start, n in here))
@@ -152,6 +185,23 @@ def expected_counts(word: str, language: int, probs: np.ndarray, pieces: dict[st
     return out
 
 
+def _long_counts(lattice: list[list[tuple[int, int]]], logs: list[float]) -> list[tuple[int, float]]:
+    alpha = [0.0]
+    for here in lattice[1:]:
+        alpha.append(_log_sum([alpha[start] + logs[n] for start, n in here]))
+    # what comes after each place: its ends are gathered before it is passed
+    after: list[list[float]] = [[] for _ in alpha]
+    after[-1].append(0.0)
+    out = []
+    for end in range(len(alpha) - 1, 0, -1):
+        beta = _log_sum(after[end])
+        for start, n in lattice[end]:
+            after[start].append(logs[n] + beta)
+            out.append((n, math.exp(alpha[start] + logs[n] + beta - alpha[-1])))
+        after[end] = []
+    return out
+
+
 class Model:
     """Piece probabilities of each language; small: pieces of the vocabulary x languages."""
 
@@ -190,7 +240,11 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Learns from text and label of documents that aren't held out, about sample_docs of each language, chosen by a hash of their id."""
+    """Learns from text and label of documents that aren't held out, about sample_docs of each language, chosen by a hash of id and text.
+
+    Rows with a null text or label teach nothing; null ids are no special case. Repeated rows count each. Without a labelled row, as in an
+    empty table, there is no language, and all texts are `und`. Other columns are ignored.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -200,7 +254,7 @@ def fit(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col:
         return Model([], np.zeros((1, 0)), vocabulary_path)
     million = 1_000_000
     shares = spark.createDataFrame([(k, min(million, -(-million * sample_docs // n))) for k, n in sizes.items()], "lang string, share long")
-    sample = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(million)) < F.col("share"))
+    sample = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text")), F.lit(29)), F.lit(million)) < F.col("share"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -253,7 +307,7 @@ class _Scorer:
             self.known, new = {}, list(words)
         if new:
             at = len(self.known)
-            self.scores[at : at + len(new)] = np.log(np.maximum(forward(new, self.probs, self.pieces, self.longest, self.trie), 1e-300))
+            self.scores[at : at + len(new)] = log_forward(new, self.probs, self.pieces, self.longest, self.trie)
             self.known.update(zip(new, range(at, at + len(new)), strict=True))
 
     def totals(self, texts: list[str | None]) -> tuple[np.ndarray, list[bool]]:
@@ -268,9 +322,17 @@ class _Scorer:
                 sums[i] += self.scores[list(map(self.known.__getitem__, words))].sum(axis=0)
             waiting.clear()
 
+        def scored_alone(i: int, words: list[str]) -> list[str]:
+            long = [w for w in words if len(w) > KEPT_CHARS]
+            for word in long:
+                sums[i] += log_forward([word], self.probs, self.pieces, self.longest, self.trie)[0]
+            return [w for w in words if len(w) <= KEPT_CHARS] if long else words
+
         for i, text in enumerate(texts):
             words = words_of(text or "")
             letters.append(bool(words) and (words[0].isalpha() or any(c.isalpha() for w in words for c in w)))
+            if max(map(len, words), default=0) > KEPT_CHARS:
+                words = scored_alone(i, words)
             for at in range(0, len(words), RUN):
                 waiting.append((i, words[at : at + RUN]))
                 n += len(waiting[-1][1])

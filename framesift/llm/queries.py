@@ -186,9 +186,10 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 OP6_SQL = r"""
 WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
 w AS (SELECT kind, id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM t),
+b AS (SELECT DISTINCT least(len(words), 5) AS width FROM w WHERE kind = 1 AND len(words) > 0),
 s AS (
-  SELECT DISTINCT kind, id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w
+  SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(words), width - 1) - width + 2), lambda i: array_to_string(words[i:i + width - 1], ' '))) AS shingle
+  FROM w JOIN b ON kind = 0 OR width = least(len(words), 5)
 ),
 n AS (SELECT id, count(*) AS n_item FROM s WHERE kind = 1 GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment

@@ -296,7 +296,10 @@ def test_decontamination(spark, words):
     rng = random.Random(4)
     items = [" ".join(rng.choice(words) for _ in range(n)) for n in (3, 5, 6, 9, 14, 30, 30, 60)] + [None, "", "two words"]
     items.append(items[5])
-    texts = list(ODD) + ["two words", "Two, WORDS!", "has two words in it and more"]
+    # items of fewer than five words inside long texts
+    short = ["what is the capital", "one of a kind", "lone"]
+    items += short
+    texts = list(ODD) + ["two words", "Two, WORDS!", "has two words in it and more", f"they asked: What is the CAPITAL of this land, {' '.join(words)}", f"{' '.join(words)} one of a", "of a kind one", "LONE"]
     for _ in range(150):
         text = [rng.choice(words) for _ in range(rng.randint(20, 400))]
         item = (rng.choice(items) or "").split()
@@ -307,19 +310,22 @@ def test_decontamination(spark, words):
         texts.append(", ".join(text[:cut]) + " \n" + " ".join(item).upper() + ". " + " ".join(text[cut:]))
     texts.append(texts[-1])
 
-    def shingles(text):
+    def shingles(text, width):
         ws = re.findall(r"[^\W_]+", (text or "").lower())
-        return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+        return {tuple(ws[i : i + width]) for i in range(len(ws) - width + 1)} if ws else set()
 
     want = set()
     for (d, text), (i, item) in itertools.product(enumerate(texts), enumerate(items)):
-        a, b = shingles(text), shingles(item)
+        width = min(5, len(re.findall(r"[^\W_]+", item or "")))
+        a, b = shingles(text, width), shingles(item, width)
         if b and 100 * len(a & b) >= 80 * len(b):
             want.add((d, i, len(a & b), len(b)))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     rows = docs(spark, texts)
     got = {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontaminate.contaminated(rows, bench).collect()}
     assert got == want and len(want) > 30
+    assert {("they asked", short[0]), ("LONE", short[2])} <= {(texts[d][:10], items[i]) for d, i, *_ in got if texts[d] and items[i] in short}
+    assert not any(texts[d] == "of a kind one" for d, *_ in got)
     # the same id and text twice is one document to find and two rows to drop; the benchmark may have columns of any name
     twice = docs(spark, [items[5] + " and more", "clean words here", None]).unionByName(docs(spark, [items[5] + " and more"]))
     odd = bench.withColumn("doc_id", F.lit(0)).withColumn("hash", F.lit(1)).withColumn("row_key", F.lit("x"))
@@ -471,6 +477,22 @@ def test_forward_and_counts():
     got = language_id.forward(words, probs, pieces, 3)
     for w, row in zip(words, got, strict=True):
         assert row == pytest.approx([all_cuts("▁" + w, probs[:, k], pieces) for k in range(3)])
+    # words of any length, all segmentations: in logarithms they are what they are as they stand
+    for w in ("ab" * 10, "abbabaabba" * 2, "x" * 9):
+        assert language_id._long_forward(w, np.log(probs), pieces, 3) == pytest.approx([np.log(all_cuts("▁" + w, probs[:, k], pieces)) for k in range(3)])
+        plain = Counter()
+        for n, x in language_id.expected_counts(w, 1, probs, pieces, 3):
+            plain[n] += x
+        logs = Counter()
+        for n, x in language_id._long_counts(language_id.edges(w, pieces, 3), np.log(probs[:, 1]).tolist()):
+            logs[n] += x
+        assert dict(logs) == pytest.approx(dict(plain))
+    tiny, long = probs * 1e-12, "abbabaabba" * 400
+    # far below the least double, and additive where only one cut is left
+    whole = language_id.log_forward(["x" * 5000, "a", long], tiny, pieces, 3)
+    assert whole[0] == pytest.approx(np.log(tiny[1]) + 5000 * np.log(tiny[0])) and np.isfinite(whole[2]).all()
+    assert whole[1] == pytest.approx([np.log(all_cuts("▁a", tiny[:, k], pieces)) for k in range(3)])
+    assert sum(x * {0: 1, **{n: len(p) for p, n in pieces.items()}}[n] for n, x in language_id.expected_counts(long, 2, tiny, pieces, 3)) == pytest.approx(len(long) + 1)
     shares = language_id.expected_counts("abba", 1, probs, pieces, 3)
     lengths = {0: 1} | {n: len(p) for p, n in pieces.items()}
     assert sum(x * lengths[n] for n, x in shares) == pytest.approx(5)
