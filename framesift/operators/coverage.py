@@ -11,14 +11,19 @@ from pyspark.sql import functions as F
 from framesift.functions.text import point_label
 
 
-def principal_plane(rows: DataFrame, key: str = "path", embedding: str = "embedding", k: int = 2) -> DataFrame:
-    """key, x, y: the first principal components of the centred embeddings."""
+def principal_components(rows: DataFrame, key: str, embedding: str, k: int) -> DataFrame:
+    """key, vector: the first k principal components of the centred embeddings."""
     vectors = rows.select(key, array_to_vector(F.col(embedding).cast("array<double>")).alias("v"))
     mean = vectors.agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("m"))
     centred = vectors.join(F.broadcast(mean)).select(key, array_to_vector(F.zip_with(vector_to_array("v"), "m", lambda a, b: a - b)).alias("v"))
     model = PCA(k=k, inputCol="v", outputCol="p").fit(centred)
-    p = vector_to_array("p")
-    return model.transform(centred).select(key, F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
+    return model.transform(centred).select(key, vector_to_array("p").alias("vector"))
+
+
+def principal_plane(rows: DataFrame, key: str = "path", embedding: str = "embedding", k: int = 2) -> DataFrame:
+    """key, x, y: the first principal components of the centred embeddings."""
+    found = principal_components(rows, key, embedding, k)
+    return found.select(key, F.get("vector", F.lit(0)).alias("x"), F.get("vector", F.lit(1)).alias("y"))
 
 
 def percent_coordinates(points: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions import pixels, text
 from framesift.functions.geometry import downscale_divisor
-from framesift.operators import audit, buckets, captions, coverage, duplicates, export, outliers, quality_gate, upscale
+from framesift.operators import audit, buckets, captions, coverage, duplicates, export, neighbours, outliers, quality_gate, upscale
 from framesift.operators.order import scan_order
 from framesift.plans.config import Project
 from framesift.plans.steps import BY_NAME, SelectionError, checked, default_substeps, enabled_substeps, in_order, invalidated_by_force, validate
@@ -208,8 +208,9 @@ class Run:
         report["images"] = kept.count()
         if "coverage_scan" in self.on and self.hooks.embed is not None:
             pictures = self.decoded().join(kept.select("path"), "path", "left_semi")
-            plane = self.store("curate_coverage", coverage.percent_coordinates(coverage.principal_plane(self.hooks.embed(pictures), "path")))
-            report["coverage"] = plane.count()
+            how, places = neighbours.plane_of(self.store("curate_embeddings", self.hooks.embed(pictures)), "path")
+            plane = self.store("curate_coverage", coverage.percent_coordinates(places))
+            report |= {"coverage": plane.count(), "coverage_method": how}
         return report
 
     def _upscale(self) -> dict:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from framesift.functions import geometry as g
 from framesift.functions import planning
-from framesift.operators import buckets, coverage, duplicates, outliers, quality_gate, upscale
+from framesift.operators import buckets, coverage, duplicates, neighbours, outliers, quality_gate, upscale
+from framesift.operators.order import scan_order
 from framesift.queries import query, table
 from framesift.queries.samples import IMAGES_SQL, images
 
@@ -304,6 +305,20 @@ def coverage_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.percent_coordinates(coverage.principal_plane(table(spark, sf_dir, "embeddings"), "vec_id"))
 
 
+@query()
+def embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    placed = scan_order(rows, [F.col("vec_id")]).withColumnRenamed("embedding", "vector")
+    graph, ids = neighbours.neighbour_graph(placed.select("ord", "vector"), 10), placed.select("ord", "vec_id")
+    named = graph.join(ids.select(F.col("ord").alias("u"), "vec_id"), "u").join(ids.select(F.col("ord").alias("v"), F.col("vec_id").alias("near_id")), "v")
+    return named.select("vec_id", "near_id", F.col("d").alias("distance"))
+
+
+@query()
+def coverage_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.percent_coordinates(neighbours.coverage_layout(table(spark, sf_dir, "embeddings"), "vec_id"))
+
+
 @query("""WITH p AS (SELECT p_partkey AS id, 'set' || (p_partkey % 7) AS parent, p_name || CASE WHEN p_partkey % 5 = 0 THEN '_' || p_partkey || '_of_a_long_series.png' ELSE '.png' END AS name FROM part),
 l AS (SELECT id, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN parent || '/' || name ELSE name END AS label FROM p)
 SELECT id, CASE WHEN length(label) > 24 THEN '…' || right(label, 23) ELSE label END AS label FROM l""")
