@@ -5,15 +5,22 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Computed once, in the folder that the cluster names, in tests in a temporary one."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+def checkpoints(spark: SparkSession) -> str:
+    """The folder that the cluster names, in tests a temporary one."""
+    if configured := spark.conf.get("spark.checkpoint.dir", None):
+        return configured.rstrip("/")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='framesift-')}")
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Computed once, in the folder that checkpoints() gives."""
+    checkpoints(df.sparkSession)
     return df.checkpoint()
 
 

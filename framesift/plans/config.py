@@ -49,6 +49,15 @@ class Caption:
     concept_token: str | None = None
     style_mode: bool = False
     overwrite: bool = False
+    #: `grounded` (observe, compose, fill gaps, each where it is needed) or `single`; for models that take prompts.
+    strategy: str = "grounded"
+    prompt: str | None = None
+    domain_brief: str | None = None
+    max_new_tokens: int = 200
+
+    def __post_init__(self) -> None:
+        if self.strategy not in ("grounded", "single"):
+            raise ValueError("caption: strategy must be grounded or single")
 
 
 @dataclass(frozen=True)

@@ -23,6 +23,7 @@ from framesift.functions import pixels, text
 from framesift.functions.geometry import downscale_divisor
 from framesift.operators import audit, buckets, captions, coverage, duplicates, export, neighbours, outliers, quality_gate, upscale
 from framesift.operators.order import scan_order
+from framesift.operators.passes import Model, Passes, grounded, single
 from framesift.plans.config import Project
 from framesift.plans.steps import BY_NAME, SelectionError, checked, default_substeps, enabled_substeps, in_order, invalidated_by_force, validate
 from framesift.sources import files, headers, manifest, store
@@ -32,12 +33,15 @@ from framesift.sources import files, headers, manifest, store
 class Hooks:
     """What a caller may plug in. decide(step, rows) gives reviewers' answers, (path, decision), for captions with a new text if they give one.
 
-    caption, rebuild, upscale and embed are models on columns: upscale gives (path, content, ssim, error) of (path, divisor, w, h, channels,
+    vlm answers prompts, (path, answer) of (path, w, h, channels, data, stage, prompt, max_new_tokens); regions gives (stem, labels, places) of
+    what people marked. caption, rebuild, upscale and embed are models on columns: upscale gives (path, content, ssim, error) of (path, divisor, w, h, channels,
     data), embed gives (path, embedding) of images. scorers are more named numbers on an image, for the gate's scorers of that name.
     """
 
     decide: Callable[[str, DataFrame], DataFrame | None] = lambda step, rows: None
     caption: Callable[[DataFrame], DataFrame] | None = None
+    vlm: Model | None = None
+    regions: DataFrame | None = None
     rebuild: Callable[[DataFrame], DataFrame] | None = None
     upscale: Callable[[DataFrame], DataFrame] | None = None
     embed: Callable[[DataFrame], DataFrame] | None = None
@@ -266,13 +270,28 @@ class Run:
         images = self.current("import", "quality_gate", "curate").withColumn("stem", audit.rel_stem(F.col("rel")))
         rows = images.join(self._captions().withColumnRenamed("text", "caption"), "stem", "left").withColumn("flagged", F.lit(False))
         todo = captions.pending(rows, c.overwrite)
-        if self.hooks.caption is None or "caption" not in self.on:
+        asked: Passes | None = None
+        no_labels = F.array().cast("array<string>")
+        if "caption" in self.on and self.hooks.vlm is not None:
+            asked = Passes(f"{self.project.output}/passes", self.hooks.vlm, c.max_new_tokens, self.begun.append)
+            if self.state.steps.get("caption", {}).get("status") == "done":
+                # only the passes of a run that was stopped are gone on with
+                store.delete(self.spark, asked.folder)
+            regions = self.hooks.regions if self.hooks.regions is not None else self.spark.createDataFrame([], "stem string, labels array<string>, places array<string>")
+            wanted = todo.select("path", "stem").join(self.decoded().drop("rel"), "path").join(regions, "stem", "left")
+            how = grounded if c.strategy == "grounded" else single
+            told = how(wanted, asked, c.concept_token, c.domain_brief, c.style_mode, c.prompt)
+            named = todo.select("path", "stem").join(told, "path").join(regions.select("stem", "labels"), "stem", "left")
+            made = named.select("stem", text.clean_caption(F.col("caption"), F.coalesce("labels", no_labels), F.lit(c.concept_token), c.style_mode).alias("made"))
+        elif self.hooks.caption is None or "caption" not in self.on:
             made = todo.select("stem", F.lit(None).cast("string").alias("made"))
         else:
             made = self.hooks.caption(todo).select("stem", text.clean_caption(F.col("made"), F.array().cast("array<string>"), F.lit(c.concept_token), c.style_mode).alias("made"))
         whole = rows.join(made, "stem", "left").withColumn("text", F.coalesce("made", "caption"))
         stored = self.store("caption", whole.select(*images.columns, "text"))
         report = stored.agg(F.count(F.lit(1)).alias("images"), F.count("text").alias("captioned")).first().asDict()
+        if asked is not None:
+            report["passes"] = asked.tally(self.spark)
         if "validate_captions" in self.on:
             checks = captions.caption_checks(stored.filter("text IS NOT NULL").withColumnRenamed("text", "caption"), c.concept_token, c.style_mode)
             report |= checks.agg(F.count_if("missing_token").alias("missing_token"), F.count_if("out_of_bounds").alias("out_of_bounds")).first().asDict()

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesift.functions import text as t
 from framesift.operators import captions as ops
+from framesift.operators.order import checkpoints
+from framesift.operators.passes import Passes, grounded, mock_model
 from framesift.queries import query, table
 from framesift.queries.samples import CAPTIONS_SQL, captions
 
@@ -182,3 +186,36 @@ def annotations_suffice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def spot_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.spot_check(captions(spark, sf_dir), 0.05, seed=3, key="id").select("id", "caption")
+
+
+#: The stand-in model composes the sample captions; every second one of the fifth kind says it without filler.
+COMPOSED_SQL = "CASE WHEN id % 16 = 5 THEN replace(caption, 'some kind of', 'one more') WHEN id % 16 = 4 THEN replace(caption, 'various', 'many') ELSE caption END"
+PASSES_SQL = f"""{CAPTIONS_SQL},
+first AS (SELECT *, {strip_sql(COMPOSED_SQL)} AS said FROM captions),
+again AS (SELECT *, length(trim(said)) < 3 AS thin FROM first),
+drafted AS (SELECT *, CASE WHEN thin THEN 'A picture of ' || CASE id % 3 WHEN 0 THEN label || ' and ' || kind WHEN 1 THEN label ELSE '' END ELSE said END AS draft FROM again),
+h AS (SELECT *, {head_sql("label")} AS head, {head_sql("kind")} AS kind_head, {content_sql("draft")} AS content FROM drafted),
+asked AS (
+  SELECT id, NOT (id % 3 = 0 OR id % 3 = 1 AND len({content_sql("label")}) >= 4) AS observe, thin,
+    len(regexp_extract_all(draft, '\\S+')) < 20 OR (id % 3 < 2 AND head IS NOT NULL AND NOT list_contains(content, head)) OR (id % 3 = 0 AND kind_head IS NOT NULL AND NOT list_contains(content, kind_head))
+      OR regexp_matches(draft, '\\b(?:{"|".join(t.FILLER)})\\b', 'i') AS gap FROM h
+)"""
+
+
+def _passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("id")
+    composed = F.when(k % 16 == 5, F.replace("caption", F.lit("some kind of"), F.lit("one more"))).when(k % 16 == 4, F.replace("caption", F.lit("various"), F.lit("many"))).otherwise(F.col("caption"))
+    labels = F.when(k % 3 == 0, F.array("label", "kind")).when(k % 3 == 1, F.array("label"))
+    rows = captions(spark, sf_dir).select(k.cast("string").alias("path"), composed.alias("composed"), labels.alias("labels"), F.lit(None).cast("array<string>").alias("places"))
+    folder = f"{checkpoints(spark)}/passes-{uuid.uuid4().hex}"
+    return grounded(rows, Passes(folder, mock_model("composed")), "sks")
+
+
+@query(f"WITH {PASSES_SQL} SELECT id, concat_ws(',', CASE WHEN observe THEN 'observe' END, 'compose', CASE WHEN thin THEN 'compose_fallback' END, CASE WHEN gap THEN 'gap' END) AS passes FROM asked")
+def caption_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passes(spark, sf_dir).select(F.col("path").cast("long").alias("id"), F.array_join("passes", ",").alias("passes"))
+
+
+@query(f"WITH {PASSES_SQL}, n AS (SELECT count(*) AS compose, count(*) FILTER (observe) AS observe, count(*) FILTER (thin) AS compose_fallback, count(*) FILTER (gap) AS gap FROM asked) SELECT stage, n FROM (UNPIVOT n ON compose, observe, compose_fallback, gap INTO NAME stage VALUE n) WHERE n > 0")
+def caption_pass_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.pass_tally(_passes(spark, sf_dir))
