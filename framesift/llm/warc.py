@@ -20,13 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm.common import bounded, frozen, shared_dir, stored
+from framesift.llm.common import bounded, fresh, frozen, shared_dir, stored, with_row_id
 
 #: Raw bytes after which a frame, and a bundle, is closed.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 25
 #: Payloads below this are always written in full.
 REVISIT_BYTES = 100
 LEVEL = 3
+HEAVY_SHARE = 5_000
 #: Fixed values of the seekable format, and of the revisit profile.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -34,13 +35,34 @@ RECORD_URN = "urn:page:"
 INDEX = "record_id string, bundle string, frame long, offset long, length long"
 
 
+def revisits(rows: DataFrame) -> DataFrame:
+    """row, refers_to of the rows (row, id, bytes, digest) that repeat a payload. Ids and digests are all that is moved.
+
+    Digests that come so often that one task should not have all their rows, HEAVY_SHARE at most, are broadcast whatever their number.
+    """
+    counts = frozen(rows.filter(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    few = bounded(counts)
+    if few is counts:
+        heavy = F.col("n") * HEAVY_SHARE > total
+        hot = F.broadcast(counts.filter(heavy))
+        found = rows.join(hot, "digest").unionByName(rows.join(F.broadcast(counts.filter(heavy).select("digest")), "digest", "left_anti").join(counts.filter(~heavy), "digest"))
+    else:
+        found = rows.join(few, "digest")
+    # a null id has nothing before it
+    return found.filter("first <> id").select("row", F.col("first").alias("refers_to"))
+
+
 def with_record_types(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url, html, digest, refers_to of each page; refers_to is null for records to be written in full."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
-    # rows of digest and id only are merged; a digest that a third of the pages share is one row per task
-    firsts = rows.filter(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    return rows.join(firsts, "digest", "left").select("id", "url", "html", "digest", F.when(F.col("first") != F.col("id"), F.col("first")).alias("refers_to"))
+    """id, url, html, digest, refers_to of each page; refers_to is null for records to be written in full.
+
+    Which pages refer to which is found on ids and digests; html meets the answer by its row's number, which is no hot key.
+    """
+    name = fresh(pages, "_row")
+    html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
+    rows = with_row_id(pages, name).select(F.col(name).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
+    known = frozen(revisits(rows.select("row", "id", F.octet_length("html").alias("bytes"), "digest")))
+    return rows.join(bounded(known), "row", "left").select("id", "url", "html", "digest", "refers_to")
 
 
 def record(page_id: int | None, url: str | None, html: str, digest: str, refers_to: int | None) -> bytes:

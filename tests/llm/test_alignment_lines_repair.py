@@ -295,3 +295,27 @@ def test_walk_is_the_least_of_the_cheapest(turns, chunk):
         audit += edits
     want = plain_repair(turns)
     assert (cost, audit) == want[:2]
+
+
+# --- WARC beyond the broadcast bound
+
+
+@pytest.mark.parametrize(("bound", "share"), [(500_000, 5_000), (0, 5_000), (0, 2)])
+def test_revisits_of_a_hot_payload(spark, tmp_path, monkeypatch, bound, share):
+    """One payload in a third of the pages; html meets nothing by its digest, whatever is broadcast."""
+    from framesift.llm import warc
+
+    monkeypatch.setattr("framesift.llm.common.BROADCAST_ROWS", bound)
+    monkeypatch.setattr(warc, "HEAVY_SHARE", share)
+    page = lambda i: "hot " * 60 if i % 3 == 0 else f"{i // 6} twice " * 20 if i % 3 == 1 else "short" if i % 2 else f"own {i} " * 40
+    pages = [(i if i != 30 else None, f"http://{i}", page(i)) for i in range(90)] + [(6, "again", page(6))]
+    spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, digest string").repartition(3).write.parquet(str(tmp_path / "pages"))
+    rows = warc.with_record_types(spark.read.parquet(str(tmp_path / "pages")))
+    first: dict[str, int] = {}
+    for i, _, html in pages:
+        if i is not None:
+            first[html] = min(i, first.get(html, i))
+    want = [(i, url, first[html] if i is not None and len(html) >= 100 and first[html] != i else None) for i, url, html in pages]
+    assert sorted(((r.id, r.url, r.refers_to) for r in rows.collect()), key=repr) == sorted(want, key=repr)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "digest" not in plan.split("Join", 1)[-1].split("\n")[0]
