@@ -6,6 +6,7 @@ libraries (reflected borders, population statistics); results agree with them in
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator, Mapping
@@ -263,12 +264,41 @@ def region_crops(regions: DataFrame) -> DataFrame:
     return regions.select("crop", "left", "top", "right", "bottom", "w", "h", "channels", "data").mapInArrow(run, "rel string, content binary, error string")
 
 
+#: Strength of denoising, and the sides of its patches and of the window that they are looked for in.
+DENOISE, PATCH, WINDOW = 3.0, 7, 21
+
+
+def denoised(image: np.ndarray, strength: float = DENOISE, patch: int = PATCH, window: int = WINDOW) -> np.ndarray:
+    """Non-local means: each pixel becomes the mean of those around it, weighted by how like their patches are, over all channels.
+
+    For each shift within the window the squared differences of the image and its shifted copy are summed over patches by an
+    integral image, so a shift costs what the image is, whatever the patch. Borders are mirrored.
+    """
+    h, w, channels = image.shape
+    reach, half = window // 2, patch // 2
+    wide = np.stack([_padded(image[:, :, c].astype(float), reach + half) for c in range(channels)], axis=2)
+    base = wide[reach : reach + h + 2 * half, reach : reach + w + 2 * half]
+    total, weight = np.zeros((h, w, channels)), np.zeros((h, w, 1))
+    scale = strength * strength * channels * patch * patch
+    for dy in range(window):
+        for dx in range(window):
+            moved = wide[dy : dy + h + 2 * half, dx : dx + w + 2 * half]
+            squares = ((base - moved) ** 2).sum(axis=2)
+            sums = np.pad(squares.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+            apart = sums[patch:, patch:] - sums[:-patch, patch:] - sums[patch:, :-patch] + sums[:-patch, :-patch]
+            alike = np.exp(-np.maximum(apart, 0.0) / scale)[:, :, None]
+            total += alike * moved[half : half + h, half : half + w]
+            weight += alike
+    return np.clip(np.rint(total / weight), 0, 255).astype(np.uint8)
+
+
 def upscaled(images: DataFrame, target: int) -> DataFrame:
     """path, content (PNG), ssim, error of images (path, divisor, w, h, channels, data), brought by Lanczos to a short side of target.
 
-    An image with a divisor is shrunk by it first, so that what compression left goes, and brought to its own short side
+    A JPEG is denoised first. An image with a divisor is shrunk by it, so that what compression left goes, and brought to its own short side
     at least. ssim is its likeness to the original.
     """
+    jpeg = re.compile(r"\.jpe?g$", re.IGNORECASE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,6 +306,8 @@ def upscaled(images: DataFrame, target: int) -> DataFrame:
             for r in batch.to_pylist():
                 try:
                     before = image = pixels(r["data"], r["h"], r["w"], r["channels"])
+                    if jpeg.search(r["path"]):
+                        image = denoised(image)
                     if r["divisor"]:
                         image = resampled(image, max(1, r["h"] // r["divisor"]), max(1, r["w"] // r["divisor"]))
                     after = resampled(image, *upscaled_size(r["h"], r["w"], max(target, min(r["h"], r["w"])) if r["divisor"] else target))

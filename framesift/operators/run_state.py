@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,11 +66,19 @@ def force_invalidated(steps: DataFrame, key: str = "project") -> DataFrame:
     return steps.withColumn("_first", first).filter(F.col("ord") >= F.col("_first")).drop("_first")
 
 
-def prerequisite_violations(selected: DataFrame, edges: DataFrame, satisfied: DataFrame) -> DataFrame:
-    """step, prerequisite that is neither selected nor satisfied."""
-    needs = edges.join(selected.select("step"), "step", "left_semi")
-    there = selected.select(F.col("step").alias("prerequisite")).union(satisfied.select("step")).distinct()
-    return needs.join(there, "prerequisite", "left_anti").select("step", "prerequisite")
+def prerequisite_violations(selected: DataFrame, edges: DataFrame, satisfied: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, step, prerequisite that is neither selected nor satisfied; with columns by, each of their values is a project of its own."""
+    keys = list(by)
+    needs = selected.select(*keys, "step").distinct().join(F.broadcast(edges), "step")
+    there = selected.select(*keys, F.col("step").alias("prerequisite")).union(satisfied.select(*keys, "step")).distinct()
+    return needs.join(there, [*keys, "prerequisite"], "left_anti").select(*keys, "step", "prerequisite")
+
+
+def ordered_selection(selected: Column, configured: Column) -> Column:
+    """Selected steps (an array) in the order of the project's own, each once; those it is without come last, as they were named."""
+    wanted = F.array_distinct(F.coalesce(selected, F.array().cast("array<string>")))
+    own = F.coalesce(configured, F.array().cast("array<string>"))
+    return F.concat(F.filter(F.array_distinct(own), lambda s: F.array_contains(wanted, s)), F.filter(wanted, lambda s: ~F.array_contains(own, s)))
 
 
 def migrate_ids(records: DataFrame, renames: DataFrame, key: str = "step") -> DataFrame:

@@ -300,16 +300,32 @@ def force_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_state.force_invalidated(rows).select("project", "ord", "step")
 
 
-@query(f"WITH {STEPS_SQL} SELECT (row_number() OVER (ORDER BY ord))::INT - 1 AS place, step FROM d WHERE step IN ('audit', 'import', 'upscale')")
+STEP_NAMES = [s.name for s in steps.checked()]
+NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in STEP_NAMES) + "]"
+SELECTION_SQL = f"""s AS (SELECT c_custkey AS project, {NAMES_SQL} AS names, c_custkey AS k FROM customer),
+w AS (SELECT project, [names[k * 3 % 10 + 1], names[(k + 4) % 10 + 1], names[k * 7 % 10 + 1], names[k * 3 % 10 + 1]] AS wanted, list_filter(names, lambda n: n <> names[k % 10 + 1]) AS own FROM s)"""
+
+
+def _selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """project, wanted, own: which steps are selected, and which the project has: all but one."""
+    k, names = F.col("c_custkey"), F.array(*map(F.lit, STEP_NAMES))
+    at = lambda n: F.get(names, (n % 10).cast("int"))
+    return table(spark, sf_dir, "customer").select(k.alias("project"), F.array(at(k * 3), at(k + 4), at(k * 7), at(k * 3)).alias("wanted"), F.filter(names, lambda n: n != at(k)).alias("own"))
+
+
+@query(f"""WITH {SELECTION_SQL}, o AS (SELECT project, list_concat(list_filter(own, lambda n: list_contains(wanted, n)), list_filter(wanted, lambda n, i: NOT list_contains(own, n) AND list_position(wanted, n) = i)) AS steps FROM w)
+SELECT project, i::INT - 1 AS place, steps[i] AS step FROM o, unnest(range(1, len(steps) + 1)) u(i)""")
 def select_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = steps.in_order(["audit", "upscale", "import", "audit"], [s.name for s in steps.checked()])
-    return spark.createDataFrame(list(enumerate(chosen)), "place int, step string")
+    ordered = run_state.ordered_selection(F.col("wanted"), F.col("own"))
+    return _selections(spark, sf_dir).select("project", F.posexplode(ordered).alias("place", "step"))
 
 
-@query(f"WITH {EDGES_SQL} SELECT step, prerequisite FROM e WHERE step IN ('audit', 'caption', 'upscale', 'curate') AND prerequisite NOT IN ('audit', 'caption', 'upscale', 'curate', 'import')")
+@query(f"""WITH {SELECTION_SQL}, {EDGES_SQL}, c AS (SELECT DISTINCT project, unnest(wanted) AS step FROM w), t AS (SELECT * FROM c UNION SELECT project, own[project % 9 + 1] FROM w)
+SELECT c.project, c.step, e.prerequisite FROM c JOIN e USING (step) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.project = c.project AND t.step = e.prerequisite)""")
 def prereq_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = lambda *names: spark.createDataFrame([(n,) for n in names], "step string")
-    return run_state.prerequisite_violations(one("audit", "caption", "upscale", "curate"), steps.edge_table(spark), one("import"))
+    rows = _selections(spark, sf_dir)
+    done = rows.select("project", F.get("own", (F.col("project") % 9).cast("int")).alias("step"))
+    return run_state.prerequisite_violations(rows.select("project", F.explode("wanted").alias("step")), steps.edge_table(spark), done, ["project"])
 
 
 @query("""WITH r AS (SELECT event_id AS id, event_type AS step FROM events) SELECT id, CASE step WHEN 'click' THEN 'select' ELSE step END AS step FROM r WHERE step <> 'error'""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -50,3 +51,18 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     store.delete(place, False)
     if not store.rename(fresh, place):
         raise OSError(f"{path} can't be written")
+
+
+def write_lines(spark: SparkSession, path: str, head: str, lines: Iterable[str], tail: str) -> None:
+    """head, the lines with commas between them, and tail, as they come; beside the file first, then moved into place."""
+    store, fresh = _place(spark, f"{path}.new")
+    out = store.create(fresh, True)
+    out.write(bytearray(head.encode()))
+    for i, line in enumerate(lines):
+        out.write(bytearray(f"{',' if i else ''}\n{line}".encode()))
+    out.write(bytearray(f"\n{tail}".encode()))
+    out.close()
+    _, place = _place(spark, path)
+    store.delete(place, False)
+    if not store.rename(fresh, place):
+        raise OSError(f"{path} can't be written")
