@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +73,43 @@ def cleanup_groups(plan: DataFrame, target: int = TARGET) -> DataFrame:
     return jobs.groupBy(F.greatest(F.lit(target), F.col("min_side")).alias("target_side")).agg(F.count(F.lit(1)).alias("n"), F.count_if(downscale_divisor(F.col("min_side")) == 2).alias("by_two"))
 
 
+#: A model for one size: gives the PNG and its likeness to the original for an image (a row as a dict).
+SizedModel = Callable[[dict[str, Any]], tuple[bytes, float]]
+
+
+def upscaled_by_target(rows: DataFrame, build: Callable[[int], SizedModel], target: int = TARGET) -> DataFrame:
+    """path, content, ssim, error of planned images, with a model built once for each size that they go to, in each task that has some of that size.
+
+    An image goes to the target, or to its own short side if that is larger. Rows are dealt out and sorted by that size, then path, so
+    that a size with most of the images is spread over tasks, and a task has a few sizes one after the other. An image that
+    fails, or whose model can't be built, has an error.
+    """
+    columns = [c for c in rows.columns if c != "target_side"]
+    sized = rows.select(F.greatest(F.lit(target), F.col("min_side")).cast("long").alias("target_side"), *[F.col(f"`{c}`") for c in columns])
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = "path string, content binary, ssim double, error string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, model, why = None, None, ""
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["target_side"] != now:
+                    now, model, why = row["target_side"], None, ""
+                    try:
+                        model = build(now)
+                    except Exception as e:  # each of its images says so
+                        why = f"no model: {e}"[:200]
+                try:
+                    out.append((row["path"], None, None, why) if model is None else (row["path"], *model(row), None))
+                except Exception as e:  # a row with an error, not a failed job
+                    out.append((row["path"], None, None, str(e)[:200]))
+            kinds = (pa.string(), pa.binary(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["path", "content", "ssim", "error"])
+
+    return sized.repartitionByRange(parts, "target_side", "path").sortWithinPartitions("target_side", "path").mapInArrow(run, schema)
+
+
 def attention(images: DataFrame, threshold: int = HIGHLIGHT, cap: int = 5000) -> DataFrame:
     """One row over the first cap images by path: scanned, undersized, jpeg, recommended."""
     first = images.orderBy("path").limit(cap)

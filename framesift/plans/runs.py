@@ -35,7 +35,7 @@ class Hooks:
 
     vlm answers prompts, (path, answer) of (path, w, h, channels, data, stage, prompt, max_new_tokens); regions gives (stem, labels, places) of
     what people marked. caption, rebuild, upscale and embed are models on columns: upscale gives (path, content, ssim, error) of (path, divisor, w, h, channels,
-    data), embed gives (path, embedding) of images. scorers are more named numbers on an image, for the gate's scorers of that name.
+    data), upscale_for builds one for a size, which works on an image at a time (see upscaled_by_target), embed gives (path, embedding) of images. scorers are more named numbers on an image, for the gate's scorers of that name.
     """
 
     decide: Callable[[str, DataFrame], DataFrame | None] = lambda step, rows: None
@@ -44,6 +44,7 @@ class Hooks:
     regions: DataFrame | None = None
     rebuild: Callable[[DataFrame], DataFrame] | None = None
     upscale: Callable[[DataFrame], DataFrame] | None = None
+    upscale_for: Callable[[int], upscale.SizedModel] | None = None
     embed: Callable[[DataFrame], DataFrame] | None = None
     scorers: dict[str, pixels.Scoring] = field(default_factory=dict)
     before: Callable[[str], None] = lambda step: None
@@ -227,7 +228,8 @@ class Run:
         report: dict[str, Any] = {r["planned_action"]: r["count"] for r in stored.groupBy("planned_action").count().collect()}
         if not report:
             return {"skipped": True, "reason": "no images"}
-        model = self.hooks.upscale or (None if c.generative else lambda rows: pixels.upscaled(rows, c.target))
+        sized = self.hooks.upscale_for
+        model = self.hooks.upscale or (None if sized is None else lambda rows: upscale.upscaled_by_target(rows, sized, c.target)) or (None if c.generative else lambda rows: pixels.upscaled(rows, c.target))
         if "upscale" in self.on and model is None:
             report["reason"] = "nothing was upscaled: no generative model was given"
         elif "upscale" in self.on:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import re
+from collections.abc import Collection
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framesift.functions.text import trimmed
 from framesift.operators import audit, captions
 from framesift.operators.order import kept
+from framesift.sources import store
 from framesift.sources.store import uri
 
 #: Suffixes of images.
@@ -131,6 +136,42 @@ def write_report(report: DataFrame, folder: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(folder)
 
 
+#: Suffixes of weight files, the better kind first, and the index of a model's components.
+WEIGHTS, MODEL_INDEX = (".safetensors", ".bin"), "model_index.json"
+
+
+def weight_components(spark: SparkSession, root: str, skip: Collection[str] = ()) -> DataFrame:
+    """ord, component, size, so_far: bytes of each component of a model below root, in the order that its index names them, and of all up to it.
+
+    A component has one kind of weight file that counts, and of each shard one variant, the plain one if it is there; names that begin
+    with `_` and those to skip don't count. Without an index that can be read, or without any weights, there is no row. No file's content is read.
+    """
+    try:
+        index = json.loads(store.read_text(spark, f"{root}/{MODEL_INDEX}") or "")
+    except ValueError:
+        index = None
+    names = [n for n in index if not n.startswith("_") and n not in skip] if isinstance(index, dict) else []
+    table = spark.createDataFrame(list(enumerate(names)), "ord int, component string")
+    path = plain_path(F.col("path"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(relative(path, plain_root(root)).alias("rel"), F.col("length").alias("size"))
+    parts = F.split("rel", "/")
+    kind = F.when(F.endswith("rel", F.lit(WEIGHTS[0])), 0).when(F.endswith("rel", F.lit(WEIGHTS[1])), 1)
+    files = found.filter(F.size(parts) == 2).select(parts[0].alias("component"), parts[1].alias("name"), kind.alias("kind"), "size").filter("kind IS NOT NULL")
+    best = files.groupBy("component").agg(F.min("kind").alias("kind"))
+    bare = F.regexp_replace("name", r"\.[^.]*$", "")
+    shard, variant = F.substring_index(bare, ".", 1), F.contains(bare, F.lit("."))
+    one = files.join(best, ["component", "kind"]).groupBy("component", shard.alias("shard")).agg(F.min(F.struct(variant.alias("variant"), "name", "size"))["size"].alias("size"))
+    sizes = table.join(one.groupBy("component").agg(F.sum("size").alias("size")), "component", "left").select("ord", "component", F.coalesce("size", F.lit(0)).alias("size"))
+    # a row for each component: few
+    all_of = sizes.withColumn("so_far", F.sum("size").over(Window.orderBy("ord"))).withColumn("total", F.sum("size").over(Window.partitionBy()))
+    return all_of.filter("total > 0").drop("total")
+
+
+def plain_root(root: str) -> str:
+    """A folder without its scheme, as plain_path() gives those of files."""
+    return re.sub("^[a-z0-9]+:/+", "/", root)
+
+
 def copy_files(rows: DataFrame, target: str, overwrite: bool = False) -> DataFrame:
     """Writes content of (rel, content) below target, whatever file system that is on; rel, copied.
 
