@@ -29,8 +29,8 @@ from framesift.llm.token_counts import _byte_of_letter
 TOKENS = 1 << 24
 #: Where a text is cut: a single blank between characters that are no white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Words and transitions that a worker keeps; characters that are encoded at once, and characters of texts that are worked on together.
-KEPT, KEPT_STEPS, RUN, TOGETHER = 300_000, 2_000_000, 50_000, 2_000_000
+#: Words (about 600 bytes each) and transitions that a worker keeps; characters that are encoded at once, and characters of texts that are worked on together.
+KEPT, KEPT_STEPS, RUN, TOGETHER = 600_000, 2_000_000, 50_000, 2_000_000
 #: Id pairs of a group that is kept; larger ones are made anew.
 KEPT_PAIRS = 64
 #: Texts that Python gets at a time.
