@@ -19,6 +19,7 @@ BOILERPLATE = [
     r"^(a (photo|photograph|image|picture) (of|showing|depicting|featuring)[,:]?\s*)",
     r"\s*\(?(generated|ai.?generated|stock photo|getty images?|shutterstock)[^.]*\.?\s*$",
 ]
+LIST_MARKER = r"^(?U)\s*(?:[-*•–—]+|\d+[.)])\s*"
 DOMAIN_BRIEF = "Domain context for this dataset — authoritative, and it outranks your own assumptions about what things are:\n{domain_brief}\n\n"
 MIN_WORDS, MAX_CHARS, MAX_PHRASES, MAX_PHRASE_WORDS, MAX_LABEL_WORDS = 20, 600, 3, 8, 6
 QUOTES = "\"'“”‘’"
@@ -125,7 +126,7 @@ def parse_gap_phrases(raw: Column, most: int = MAX_PHRASES, most_words: int = MA
     lines = F.split(F.coalesce(raw, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")
 
     def clean(line: Column) -> Column:
-        line = trimmed(F.regexp_replace(trimmed(line), r"^(?U)\s*(?:[-*•–—]+|\d+[.)])\s*", ""))
+        line = trimmed(F.regexp_replace(trimmed(line), LIST_MARKER, ""))
         return trimmed(stripped_of(line, QUOTES))
 
     def step(s: Column, line: Column) -> Column:

@@ -66,9 +66,9 @@ def seeded_config(fields: DataFrame, seeds: DataFrame) -> DataFrame:
 def describe_skip(step: Column, reason: Column) -> Column:
     """One sentence on a step that didn't run."""
     return (
-        F.when(reason == "legacy_import", "import is satisfied by the existing working dataset")
-        .when(reason == "already_done", F.concat(step, F.lit(" already done — skipping (force runs it again)")))
-        .otherwise(F.concat(step, F.lit(" reported no work: "), reason))
+        F.when(reason == "legacy_import", "the data set that is there stands for the import")
+        .when(reason == "already_done", F.concat(step, F.lit(" is done; force runs it again")))
+        .otherwise(F.concat(step, F.lit(" had nothing to do: "), reason))
     )
 
 

@@ -85,9 +85,9 @@ def outcome(report: Any) -> tuple[str, str]:
     if not isinstance(report, dict):
         return "completed", ""
     if not report:
-        return "skipped", "step wrote an empty report"
+        return "skipped", "its report is empty"
     if report.get("skipped") is True:
-        return "skipped", str(report.get("reason") or "step reported no work")
+        return "skipped", str(report.get("reason") or "it had nothing to do")
     return "completed", ""
 
 

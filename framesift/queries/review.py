@@ -66,7 +66,7 @@ def seeded_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.seeded_config(fields, seeds)
 
 
-@query("""SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'import is satisfied by the existing working dataset' WHEN 1 THEN o_orderstatus || ' already done — skipping (force runs it again)' ELSE o_orderstatus || ' reported no work: none' END AS said,
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'the data set that is there stands for the import' WHEN 1 THEN o_orderstatus || ' is done; force runs it again' ELSE o_orderstatus || ' had nothing to do: none' END AS said,
   CASE WHEN o_orderkey % 5 = 0 THEN 'not available' ELSE (o_orderkey % 100) || '/100' END AS quality, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 9)::VARCHAR ELSE printf('%.3f', o_orderkey % 9 + 0.25::DOUBLE) END AS score,
   'gen_' || (o_orderkey % 1000) || '_' || lpad((o_orderkey % 12)::VARCHAR, 3, '0') || '.png' AS preview, coalesce(CASE WHEN o_orderkey % 4 = 0 THEN (o_orderkey * 1000003) % 4294967296 END, CASE WHEN o_orderkey % 3 = 0 THEN 7 END, o_orderkey) AS seed, o_orderkey % 100 > 77 AS truncated FROM orders""")
 def review_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
