@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framesift.operators.coverage import principal_components, principal_plane
-from framesift.operators.order import counted, kept, scan_order
+from framesift.operators.order import counted, kept, scan_order, written
 
 #: Neighbours of each point, rounds at most, and the share of lists that still change when it is enough.
 NEIGHBOURS, ROUNDS, ENOUGH = 15, 12, 0.002
@@ -63,20 +63,20 @@ def neighbour_graph(vectors: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUND
     everyone = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: x != F.col("ord"))
     some = everyone if n - 1 <= k else F.array(*[other(i) for i in range(k)])
     start = vectors.select(F.col("ord").alias("u"), F.explode(F.array_distinct(some).cast("array<long>")).alias("v"))
-    edges = kept(_top(_measured(start, vectors).withColumn("new", F.lit(True)), k))
+    edges = written(_top(_measured(start, vectors).withColumn("new", F.lit(True)), k))
     if n - 1 <= k:
         return _top(edges, wanted).select("u", "v", "d")
     for _ in range(rounds):
         back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "new")
         few = Window.partitionBy("u").orderBy(F.xxhash64("u", "v"))
         back = back.withColumn("place", F.row_number().over(few)).filter(F.col("place") <= k).drop("place")
-        near = kept(edges.select("u", "v", "new").unionByName(back).groupBy("u", "v").agg(F.max("new").alias("new")))
+        near = written(edges.select("u", "v", "new").unionByName(back).groupBy("u", "v").agg(F.max("new").alias("new")))
         # u - w - v, for w in the middle; each list has 2 k members at most
         first, second = near.select(F.col("u").alias("w"), F.col("v").alias("u"), F.col("new").alias("n1")), near.select(F.col("u").alias("w"), "v", F.col("new").alias("n2"))
         met = first.join(second, "w").filter("u <> v AND (n1 OR n2)").select("u", "v").distinct()
         met = met.join(edges.select("u", "v"), ["u", "v"], "left_anti")
         better = _measured(met, vectors).withColumn("new", F.lit(True))
-        after = kept(_top(edges.withColumn("new", F.lit(False)).unionByName(better), k))
+        after = written(_top(edges.withColumn("new", F.lit(False)).unionByName(better), k))
         changed = after.filter("new").count()
         edges = after
         if changed <= ENOUGH * n * k:
@@ -117,9 +117,9 @@ def _whole(c: Column) -> Column:
 
 def layout(graph: DataFrame, start: DataFrame, epochs: int = EPOCHS, seed: int = 42) -> DataFrame:
     """ord, x, y after all epochs, from the places (ord, x, y) to start from, ord from 0 without gaps. The same for the same seed."""
-    edges = kept(_weights(graph))
-    both = kept(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
-    places = kept(start.select("ord", "x", "y"))
+    edges = written(_weights(graph))
+    both = written(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
+    places = written(start.select("ord", "x", "y"))
     n = places.count()
     a, b = CURVE_A, CURVE_B
     for epoch in range(epochs):
@@ -142,7 +142,7 @@ def layout(graph: DataFrame, start: DataFrame, epochs: int = EPOCHS, seed: int =
         forces = moves.groupBy("ord").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
         step = lambda c: F.round(F.col(c) + F.coalesce(F.col(f"f{c}"), F.lit(0)) * (UNIT * rate * 0.2), 9).alias(c)
         # each epoch reads the one before three times: it is written
-        places = kept(places.join(forces, "ord", "left").select("ord", step("x"), step("y")))
+        places = written(places.join(forces, "ord", "left").select("ord", step("x"), step("y")))
     return places
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,14 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As kept(), as a table of its own. For loops: a checkpoint hands the constraints of its plan on, and over rounds these multiply."""
+    spark = df.sparkSession
+    path = f"{checkpoints(spark)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: Rows that are sent to all tasks at most, about 16 MB of numbers.
 BROADCAST_ROWS = 500_000
 
