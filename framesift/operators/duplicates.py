@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import heapq
 import itertools
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.operators.order import kept
+from framesift.operators.order import counted, kept, written
 
 #: Keys narrower than this put too many hashes together to be of use.
 LEAST_KEY_BITS, LEAST_PAIR_BITS = 8, 10
+#: Components of more images than this are walked through in rounds first, over all tasks.
+LARGE = 200_000
 
 
 def close_hashes(hashes: DataFrame, distance: int = 3) -> DataFrame:
@@ -81,79 +83,159 @@ def pair_count(hashes: DataFrame, close: DataFrame) -> int:
     return (same or 0) + (across or 0)
 
 
-def greedy_drop(pairs: DataFrame, blur: DataFrame) -> DataFrame:
+def greedy_drop(pairs: DataFrame, blur: DataFrame, large: int = LARGE) -> DataFrame:
     """ord of the images to drop: pairs in order of (a, b); one with a side that is dropped already is passed over, else the blurrier side goes, a if both are alike.
 
-    blur has ord and blur (higher is sharper). The order matters within a component only, so components are gone
-    through in parallel.
+    blur has ord and blur (higher is sharper; without one, or with NaN, neither side is the sharper and b goes). The order
+    matters within a component only, so components are gone through in parallel, and those of more than `large` images in
+    rounds of their own.
     """
     known = blur.select("ord")
     close = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
     close = close.join(known.withColumnRenamed("ord", "x"), "x", "left_semi").join(known.withColumnRenamed("ord", "y"), "y", "left_semi")
-    return _dropped(blur.select("ord", F.col("ord").alias("h"), "blur"), close)
+    return _dropped(blur.select("ord", F.col("ord").alias("h"), "blur"), close, large)
 
 
-def greedy_drop_hashes(hashes: DataFrame, close: DataFrame) -> DataFrame:
+def greedy_drop_hashes(hashes: DataFrame, close: DataFrame, large: int = LARGE) -> DataFrame:
     """As greedy_drop on all pairs of (ord, h, blur), from the pairs of different hashes (close_hashes) alone."""
-    return _dropped(hashes.filter("h IS NOT NULL").select("ord", "h", "blur"), close)
+    return _dropped(hashes.filter("h IS NOT NULL").select("ord", "h", "blur"), close, large)
 
 
-def _dropped(members: DataFrame, close: DataFrame) -> DataFrame:
+def _dropped(members: DataFrame, close: DataFrame, large: int) -> DataFrame:
     """Images of one hash have the same pairs, so hashes are what is joined, and pairs of images are never made.
 
     Where each image of a component is paired with each other one, as copies of one hash are, the walk leaves the last
-    of the sharpest, which is an aggregate. Other components are walked through in a task each, which holds a row for
-    each image and one for each pair of different hashes.
+    of the sharpest, which is an aggregate. Other components are streams of images (_sweep), the large ones after rounds
+    over all of their images at once (_rounds).
     """
     close = kept(close.select("x", "y"))
     groups = kept(components(close.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("h"), "component"))
-    placed = kept(members.join(groups, "h", "left").select(F.coalesce("component", "h").alias("component"), "h", "ord", (F.col("blur").cast("double") + F.lit(0.0)).alias("blur")))
+    placed = kept(members.join(groups, "h", "left").select(F.coalesce("component", "h").alias("component"), "h", F.col("ord").cast("long").alias("ord"), (F.col("blur").cast("double") + F.lit(0.0)).alias("blur")))
     links = close.join(groups.withColumnRenamed("h", "x"), "x").select("component", "x", "y")
     shape = groups.groupBy("component").agg(F.count(F.lit(1)).alias("k")).join(links.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "component")
     partial = shape.filter("m < k * (k - 1) div 2").select("component", F.lit(True).alias("partial"))
-    unsure = F.max(F.col("blur").isNull() | F.isnan("blur"))
-    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), unsure.alias("unsure"), F.max(F.struct("blur", "ord")).alias("best")).filter("n > 1")
-    sizes = kept(sizes.join(partial, "component", "left").select("component", F.col("best.ord").alias("best"), (F.col("unsure") | F.coalesce("partial", F.lit(False))).alias("walked")))
-    alike = placed.join(sizes.filter("NOT walked"), "component").filter("ord <> best").select(F.col("ord").cast("long").alias("ord"))
-    walked = sizes.filter("walked").select("component")
-    left, right = placed.join(walked, "component", "left_semi"), links.join(walked, "component", "left_semi")
-    return alike.unionByName(left.groupBy("component").cogroup(right.groupBy("component")).applyInPandas(_walk, "ord long"))
-
-
-def _walk(images: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-    """The greedy walk of one component: each image in order, against the images after it that are still there."""
-    images = images.sort_values("ord")
-    places: dict[int, list[int]] = {}
-    ords, hashes, blurs = images["ord"].tolist(), images["h"].tolist(), images["blur"].tolist()
-    for i, h in enumerate(hashes):
-        places.setdefault(h, []).append(i)
-    near: dict[int, list[int]] = {h: [h] for h in places}
-    for x, y in zip(links["x"].tolist(), links["y"].tolist(), strict=True):
-        near[x].append(y)
-        near[y].append(x)
-    # the next image of each hash: all before it are behind the walk or gone
-    at, gone = dict.fromkeys(places, 0), [False] * len(ords)
-
-    def head(h: int, after: int) -> int | None:
-        mine, i = places[h], at[h]
-        while i < len(mine) and (mine[i] <= after or gone[mine[i]]):
-            i += 1
-        at[h] = i
-        return mine[i] if i < len(mine) else None
-
-    for a, h in enumerate(hashes):
-        if gone[a]:
-            continue
-        heads = [(b, g) for g in near[h] if (b := head(g, a)) is not None]
-        heapq.heapify(heads)
-        while heads:
-            b, g = heads[0]
-            if blurs[a] <= blurs[b]:
-                gone[a] = True
-                break
-            gone[b] = True
-            if (b := head(g, a)) is None:
-                heapq.heappop(heads)
+    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.max(_unsure("blur")).alias("unsure"), F.max(F.struct("blur", "ord")).alias("best")).filter("n > 1")
+    sizes = kept(sizes.join(partial, "component", "left").select("component", "n", F.col("best.ord").alias("best"), (F.col("unsure") | F.coalesce("partial", F.lit(False))).alias("walked")))
+    alike = placed.join(counted(sizes.filter("NOT walked")), "component").filter("ord <> best").select("ord")
+    small, big = (counted(sizes.filter("walked").filter(size).select("component")) for size in (F.col("n") <= large, F.col("n") > large))
+    images, near = placed.join(small, "component"), links.join(small, "component")
+    found, walkers = alike, None
+    if not big.isEmpty():
+        gone, walkers, left, tied = _rounds(placed.join(big, "component"), links.join(big, "component"), large)
+        found, images, near = found.unionByName(gone), images.unionByName(left.select(images.columns)), near.unionByName(tied)
+    return found.unionByName(_swept(images, near, walkers))
+
+
+def _unsure(name: str) -> Column:
+    return F.col(name).isNull() | F.isnan(name)
+
+
+# The walk can be turned round: images come in order, and each meets those walkers, images before it that are still there,
+# that it is paired with, in their order. A walker that isn't sharper goes; the first that is drops the image, else the
+# image is a walker itself. Of two images that are paired one goes when they meet, so each hash has one walker at most.
+
+
+def _rounds(images: DataFrame, links: DataFrame, large: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The walk in rounds over all hashes: (ord of those gone, walkers, images still to come, links between hashes that these need).
+
+    A hash has its turn when no image of another hash within two links of it comes before its own first one. All its
+    images before the next of these then meet the same walkers, which no other hash in its turn meets, and so the last of
+    the sharpest stands for all. An image of unknown sharpness comes alone. Rounds end when at most `large` images are
+    left, or a round takes less than an eighth of them: where many hashes take turns image by image, that is a stream.
+    """
+    links, images = written(links), written(images)
+    both = links.select(F.col("x").alias("h"), F.col("y").alias("g")).unionByName(links.select(F.col("y").alias("h"), F.col("x").alias("g")))
+    reach = written(both.unionByName(images.select("h", F.col("h").alias("g"))).distinct())
+    left, walkers, gone = images, images.limit(0), images.select("ord").limit(0)
+    total = left.count()
+    while total > large:
+        firsts = written(left.groupBy("h").agg(F.min("ord").alias("first"), F.min(F.when(_unsure("blur"), F.col("ord"))).alias("unsure")))
+        seen = written(reach.join(firsts.select(F.col("h").alias("g"), "first"), "g"))
+        lead = seen.groupBy("h").agg(F.min(F.struct("first", "g")).alias("lead")).select("h", F.col("lead.g").alias("leader"))
+        after = seen.join(lead, "h").filter("g <> leader").groupBy("h").agg(F.min("first").alias("after"))
+        around = lead.join(after, "h", "left").withColumnRenamed("h", "g")
+        turns = reach.join(around, "g").groupBy("h").agg(F.every(F.col("leader") == F.col("h")).alias("ready"), F.min("after").alias("after")).filter("ready")
+        until = F.when(F.col("unsure") == F.col("first"), F.col("first") + 1).otherwise(F.least("after", "unsure"))
+        turns = counted(written(turns.join(firsts, "h").select("h", F.lit(True).alias("ready"), until.alias("until"))))
+        dealt = left.join(turns, "h", "left").withColumn("now", F.coalesce(F.col("ready") & (F.col("until").isNull() | (F.col("ord") < F.col("until"))), F.lit(False)))
+        run = dealt.filter("now").select("component", "h", "ord", "blur")
+        winners = written(run.groupBy("component", "h").agg(F.max(F.struct("blur", "ord")).alias("w")).select("component", "h", "w.ord", "w.blur"))
+        sharper = ~F.coalesce(F.col("was") <= F.col("blur"), F.lit(False)) | F.isnan("was") | F.isnan("blur")
+        met = winners.select("h", "ord", "blur").join(reach, "h").join(walkers.select(F.col("h").alias("g"), F.col("ord").alias("walker"), F.col("blur").alias("was")), "g")
+        met = written(met.select("ord", "walker", F.coalesce(sharper, F.lit(True)).alias("sharper")))
+        stops = met.filter("sharper").groupBy("ord").agg(F.min("walker").alias("stop"))
+        passed = met.join(stops, "ord", "left").filter("stop IS NULL OR walker < stop").select(F.col("walker").alias("ord"))
+        out = written(passed.unionByName(stops.select("ord")))
+        others = run.join(counted(winners.select("h", F.col("ord").alias("best"))), "h").filter("ord <> best").select("ord")
+        gone = gone.unionByName(out).unionByName(written(others))
+        walkers = written(walkers.unionByName(winners.select(walkers.columns)).join(out, "ord", "left_anti").select(walkers.columns))
+        left = written(dealt.filter("NOT now").select(images.columns))
+        before, total = total, left.count()
+        if before - total < before / 8:
+            break
+    waiting = left.select("h").distinct()
+    ends = [links.join(waiting.withColumnRenamed("h", end), end, "left_semi").select(links.columns) for end in ("x", "y")]
+    return gone, walkers, left, ends[0].unionByName(ends[1]).distinct()
+
+
+LINK, WALKER, IMAGE = 0, 1, 2
+
+
+def _swept(images: DataFrame, links: DataFrame, walkers: DataFrame | None) -> DataFrame:
+    """The walk as a stream: the rows of each component one after the other, sorted by Spark, its links first."""
+    row = lambda df, kind, h, at, blur: df.select("component", F.lit(kind).alias("kind"), F.col(h).alias("h"), F.col(at).alias("at"), blur.cast("double").alias("blur"))
+    rows = row(links, LINK, "x", "y", F.lit(None)).unionByName(row(images, IMAGE, "h", "ord", F.col("blur")))
+    if walkers is not None:
+        rows = rows.unionByName(row(walkers, WALKER, "h", "ord", F.col("blur")))
+    return rows.repartition("component").sortWithinPartitions("component", "kind", "at").mapInPandas(_sweep, "ord long")
+
+
+class _Walk:
+    """One component: its links, and the walker of each hash. Images that have come and gone are not kept."""
+
+    def __init__(self) -> None:
+        self.near: dict[int, set[int]] = {}
+        self.walkers: dict[int, tuple[int, float]] = {}
+        #: hashes with a walker that an image of this hash meets
+        self.around: dict[int, set[int]] = {}
+
+    def link(self, x: int, y: int) -> None:
+        self.near.setdefault(x, set()).add(y)
+        self.near.setdefault(y, set()).add(x)
+
+    def enter(self, h: int, at: int, blur: float) -> None:
+        self.walkers[h] = at, blur
+        for g in (h, *self.near.get(h, ())):
+            self.around.setdefault(g, set()).add(h)
+
+    def leave(self, h: int) -> None:
+        del self.walkers[h]
+        for g in (h, *self.near.get(h, ())):
+            self.around[g].discard(h)
+
+    def come(self, h: int, at: int, blur: float) -> list[int]:
+        """The images that go when this one comes."""
+        gone = []
+        for walker, was, g in sorted((*self.walkers[g], g) for g in self.around.get(h, ())):
+            if not was <= blur:
+                return [*gone, at]
+            self.leave(g)
+            gone.append(walker)
+        self.enter(h, at, blur)
+        return gone
+
+
+def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    component, walk = None, _Walk()
+    for frame in frames:
+        gone: list[int] = []
+        for c, kind, h, at, blur in zip(*(frame[name].tolist() for name in ("component", "kind", "h", "at", "blur")), strict=True):
+            if c != component:
+                component, walk = c, _Walk()
+            if kind == LINK:
+                walk.link(h, at)
+            elif kind == WALKER:
+                walk.enter(h, at, blur)
             else:
-                heapq.heapreplace(heads, (b, g))
-    return pd.DataFrame({"ord": [o for o, g in zip(ords, gone, strict=True) if g]}, dtype="int64")
+                gone += walk.come(h, at, blur)
+        yield pd.DataFrame({"ord": gone}, dtype="int64")

@@ -62,6 +62,57 @@ def test_greedy_drop_of_hashes(spark, seed):
     assert duplicates.greedy_drop_hashes(rows.limit(0), found.limit(0)).count() == 0 == duplicates.pair_count(rows.limit(0), found.limit(0))
 
 
+def walked(hashes, blurs, distance=3):
+    """The images gone after the walk over all pairs, and how many pairs there are."""
+    less = lambda x, y: x is not None and y is not None and x <= y
+    gone: set[int] = set()
+    close = [(a, b) for a, b in itertools.combinations(range(len(hashes)), 2) if (hashes[a] ^ hashes[b]).bit_count() <= distance]
+    for a, b in close:
+        if a not in gone and b not in gone:
+            gone.add(a if less(blurs[a], blurs[b]) else b)
+    return sorted(gone), len(close)
+
+
+def chained(rng, copies):
+    """Images of a path of twelve hashes, each near the next one only, in one component; a third of them share a hash."""
+    steps = [sum(0b11 << 5 * j for j in range(i)) for i in range(12)]
+    return [steps[4] if rng.random() < 1 / 3 else rng.choice(steps) for _ in range(copies)]
+
+
+@pytest.mark.parametrize(("seed", "large"), [(0, 0), (1, 40)])
+def test_greedy_drop_in_rounds(spark, seed, large):
+    """Large components, whether rounds settle all of one or leave a part to the stream, with ties and missing sharpness."""
+    rng = random.Random(seed)
+    hashes = chained(rng, 90) + [(1 << 60) + (i % 9) for i in range(30)]
+    # one hash after the other at first, by turns later on
+    hashes[:60] = sorted(hashes[:60])
+    blurs = [rng.choice((None, float("nan"))) if rng.random() < 0.04 else float(rng.randint(0, 4)) for _ in hashes]
+    rows = spark.createDataFrame(list(zip(range(len(hashes)), hashes, blurs, strict=True)), "ord long, h long, blur double").repartition(3)
+    close = duplicates.close_hashes(rows, 2)
+    assert sorted(r.ord for r in duplicates.greedy_drop_hashes(rows, close, large).collect()) == walked(hashes, blurs, 2)[0]
+
+
+def test_rounds_take_runs_at_once(spark):
+    """Copies that follow each other are one step, however many: a component of 3,000 images is settled by rounds alone."""
+    hashes = [(0, 3, 15)[i // 1000] for i in range(3000)]
+    rows = spark.createDataFrame([(i, h, h, float(i % 10)) for i, h in enumerate(hashes)], "ord long, component long, h long, blur double").withColumn("component", F.lit(0).cast("long"))
+    links = spark.createDataFrame([(0, 0, 3), (0, 3, 15)], "component long, x long, y long")
+    gone, walkers, left, tied = duplicates._rounds(rows, links, 0)
+    assert left.count() == tied.count() == 0
+    assert sorted(r.ord for r in gone.collect()) == walked(hashes, [float(i % 10) for i in range(3000)], 2)[0]
+    assert gone.count() + walkers.count() == 3000
+
+
+def test_walk_keeps_walkers_only():
+    """What a stream of a component holds doesn't grow with its images, and the order of frames doesn't matter to it."""
+    walk = duplicates._Walk()
+    walk.link(0, 1)
+    walk.link(1, 2)
+    gone = [g for i in range(5000) for g in walk.come(i % 3, i, float(i % 7))]
+    assert len(gone) + len(walk.walkers) == 5000 == len(set(gone)) + len(walk.walkers)
+    assert len(walk.walkers) <= 2 and sum(map(len, walk.around.values())) <= 4
+
+
 def test_greedy_drop_with_a_common_hash(spark):
     """A third of the images share a hash, a third a chain of near ones: over 2e10 pairs, which are never made."""
     n, kind = 300_000, F.col("ord") % 3
