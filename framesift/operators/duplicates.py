@@ -6,15 +6,15 @@ import itertools
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framesift.operators.order import counted, kept, written
 
 #: Keys narrower than this put too many hashes together to be of use.
 LEAST_KEY_BITS, LEAST_PAIR_BITS = 8, 10
-#: Components of more images than this are walked through in rounds first, over all tasks.
-LARGE = 200_000
+#: Components of more images than this are walked through by many tasks, each with about as many.
+LARGE = 20_000
 
 
 def close_hashes(hashes: DataFrame, distance: int = 3) -> DataFrame:
@@ -88,7 +88,7 @@ def greedy_drop(pairs: DataFrame, blur: DataFrame, large: int = LARGE) -> DataFr
 
     blur has ord and blur (higher is sharper; without one, or with NaN, neither side is the sharper and b goes). The order
     matters within a component only, so components are gone through in parallel, and those of more than `large` images in
-    rounds of their own.
+    parts.
     """
     known = blur.select("ord")
     close = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
@@ -105,8 +105,8 @@ def _dropped(members: DataFrame, close: DataFrame, large: int) -> DataFrame:
     """Images of one hash have the same pairs, so hashes are what is joined, and pairs of images are never made.
 
     Where each image of a component is paired with each other one, as copies of one hash are, the walk leaves the last
-    of the sharpest, which is an aggregate. Other components are streams of images (_sweep), the large ones after rounds
-    over all of their images at once (_rounds).
+    of the sharpest, which is an aggregate. Other components are streams of images (_swept). Large ones go through rounds
+    over all of their images at once (_rounds), and what these leave through streams of its parts (_in_parts).
     """
     close = kept(close.select("x", "y"))
     groups = kept(components(close.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("h"), "component"))
@@ -118,12 +118,15 @@ def _dropped(members: DataFrame, close: DataFrame, large: int) -> DataFrame:
     sizes = kept(sizes.join(partial, "component", "left").select("component", "n", F.col("best.ord").alias("best"), (F.col("unsure") | F.coalesce("partial", F.lit(False))).alias("walked")))
     alike = placed.join(counted(sizes.filter("NOT walked")), "component").filter("ord <> best").select("ord")
     small, big = (counted(sizes.filter("walked").filter(size).select("component")) for size in (F.col("n") <= large, F.col("n") > large))
-    images, near = placed.join(small, "component"), links.join(small, "component")
-    found, walkers = alike, None
+    found = alike.unionByName(_swept(_whole(placed.join(small, "component")), _whole(links.join(small, "component"))).filter("gone").select("ord"))
     if not big.isEmpty():
         gone, walkers, left, tied = _rounds(placed.join(big, "component"), links.join(big, "component"), large)
-        found, images, near = found.unionByName(gone), images.unionByName(left.select(images.columns)), near.unionByName(tied)
-    return found.unionByName(_swept(images, near, walkers))
+        found = found.unionByName(gone).unionByName(_in_parts(left, tied, walkers, large))
+    return found
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("part", F.lit(0))
 
 
 def _unsure(name: str) -> Column:
@@ -141,7 +144,7 @@ def _rounds(images: DataFrame, links: DataFrame, large: int) -> tuple[DataFrame,
     A hash has its turn when no image of another hash within two links of it comes before its own first one. All its
     images before the next of these then meet the same walkers, which no other hash in its turn meets, and so the last of
     the sharpest stands for all. An image of unknown sharpness comes alone. Rounds end when at most `large` images are
-    left, or a round takes less than an eighth of them: where many hashes take turns image by image, that is a stream.
+    left, or a round takes less than an eighth of them, as where copies of near hashes take turns image by image.
     """
     links, images = written(links), written(images)
     both = links.select(F.col("x").alias("h"), F.col("y").alias("g")).unionByName(links.select(F.col("y").alias("h"), F.col("x").alias("g")))
@@ -178,20 +181,69 @@ def _rounds(images: DataFrame, links: DataFrame, large: int) -> tuple[DataFrame,
     return gone, walkers, left, ends[0].unionByName(ends[1]).distinct()
 
 
+def _in_parts(images: DataFrame, links: DataFrame, walkers: DataFrame, large: int) -> DataFrame:
+    """ord of those gone, from parts of about `large` images in order that are walked through at the same time.
+
+    A part needs the walkers that the one before it ends with. At first each starts with none; what the parts end with,
+    walked through as if it were all, is the first guess of where they start. Then each part that started with other
+    walkers than the one before ended with is walked through again, until there is none. The first part is always right,
+    and each pass puts one more right at least, so this ends with the walk itself; sharp images soon leave nothing of a
+    wrong start, so few passes do.
+    """
+    parts = max(1, -(-images.count() // max(1, large)))
+    images = written(images.repartitionByRange(parts, "component", "ord").withColumn("part", F.spark_partition_id()))
+    hashes = images.select("component", "part", "h").distinct()
+    both = links.select("component", F.col("x").alias("h"), F.col("y").alias("g")).unionByName(links.select("component", F.col("y").alias("h"), F.col("x").alias("g")))
+    tied = written(hashes.join(both, ["component", "h"]).select("component", "part", F.col("h").alias("x"), F.col("g").alias("y")))
+    spans = hashes.select("component", "part").distinct()
+    order = Window.partitionBy("component").orderBy("part")
+    spans = written(spans.select("component", "part", F.lead("part").over(order).alias("next"), (F.row_number().over(order) == 1).alias("is_first")))
+    first = written(walkers.join(spans.filter("is_first").select("component", "part"), "component").select("component", "part", "h", "ord", "blur"))
+    state = first.columns
+    ends = written(_swept(images, tied, first).filter("NOT gone").select(state))
+    starts = written(first.unionByName(_forward(ends, links, walkers)))
+    done = written(_swept(images, tied, starts))
+    while True:
+        due = done.filter("NOT gone").join(spans.select("component", "part", "next"), ["component", "part"]).filter("next IS NOT NULL")
+        due = written(due.select("component", F.col("next").cast("int").alias("part"), "h", "ord", "blur"))
+        later = starts.join(spans.filter("NOT is_first").select("component", "part"), ["component", "part"])
+        key = ["component", "part", "ord"]
+        again = counted(written(due.join(later, key, "left_anti").select(key[:2]).unionByName(later.join(due, key, "left_anti").select(key[:2])).distinct()))
+        if again.isEmpty():
+            return done.filter("gone").select("ord")
+        on = key[:2]
+        starts = written(starts.join(again, on, "left_anti").unionByName(due.join(again, on, "left_semi")))
+        redone = _swept(*(rows.join(again, on, "left_semi") for rows in (images, tied, starts)))
+        done = written(done.join(again, on, "left_anti").unionByName(redone))
+
+
 LINK, WALKER, IMAGE = 0, 1, 2
 
 
-def _swept(images: DataFrame, links: DataFrame, walkers: DataFrame | None) -> DataFrame:
-    """The walk as a stream: the rows of each component one after the other, sorted by Spark, its links first."""
-    row = lambda df, kind, h, at, blur: df.select("component", F.lit(kind).alias("kind"), F.col(h).alias("h"), F.col(at).alias("at"), blur.cast("double").alias("blur"))
+def _rows(images: DataFrame, links: DataFrame, walkers: DataFrame | None) -> DataFrame:
+    """Links, walkers to start with and images of a walk as rows of one kind each."""
+    row = lambda df, kind, h, at, blur: df.select("component", "part", F.lit(kind).alias("kind"), F.col(h).alias("h"), F.col(at).alias("at"), blur.cast("double").alias("blur"))
     rows = row(links, LINK, "x", "y", F.lit(None)).unionByName(row(images, IMAGE, "h", "ord", F.col("blur")))
-    if walkers is not None:
-        rows = rows.unionByName(row(walkers, WALKER, "h", "ord", F.col("blur")))
-    return rows.repartition("component").sortWithinPartitions("component", "kind", "at").mapInPandas(_sweep, "ord long")
+    return rows if walkers is None else rows.unionByName(row(walkers, WALKER, "h", "ord", F.col("blur")))
+
+
+STATE = "component long, part int, h long, ord long, blur double"
+
+
+def _swept(images: DataFrame, links: DataFrame, walkers: DataFrame | None = None) -> DataFrame:
+    """Each part of a component as a stream: its links, the walkers it starts with, its images in order. Who goes, and who still walks at its end."""
+    by = ["component", "part"]
+    return _rows(images, links, walkers).repartition(*by).sortWithinPartitions(*by, "kind", "at").mapInPandas(_sweep, f"{STATE}, gone boolean")
+
+
+def _forward(ends: DataFrame, links: DataFrame, walkers: DataFrame) -> DataFrame:
+    """Where each part but the first of a component starts, if what the parts end with were all images."""
+    rows = _rows(ends, links.withColumn("part", F.lit(-2)), walkers.withColumn("part", F.lit(-1)))
+    return rows.repartition("component").sortWithinPartitions("component", "part", "at").mapInPandas(_carry, STATE)
 
 
 class _Walk:
-    """One component: its links, and the walker of each hash. Images that have come and gone are not kept."""
+    """A component, or a part of it: its links, and the walker of each hash. Images that have come and gone are not kept."""
 
     def __init__(self) -> None:
         self.near: dict[int, set[int]] = {}
@@ -213,6 +265,12 @@ class _Walk:
         for g in (h, *self.near.get(h, ())):
             self.around[g].discard(h)
 
+    def begin(self, kind: int, h: int, at: int, blur: float) -> None:
+        self.link(h, at) if kind == LINK else self.enter(h, at, blur)
+
+    def end(self, key: tuple[int, int] | None) -> Iterator[tuple]:
+        return ((*key, h, at, blur, False) for h, (at, blur) in self.walkers.items())
+
     def come(self, h: int, at: int, blur: float) -> list[int]:
         """The images that go when this one comes."""
         gone = []
@@ -225,17 +283,44 @@ class _Walk:
         return gone
 
 
-def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    component, walk = None, _Walk()
+def _steps(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     for frame in frames:
-        gone: list[int] = []
-        for c, kind, h, at, blur in zip(*(frame[name].tolist() for name in ("component", "kind", "h", "at", "blur")), strict=True):
-            if c != component:
-                component, walk = c, _Walk()
-            if kind == LINK:
-                walk.link(h, at)
-            elif kind == WALKER:
-                walk.enter(h, at, blur)
+        yield from zip(*(frame[name].tolist() for name in ("component", "part", "kind", "h", "at", "blur")), strict=True)
+
+
+def _batches(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    while batch := list(itertools.islice(rows, 10_000)):
+        yield pd.DataFrame(batch, columns=names)
+
+
+def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows() -> Iterator[tuple]:
+        key, walk = None, _Walk()
+        for component, part, kind, h, at, blur in _steps(frames):
+            if (component, part) != key:
+                yield from walk.end(key)
+                key, walk = (component, part), _Walk()
+            if kind == IMAGE:
+                yield from ((component, part, None, gone, None, True) for gone in walk.come(h, at, blur))
             else:
-                gone += walk.come(h, at, blur)
-        yield pd.DataFrame({"ord": gone}, dtype="int64")
+                walk.begin(kind, h, at, blur)
+        yield from walk.end(key)
+
+    return _batches(rows(), ["component", "part", "h", "ord", "blur", "gone"])
+
+
+def _carry(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows() -> Iterator[tuple]:
+        component, part, walk = None, None, _Walk()
+        for c, p, kind, h, at, blur in _steps(frames):
+            if c != component:
+                component, part, walk = c, None, _Walk()
+            if kind != IMAGE:
+                walk.begin(kind, h, at, blur)
+                continue
+            if part is not None and p != part:
+                yield from (row[:5] for row in walk.end((c, p)))
+            part = p
+            walk.come(h, at, blur)
+
+    return _batches(rows(), ["component", "part", "h", "ord", "blur"])
