@@ -13,7 +13,7 @@ from framesift.operators.order import counted, kept, written
 
 #: Keys narrower than this put too many hashes together to be of use.
 LEAST_KEY_BITS, LEAST_PAIR_BITS = 8, 10
-#: Components of more images than this are walked through by many tasks, each with about as many.
+#: Components of more images and links than this are walked through by many tasks, each with about as many.
 LARGE = 20_000
 
 
@@ -87,8 +87,8 @@ def greedy_drop(pairs: DataFrame, blur: DataFrame, large: int = LARGE) -> DataFr
     """ord of the images to drop: pairs in order of (a, b); one with a side that is dropped already is passed over, else the blurrier side goes, a if both are alike.
 
     blur has ord and blur (higher is sharper; without one, or with NaN, neither side is the sharper and b goes). The order
-    matters within a component only, so components are gone through in parallel, and those of more than `large` images in
-    parts.
+    matters within a component only, so components are gone through in parallel, and those of more than `large` images and links
+    in parts.
     """
     known = blur.select("ord")
     close = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
@@ -113,9 +113,9 @@ def _dropped(members: DataFrame, close: DataFrame, large: int) -> DataFrame:
     placed = kept(members.join(groups, "h", "left").select(F.coalesce("component", "h").alias("component"), "h", F.col("ord").cast("long").alias("ord"), (F.col("blur").cast("double") + F.lit(0.0)).alias("blur")))
     links = close.join(groups.withColumnRenamed("h", "x"), "x").select("component", "x", "y")
     shape = groups.groupBy("component").agg(F.count(F.lit(1)).alias("k")).join(links.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "component")
-    partial = shape.filter("m < k * (k - 1) div 2").select("component", F.lit(True).alias("partial"))
+    shape = shape.select("component", "m", F.expr("m < k * (k - 1) div 2").alias("partial"))
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.max(_unsure("blur")).alias("unsure"), F.max(F.struct("blur", "ord")).alias("best")).filter("n > 1")
-    sizes = kept(sizes.join(partial, "component", "left").select("component", "n", F.col("best.ord").alias("best"), (F.col("unsure") | F.coalesce("partial", F.lit(False))).alias("walked")))
+    sizes = kept(sizes.join(shape, "component", "left").select("component", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.col("best.ord").alias("best"), (F.col("unsure") | F.coalesce("partial", F.lit(False))).alias("walked")))
     alike = placed.join(counted(sizes.filter("NOT walked")), "component").filter("ord <> best").select("ord")
     small, big = (counted(sizes.filter("walked").filter(size).select("component")) for size in (F.col("n") <= large, F.col("n") > large))
     found = alike.unionByName(_swept(_whole(placed.join(small, "component")), _whole(links.join(small, "component"))).filter("gone").select("ord"))
@@ -182,7 +182,7 @@ def _rounds(images: DataFrame, links: DataFrame, large: int) -> tuple[DataFrame,
 
 
 def _in_parts(images: DataFrame, links: DataFrame, walkers: DataFrame, large: int) -> DataFrame:
-    """ord of those gone, from parts of about `large` images in order that are walked through at the same time.
+    """ord of those gone, from parts of about `large` images and links of these, in order, that are walked through at the same time.
 
     A part needs the walkers that the one before it ends with. At first each starts with none; what the parts end with,
     walked through as if it were all, is the first guess of where they start. Then each part that started with other
@@ -190,10 +190,12 @@ def _in_parts(images: DataFrame, links: DataFrame, walkers: DataFrame, large: in
     and each pass puts one more right at least, so this ends with the walk itself; sharp images soon leave nothing of a
     wrong start, so few passes do.
     """
-    parts = max(1, -(-images.count() // max(1, large)))
+    both = links.select("component", F.col("x").alias("h"), F.col("y").alias("g")).unionByName(links.select("component", F.col("y").alias("h"), F.col("x").alias("g")))
+    reach = images.join(both.groupBy("component", "h").agg(F.count(F.lit(1)).alias("m")), ["component", "h"], "left")
+    weight = reach.agg(F.sum(1 + F.coalesce("m", F.lit(0)))).first()[0] or 0
+    parts = max(1, min(images.count(), -(-weight // max(1, large))))
     images = written(images.repartitionByRange(parts, "component", "ord").withColumn("part", F.spark_partition_id()))
     hashes = images.select("component", "part", "h").distinct()
-    both = links.select("component", F.col("x").alias("h"), F.col("y").alias("g")).unionByName(links.select("component", F.col("y").alias("h"), F.col("x").alias("g")))
     tied = written(hashes.join(both, ["component", "h"]).select("component", "part", F.col("h").alias("x"), F.col("g").alias("y")))
     spans = hashes.select("component", "part").distinct()
     order = Window.partitionBy("component").orderBy("part")
@@ -237,7 +239,10 @@ def _swept(images: DataFrame, links: DataFrame, walkers: DataFrame | None = None
 
 
 def _forward(ends: DataFrame, links: DataFrame, walkers: DataFrame) -> DataFrame:
-    """Where each part but the first of a component starts, if what the parts end with were all images."""
+    """Where each part but the first of a component starts, if what the parts end with were all images. Only links between these matter."""
+    present = written(ends.select("h").unionByName(walkers.select("h")).distinct())
+    for end in ("x", "y"):
+        links = links.join(present.withColumnRenamed("h", end), end, "left_semi")
     rows = _rows(ends, links.withColumn("part", F.lit(-2)), walkers.withColumn("part", F.lit(-1)))
     return rows.repartition("component").sortWithinPartitions("component", "part", "at").mapInPandas(_carry, STATE)
 
@@ -290,7 +295,8 @@ def _steps(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
 
 def _batches(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
     while batch := list(itertools.islice(rows, 10_000)):
-        yield pd.DataFrame(batch, columns=names)
+        # whole numbers have to stay whole: hashes have 64 bits
+        yield pd.DataFrame(batch, columns=names).astype({"component": "int64", "h": "int64", "ord": "int64", "blur": "float64"})
 
 
 def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -301,7 +307,7 @@ def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield from walk.end(key)
                 key, walk = (component, part), _Walk()
             if kind == IMAGE:
-                yield from ((component, part, None, gone, None, True) for gone in walk.come(h, at, blur))
+                yield from ((component, part, h, gone, blur, True) for gone in walk.come(h, at, blur))
             else:
                 walk.begin(kind, h, at, blur)
         yield from walk.end(key)

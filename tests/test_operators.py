@@ -107,16 +107,16 @@ def test_rounds_take_runs_at_once(spark):
 def test_parts_of_a_component(spark, sharp):
     """Near hashes that take turns image by image, in parts of a few images; with walkers that stay to the end, and where each image ends the one before."""
     rng = random.Random(8)
-    hashes = [0, 3, 15, 63, *chained(rng, 120)]
+    hashes = [h ^ 0x7123456789ABCDEF for h in (0, 3, 15, 63, *chained(rng, 120))]
     blurs = [9.0, 2.0, 8.0, 1.0, *(rng.choice((None, float(rng.randint(0, 3)), rng.random())) for _ in range(120))] if sharp else [float(i) for i in range(124)]
     rows = spark.createDataFrame(list(zip([0] * 124, range(124), hashes, blurs, strict=True)), "component long, ord long, h long, blur double")
     links = duplicates.close_hashes(rows, 2).withColumn("component", F.lit(0).cast("long"))
     walkers = rows.limit(0)
-    assert sorted(r.ord for r in duplicates._in_parts(rows, links, walkers, 9).collect()) == walked(hashes, blurs, 2)[0]
+    assert sorted(r.ord for r in duplicates._in_parts(rows, links, walkers, 60).collect()) == walked(hashes, blurs, 2)[0]
     # walkers of before: the first three images as if they had come in rounds
     gone, here = walked(hashes[:3], blurs[:3], 2)[0], [0, 1, 2]
     before = rows.filter(F.col("ord").isin([i for i in here if i not in gone]))
-    after = duplicates._in_parts(rows.filter("ord > 2"), links, before, 30)
+    after = duplicates._in_parts(rows.filter("ord > 2"), links, before, 120)
     assert sorted([*gone, *(r.ord for r in after.collect())]) == walked(hashes, blurs, 2)[0]
     assert duplicates._in_parts(rows.limit(0), links, walkers, 9).count() == 0
 
