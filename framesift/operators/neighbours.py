@@ -1,25 +1,27 @@
-"""Nearest neighbours of embeddings by neighbours of neighbours, and a layout that keeps them together.
+"""Nearest neighbours of embeddings by products of blocks, and a layout that keeps them together.
 
-The graph starts from random neighbours and gets better round by round: whoever is near a neighbour of mine may be near me.
-A round is joins and a top-k aggregate; no pair but these candidates is compared. The layout then pulls neighbours together and
-pushes sampled others apart in synchronous epochs: in each, all forces are summed up from the places of the epoch before.
-Sums are of whole numbers, so that reruns agree to the last bit.
+The graph is exact: each block of points meets each other block, as one matrix product. (Neighbours of neighbours and random
+projections, which compare fewer pairs, lose most of the nearest where points have no groups: see the README.) The layout then
+pulls neighbours together and pushes sampled others apart in synchronous epochs: in each, all forces are summed up from the
+places of the epoch before. Sums are of whole numbers, so that reruns agree to the last bit.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framesift.operators.coverage import principal_components, principal_plane
 from framesift.operators.order import counted, kept, scan_order, written
 
-#: Neighbours of each point, rounds at most, and the share of lists that still change when it is enough.
-NEIGHBOURS, ROUNDS, ENOUGH = 15, 12, 0.002
-#: By so many hundredths the lists are longer while they are made.
-LONGER = 60
-#: Vectors that are sent to all tasks at most, about 50 MB of 50 numbers each; more meet their pairs by a shuffle.
-VECTORS = 100_000
+#: Neighbours of each point.
+NEIGHBOURS = 15
+#: Tasks that points are dealt over, points of a block and of a tile of a task's own points, and pairs that are measured at once.
+PARTS, BLOCK, TILE, MEASURED = 48, 2048, 256, 100_000
 #: Epochs of the layout, points that each is pushed from in one, and the curve's parameters for a spread of 1 and a least distance of 0.1.
 EPOCHS, PUSHED_FROM = 20, 5
 CURVE_A, CURVE_B = 1.577, 0.895
@@ -27,61 +29,87 @@ CURVE_A, CURVE_B = 1.577, 0.895
 UNIT = 1e-9
 
 
-def _distance(a: Column, b: Column) -> Column:
-    """Euclidean distance, rounded so that the order of sums doesn't matter."""
-    squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.round(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)), 9)
-
-
-def _top(edges: DataFrame, k: int) -> DataFrame:
-    """The k nearest v of each u from (u, v, d, new), each once; an edge that was there before isn't new."""
-    once = edges.groupBy("u", "v").agg(F.min("d").alias("d"), F.min("new").alias("new"))
-    place = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))
-    return once.withColumn("place", place).filter(F.col("place") <= k).drop("place")
+def _merged(held: tuple[np.ndarray, np.ndarray], row: np.ndarray, d: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of what each row held, (distances, ords), and of more (row, d, v); of equal distances the smaller ord."""
+    n, k = held[0].shape
+    row, d, v = np.concatenate([np.repeat(np.arange(n), k), row]), np.concatenate([held[0].ravel(), d]), np.concatenate([held[1].ravel(), v])
+    order = np.lexsort((v, d, row))
+    row, d, v = row[order], d[order], v[order]
+    place = np.arange(len(row)) - np.searchsorted(row, np.arange(n))[row]
+    first = place < k
+    return d[first].reshape(n, k), v[first].reshape(n, k)
 
 
-def _measured(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """u, v, d of pairs (u, v)."""
-    left, right = vectors.select(F.col("ord").alias("u"), F.col("vector").alias("a")), vectors.select(F.col("ord").alias("v"), F.col("vector").alias("b"))
-    return pairs.join(counted(left, VECTORS), "u").join(counted(right, VECTORS), "v").select("u", "v", _distance(F.col("a"), F.col("b")).alias("d"))
+def _met(points: np.ndarray, held: tuple[np.ndarray, np.ndarray], at: int, others: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """held of points (ords from at), after they have met others (ords from start).
 
-
-def neighbour_graph(vectors: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
-    """u, v, d: about the k nearest others of each of (ord, vector), ord from 0 without gaps; all others if there are k or fewer.
-
-    A point meets the neighbours of its neighbours, where one of the two edges is new, and those that have it as a neighbour: of
-    these each point keeps k by a hash, so that no point is met by more than 2 k others, however central it is.
-    Copies of one vector are at distance 0 from each other.
+    A matrix product tells who is near; only these are measured, by differences. Others come by rising ord, so one that is
+    as far as the last of a full list has no place in it.
+    """
+    k = held[0].shape[1]
+    square, other = (points * points).sum(axis=1), (others * others).sum(axis=1)
+    near = np.column_stack([points, np.full(len(points), -0.5)]) @ np.column_stack([others, other]).T
+    # |x - y|^2 < r is x y - |y|^2 / 2 > (|x|^2 - r) / 2; what the product may be off by
+    off = 1e-13 * (square + other.max(initial=0.0))
+    least = (square - held[0][:, -1] ** 2) / 2 + off
+    is_near = near > least[:, None]
+    crowded = np.flatnonzero(np.count_nonzero(is_near, axis=1) > 4 * k)
+    if len(crowded):
+        kth = np.partition(near[crowded], -k - 1, axis=1)[:, -k - 1]
+        is_near[crowded] &= near[crowded] >= (kth - 2 * off[crowded])[:, None]
+    row, col = np.divmod(np.flatnonzero(is_near), len(others))
+    other_than = row + at != col + start
+    row, col = row[other_than], col[other_than]
+    d = np.empty(len(row))
+    for i in range(0, len(row), MEASURED):
+        apart = points[row[i : i + MEASURED]] - others[col[i : i + MEASURED]]
+        d[i : i + MEASURED] = np.round(np.sqrt((apart * apart).sum(axis=1)), 9)
+    return _merged(held, row, d, col + start) if len(row) else held
+
+
+def _matrix(rows: pa.ListScalar) -> np.ndarray:
+    return rows.values.flatten().to_numpy().reshape(len(rows.values), -1)
+
+
+def neighbour_graph(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+    """u, v, d: the k nearest others of each of (ord, vector), ord from 0 without gaps; all others if there are k or fewer.
+
+    Points are dealt over PARTS tasks, and each meets all others, a block at a time, by matrix products; a task holds its own
+    points, their lists and one block. So all pairs are compared, and what is shuffled is the vectors, PARTS times.
+    Of equal distances the smaller ord comes first. Copies of one vector are at distance 0 from each other.
     """
     vectors = kept(vectors.select("ord", F.col("vector").cast("array<double>").alias("vector")))
     n = vectors.count()
     if n < 2:
         return vectors.select(F.col("ord").alias("u"), F.col("ord").alias("v"), F.lit(0.0).alias("d")).limit(0)
-    # longer lists while they are made: what is just outside of a list leads to what belongs into it
-    wanted, k = k, min(k + k * LONGER // 100, n - 1)
-    other = lambda i: F.pmod(F.col("ord") + 1 + F.pmod(F.xxhash64(F.lit(i), "ord"), F.lit(n - 1)), F.lit(n))
-    everyone = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: x != F.col("ord"))
-    some = everyone if n - 1 <= k else F.array(*[other(i) for i in range(k)])
-    start = vectors.select(F.col("ord").alias("u"), F.explode(F.array_distinct(some).cast("array<long>")).alias("v"))
-    edges = written(_top(_measured(start, vectors).withColumn("new", F.lit(True)), k))
-    if n - 1 <= k:
-        return _top(edges, wanted).select("u", "v", "d")
-    for _ in range(rounds):
-        back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "new")
-        few = Window.partitionBy("u").orderBy(F.xxhash64("u", "v"))
-        back = back.withColumn("place", F.row_number().over(few)).filter(F.col("place") <= k).drop("place")
-        near = written(edges.select("u", "v", "new").unionByName(back).groupBy("u", "v").agg(F.max("new").alias("new")))
-        # u - w - v, for w in the middle; each list has 2 k members at most
-        first, second = near.select(F.col("u").alias("w"), F.col("v").alias("u"), F.col("new").alias("n1")), near.select(F.col("u").alias("w"), "v", F.col("new").alias("n2"))
-        met = first.join(second, "w").filter("u <> v AND (n1 OR n2)").select("u", "v").distinct()
-        met = met.join(edges.select("u", "v"), ["u", "v"], "left_anti")
-        better = _measured(met, vectors).withColumn("new", F.lit(True))
-        after = written(_top(edges.withColumn("new", F.lit(False)).unionByName(better), k))
-        changed = after.filter("new").count()
-        edges = after
-        if changed <= ENOUGH * n * k:
-            break
-    return _top(edges, wanted).select("u", "v", "d")
+    size = max(1, min(BLOCK, -(-n // PARTS)))
+    blocks = -(-n // size)
+    each = -(-blocks // PARTS)
+    parts = -(-blocks // each)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "vector"))), lambda x: x["vector"])
+    packed = written(vectors.groupBy(F.floor(F.col("ord") / size).cast("int").alias("block")).agg(listed.alias("rows")))
+    own = packed.select("block", "rows", F.floor(F.col("block") / each).cast("int").alias("part"), F.lit(0).alias("turn"))
+    met = packed.select("block", "rows", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("turn"))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points: list[tuple[int, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for block, rows, turn in zip(batch.column("block").to_pylist(), batch.column("rows"), batch.column("turn").to_pylist(), strict=True):
+                matrix = _matrix(rows)
+                if turn == 0:
+                    for i in range(0, len(matrix), TILE):
+                        tile = matrix[i : i + TILE]
+                        points.append((block * size + i, tile))
+                        held.append((np.full((len(tile), k), np.inf), np.full((len(tile), k), -1)))
+                else:
+                    held = [_met(tile, own_list, at, matrix, block * size) for (at, tile), own_list in zip(points, held, strict=True)]
+        for (at, _), (d, v) in zip(points, held, strict=True):
+            row, col = np.nonzero(v >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(row + at, pa.int64()), pa.array(v[row, col], pa.int64()), pa.array(d[row, col], pa.float64())], names=["u", "v", "d"])
+
+    dealt = own.unionByName(met).repartitionById(parts, F.col("part")).sortWithinPartitions("turn", "block")
+    return written(dealt.select("block", "rows", "turn").mapInArrow(nearest, "u long, v long, d double"))
 
 
 def _weights(graph: DataFrame) -> DataFrame:

@@ -34,6 +34,24 @@ def test_recall_of_neighbours(spark):
     assert d == pytest.approx(np.linalg.norm(np.array(rows[ids.index(a)].embedding, float) - np.array(rows[ids.index(b)].embedding, float)), abs=1e-6)
 
 
+def test_neighbours_are_exact(spark, monkeypatch):
+    """Points without groups, of which rounds of neighbours of neighbours lose many, and copies; over several tasks, blocks and tiles."""
+    for name, value in (("PARTS", 3), ("BLOCK", 150), ("TILE", 64), ("MEASURED", 100)):
+        monkeypatch.setattr(neighbours, name, value)
+    points = np.random.default_rng(5).normal(0, 1, (1300, 64))
+    points[::9] = points[0]
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    found = neighbours.neighbour_graph(spark.createDataFrame(rows, "ord long, vector array<double>").repartition(5), 10).toPandas()
+    assert len(found) == 13000 and found.groupby("u").v.nunique().eq(10).all() and (found.u != found.v).all()
+    found = found.sort_values(["u", "d", "v"])
+    for i in range(0, 1300, 7):
+        d = np.round(np.sqrt(((points - points[i]) ** 2).sum(axis=1)), 9)
+        d[i] = np.inf
+        want = np.lexsort((np.arange(1300), d))[:10]
+        mine = found[found.u == i]
+        assert mine.v.tolist() == want.tolist() and np.allclose(mine.d, d[want], atol=2e-9, rtol=0)
+
+
 def test_small_and_equal_inputs(spark):
     vectors = lambda rows: spark.createDataFrame(rows, "ord long, vector array<double>")
     assert neighbours.neighbour_graph(vectors([])).count() == 0 and neighbours.neighbour_graph(vectors([(0, [1.0])])).count() == 0
