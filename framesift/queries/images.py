@@ -307,7 +307,7 @@ def coverage_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").filter("embedding IS NOT NULL")
     placed = scan_order(rows, [F.col("vec_id")]).withColumnRenamed("embedding", "vector")
     graph, ids = neighbours.neighbour_graph(placed.select("ord", "vector"), 10), placed.select("ord", "vec_id")
     named = graph.join(ids.select(F.col("ord").alias("u"), "vec_id"), "u").join(ids.select(F.col("ord").alias("v"), F.col("vec_id").alias("near_id")), "v")
