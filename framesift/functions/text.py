@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -266,13 +267,28 @@ def project_folder(name: Column) -> Column:
     return F.when(clean.rlike(r"^[A-Za-z0-9_-][A-Za-z0-9_.-]*$"), F.replace(clean, F.lit("-"), F.lit("_")))
 
 
-def human_bytes(size: Column) -> Column:
-    """12 KB, 3.4 MB and so on."""
+#: From where on the tenths of a number above 1 round up, with whether that very place does: halves that a double can be go to the even digit.
+TENTHS = [((2 * i + 1) / 20, i % 2 == 1 if i in (2, 7) else Fraction((2 * i + 1) / 20) > Fraction(2 * i + 1, 20)) for i in range(10)]
+
+
+def _one_decimal(x: Column) -> Column:
+    """x with one decimal, rounded as it is in binary, and halves to the even digit; format_string rounds its decimal form, and halves up."""
+    rest = x % 1.0
+    tenths = sum((F.when(rest >= at if itself else rest > at, 1).otherwise(0) for at, itself in TENTHS), F.lit(0))
+    exact = F.concat(F.format_string("%.0f", x - rest + F.when(tenths == 10, 1.0).otherwise(0.0)), F.lit("."), (tenths % 10).cast("string"))
+    return F.when((x >= 1) & (x < 2.0**52), exact).otherwise(F.format_string("%.1f", x))
+
+
+def human_bytes(size: Column, largest: str = "TB") -> Column:
+    """12 KB, 3.4 MB and so on, up to the largest unit."""
     size = F.coalesce(size.cast("double"), F.lit(0.0))
-    unit = F.when(size < 1024, F.format_string("%.0f B", size)).when(size < 1024**2, F.format_string("%.0f KB", size / 1024))
-    for power, name in ((2, "MB"), (3, "GB")):
-        unit = unit.when(size < 1024 ** (power + 1), F.format_string(f"%.1f {name}", size / 1024**power))
-    return unit.otherwise(F.format_string("%.1f TB", size / 1024**4))
+    unit = F.when(size < 1024, F.format_string("%.0f B", F.rint(size))).when(size < 1024**2, F.format_string("%.0f KB", F.rint(size / 1024)))
+    for power, name in ((2, "MB"), (3, "GB"), (4, "TB")):
+        said = F.concat(_one_decimal(size / float(1024**power)), F.lit(f" {name}"))
+        if name == largest:
+            return unit.otherwise(said)
+        unit = unit.when(size < float(1024 ** (power + 1)), said)
+    raise ValueError(f"no unit {largest}")
 
 
 def elapsed(seconds: Column) -> Column:

@@ -70,6 +70,23 @@ def test_labels_and_tokens(spark):
     assert [one(spark, t.initials(F.lit(n))) for n in ("red fox", "fox", "-")] == ["RF", "FO", "??"]
 
 
+def test_human_bytes(spark):
+    """As Python (and C) round: by the binary value, halves to the even digit; and the largest unit that is asked for."""
+
+    def reference(size: float, units: tuple[str, ...]) -> str:
+        for unit in units:
+            if size < 1024 or unit == units[-1]:
+                return f"{size:.{0 if unit in ('B', 'KB') else 1}f} {unit}"
+            size /= 1024
+
+    sizes = [0.5, 1.5, 2.5, 1023.5, 1536.0, 2560.0, 1.25 * 2**20, 1.75 * 2**20, 2.25 * 2**30, 3.95 * 2**20, 1.55 * 2**20, 1.05 * 2**30, 1.15 * 2**40, 1023.96 * 2**20, 2.0**40, 5.25 * 2**40, 3e15, 1e19]
+    sizes += [(1 + (2 * i + 1) / 20 + e * 2.0**-52) * 2**20 for i in range(10) for e in (-1, 0, 1)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "i int, v double").select("i", t.human_bytes(F.col("v")).alias("all"), t.human_bytes(F.col("v"), "GB").alias("gb")).orderBy("i").collect()
+    units = ("B", "KB", "MB", "GB", "TB")
+    assert [r["all"] for r in df] == [reference(v, units) for v in sizes]
+    assert [r["gb"] for r in df] == [reference(v, units[:4]) for v in sizes]
+
+
 def reference_strip(text: str) -> str:
     """The rule itself, written as a loop."""
     patterns = [re.compile(p, re.IGNORECASE) for p in t.BOILERPLATE]
