@@ -38,6 +38,10 @@ captions AS (
 """
 
 
+#: Tasks that captions are dealt over.
+CAPTION_TASKS = 48
+
+
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, kind, k = F.col("p_name"), F.col("p_type"), F.col("p_partkey") % 8
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
@@ -51,7 +55,9 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 6, "")
         .otherwise(say("The photograph depicts: ", kind, " ", name))
     )
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), caption.alias("caption"), name.alias("label"), kind.alias("kind"), F.col("p_size").alias("size"))
+    # a small file is one task's to read, but its captions are work for many
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size").repartition(CAPTION_TASKS, "p_partkey")
+    return rows.select(F.col("p_partkey").alias("id"), caption.alias("caption"), name.alias("label"), kind.alias("kind"), F.col("p_size").alias("size"))
 
 
 LEDGER_SQL = """
