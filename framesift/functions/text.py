@@ -92,13 +92,20 @@ def strip_boilerplate(text: Column) -> Column:
             t = trimmed(F.regexp_replace(t, f"(?iUd){pattern}", ""))
         return t
 
+    # where no phrase is found a pass changes nothing, and one search is cheaper than six replacements
+    stock = f"(?iUd)(?:{'|'.join(BOILERPLATE)})"
+
     def step(s: Column, _: Column) -> Column:
-        return F.when(s["over"], s).otherwise(bound(one_pass(s["text"]), lambda t: F.struct(t.alias("text"), (t == s["text"]).alias("over"))))
+        done = F.struct(s["text"].alias("text"), F.lit(True).alias("over"))
+        again = bound(one_pass(s["text"]), lambda t: F.struct(t.alias("text"), (t == s["text"]).alias("over")))
+        return F.when(s["over"], s).when(~s["text"].rlike(stock), done).otherwise(again)
+
+    def clean(text: Column) -> Column:
+        # each pass that changes the text takes 8 characters away or more
+        passes = F.sequence(F.lit(0), F.floor(F.length(text) / 8).cast("int"))
+        return F.aggregate(passes, F.struct(text.alias("text"), F.lit(False).alias("over")), step, lambda s: s["text"])
 
-    # each pass that changes the text takes 8 characters away or more
-    passes = F.sequence(F.lit(0), F.floor(F.length(text) / 8).cast("int"))
-    clean = F.aggregate(passes, F.struct(trimmed(text).alias("text"), F.lit(False).alias("over")), step, lambda s: s["text"])
-    return bound(clean, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 2147483647)))
+    return bound(bound(trimmed(text), clean), lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 2147483647)))
 
 
 def token_present(caption: Column, token: Column) -> Column:
@@ -210,15 +217,19 @@ def clean_caption(caption: Column, labels: Column, token: Column, style_mode: bo
 
 def normalize_region_caption(caption: Column, token: Column) -> Column:
     """Cleaned, with the token in front; one that is there already stays, so that doing it again changes nothing."""
-    text, mark = trimmed(caption), trimmed(F.coalesce(token, F.lit("")))
-    starts = lambda sep: F.startswith(F.lower(text), F.lower(F.concat(mark, F.lit(sep))))
-    cut = F.when(starts(", "), 2).when(starts(","), 1).when(starts(" "), 1).otherwise(0)
-    led = (F.length(mark) > 0) & (cut > 0)
-    rest = F.when(led, F.substr(text, F.length(mark) + cut + 1)).otherwise(text)
-    return bound(
-        strip_boilerplate(rest),
-        lambda body: F.when(led, F.concat(mark, F.lit(", "), body)).when(F.length(body) > 0, with_token(body, F.coalesce(token, F.lit("")))).otherwise(body),
-    )
+    mark = trimmed(F.coalesce(token, F.lit("")))
+
+    def normal(text: Column) -> Column:
+        starts = lambda sep: F.startswith(F.lower(text), F.lower(F.concat(mark, F.lit(sep))))
+        cut = F.when(starts(", "), 2).when(starts(","), 1).when(starts(" "), 1).otherwise(0)
+        led = (F.length(mark) > 0) & (cut > 0)
+        rest = F.when(led, F.substr(text, F.length(mark) + cut + 1)).otherwise(text)
+        return bound(
+            strip_boilerplate(rest),
+            lambda body: F.when(led, F.concat(mark, F.lit(", "), body)).when(F.length(body) > 0, with_token(body, F.coalesce(token, F.lit("")))).otherwise(body),
+        )
+
+    return bound(trimmed(caption), normal)
 
 
 def compose_classic_caption(caption: Column, labels: Column, token: Column) -> Column:

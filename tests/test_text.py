@@ -70,6 +70,19 @@ def test_labels_and_tokens(spark):
     assert [one(spark, t.initials(F.lit(n))) for n in ("red fox", "fox", "-")] == ["RF", "FO", "??"]
 
 
+def test_captions_are_work_for_many_tasks(spark):
+    """The sample's captions, from one small file, are dealt over tasks, and each text rule is worked out once."""
+    from framesift.queries import QUERIES
+
+    for name in ("normalize_region_caption", "compose_caption"):
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert df.rdd.getNumPartitions() > 8
+    # cleaning a clean caption is one expression more, not a multiple of it
+    size = lambda c: len(spark.range(1).select(F.lit("a").alias("x")).select(c.alias("x"))._jdf.queryExecution().analyzed().toString())
+    once = size(t.strip_boilerplate(F.col("x")))
+    assert size(t.strip_boilerplate(t.strip_boilerplate(F.col("x")))) < 2.2 * once
+
+
 def test_human_bytes(spark):
     """As Python (and C) round: by the binary value, halves to the even digit; and the largest unit that is asked for."""
 
