@@ -4,7 +4,8 @@ A byte-level BPE file is compiled into two deterministic transducers, one after
 pieces; it looks at the classes of neighbouring characters only. The second reads a piece byte by byte, and each of its
 transitions says how many tokens it adds to the count. It is built state by state as texts ask for it: a state is the
 longest end of what was read that some token begins with, with the last token and the count at each place in it. That
-is all that what follows can depend on.
+is all that what follows can depend on. Short pieces that aren't known yet are read many at a time: each step reads one
+byte of all of them by array operations, with the last tokens and counts as columns, and no state is kept.
 
 Where the class of characters changes, the first transducer is mostly in one known state whatever came before. So a
 chunk of a text is a map of states: what stands before its first such place goes to whatever state comes in, then
@@ -18,8 +19,9 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import cached_property, lru_cache
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -31,8 +33,10 @@ from framesift.llm.common import frozen
 
 #: Characters of a chunk, pieces whose counts and transducer states that a worker keeps.
 CHUNK, KEPT, KEPT_STATES = 1 << 16, 200_000, 100_000
-#: Pieces of more bytes are counted by the transducer each time; their counts aren't kept.
+#: Pieces of more bytes are counted by the transducer one by one, each time; their counts aren't kept.
 KEPT_BYTES = 64
+#: Characters of texts whose new pieces wait for each other, bytes that are read together, pieces that aren't worth arrays.
+WAITING, TOGETHER, FEW = 1 << 21, 1 << 18, 300
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
 BYTES = 256
 #: Code points with the Unicode property White_Space.
@@ -60,6 +64,19 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b) if b in prints else chr(next(free)): b for b in range(BYTES)}
 
 
+class Lookup:
+    """Numbers by numbers, looked up by array operations; what isn't there is -1."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        # a last key beyond all others, so that each search ends at one
+        self.keys, self.values = np.append(keys[order], 1 << 62), np.append(values[order], -1)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.values[at], -1)
+
+
 class State:
     """A state of the merge transducer. end: the longest end of what was read that some token begins with; lasts, counts: the last token, and the count
     from the start of end on, at each place in it; next: transitions known so far, by byte, with the tokens they add."""
@@ -167,6 +184,103 @@ class MergeTransducer:
             total += added
         return total
 
+    @cached_property
+    def arrays(self) -> tuple[Lookup, np.ndarray, Lookup, np.ndarray]:
+        """Edges from a prefix by a byte, the token that a prefix is, if merges make it, the rank of a pair, the halves of a token."""
+        number = {p: i for i, p in enumerate(sorted(self.prefixes), 1)}
+        edges = np.fromiter((number.get(p[:-1], 0) * BYTES + p[-1] for p in number), np.int64, len(number))
+        tokens = np.full(len(number) + 1, -1, np.int32)
+        for raw, token in self.ids.items():
+            if self.made(token):
+                tokens[number[raw]] = token
+        pairs = np.fromiter((a * len(self.halves) + b for a, b in self.pairs), np.int64, len(self.pairs))
+        ranks = np.fromiter(self.pairs.values(), np.int32, len(self.pairs))
+        return Lookup(edges, np.arange(1, len(number) + 1)), tokens, Lookup(pairs, ranks), np.array(self.halves, np.int64)
+
+    def _all_neighbours(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """neighbours() of many pairs."""
+        _, _, ranks, halves = self.arrays
+        fits, at = np.ones(len(a), bool), np.arange(len(a))
+        limit = np.full(len(a), 1 << 60)
+        while len(at):
+            rank = ranks.get(a * len(halves) + b)
+            over = (rank >= 0) & (rank < limit)
+            fits[at[over]] = False
+            on = ~over & (np.maximum(a, b) >= BYTES)
+            at, a, b = at[on], a[on], b[on]
+            later = a > b
+            limit = np.where(later, a, b + 1)
+            a, b = np.where(later, halves[a, 1], a), np.where(later, b, halves[b, 0])
+        return fits
+
+    def counts(self, pieces: list[bytes]) -> list[int]:
+        """count() of many pieces. Short ones are read together, from the longest to the shortest."""
+        out = [0] * len(pieces)
+        short = sorted((i for i, p in enumerate(pieces) if len(p) <= KEPT_BYTES), key=lambda i: -len(pieces[i])) if len(pieces) > FEW else []
+        ends = np.cumsum([len(pieces[i]) for i in short])
+        begin = 0
+        while begin < len(short):
+            end = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + TOGETHER, "right"))
+            for i, n in zip(short[begin:end], self._read_together([pieces[i] for i in short[begin:end]]), strict=True):
+                out[i] = n
+            begin = end
+        for i, n in enumerate(out):
+            # each piece has a token at least
+            if not n:
+                out[i] = self.count(pieces[i])
+        return out
+
+    def _read_together(self, pieces: list[bytes]) -> list[int]:
+        """Counts of pieces from the longest to the shortest. Their bytes lie one column after the other, so that a column has the first so many pieces."""
+        edges, token_of, _, _ = self.arrays
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        begins = np.cumsum(sizes) - sizes
+        joined = np.frombuffer(b"".join(pieces), np.uint8)
+        width = int(sizes[0])
+        rows = [int(x) for x in np.searchsorted(-sizes, -np.arange(width), "left")]
+        starts = np.concatenate([[0], np.cumsum(rows)])
+        read = np.concatenate([joined[begins[:n] + j] for j, n in enumerate(rows)])
+        # tokens by their size and the place that they end at: from all places at once, as far as prefixes go
+        place = np.arange(len(read))
+        column = np.repeat(np.arange(width), rows)
+        row = place - starts[column]
+        heights = np.array([*rows, 0])
+        prefix = np.zeros(len(read), np.int64)
+        endings: list[np.ndarray] = []
+        while len(row):
+            prefix = edges.get(prefix * BYTES + read[place])
+            on = prefix > 0
+            row, column, place, prefix = row[on], column[on], place[on], prefix[on].astype(np.int64)
+            endings.append(ends := np.full(len(read), -1, np.int32))
+            ends[place] = token_of[prefix]
+            column = column + 1
+            on = row < heights[column]
+            row, column, prefix = row[on], column[on], prefix[on]
+            place = starts[column] + row
+        last, count = np.empty(len(read), np.int64), np.empty(len(read), np.int64)
+        for j, n in enumerate(rows):
+            here = slice(int(starts[j]), int(starts[j + 1]))
+            lasts, counts = last[here], count[here]
+            rest = np.arange(n)
+            # of the tokens that end here, the longest first, the one that goes with the token before it
+            for size in range(min(j + 1, len(endings)), 0, -1):
+                token = endings[size - 1][here][rest]
+                some = np.flatnonzero(token >= 0)
+                if not len(some):
+                    continue
+                at, token = rest[some], token[some].astype(np.int64)
+                if size == j + 1:
+                    lasts[at], counts[at] = token, 1
+                else:
+                    before = starts[j - size] + at
+                    fits = self._all_neighbours(last[before], token) if size > 1 else np.ones(len(at), bool)
+                    at, some = at[fits], some[fits]
+                    lasts[at], counts[at] = token[fits], count[before[fits]] + 1
+                rest = np.delete(rest, some)
+                if not len(rest):
+                    break
+        return count[starts[sizes - 1] + np.arange(len(pieces))].tolist()
+
 
 class StateMap(NamedTuple):
     """What a stretch of text does to the state before it: head goes on from there, count tokens follow, tail names the state after it.
@@ -228,25 +342,37 @@ class CompiledTokenizer:
 
     def count(self, text: str) -> int:
         """Tokens of a text that is whole, or stands between places where the state is known."""
-        if not text:
-            return 0
-        at = self.starts(text).tolist()
-        emits = self.emits
-        if len(emits) > KEPT:
-            emits.clear()
-        pieces = [text[a:b] for a, b in zip(at, at[1:] + [len(text)], strict=True)]
-        found = list(map(emits.get, pieces))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    piece = pieces[i]
-                    if (x := emits.get(piece)) is None:
-                        raw = piece.encode()
-                        x = self.merges.count(raw)
-                        if len(raw) <= KEPT_BYTES:
-                            emits[piece] = x
-                    found[i] = x
-        return sum(found)
+        return self.counts([text])[0]
+
+    def counts(self, texts: Iterable[str]) -> list[int]:
+        """count() of many texts. New pieces wait for others, to be read together."""
+        totals: list[int] = []
+        waiting: list[tuple[int, list[str]]] = []
+        size = 0
+        for text in texts:
+            at = self.starts(text).tolist() if text else []
+            pieces = [text[a:b] for a, b in zip(at, at[1:] + [len(text)], strict=False)]
+            found = list(map(self.emits.get, pieces))
+            if None in found:
+                waiting.append((len(totals), [p for p, x in zip(pieces, found, strict=True) if x is None]))
+                size += len(text)
+                found = filter(None, found)
+            totals.append(sum(found))
+            if size > WAITING:
+                self._settle(waiting, totals)
+                waiting, size = [], 0
+        self._settle(waiting, totals)
+        return totals
+
+    def _settle(self, waiting: list[tuple[int, list[str]]], totals: list[int]) -> None:
+        new = list({piece for _, pieces in waiting for piece in pieces})
+        raw = [piece.encode() for piece in new]
+        counted = dict(zip(new, self.merges.counts(raw), strict=True))
+        for i, pieces in waiting:
+            totals[i] += sum(map(counted.__getitem__, pieces))
+        if len(self.emits) + len(new) > KEPT:
+            self.emits.clear()
+        self.emits.update((piece, counted[piece]) for piece, r in islice(zip(new, raw, strict=True), KEPT) if len(r) <= KEPT_BYTES)
 
     def map_of(self, chunk: str) -> StateMap:
         """The state is known where the class changes, but for what follows white space, and for a letter after another sign, which may be 's and the like."""
@@ -283,6 +409,19 @@ class CompiledTokenizer:
         parts = re.split(special_pattern(self.specials), text)
         return len(parts) - 1 + sum(self._chunked(part, chunk) for part in parts)
 
+    def tokens_of(self, texts: Iterable[str]) -> list[int]:
+        """tokens() of many texts of a chunk at most."""
+        sizes: list[int] = []
+
+        def parts() -> Iterator[str]:
+            for text in texts:
+                cut = re.split(special_pattern(self.specials), text) if any(s in text for s in self.specials) else [text]
+                sizes.append(len(cut))
+                yield from cut
+
+        counted = iter(self.counts(parts()))
+        return [n - 1 + sum(islice(counted, n)) for n in sizes]
+
     def _chunked(self, text: str, chunk: int) -> int:
         if len(text) <= chunk:
             return self.count(text)
@@ -370,7 +509,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(tokenizer)
         for batch in batches:
-            n = pa.array([machine.tokens(t.as_py()) for t in batch.column("text")], pa.int64())
+            n = pa.array(machine.tokens_of(t.as_py() for t in batch.column("text")), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n], names=["doc_id", "n_bytes", "n_tokens"])
 
     schema = short.select("doc_id", "n_bytes").withColumn("n_tokens", F.lit(0).cast("long")).schema

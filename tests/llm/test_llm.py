@@ -452,6 +452,57 @@ def test_merge_transducer():
             assert machine.count(raw) == len(parts)
 
 
+def merged(raw, merges):
+    """Tokens of raw, by merges done one by one."""
+    parts = [bytes([x]) for x in raw]
+    for a, b in merges:
+        i = 0
+        while i + 1 < len(parts):
+            if (parts[i], parts[i + 1]) == (a, b):
+                parts[i : i + 2] = [a + b]
+            i += 1
+    return len(parts)
+
+
+def test_pieces_read_together(monkeypatch):
+    """New pieces are read many at a time."""
+    rng = random.Random(5)
+    monkeypatch.setattr(token_counts, "TOGETHER", 2_000)
+    for alphabet in (b"abc", b"ab", b"a"):
+        tokens, merges = [bytes([x]) for x in alphabet], []
+        for _ in range(2_000):
+            a, b = rng.choice(tokens), rng.choice(tokens)
+            if a + b not in tokens and len(a + b) < 30 and len(merges) < 60:
+                merges.append((a, b))
+                tokens.append(a + b)
+        machine = token_counts.MergeTransducer(merges)
+        pieces = [bytes(rng.choice(alphabet + b"d") for _ in range(rng.randint(1, 70))) for _ in range(800)]
+        assert machine.counts(pieces) == [merged(p, merges) for p in pieces]
+        assert machine.counts([]) == []
+    assert token_counts.MergeTransducer([]).counts([b"ab"] * 400) == [2] * 400
+
+
+def test_new_words_make_no_states(monkeypatch):
+    """A text of new words leaves no states behind, which later texts would push out and make again."""
+    from tokenizers import Tokenizer
+
+    path = TOKENS.path("byte_bpe_50k.json")
+    library, machine = Tokenizer.from_file(path), token_counts.CompiledTokenizer(path)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(["the", "ing", "sch", "ö", "qué", "漢", "x", "ñ", "'re", "9", "ß", "😀"]) for _ in range(rng.randint(1, 6)))
+    long = " ".join(word() for _ in range(5_000))
+    assert machine.tokens(long) == len(library.encode(long, add_special_tokens=False).ids)
+    assert not machine.merges.states
+    texts = ["", *(" ".join(word() for _ in range(60)) for _ in range(200)), "a<|endoftext|>b", "y" * 300 + " z"]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert machine.tokens_of(texts) == want
+    # lots of any size, and counts that are dropped when there are too many
+    monkeypatch.setattr(token_counts, "WAITING", 500)
+    monkeypatch.setattr(token_counts, "KEPT", 300)
+    assert machine.tokens_of(iter(texts)) == want
+    assert len(machine.emits) <= 300
+
+
 # languages
 
 
